@@ -43,6 +43,18 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Most text that a Python worker takes from the JVM at once, but for a longer row.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session: workers then need memory for one batch, whatever the rows' length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "-1")).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df, for choosing partition counts."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

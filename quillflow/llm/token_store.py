@@ -1,9 +1,10 @@
 """Token ids of documents in binary shards, with keyed access through a minimal perfect hash.
 
 A store is a folder of
-- ``shard-NNNNNN.tok``: ids of its rows end to end as little-endian unsigned 32-bit integers, then
-  each row's offset in ids (rows + 1 unsigned 64-bit integers), then rows (unsigned 64 bits) and an
-  8-byte mark. Rows ascend by doc_id within a shard and from shard to shard.
+- ``shard-NNNNNN.tok``: ids of its rows end to end as little-endian unsigned integers, 16 bits wide
+  if the vocabulary has up to 65,536 ids and else 32, then each row's offset in ids (rows + 1
+  unsigned 64-bit integers), then rows and width in bytes (unsigned 64 bits each) and an 8-byte
+  mark. Rows ascend by doc_id within a shard and from shard to shard.
 - ``index-NNNNN.mph``: one for each bucket of keys: a perfect hash with fingerprints, each slot's
   first record (slots + 1), and records (shard, first row, rows). A look-up hashes the key to its
   bucket and slot and reads one run of records: constant time, whatever the store's size.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sharedfs
-from .common import fresh_path, plan_bytes, slices, staged
+from .common import fresh_path, plan_bytes, slices, small_batches, staged
 from .mph import PerfectHash
 from .tokens import encoder, with_end
 
@@ -36,6 +37,8 @@ from .tokens import encoder, with_end
 SHARD_BYTES = 16 << 20
 #: Distinct keys for each index file, about.
 BUCKET_KEYS = 100_000
+#: Most text that is encoded at once, but for a longer row.
+ENCODE_BYTES = 2 << 20
 #: Most bytes that a reader takes at once, but for a longer row.
 READ_BYTES = 8 << 20
 _MARK = b"QFTOK001"
@@ -66,6 +69,7 @@ def _bucket(key: str, buckets: int) -> Column:
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> TokenStore:
     """Encode every whole text, append end_id, and write shards and index to the shared folder."""
     spark = docs.sparkSession
+    small_batches(spark)
     root = fresh_path(spark, "token-store")
     sharedfs.make_dir(root)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -78,16 +82,17 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
         shard, lib, n, keys, sizes = TaskContext.get().partitionId(), encoder(tokenizer), 0, [], []
         with sharedfs.writing(_shard_path(root, shard)) as out:
             while first is not None:
-                for part in slices(first, "text", READ_BYTES):
+                for part in slices(first, "text", ENCODE_BYTES):
                     ids, off = with_end(*lib.encode(part.column("text")), end_id)
-                    out.write(np.ascontiguousarray(ids, "<u4"))
+                    width = 2 if len(lib.ends) <= 1 << 16 and end_id < 1 << 16 else 4
+                    out.write(ids.astype(f"<u{width}"))
                     keys.append(part.column("doc_id"))
                     sizes.append(np.diff(off))
                 first = next(batches, None)
             size = np.concatenate(sizes)
             n = len(size)
             out.write(np.concatenate([[0], np.cumsum(size)]).astype("<u8"))
-            out.write(struct.pack("<Q8s", n, _MARK))
+            out.write(struct.pack("<QQ8s", n, width, _MARK))
         yield pa.record_batch({"doc_id": pa.concat_arrays(keys), "shard": np.full(n, shard, np.int32), "row": np.arange(n), "n_tokens": size})
 
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
@@ -143,14 +148,14 @@ class Shard:
     def __init__(self, root: str, shard: int):
         self.file = sharedfs.reading(_shard_path(root, shard))
         size = self.file.size()
-        n, mark = struct.unpack("<Q8s", self.file.read_at(16, size - 16))
+        n, self.width, mark = struct.unpack("<QQ8s", self.file.read_at(24, size - 24))
         if mark != _MARK:
             raise ValueError(f"shard {shard} of {root} is damaged")
-        self.offsets = np.frombuffer(self.file.read_at(8 * (n + 1), size - 16 - 8 * (n + 1)), "<u8").astype(np.int64)
+        self.offsets = np.frombuffer(self.file.read_at(8 * (n + 1), size - 24 - 8 * (n + 1)), "<u8").astype(np.int64)
 
     def ids(self, first: int, rows: int = 1) -> np.ndarray:
         a, b = self.offsets[first], self.offsets[first + rows]
-        return np.frombuffer(self.file.read_at(int(4 * (b - a)), int(4 * a)), "<u4")
+        return np.frombuffer(self.file.read_at(int(self.width * (b - a)), int(self.width * a)), f"<u{self.width}").astype("<u4")
 
 
 def fetch(store: TokenStore, key: int) -> list[np.ndarray]:
