@@ -50,7 +50,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session: workers then need memory for one batch, whatever the rows' length."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(key, "-1")).lower().rstrip("b")
+    now = str(spark.conf.get(key)).lower().rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
         spark.conf.set(key, str(BATCH_BYTES))
 
