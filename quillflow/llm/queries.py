@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import OP6_SQL, op6_mix_sources
+from .packing import op4_best_fit_packing
 from .quality import op5_quality_divergence
 from .token_store import op1_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_divergence": op5_quality_divergence,
     "op6_mix_sources": op6_mix_sources,
 }
