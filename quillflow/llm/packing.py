@@ -102,7 +102,7 @@ def _best_fit(stock: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
             if used < bins:
                 groups[room].append((config, bins - used))
                 filled[room] = True
-            groups[room - m * length].append((config | {length: m}, used))
+            groups[room - m * length].append((config | {length: config.get(length, 0) + m}, used))
             filled[room - m * length] = True
             left -= m * used
     return [(config, bins) for group in groups for config, bins in group if config]
