@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .mixing import OP6_SQL, op6_mix_sources
 from .packing import op4_best_fit_packing
 from .quality import op5_quality_divergence
+from .simhash import op9_simhash
 from .token_store import op1_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_divergence": op5_quality_divergence,
     "op6_mix_sources": op6_mix_sources,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {
