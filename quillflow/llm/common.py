@@ -95,3 +95,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def word_codes(texts: pa.Array, table: bytes | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, each word's place among them, and the rows' bounds. table: bytes.translate's, applied first.
+
+    Rows that begin or end with white space, or are empty, have an empty word there.
+    """
+    raw, off = text_buffer(texts)
+    raw = raw.tobytes()
+    raw = raw.translate(table) if table else raw
+    texts = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off)), pa.py_buffer(raw)]).cast(pa.large_string(), safe=False)
+    words = pc.ascii_split_whitespace(texts)
+    bounds = np.asarray(words.offsets).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), bounds - bounds[0]
