@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lang_id import op3_language_id
 from .mixing import OP6_SQL, op6_mix_sources
 from .packing import op4_best_fit_packing
 from .quality import op5_quality_divergence
 from .simhash import op9_simhash
 from .token_store import op1_token_store
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_divergence": op5_quality_divergence,
     "op6_mix_sources": op6_mix_sources,
