@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import documents, fold, mix64, slices, small_batches, text_buffer
+from .common import documents, fold, mix64, slices, small_batches, text_buffer, trimmed
 
 ORDER, CODE_BITS = 4, 12
 #: Labelled rows of each language that a model learns from at most, those of least hash; a fifth more calibrates.
@@ -201,7 +201,7 @@ def gram_counts(sample: DataFrame, key: str = "text") -> DataFrame:
                     cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
                     yield pa.record_batch({"lang": [lang] * len(cut), "gram": k[cut].view(np.int64), "n": np.diff(np.append(cut, len(k)))})
 
-    return sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return sample.select("text", "lang").mapInArrow(trimmed(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _grouped(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +316,7 @@ def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: i
                     at = np.array([model.languages.index(x) if x in model.languages else 0 for x in part.column("lang").to_pylist()])
                     yield pa.record_batch({"lang": part.column("lang"), "h": -sums[np.arange(len(at)), at] / np.maximum(m, 1), "n": m})
 
-        seen = ranked.where(held).select("text", "lang").mapInArrow(own, "lang string, h double, n long").toArrow()
+        seen = ranked.where(held).select("text", "lang").mapInArrow(trimmed(own), "lang string, h double, n long").toArrow()
         calibrate(model, seen.column("lang").to_numpy(), seen.column("h").to_numpy(), seen.column("n").to_numpy())
         return model
     finally:
@@ -343,7 +343,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kept}, {out}")
+    return rows.mapInArrow(trimmed(run), f"{kept}, {out}")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import documents, slices, small_batches, staged
+from .common import documents, slices, small_batches, staged, trimmed
 from .tokens import default_vocabulary, encoder, with_end
 
 ENCODE_BYTES = 2 << 20
@@ -174,7 +174,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str =
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(trimmed(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long" + ", ids binary" * with_ids)
 
 
 def assign(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -198,7 +198,7 @@ def assign(pieces: DataFrame, capacity: int) -> DataFrame:
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name not in ("part", "place")]
     located = pieces.join(counts.select("length", "part", "before"), ["length", "part"])
-    return located.mapInArrow(place, ", ".join([c for c in kept if c.startswith("length ")] + [c for c in kept if not c.startswith("length ")] + ["sequence_id long", "offset long"]))
+    return located.mapInArrow(trimmed(place), ", ".join([c for c in kept if c.startswith("length ")] + [c for c in kept if not c.startswith("length ")] + ["sequence_id long", "offset long"]))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

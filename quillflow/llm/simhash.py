@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, small_batches, staged, text_buffer
+from .common import documents, slices, small_batches, staged, text_buffer, trimmed
 from .components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 yield pa.record_batch({"doc_id": rows.column("doc_id"), "fp": found.view(np.int64)})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 # ---- comparison within a bucket
@@ -171,7 +171,7 @@ def links(values: DataFrame) -> DataFrame:
         last = level == LEVELS - 1
         sizes = sizes if last else staged(sizes, "simhash-sizes")
         small = sizes if last else sizes.where(F.col("n") <= BUCKET_VALUES)
-        found.append(rows.join(small, ["mask", "fixed"]).repartition("mask", "fixed").sortWithinPartitions("mask", "fixed").select("mask", "fixed", "fp").mapInArrow(_compare, "u long, v long"))
+        found.append(rows.join(small, ["mask", "fixed"]).repartition("mask", "fixed").sortWithinPartitions("mask", "fixed").select("mask", "fixed", "fp").mapInArrow(trimmed(_compare), "u long, v long"))
         if last or sizes.where(F.col("n") > BUCKET_VALUES).isEmpty():
             break
         rest = rows.join(sizes.where(F.col("n") > BUCKET_VALUES), ["mask", "fixed"]).select("fp", "mask")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sharedfs
-from .common import fresh_path, plan_bytes, slices, small_batches, staged
+from .common import fresh_path, plan_bytes, slices, small_batches, staged, trimmed
 from .mph import PerfectHash
 from .tokens import encoder, with_end
 
@@ -96,7 +96,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
         yield pa.record_batch({"doc_id": pa.concat_arrays(keys), "shard": np.full(n, shard, np.int32), "row": np.arange(n), "n_tokens": size})
 
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
-    spans = staged(ordered.mapInArrow(write, "doc_id long, shard int, row long, n_tokens long"), "token-spans")
+    spans = staged(ordered.mapInArrow(trimmed(write), "doc_id long, shard int, row long, n_tokens long"), "token-spans")
     buckets = max(1, -(-spans.count() // BUCKET_KEYS))
     _write_index(spans, root, buckets)
     return TokenStore(root, spans, buckets, end_id)
@@ -220,7 +220,7 @@ def read_rows(store: TokenStore, records: DataFrame, with_ids: bool = True) -> D
                 yield _rows(out, with_ids)
 
     located = records.join(bases, "shard")
-    return located.repartition("shard").sortWithinPartitions("shard", "first").select("doc_id", "shard", "first", "rows", "base").mapInArrow(read, schema)
+    return located.repartition("shard").sortWithinPartitions("shard", "first").select("doc_id", "shard", "first", "rows", "base").mapInArrow(trimmed(read), schema)
 
 
 def _rows(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:

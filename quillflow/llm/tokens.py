@@ -19,7 +19,7 @@ from .common import text_buffer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept in memory at most; then the memo starts anew.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 300_000
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, slices, small_batches, word_codes
+from .common import documents, fold, slices, small_batches, trimmed, word_codes
 
 HASH_BITS, FEATURES = 20, 1024
 #: Rows that a model learns from at most.
@@ -123,7 +123,7 @@ def _rows(texts: DataFrame) -> list[tuple[int | None, np.ndarray]]:
                 cuts = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
                 yield pa.record_batch({"toxic": rows.column("toxic"), "h": pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.astype(np.int32)))})
 
-    found = texts.select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, h array<int>").toArrow()
+    found = texts.select("text", F.col("toxic").cast("int")).mapInArrow(trimmed(run), "toxic int, h array<int>").toArrow()
     h = found.column("h").combine_chunks() if found.num_rows else None
     return [] if h is None else list(zip(found.column("toxic").to_pylist(), np.split(h.flatten().to_numpy(), np.cumsum(np.diff(np.asarray(h.offsets)))[:-1])))
 
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
 
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kept}, score double")
+    return rows.mapInArrow(trimmed(run), f"{kept}, score double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
