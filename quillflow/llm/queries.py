@@ -12,6 +12,7 @@ from .mixing import OP6_SQL, op6_mix_sources
 from .packing import op4_best_fit_packing
 from .quality import op5_quality_divergence
 from .simhash import op9_simhash
+from .suffix_dedup import op10_suffix_dedup
 from .token_store import op1_token_store
 from .toxicity import op2_toxicity
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op8_hmm_scores": op8_hmm_scores,
     "op9_simhash": op9_simhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
