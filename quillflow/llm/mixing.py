@@ -53,9 +53,11 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     before, everyone = fill.rowsBetween(W.unboundedPreceding, -1), fill.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     left = F.sum("source_size").over(everyone) - F.coalesce(F.sum("cap").over(before), F.lit(0))
     rate = left / (F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    full = ranked.withColumn("rate", rate).withColumn("full", F.col("cap") <= F.col("rate") * F.col("weight"))
-    rate = F.min(F.when(~F.col("full"), F.col("rate"))).over(W.partitionBy())
-    return full.withColumn("rate", rate).select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("rate") * F.col("weight")).alias("target"))
+    filled = ranked.withColumn("rate", rate).withColumn("turn", F.row_number().over(fill))
+    open_ = F.when(F.col("cap") > F.col("rate") * F.col("weight"), F.struct("turn", "rate"))
+    filled = filled.withColumn("first", F.min(open_).over(W.partitionBy()))  # the first that isn't full sets the rate
+    full = F.coalesce(F.col("turn") < F.col("first.turn"), F.lit(True))
+    return filled.select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(F.col("first.rate") * F.col("weight")).alias("target"))
 
 
 def thresholds(sized: DataFrame, wanted: DataFrame, bits: tuple[int, ...] = LEVEL_BITS) -> DataFrame:
@@ -83,13 +85,23 @@ def thresholds(sized: DataFrame, wanted: DataFrame, bits: tuple[int, ...] = LEVE
     return state.select("source", "target", "source_size", "repeats", F.shiftleft(F.col("prefix") + F.when(over, 1).otherwise(0), _HASH_BITS - used).alias("threshold"))
 
 
+def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    return staged(sized.withColumn("hash", id_hash(F.col("doc_id"))), "mix-sizes")
+
+
+def limits(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The thresholds of docs' sources, a row for each source."""
+    sized = _sized(docs, key, text, source)
+    return thresholds(sized, targets(sized, weights))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, copies of every row."""
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    sized = staged(sized.withColumn("hash", id_hash(F.col("doc_id"))), "mix-sizes")
-    limits = thresholds(sized, targets(sized, weights)).withColumnRenamed("source", "s")
+    sized = _sized(docs, key, text, source)
+    cuts = thresholds(sized, targets(sized, weights)).withColumnRenamed("source", "s")
     copies = F.col("repeats") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return sized.join(limits, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "hash", "source_size", "target", copies.alias("copies"))
+    return sized.join(cuts, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "hash", "source_size", "target", copies.alias("copies"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,10 +120,12 @@ ranked AS (
   SELECT *, 3 * source_size AS cap,
          [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sums),
 filled AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS rate
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS turn, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS rate
   FROM ranked WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-told AS (SELECT *, min(CASE WHEN NOT cap <= rate * weight THEN rate END) OVER () AS final_rate FROM filled),
-targets AS (SELECT source, source_size, CASE WHEN cap <= rate * weight THEN CAST(cap AS DOUBLE) ELSE final_rate * weight END AS target FROM told),
+told AS (SELECT min(turn) AS turn, arg_min(rate, turn) AS rate FROM filled WHERE cap > rate * weight),
+targets AS (
+  SELECT source, source_size, CASE WHEN coalesce(f.turn < t.turn, true) THEN CAST(cap AS DOUBLE) ELSE t.rate * weight END AS target
+  FROM filled f CROSS JOIN told t),
 budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS repeats FROM targets),
 running AS (
