@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op7_nearest_vectors
 from .hmm import op8_hmm_scores
 from .lang_id import op3_language_id
 from .mixing import OP6_SQL, op6_mix_sources
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_divergence": op5_quality_divergence,
     "op6_mix_sources": op6_mix_sources,
+    "op7_nearest_vectors": op7_nearest_vectors,
     "op8_hmm_scores": op8_hmm_scores,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
