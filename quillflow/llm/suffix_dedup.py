@@ -18,9 +18,9 @@ copy that a third of all documents share is one anchor entry and one snippet in
 
 Nulls and edges: a null text counts as empty. Texts under 50 bytes lose nothing. A null doc_id is
 later than any other. Rows that share a doc_id don't cut each other. An empty table gives an empty
-result. The remaining bytes of a text may cut a character; deduplicated() drops such pieces of
-characters from its text, while the digest is over the bytes. Other columns are ignored by
-repeats(); deduplicated() keeps them.
+result. The remaining bytes of a text may cut a character; the text column drops such pieces of
+characters, while the digest is over the bytes. Other columns are ignored but for strings that keep
+names.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ _NO_ID = np.iinfo(np.int64).max
 # ---- blocks and anchors
 
 
-def lay_out(docs: DataFrame) -> DataFrame:
-    """block, ids, bounds, data. docs: doc_id, text."""
+def lay_out(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """block, ids, bounds, data, and kept: a list for each kept string column. docs: doc_id, text, keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -62,11 +62,11 @@ def lay_out(docs: DataFrame) -> DataFrame:
             for rows in slices(batch, "text", BLOCK_BYTES):
                 data, bounds = text_buffer(rows.column("text"))
                 ids = rows.column("doc_id").fill_null(_NO_ID).to_numpy()
-                yield pa.record_batch({"block": [block], "ids": [ids.astype("<i8").tobytes()], "bounds": [bounds.astype("<i8").tobytes()], "data": pa.array([data.tobytes()], pa.binary())})
+                yield pa.record_batch({"block": [block], "ids": [ids.astype("<i8").tobytes()], "bounds": [bounds.astype("<i8").tobytes()], "data": pa.array([data.tobytes()], pa.binary()), "kept": pa.array([[rows.column(c).to_pylist() for c in keep]], pa.list_(pa.list_(pa.string())))})
                 block += 1
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(trimmed(run), "block long, ids binary, bounds binary, data binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).cast("string") for c in keep])
+    return rows.mapInArrow(trimmed(run), "block long, ids binary, bounds binary, data binary, kept array<array<string>>")
 
 
 def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -147,7 +147,7 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         flags = repeated[at] == every if len(repeated) else np.zeros(len(every), bool)
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array([np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])], pa.binary())})
 
-    sent = blocks.mapInArrow(trimmed(send), "bucket int, block long, hashes binary, twice binary")
+    sent = blocks.select("block", "ids", "bounds", "data").mapInArrow(trimmed(send), "bucket int, block long, hashes binary, twice binary")
     return sent.groupBy("bucket").applyInArrow(find, "block long, bucket int, flags binary")
 
 
@@ -202,7 +202,7 @@ def snippets(blocks: DataFrame, flags: DataFrame, buckets: int) -> DataFrame:
             rows.append((int(k), row["block"], head.tobytes(), text[own].tobytes()))
         return _packed(rows)
 
-    return blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(cut, "bucket int, block long, head binary, body binary")
+    return blocks.select("block", "ids", "bounds", "data").groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(cut, "bucket int, block long, head binary, body binary")
 
 
 def _packed(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
@@ -406,19 +406,23 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[head, 0], reach[np.append(np.flatnonzero(head)[1:], len(spans)) - 1]], axis=1)
 
 
-def repeats(docs: DataFrame, with_text: bool = False, id_column: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and text, spans) of every row. docs: doc_id, text."""
+def repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and text, spans; and string columns to keep) of every row.
+
+    docs: doc_id, text and keep. text is what is left, spans the removed (start, stop) in turn.
+    """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).alias("doc_id"), "text")
+    rows = docs.select("doc_id", "text", *keep)
     buckets = max(4, -(-plan_bytes(rows) // BUCKET_BYTES))
-    blocks = staged(lay_out(rows), "dedup-blocks")
+    blocks = staged(lay_out(rows, keep), "dedup-blocks")
     sent = staged(snippets(blocks, shared_anchors(blocks, buckets), buckets), "dedup-snippets")
     spans = removals(sent).union(sent.where("bucket = -1").select("block", F.col("head").alias("spans")))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _cut_rows([], with_text)
-        ids, bounds, data = _read(left.to_pylist()[0])
+            return _cut_rows([], keep, with_text)
+        block = left.to_pylist()[0]
+        ids, bounds, data = _read(block)
         own = np.frombuffer(b"".join(right.column("spans").to_pylist()), "<i8").reshape(-1, 2)
         own = merged(own)
         # spans never cross texts, but those of neighbours may touch: cut them at the bounds
@@ -438,16 +442,16 @@ def repeats(docs: DataFrame, with_text: bool = False, id_column: str = "doc_id")
                 parts.append(raw[here:x])
                 here = y
             kept = b"".join([*parts, raw[here : int(bounds[d + 1])]])
-            out.append((None if ids[d] == _NO_ID else int(ids[d]), int(bounds[d + 1] - bounds[d]), int(sum(y - x for x, y in cuts)), len(cuts), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore"), [v - int(bounds[d]) for x in cuts for v in x]] if with_text else [])))
-        return _cut_rows(out, with_text)
+            out.append((None if ids[d] == _NO_ID else int(ids[d]), int(bounds[d + 1] - bounds[d]), int(sum(y - x for x, y in cuts)), len(cuts), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore"), [v - int(bounds[d]) for x in cuts for v in x]] if with_text else []), *(x[d] for x in block["kept"])))
+        return _cut_rows(out, keep, with_text)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string, spans array<long>" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string, spans array<long>" * with_text + "".join(f", `{c}` string" for c in keep)
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cut, schema)
 
 
-def _cut_rows(rows: list[tuple], with_text: bool) -> pa.Table:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text", "spans"] * with_text
-    types = [pa.int64()] * 4 + [pa.string()] + [pa.string(), pa.list_(pa.int64())] * with_text
+def _cut_rows(rows: list[tuple], keep: tuple[str, ...], with_text: bool) -> pa.Table:
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text", "spans"] * with_text + [*keep]
+    types = [pa.int64()] * 4 + [pa.string()] + [pa.string(), pa.list_(pa.int64())] * with_text + [pa.string()] * len(keep)
     cols = list(zip(*rows)) if rows else [[] for _ in names]
     return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
