@@ -30,6 +30,8 @@ from .common import documents, fold, mix64, slices, small_batches, text_buffer,
 ORDER, CODE_BITS = 4, 12
 #: Labelled rows of each language that a model learns from at most, those of least hash; a fifth more calibrates.
 TRAIN_ROWS, CALIBRATION_ROWS = 2000, 500
+#: Languages that a model has columns for.
+MOST_LANGUAGES = 1000
 #: Least standard deviations from a language's own texts at which a text is rejected.
 LEAST_REJECTED = 6.0
 #: Characters' worth of evidence that a score counts at most.
@@ -291,10 +293,13 @@ def calibrate(model: Model, lang: np.ndarray, entropy: np.ndarray, n: np.ndarray
 def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """A model from rows (doc_id, text, lang): bounded numbers of each language's rows, of least hash."""
     rows = labelled.where("lang is not null and text is not null").withColumn("pick", F.xxhash64("doc_id", "lang"))
-    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
+    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total")).limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model has a column for each")
     wanted = train_rows + calibration_rows
     spread = (F.col("pick") / F.lit(2.0**64)) + 0.5
-    likely = rows.join(totals, "lang").where(spread * F.col("total") <= wanted * 1.1 + 50)
+    total = F.element_at(F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], r["total"])]), F.col("lang")) if totals else F.lit(0)
+    likely = rows.where(spread * total <= wanted * 1.1 + 50)
     ranked = likely.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("pick", "doc_id"))).where(F.col("place") <= wanted)
     ranked = ranked.select("text", "lang", "place").persist()
     try:
