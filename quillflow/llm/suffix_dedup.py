@@ -43,10 +43,12 @@ WINDOW = LENGTH - GRAM + 1
 REACH = LENGTH - GRAM
 SNIPPET = 2 * REACH + GRAM
 BLOCK_BYTES = 4 << 20
+#: Bytes that anchors are sought in at once.
+STRETCH = 1 << 18
 #: Input bytes for each bucket of anchors and shard of snippets.
 BUCKET_BYTES = 16 << 20
 #: Distinct snippets of one suffix array.
-ARRAY_SNIPPETS = 60_000
+ARRAY_SNIPPETS = 20_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -92,18 +94,24 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors of all texts, in order."""
-    if len(data) < LENGTH:
+    found = [_anchors(data, bounds, a, min(len(data), a + STRETCH)) for a in range(0, len(data), STRETCH)]
+    return np.concatenate([np.empty(0, np.int64), *(x[0] for x in found)]), np.concatenate([np.empty(0, np.uint64), *(x[1] for x in found)])
+
+
+def _anchors(data: np.ndarray, bounds: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those from start to stop, seen with as much on either side as their windows need."""
+    lo, hi = max(0, start - WINDOW), min(len(data), stop + LENGTH)
+    if hi - lo < LENGTH:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = gram_hashes(data)
+    h = gram_hashes(data[lo:hi])
     least = _slide(h, WINDOW, np.minimum)
-    inside = np.zeros(len(data) + 1, np.int8)  # windows that start where LENGTH bytes of one text follow
-    long_ = np.diff(bounds) >= LENGTH
-    np.add.at(inside, bounds[:-1][long_], 1)
-    np.add.at(inside, bounds[1:][long_] - LENGTH + 1, -1)
-    least[np.cumsum(inside, dtype=np.int8)[: len(least)] == 0] = 0
+    # windows that start where LENGTH bytes of one text follow
+    place = np.arange(lo, lo + len(least))
+    least[bounds[np.searchsorted(bounds, place, side="right")] < place + LENGTH] = 0
     padded = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
     at = np.flatnonzero(_slide(padded, WINDOW, np.maximum) == h)
-    return at, h[at]
+    at = at[(at >= start - lo) & (at < stop - lo)]
+    return at + lo, h[at]
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
