@@ -8,8 +8,10 @@ tally make the batch fall back to one call a word.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from .common import text_buffer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept in memory at most; then the memo starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 700_000
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
@@ -38,12 +40,13 @@ class WordEncoder:
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self._reset()
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
+        """Forget all words."""
         self.memo: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.at, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     @staticmethod
     def _plain_pieces(word: str) -> int:
@@ -88,7 +91,7 @@ class WordEncoder:
         new = [w for w in words if w not in self.memo]
         if new:
             if len(self.memo) + len(new) > MEMO_WORDS and self.memo:
-                self._reset()
+                self.reset()
                 new = words
             self._encode_new(new)
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
@@ -120,11 +123,15 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker."""
+@contextlib.contextmanager
+def encoder(path: str) -> Iterator[WordEncoder]:
+    """The Python worker's encoder, for one task: its words are forgotten after that, as workers may wait idle."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    try:
+        yield _encoders[path]
+    finally:
+        _encoders[path].reset()
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
