@@ -43,6 +43,8 @@ WINDOW = LENGTH - GRAM + 1
 REACH = LENGTH - GRAM
 SNIPPET = 2 * REACH + GRAM
 BLOCK_BYTES = 4 << 20
+#: Bits of an anchor's hash; a chance match only makes more snippets to compare.
+HASH_BITS = 48
 #: Bytes that anchors are sought in at once.
 STRETCH = 1 << 18
 #: Input bytes for each bucket of anchors and shard of snippets.
@@ -56,7 +58,7 @@ _NO_ID = np.iinfo(np.int64).max
 
 
 def lay_out(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """block, ids, bounds, data, and kept: a list for each kept string column. docs: doc_id, text, keep."""
+    """block, ids, bounds, data (compressed), and kept: a list for each kept string column. docs: doc_id, text, keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -64,7 +66,7 @@ def lay_out(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             for rows in slices(batch, "text", BLOCK_BYTES):
                 data, bounds = text_buffer(rows.column("text"))
                 ids = rows.column("doc_id").fill_null(_NO_ID).to_numpy()
-                yield pa.record_batch({"block": [block], "ids": [ids.astype("<i8").tobytes()], "bounds": [bounds.astype("<i8").tobytes()], "data": pa.array([data.tobytes()], pa.binary()), "kept": pa.array([[rows.column(c).to_pylist() for c in keep]], pa.list_(pa.list_(pa.string())))})
+                yield pa.record_batch({"block": [block], "ids": [ids.astype("<i8").tobytes()], "bounds": [bounds.astype("<i8").tobytes()], "data": pa.array([_squeezed(data.tobytes())], pa.binary()), "kept": pa.array([[rows.column(c).to_pylist() for c in keep]], pa.list_(pa.list_(pa.string())))})
                 block += 1
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).cast("string") for c in keep])
@@ -89,7 +91,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         width = 2 * power
         h ^= h >> np.uint64(29)
         wide[width] = h
-    return mix64(wide[16][: len(wide[8]) - 16] * np.uint64(0xBF58476D1CE4E5B9) + wide[8][16:])
+    return mix64(wide[16][: len(wide[8]) - 16] * np.uint64(0xBF58476D1CE4E5B9) + wide[8][16:]) >> np.uint64(64 - HASH_BITS)
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,11 +117,29 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, start: int, stop: int) -> tup
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def _expanded(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit values as byte planes, which compress where high bytes repeat."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["bounds"], "<i8"), np.frombuffer(row["data"], np.uint8)
+    bounds = np.frombuffer(row["bounds"], "<i8")
+    return np.frombuffer(row["ids"], "<i8"), bounds, np.frombuffer(_expanded(row["data"], int(bounds[-1])), np.uint8)
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,10 +161,10 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
                 h, twice = _distinct(h, ids[np.searchsorted(bounds, at, side="right") - 1])
                 cuts = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                yield pa.record_batch({"bucket": full.astype(np.int32), "block": np.full(len(full), row["block"]), "hashes": pa.array([h[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), "twice": pa.array([np.packbits(twice[cuts[b] : cuts[b + 1]]).tobytes() for b in full], pa.binary())})
+                yield pa.record_batch({"bucket": full.astype(np.int32), "block": np.full(len(full), row["block"]), "hashes": pa.array([_planes(np.diff(h[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))) for b in full], pa.binary()), "twice": pa.array([np.packbits(twice[cuts[b] : cuts[b + 1]]).tobytes() for b in full], pa.binary())})
 
     def find(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        parts = [np.cumsum(_from_planes(x), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
         sizes = np.array([len(x) for x in parts])
         twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("twice").to_pylist(), sizes)]).astype(bool)
         every = np.concatenate(parts)
@@ -165,7 +185,7 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
 def snippets(blocks: DataFrame, flags: DataFrame, buckets: int) -> DataFrame:
     """bucket, block, and per distinct snippet: hash, document, place, extent, bytes; and what the block itself removes.
 
-    Rows of bucket -1 hold the removals (start, stop) that a block decides alone.
+    Rows of buckets below 0 hold the removals (start, stop) that a block decides alone.
     """
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -203,19 +223,20 @@ def snippets(blocks: DataFrame, flags: DataFrame, buckets: int) -> DataFrame:
         rows = []
         if len(gone):
             whole = (stop - start)[gone] >= LENGTH
-            rows.append((-1, row["block"], np.stack([start[gone], stop[gone]], axis=1)[whole].astype("<i8").tobytes(), b""))
+            spans = np.stack([start[gone], stop[gone]], axis=1)[whole].astype("<i8")
+            rows.append((-1 - row["block"] % buckets, row["block"], len(spans), spans.tobytes(), b""))
         for k in np.unique(b):
             own = kept[b == k]
-            head = np.stack([h[own].view(np.int64), ids[doc[own]], at[own], start[own], stop[own]], axis=1).astype("<i8")
-            rows.append((int(k), row["block"], head.tobytes(), text[own].tobytes()))
+            head = np.concatenate([h[own].view(np.int64), ids[doc[own]], at[own], start[own], stop[own]])
+            rows.append((int(k), row["block"], len(own), _squeezed(_planes(head)), _squeezed(text[own].tobytes())))
         return _packed(rows)
 
-    return blocks.select("block", "ids", "bounds", "data").groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(cut, "bucket int, block long, head binary, body binary")
+    return blocks.select("block", "ids", "bounds", "data").groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(cut, "bucket int, block long, n long, head binary, body binary")
 
 
-def _packed(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "head", "body"])
+def _packed(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.Table:
+    cols = list(zip(*rows)) if rows else [[], [], [], [], []]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "n", "head", "body"])
 
 
 def _row_hash(text: np.ndarray) -> np.ndarray:
@@ -356,11 +377,13 @@ def removals(sent: DataFrame) -> DataFrame:
     """block, spans: (start, stop) in the block's bytes."""
 
     def shard(table: pa.Table) -> pa.Table:
-        heads = [np.frombuffer(x, "<i8").reshape(-1, 5) for x in table.column("head").to_pylist()]
-        head = np.concatenate(heads)
-        text = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8).reshape(-1, SNIPPET)
-        owner = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
-        h, doc, at, start, stop = head.T
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.table({"block": table.column("block"), "spans": table.column("head")})
+        sizes = table.column("n").to_pylist()
+        heads = [_from_planes(_expanded(x, 40 * n)).view("<i8").reshape(5, n) for x, n in zip(table.column("head").to_pylist(), sizes)]
+        text = np.frombuffer(b"".join(_expanded(x, SNIPPET * n) for x, n in zip(table.column("body").to_pylist(), sizes)), np.uint8).reshape(-1, SNIPPET)
+        owner = np.repeat(np.arange(len(heads)), sizes)
+        h, doc, at, start, stop = np.concatenate(heads, axis=1)
         size = stop - start
         # bytes flush left, as a snippet cut at its text's edge is shorter
         shift = start - at + REACH
@@ -388,8 +411,7 @@ def removals(sent: DataFrame) -> DataFrame:
         by = np.searchsorted(owner[found], np.arange(len(heads) + 1))
         return pa.table({"block": table.column("block"), "spans": pa.array([spans[found[a:b]].astype("<i8").tobytes() for a, b in zip(by[:-1], by[1:])], pa.binary())})
 
-    inner = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(shard, "block long, spans binary")
-    return inner
+    return sent.groupBy("bucket").applyInArrow(shard, "block long, spans binary")
 
 
 def _several(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -423,8 +445,7 @@ def repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False
     rows = docs.select("doc_id", "text", *keep)
     buckets = max(4, -(-plan_bytes(rows) // BUCKET_BYTES))
     blocks = staged(lay_out(rows, keep), "dedup-blocks")
-    sent = staged(snippets(blocks, shared_anchors(blocks, buckets), buckets), "dedup-snippets")
-    spans = removals(sent).union(sent.where("bucket = -1").select("block", F.col("head").alias("spans")))
+    spans = removals(snippets(blocks, shared_anchors(blocks, buckets), buckets))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
