@@ -48,7 +48,7 @@ HASH_BITS = 48
 #: Bytes that anchors are sought in at once.
 STRETCH = 1 << 18
 #: Input bytes for each bucket of anchors and shard of snippets.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Distinct snippets of one suffix array.
 ARRAY_SNIPPETS = 20_000
 _NO_ID = np.iinfo(np.int64).max
@@ -91,7 +91,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         width = 2 * power
         h ^= h >> np.uint64(29)
         wide[width] = h
-    return mix64(wide[16][: len(wide[8]) - 16] * np.uint64(0xBF58476D1CE4E5B9) + wide[8][16:]) >> np.uint64(64 - HASH_BITS)
+    return mix64(wide[16][: len(wide[8]) - 16] * np.uint64(0xBF58476D1CE4E5B9) + wide[8][16:])
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +113,8 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, start: int, stop: int) -> tup
     padded = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
     at = np.flatnonzero(_slide(padded, WINDOW, np.maximum) == h)
     at = at[(at >= start - lo) & (at < stop - lo)]
-    return at + lo, h[at]
+    # being least of many, they crowd at the low end: spread them anew
+    return at + lo, mix64(h[at] + np.uint64(1)) >> np.uint64(64 - HASH_BITS)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -207,9 +208,10 @@ def snippets(blocks: DataFrame, flags: DataFrame, buckets: int) -> DataFrame:
         doc = np.searchsorted(bounds, at, side="right") - 1
         start, stop = np.maximum(at - REACH, bounds[doc]), np.minimum(at + GRAM + REACH, bounds[doc + 1])
         padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(REACH, np.uint8)])
-        text = np.lib.stride_tricks.sliding_window_view(padded, SNIPPET)[at].copy()
+        text = np.lib.stride_tricks.sliding_window_view(padded, SNIPPET)[at]
+        edge = np.flatnonzero(stop - start < SNIPPET)
         column = np.arange(SNIPPET)
-        text[(column < (start - at + REACH)[:, None]) | (column >= (stop - at + REACH)[:, None])] = 0
+        text[edge] *= (column >= (start - at + REACH)[edge, None]) & (column < (stop - at + REACH)[edge, None])
         print_ = _row_hash(text) ^ h ^ ((at - start).astype(np.uint64) << np.uint64(8)) ^ (stop - at).astype(np.uint64)
         order = np.lexsort((at, ids[doc], print_))
         lead = np.concatenate([[True], print_[order][1:] != print_[order][:-1]])
@@ -387,8 +389,9 @@ def removals(sent: DataFrame) -> DataFrame:
         size = stop - start
         # bytes flush left, as a snippet cut at its text's edge is shorter
         shift = start - at + REACH
-        text = text[np.arange(len(text))[:, None], np.minimum(np.arange(SNIPPET) + shift[:, None], SNIPPET - 1)]
-        text[np.arange(SNIPPET) >= size[:, None]] = 0
+        text, edge = text.copy(), np.flatnonzero((shift > 0) | (size < SNIPPET))
+        text[edge] = text[edge[:, None], np.minimum(np.arange(SNIPPET) + shift[edge, None], SNIPPET - 1)]
+        text[edge] *= np.arange(SNIPPET) < size[edge, None]
         # one entry for each distinct snippet, of its least document; others of later documents go whole
         print_ = _row_hash(text) ^ size.astype(np.uint64)
         order = np.lexsort((doc, print_))
