@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from .common import text_buffer
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept in memory at most; then the memo starts anew.
-MEMO_WORDS = 700_000
+#: Words kept in memory at most, while a task runs and between tasks; then the memo starts anew.
+MEMO_WORDS, IDLE_WORDS = 900_000, 450_000
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
@@ -125,13 +125,14 @@ _encoders: dict[str, WordEncoder] = {}
 
 @contextlib.contextmanager
 def encoder(path: str) -> Iterator[WordEncoder]:
-    """The Python worker's encoder, for one task: its words are forgotten after that, as workers may wait idle."""
+    """The Python worker's encoder, for one task: many words are forgotten after that, as workers may wait idle."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     try:
         yield _encoders[path]
     finally:
-        _encoders[path].reset()
+        if len(_encoders[path].memo) > IDLE_WORDS:
+            _encoders[path].reset()
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
