@@ -10,7 +10,8 @@
    on the spot. Snippets go to shards by anchor.
 4. A shard builds suffix arrays over its distinct snippets by Larsson-Sadakane refinement, gets the
    common prefixes by Kasai's method, and so the least document of every 50-byte string. Shards too
-   large for one array are several, merged by binary search of each one's strings in the others.
+   large for one array are several, cut between anchors; where the snippets of one anchor alone are too
+   many, its arrays are merged by binary search of each one's strings in the others.
 5. The strings' extents go back to the blocks, which cut them out of the texts.
 
 Anchors only say where to look; what is removed is decided on the bytes themselves. A passage or
@@ -48,9 +49,9 @@ HASH_BITS = 48
 #: Bytes that anchors are sought in at once.
 STRETCH = 1 << 18
 #: Input bytes for each bucket of anchors and shard of snippets.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Distinct snippets of one suffix array.
-ARRAY_SNIPPETS = 20_000
+ARRAY_SNIPPETS = 8_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -329,8 +330,9 @@ class Strings:
 
     def __init__(self, text: np.ndarray, size: np.ndarray, doc: np.ndarray):
         width = text.shape[1] + 1
-        symbols = np.zeros((len(text), width), np.int16)  # 0 ends each snippet, so that no string runs on into the next
-        symbols[:, :-1] = np.where(np.arange(width - 1) < size[:, None], text.astype(np.int16) + 1, 0)
+        # each snippet ends in a symbol of its own: no string runs on into the next, and no two suffixes are equal
+        symbols = np.repeat(np.arange(len(text), dtype=np.int32), width).reshape(-1, width)
+        symbols[:, :-1] = np.where(np.arange(width - 1) < size[:, None], text.astype(np.int32) + len(text), symbols[:, :-1])
         order = suffix_array(symbols.ravel(), width)  # as deep as a common prefix within snippets can be
         shared = common_prefixes(symbols, size, order)
         row, offset = order // width, order % width
@@ -346,32 +348,57 @@ class Strings:
         view = np.lib.stride_tricks.sliding_window_view(text, LENGTH, axis=1)
         self.strings = np.ascontiguousarray(view[self.row[starts], self.offset[starts]]).view(f"S{LENGTH}").ravel() if len(at) else np.empty(0, f"S{LENGTH}")
 
-    def merge(self, other: Strings) -> None:
-        """Learn of the other's documents, by binary search of its strings."""
-        if not len(self.strings) or not len(other.strings):
+    def merge(self, strings: np.ndarray, least: np.ndarray) -> None:
+        """Learn of another array's documents, by binary search of its strings."""
+        if not len(self.strings) or not len(strings):
             return
-        at = np.minimum(np.searchsorted(self.strings, other.strings), len(self.strings) - 1)
-        hit = self.strings[at] == other.strings
-        np.minimum.at(self.least, at[hit], other.least[hit])
-
-
-def extents(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each snippet, from where to where an earlier document has its strings; all -1 where none has."""
+        at = np.minimum(np.searchsorted(self.strings, strings), len(self.strings) - 1)
+        hit = self.strings[at] == strings
+        np.minimum.at(self.least, at[hit], least[hit])
+
+
+def _cuts(h: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, stop, family) of arrays over rows in order of h: an anchor's rows stay together while they fit, else they are a family."""
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    stops = np.append(starts[1:], len(h))
+    found, a, family = [], 0, 0
+    for start, stop in zip(starts.tolist(), stops.tolist()):
+        if stop - a <= ARRAY_SNIPPETS:
+            continue
+        if start > a:
+            found.append((a, start, family := family + 1))
+        a = start
+        if stop - start > ARRAY_SNIPPETS:
+            family += 1
+            found += [(k, min(stop, k + ARRAY_SNIPPETS), family) for k in range(start, stop, ARRAY_SNIPPETS)]
+            a = stop
+    return found + [(a, len(h), family + 1)] if a < len(h) else found
+
+
+def extents(text: np.ndarray, size: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each snippet, in order of its anchor h, from where to where an earlier document has its strings; -1 where none has."""
     low, high = np.full(len(text), SNIPPET, np.int64), np.full(len(text), -1, np.int64)
-    cuts = range(0, len(text), ARRAY_SNIPPETS)
-    arrays = [Strings(text[a : a + ARRAY_SNIPPETS], size[a : a + ARRAY_SNIPPETS], doc[a : a + ARRAY_SNIPPETS]) for a in cuts]
-    own = [x.least.copy() for x in arrays]
-    for k, x in enumerate(arrays):
-        for j, y in enumerate(arrays):
-            if j != k:
-                now, y.least = y.least, own[j]
-                x.merge(y)
-                y.least = now
-    for a, x in zip(cuts, arrays):
-        row = x.row + a
-        gone = x.least[x.run] < doc[row]
-        np.minimum.at(low, row[gone], x.offset[gone])
-        np.maximum.at(high, row[gone], x.offset[gone] + LENGTH)
+    held: list[tuple[int, Strings]] = []
+
+    def close() -> None:
+        own = [x.least.copy() for _, x in held]
+        for k, (a, x) in enumerate(held):
+            for j, (_, y) in enumerate(held):
+                if j != k:
+                    x.merge(y.strings, own[j])
+            row = x.row + a
+            gone = x.least[x.run] < doc[row]
+            np.minimum.at(low, row[gone], x.offset[gone])
+            np.maximum.at(high, row[gone], x.offset[gone] + LENGTH)
+        held.clear()
+
+    last = 0
+    for a, b, family in _cuts(h):
+        if family != last:
+            close()
+        last = family
+        held.append((a, Strings(text[a:b], size[a:b], doc[a:b])))
+    close()
     return np.where(high < 0, -1, low), high
 
 
@@ -408,7 +435,7 @@ def removals(sent: DataFrame) -> DataFrame:
         several = _several(h[open_], doc[open_])
         open_ = open_[several]
         if len(open_):
-            low[open_], high[open_] = extents(np.ascontiguousarray(text[open_]), size[open_], doc[open_])
+            low[open_], high[open_] = extents(np.ascontiguousarray(text[open_]), size[open_], doc[open_], h[open_])
         found = np.flatnonzero(high > 0)
         spans = np.stack([start + low, start + high], axis=1)
         by = np.searchsorted(owner[found], np.arange(len(heads) + 1))
