@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from .common import documents, slices, small_batches, staged, trimmed
 from .tokens import default_vocabulary, encoder, with_end
 
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 4 << 20
 #: Pricing steps of one solution, solutions before the rest goes best-fit, and the weights' step.
 PRICINGS, ROUNDS, STEP = 60, 3, 0.5
 #: Exponent of a length in its first weight: over 1, so that short pieces stay for the gaps.
@@ -151,9 +151,9 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str =
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        with encoder(tokenizer) as lib:
-            for rows in (x for batch in batches for x in slices(batch, "text", ENCODE_BYTES)):
+        part, lib, seen = TaskContext.get().partitionId(), encoder(tokenizer), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            for rows in slices(batch, "text", ENCODE_BYTES):
                 ids, off = with_end(*lib.encode(rows.column("text")), end_id)
                 n = -(-np.diff(off) // capacity)
                 row = np.repeat(np.arange(len(n)), n)

@@ -38,7 +38,7 @@ SHARD_BYTES = 16 << 20
 #: Distinct keys for each index file, about.
 BUCKET_KEYS = 100_000
 #: Most text that is encoded at once, but for a longer row.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 4 << 20
 #: Most bytes that a reader takes at once, but for a longer row.
 READ_BYTES = 8 << 20
 _MARK = b"QFTOK001"
@@ -79,8 +79,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
         first = next(batches, None)
         if first is None:
             return
-        shard, n, keys, sizes = TaskContext.get().partitionId(), 0, [], []
-        with encoder(tokenizer) as lib, sharedfs.writing(_shard_path(root, shard)) as out:
+        shard, lib, n, keys, sizes = TaskContext.get().partitionId(), encoder(tokenizer), 0, [], []
+        with sharedfs.writing(_shard_path(root, shard)) as out:
             while first is not None:
                 for part in slices(first, "text", ENCODE_BYTES):
                     ids, off = with_end(*lib.encode(part.column("text")), end_id)

@@ -8,10 +8,8 @@ tally make the batch fall back to one call a word.
 
 from __future__ import annotations
 
-import contextlib
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +18,8 @@ import pyarrow.compute as pc
 from .common import text_buffer
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept in memory at most, while a task runs and between tasks; then the memo starts anew.
-MEMO_WORDS, IDLE_WORDS = 900_000, 450_000
+#: Words kept in memory at most; then the memo starts anew.
+MEMO_WORDS = 1_000_000
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
@@ -44,8 +42,9 @@ class WordEncoder:
 
     def reset(self) -> None:
         """Forget all words."""
-        self.memo: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.words = pa.array([], pa.large_string())  # in the order of their slots; far smaller than a dict
+        self.flat, self.used, self.slots = np.empty(1 << 16, np.uint32), 0, 0
+        self.added: list[str] = []
         self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     @staticmethod
@@ -57,7 +56,7 @@ class WordEncoder:
 
     def _add(self, words: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
         """Remember words whose ids lie end to end in ids, each up to its stop."""
-        s, to = len(self.memo), self.used + len(ids)
+        s, to = self.slots, self.used + len(ids)
         while s + len(words) > len(self.at):
             self.at, self.n = np.resize(self.at, 2 * len(self.at)), np.resize(self.n, 2 * len(self.n))
         while to > len(self.flat):
@@ -65,8 +64,8 @@ class WordEncoder:
         self.flat[self.used : to] = ids
         self.n[s : s + len(words)] = np.diff(stops, prepend=0)
         self.at[s : s + len(words)] = self.used + stops - self.n[s : s + len(words)]
-        self.used = to
-        self.memo.update(zip(words, range(s, s + len(words))))
+        self.used, self.slots = to, s + len(words)
+        self.added += words
 
     def _add_one_by_one(self, words: list[str]) -> None:
         found = [e.ids for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
@@ -87,14 +86,21 @@ class WordEncoder:
         if odd := [w for w, c in zip(words, counts) if not c]:
             self._add_one_by_one(odd)
 
-    def _slots(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.memo]
-        if new:
-            if len(self.memo) + len(new) > MEMO_WORDS and self.memo:
-                self.reset()
-                new = words
-            self._encode_new(new)
-        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The slot of each word, those of new ones added."""
+        known = pc.index_in(words, value_set=self.words)
+        new = words.filter(known.is_null())
+        if len(new) and len(self.words) + len(new) > MEMO_WORDS and len(self.words):
+            self.reset()
+            return self._places(words)
+        slots = pc.fill_null(known, -1).to_numpy().astype(np.int64)
+        if len(new):
+            base, self.added = self.slots, []
+            self._encode_new(new.to_pylist())
+            added = pa.array(self.added, pa.large_string())
+            slots[slots < 0] = base + pc.index_in(new, value_set=added).to_numpy()
+            self.words = pa.concat_arrays([self.words, added])
+        return slots
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's offsets in it (one more than texts). Null: empty."""
@@ -112,7 +118,7 @@ class WordEncoder:
         index = coded.indices.to_numpy()
         if not len(index):
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        slots = self._slots(coded.dictionary.to_pylist())
+        slots = self._places(coded.dictionary)
         n, at = self.n[slots][index], self.at[slots][index]
         stops = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=stops[1:])
@@ -123,16 +129,11 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-@contextlib.contextmanager
-def encoder(path: str) -> Iterator[WordEncoder]:
-    """The Python worker's encoder, for one task: many words are forgotten after that, as workers may wait idle."""
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each Python worker."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
-    try:
-        yield _encoders[path]
-    finally:
-        if len(_encoders[path].memo) > IDLE_WORDS:
-            _encoders[path].reset()
+    return _encoders[path]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
