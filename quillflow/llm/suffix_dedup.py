@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, plan_bytes, slices, small_batches, staged, text_buffer, trimmed
+from .common import documents, mix64, plan_bytes, slices, small_batches, staged_by, text_buffer, trimmed
 
 #: Bytes of a repeated string; of an anchor's gram; and grams among which an anchor is least.
 LENGTH, GRAM = 50, 24
@@ -50,6 +50,8 @@ HASH_BITS = 48
 STRETCH = 1 << 18
 #: Input bytes for each bucket of anchors and shard of snippets.
 BUCKET_BYTES = 4 << 20
+#: Input bytes for each part of the blocks' table.
+PART_BYTES = 16 << 20
 #: Distinct snippets of one suffix array.
 ARRAY_SNIPPETS = 8_000
 _NO_ID = np.iinfo(np.int64).max
@@ -474,7 +476,7 @@ def repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", *keep)
     buckets = max(4, -(-plan_bytes(rows) // BUCKET_BYTES))
-    blocks = staged(lay_out(rows, keep), "dedup-blocks")
+    blocks = staged_by(lay_out(rows, keep), "block", max(4, -(-plan_bytes(rows) // PART_BYTES)), "dedup-blocks")
     spans = removals(snippets(blocks, shared_anchors(blocks, buckets), buckets))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
