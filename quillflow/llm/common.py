@@ -38,11 +38,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark's limit on the buckets of a table.
+MOST_BUCKETS = 100_000
+
+
 def staged_by(df: DataFrame, column: str, buckets: int, label: str) -> DataFrame:
     """Like staged, but bucketed by a column: joins and groups on it then move the other side only."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     name = path.rpartition("/")[2].replace("-", "_")
-    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
+    df.write.option("path", path).option("compression", "zstd").bucketBy(min(buckets, MOST_BUCKETS), column).saveAsTable(name)
     return spark.table(name)
 
 
@@ -78,9 +82,10 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return tidy
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of df, for choosing partition counts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes of df, for choosing partition counts: the optimizer's estimate, or where it has none the size of its texts."""
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return guess if guess < 1 << 60 else df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,8 @@ HASH_BITS, FEATURES = 20, 1024
 #: Rows that a model learns from at most.
 TRAIN_POSITIVES, TRAIN_UNLABELLED = 4000, 8000
 STEPS, RATE, RIDGE = 300, 0.05, 1e-4
+#: Fits that each leave out a part of the labelled rows, whose scores then calibrate the fit to all.
+PARTS = 3
 #: Positive texts that must share a word for it to become a feature.
 LEAST_POSITIVES = 3
 THRESHOLD = 0.7
@@ -140,7 +142,9 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES,
     told = _rows(docs.join(F.broadcast(chosen.limit(2 * positives)), "doc_id"))  # a bounded number of ids
     n = docs.agg(F.count(F.lit(1))).first()[0]
     other = [h for _, h in _rows(docs.where(spread(2) * n <= unlabelled).withColumn("toxic", F.lit(None)))]
-    positive, label = [h for y, h in told if y == 1], np.array([y for y, _ in told])
+    told = [x for y in (1, 0) for x in told if (x[0] == 1) == y]  # both kinds are dealt evenly
+    label = np.array([y == 1 for y, _ in told], float)
+    positive = [h for y, h in told if y == 1]
     if not positive or not other:
         return None
     chosen_hashes = _select(positive, other)
@@ -155,8 +159,16 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES,
         return x
 
     prior = min(0.5, max(0.01, totals[0] / totals[1]))
-    w, b = nn_pu(dense(positive), dense(other), prior)
-    scale, shift = _calibrated(dense([h for _, h in told]) @ w + b, (label == 1).astype(float)) if (label != 1).any() else (1.0, 0.0)
+    labelled, unknown = dense([h for _, h in told]), dense(other)
+    part = np.arange(len(told)) % PARTS
+    scale, shift = 1.0, 0.0
+    if label.sum() >= PARTS and (label == 0).any():
+        raw = np.empty(len(told))
+        for k in range(PARTS):
+            w, b = nn_pu(labelled[(label == 1) & (part != k)], unknown, prior)
+            raw[part == k] = labelled[part == k] @ w + b
+        scale, shift = _calibrated(raw, label)
+    w, b = nn_pu(labelled[label == 1], unknown, prior)
     return Model(column, w * scale, b * scale + shift)
 
 
