@@ -130,3 +130,48 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql_list(words: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+
+
+#: The same counts, references and verdicts. Histograms are lists; a list's Jensen-Shannon distance sums over its places.
+OP5_SQL = rf"""
+WITH split AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         CASE lang {" ".join(f"WHEN '{k}' THEN {_sql_list(v)}" for k, v in COMMON_WORDS.items())} ELSE {_sql_list(POOLED_WORDS)} END AS common_words,
+         row_number() OVER () AS r
+  FROM documents),
+windows AS (SELECT r, i, w[i:i + 2] AS three FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, three) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+counts AS (
+  SELECT r, doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         length(t) AS all_chars, length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')) AS letters,
+         length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')) AS upper, length(t) - length(regexp_replace(t, '\p{{N}}+', '', 'g')) AS digits,
+         length(t) - length(regexp_replace(t, '[.,;:!?]+', '', 'g')) AS marks,
+         list_transform(common_words, lambda c: len(list_filter(w, lambda x: x = c))) AS hits
+  FROM split),
+stats AS (
+  SELECT *, [letters - upper, upper, digits, n_symbols, marks, all_chars - word_chars, word_chars - letters - digits - n_symbols - marks] AS chars,
+         list_append(hits, n_words - list_sum(hits)) AS common FROM counts),
+long AS (
+  SELECT r, lang, 'chars' AS kind, unnest(chars) AS n, generate_subscripts(chars, 1) AS k FROM stats
+  UNION ALL SELECT r, lang, 'common' AS kind, unnest(common) AS n, generate_subscripts(common, 1) AS k FROM stats),
+refs AS (SELECT lang, kind, k, sum(n) AS m, sum(sum(n)) OVER (PARTITION BY lang, kind) AS total FROM long GROUP BY lang, kind, k),
+shares AS (
+  SELECT l.r, l.kind, n, sum(n) OVER (PARTITION BY l.r, l.kind) AS size, n / nullif(sum(n) OVER (PARTITION BY l.r, l.kind), 0) AS p, m / nullif(total, 0) AS q
+  FROM long l JOIN refs f ON f.lang IS NOT DISTINCT FROM l.lang AND f.kind = l.kind AND f.k = l.k),
+distances AS (
+  SELECT r, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END / 2 + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END / 2))) AS d
+  FROM shares WHERE size >= CASE kind WHEN 'chars' THEN {LEAST_CHARS} ELSE {LEAST_COMPARED} END GROUP BY r, kind),
+judged AS (
+  SELECT s.*, coalesce(c.n, 0) AS n_repeat_words, n_words < {LEAST_WORDS} OR 100 * coalesce(c.n, 0) > {MOST_REPEATED} * n_words AS base_failed,
+         coalesce((SELECT d FROM distances x WHERE x.r = s.r AND kind = 'chars'), 0) <= {MOST_CHAR_DISTANCE}
+         AND coalesce((SELECT d FROM distances x WHERE x.r = s.r AND kind = 'common'), 0) <= {MOST_WORD_DISTANCE} AS near
+  FROM stats s LEFT JOIN covered c USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND near AS kept FROM judged
+"""

@@ -11,7 +11,7 @@ from .hmm import op8_hmm_scores
 from .lang_id import op3_language_id
 from .mixing import OP6_SQL, op6_mix_sources
 from .packing import op4_best_fit_packing
-from .quality import op5_quality_divergence
+from .quality import OP5_SQL, op5_quality_divergence
 from .simhash import op9_simhash
 from .suffix_dedup import op10_suffix_dedup
 from .token_store import op1_token_store
@@ -31,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_quality_divergence": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
 }
