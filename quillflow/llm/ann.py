@@ -176,8 +176,11 @@ def index(distinct: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, vectors binary, ids binary, bounds binary, graph binary, entries binary")
 
 
-def search(shards: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """qkey, vec_id, score: each shard's k nearest. wanted: qkey, vector, dim, of distinct vectors."""
+def search(shards: DataFrame, wanted: DataFrame, n_shards: int, k: int) -> DataFrame:
+    """qkey, vec_id, score: each shard's k nearest. wanted: qkey, vector, dim, of distinct vectors.
+
+    Query blocks are dealt to the shards by number, so that no key has more than one shard's rows.
+    """
     blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
     dealt = wanted.withColumn("block", F.pmod(F.xxhash64("qkey"), F.lit(blocks)).cast("int"))
     gathered = dealt.groupBy("dim", "block").agg(F.collect_list("qkey").alias("qkeys"), F.collect_list("vector").alias("queries"))  # about QUERY_BLOCK each
@@ -204,7 +207,8 @@ def search(shards: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     first = np.arange(len(r)) - np.searchsorted(r, r) < k
                     yield pa.record_batch({"qkey": np.array(row["qkeys"])[a + r[first]], "vec_id": vec[first], "score": score[first]})
 
-    return shards.join(gathered, "dim").mapInArrow(trimmed(run), "qkey long, vec_id long, score double")
+    visits = gathered.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    return shards.join(visits, ["dim", "shard"]).mapInArrow(trimmed(run), "qkey long, vec_id long, score double")
 
 
 def nearest(rows: DataFrame, queries: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -212,11 +216,12 @@ def nearest(rows: DataFrame, queries: Column, k: int, key: str = "vec_id", vecto
     small_batches(rows.sparkSession)
     kept = rows.where(usable(vector, key)).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), queries.alias("asks"))
     distinct = staged(distinct_vectors(kept.select("vec_id", "vector"), k + 1), "ann-vectors")
-    shards = staged(index(distinct, max(1, -(-distinct.count() // SHARD_VECTORS))), "ann-shards")
+    n_shards = max(1, -(-distinct.count() // SHARD_VECTORS))
+    shards = staged(index(distinct, n_shards), "ann-shards")
     asking = kept.where("asks").select("vec_id", "vector").distinct()
     asked = distinct_vectors(asking, 1).select("vector", "dim", F.col("ids")[0].alias("qkey"))
     asked = staged(asked, "ann-asked")
-    found = search(shards, asked, k + 1)
+    found = search(shards, asked, n_shards, k + 1)
     best = found.withColumn("place", F.row_number().over(W.partitionBy("qkey").orderBy("score", "vec_id"))).where(F.col("place") <= k + 1).drop("place")
     each = _queries_by_vector(asking, asked)
     own = each.join(best, "qkey").where("vec_id <> query_id")
