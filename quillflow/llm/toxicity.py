@@ -88,10 +88,11 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[n
     w[-1] = np.log(prior / (1 - prior))
 
     def gradient(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(slope @ x, slope.sum()) / len(x)
+        return np.append(slope.astype(np.float32) @ x, slope.sum()) / len(x)  # single precision: else x is copied each time
 
     for t in range(1, STEPS + 1):
-        sp, su = _sigmoid(positive @ w[:-1] + w[-1]), _sigmoid(unlabelled @ w[:-1] + w[-1])
+        single = w[:-1].astype(np.float32)
+        sp, su = _sigmoid(positive @ single + w[-1]), _sigmoid(unlabelled @ single + w[-1])
         as_negative = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
         negative = gradient(unlabelled, su) - prior * gradient(positive, sp)
         g = prior * gradient(positive, sp - 1) + negative if as_negative >= 0 else -negative
