@@ -69,9 +69,9 @@ def starts_upper(c: Column) -> Column:
 
 
 def blocks_term(token: Column) -> Column:
-    """Whether a token keeps any phrase with it from being a glossary term."""
-    stop = casefold(token).isin(STOPWORDS) & (F.char_length(token) > 1)
-    return stop | all_digits(token) | ~starts_upper(token)
+    """Whether a token keeps any phrase with it from being a glossary term. What settles most tokens comes first."""
+    stop = (F.char_length(token) > 1) & casefold(token).isin(STOPWORDS)
+    return ~starts_upper(token) | stop | all_digits(token)
 
 
 def ordered_distinct(values: Column) -> Column:

@@ -16,11 +16,11 @@ def phrases(samples: DataFrame, document: str = "doc_index", text: str = "text")
 
     Only places where two fitting words meet are exploded.
     """
-    words = F.transform(X.tokens(F.col(text)), lambda t: F.struct(t.alias("t"), (~X.blocks_term(t)).alias("ok")))
-    rows = samples.select(F.col(document).alias("document"), words.alias("words"))
-    fits = lambda i: F.coalesce(F.get("words", i)["ok"], F.lit(False))
-    starts = F.filter(F.sequence(F.lit(0), F.size("words")), lambda i: fits(i) & fits(i + 1))
-    rows = rows.select("document", F.transform("words", lambda w: w["t"]).alias("t"), "words", F.explode(starts).alias("start"))
+    rows = samples.select(F.col(document).alias("document"), X.tokens(F.col(text)).alias("t"))
+    rows = rows.withColumn("ok", F.transform("t", lambda t: ~X.blocks_term(t)))
+    fits = lambda i: F.coalesce(F.get("ok", i), F.lit(False))
+    starts = F.filter(F.transform("ok", lambda ok, i: F.when(ok & fits(i + 1), i)), lambda i: i.isNotNull())
+    rows = rows.select("document", "t", "ok", F.explode(starts).alias("start"))
     longest = F.lit(2) + fits(F.col("start") + 2).cast("int") * (F.lit(1) + fits(F.col("start") + 3).cast("int"))
     rows = rows.select("document", "t", "start", F.explode(F.sequence(F.lit(2), longest)).alias("n"))
     rows = rows.select("document", "start", "n", F.array_join(F.slice("t", F.col("start") + 1, F.col("n")), " ").alias("phrase"))
