@@ -7,6 +7,8 @@ unlabelled as negative - prior * loss of positives as negative). Where that diff
 zero, its gradient is ascended. The raw score is then calibrated to a probability.
 
 The fit takes bounded numbers of rows, those of least hash: TRAIN_POSITIVES and TRAIN_UNLABELLED.
+Toxic and other labelled rows are picked at different rates, so the calibration weights each by the
+inverse of its rate: scores follow the toxic share of all labelled rows, whatever their number.
 
 Nulls and edges: a null or empty text has no feature and gets the score of the intercept. Labels
 that are null teach nothing. A doc_id with several labels counts as toxic if one says so. Without
@@ -102,14 +104,14 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[n
     return w[:-1], float(w[-1])
 
 
-def _calibrated(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Scale and shift by which labelled texts' scores become probabilities."""
+def _calibrated(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Scale and shift by which labelled texts' scores become probabilities. Each text counts weight times."""
     a, b = 1.0, 0.0
-    x = np.clip(raw, -30, 30)
+    x, weight = np.clip(raw, -30, 30), weight / weight.mean()
     for _ in range(30):
         s = _sigmoid(a * x + b)
-        v = s * (1 - s) + 1e-6
-        g = np.array([((s - label) * x).sum(), (s - label).sum()])
+        v = weight * (s * (1 - s) + 1e-6)
+        g = np.array([(weight * (s - label) * x).sum(), (weight * (s - label)).sum()])
         h = np.array([[(v * x * x).sum(), (v * x).sum()], [(v * x).sum(), v.sum()]]) + np.eye(2) * 1e-3
         step = np.linalg.solve(h, g)
         a, b = a - np.clip(step[0], -0.5, 0.5), b - np.clip(step[1], -1, 1)
@@ -168,7 +170,8 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES,
         for k in range(PARTS):
             w, b = nn_pu(labelled[(label == 1) & (part != k)], unknown, prior)
             raw[part == k] = labelled[part == k] @ w + b
-        scale, shift = _calibrated(raw, label)
+        # each kind by the inverse of its rate in chosen
+        scale, shift = _calibrated(raw, label, np.where(label == 1, max(1, totals[0] / positives), max(1, totals[1] / positives)))
     w, b = nn_pu(labelled[label == 1], unknown, prior)
     return Model(column, w * scale, b * scale + shift)
 

@@ -111,6 +111,21 @@ def test_toxic_rows_stand_out(spark, corpus, odd, empty):
     assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.0}
 
 
+def test_scores_follow_the_toxic_share_above_the_bound_on_rows(spark):
+    r, rows = random.Random(11), []
+    for k in range(4000):
+        toxic = k % 20 == 0
+        text = " ".join(r.choices(["tree", "stone", "river", "cloud", "road", "field"], k=4))
+        rows.append((k, text + (" vermin" if r.random() < (0.6 if toxic else 0.05) else ""), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4).cache()
+    share = sum(t for _, x, t in rows if "vermin" in x) / sum("vermin" in x for _, x, _ in rows)
+    probe = spark.createDataFrame([(0, "river stone vermin"), (1, "river stone")], "doc_id long, text string")
+    for most in (4000, 100):  # all labelled rows, and a few of them
+        model = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most, 2000)
+        got = {x["doc_id"]: x["score"] for x in toxicity.score(probe, model).collect()}
+        assert abs(got[0] - share) < 0.2 and got[1] < 0.1, (most, got, share)
+
+
 def test_risk_is_not_driven_below_zero():
     rng = np.random.default_rng(0)
     p, u = (rng.random((200, 5)) < q for q in (0.5, 0.3))
