@@ -142,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES,
         return None
     spread = lambda seed: F.xxhash64("doc_id", F.lit(seed)) / F.lit(2.0**64) + 0.5
     chosen = marks.where((F.col("toxic") == 1) & (spread(1) * totals[0] <= positives) | (F.col("toxic") != 1) & (spread(1) * totals[1] <= positives))
-    told = _rows(docs.join(F.broadcast(chosen.limit(2 * positives)), "doc_id"))  # a bounded number of ids
+    told = _rows(docs.join(F.broadcast(chosen), "doc_id"))  # a bounded number of ids in expectation; no limit, which would drop arbitrary ones
     n = docs.agg(F.count(F.lit(1))).first()[0]
     other = [h for _, h in _rows(docs.where(spread(2) * n <= unlabelled).withColumn("toxic", F.lit(None)))]
     told = [x for y in (1, 0) for x in told if (x[0] == 1) == y]  # both kinds are dealt evenly

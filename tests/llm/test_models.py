@@ -126,6 +126,20 @@ def test_scores_follow_the_toxic_share_above_the_bound_on_rows(spark):
         assert abs(got[0] - share) < 0.2 and got[1] < 0.1, (most, got, share)
 
 
+def test_all_picked_labelled_rows_teach(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('word', id) text", "cast(id % 50 = 0 as int) toxic").cache()
+    seen, rows_of_ = [], toxicity._rows
+    monkeypatch.setattr(toxicity, "_rows", lambda texts: seen.append(sorted(r["doc_id"] for r in texts.select("doc_id").collect())) or rows_of_(texts))
+    for most in range(6, 26):
+        picked = docs.selectExpr("doc_id", "toxic", "xxhash64(doc_id, 1) / 18446744073709551616 + 0.5 x").where(f"x * if(toxic = 1, 60, 3000) <= {most}")
+        ids = sorted(r["doc_id"] for r in picked.collect())
+        if len(ids) > 2 * most:
+            break
+    assert len(ids) > 2 * most  # the pick is above the bound
+    toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most, 20)
+    assert seen[0] == ids
+
+
 def test_risk_is_not_driven_below_zero():
     rng = np.random.default_rng(0)
     p, u = (rng.random((200, 5)) < q for q in (0.5, 0.3))
