@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import BATCH_BYTES, documents, fold, plan_bytes, slices, small_batches, staged, trimmed, word_codes
 
 STATES, CLASSES = 8, 4096
-#: Passes over all training texts, and before them passes over a bounded number of texts that tell the states apart.
-PASSES, FIRST_PASSES, FIRST_TEXTS = 3, 12, 3000
+#: Passes over all training texts.
+PASSES = 15
 #: Longest stretch of tokens that training sees as one sequence, and tokens that it handles at once.
 SEGMENT, TOKENS_AT_ONCE = 256, 400_000
 #: Input bytes for each bucket of words.
@@ -296,19 +296,13 @@ def baum_welch(model: Model, training: DataFrame) -> Model:
 
 
 def train(rows: DataFrame, t: Totals) -> Model:
-    """The states are told apart on a bounded number of texts, of least hash; then all training texts count."""
+    """Every pass sees all training texts, whatever their number."""
     classes = t.by_class.astype(float)
     classes[0] = t.texts
     model = Model.first(classes)
     if not t.texts:
         return model
     training = rows.where("train")
-    spread = F.xxhash64("doc_id", "n_tokens") / F.lit(2.0**64) + 0.5
-    few = training.where(spread * t.texts <= FIRST_TEXTS).select("classes").toArrow().column("classes").to_pylist()
-    groups = list(_segments(few))
-    for _ in range(FIRST_PASSES if groups else 0):
-        sums = [sum(x) for x in zip(*(expected_counts(model, *g) for g in groups))]
-        model = Model.from_counts(*sums)
     for _ in range(PASSES):
         model = baum_welch(model, training)
     return model

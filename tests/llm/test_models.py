@@ -189,6 +189,23 @@ def test_training_raises_the_likelihood():
         last, m = now, hmm.Model.from_counts(*hmm.expected_counts(m, sizes, codes, np.ones(90, bool)))
 
 
+def test_every_pass_sees_all_training_texts(spark):
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(1, 30, 3) + 40 * (k % 100 == 0) for k in range(6000)]  # a rare kind among more texts than any sample once had
+    by_class = np.bincount(np.concatenate(texts), minlength=hmm.CLASSES)
+    t = hmm.Totals(int(by_class.sum()) + len(texts), 60, len(texts), by_class, (by_class > 0).astype(np.int64))
+    blobs = [np.append(x, 0).astype("<u2").tobytes() for x in texts]
+    rows = spark.createDataFrame([(k, True, 4, bytearray(b)) for k, b in enumerate(blobs)], "doc_id long, train boolean, n_tokens long, classes binary").repartition(4).cache()
+    got = hmm.train(rows, t)
+    classes = by_class.astype(float)
+    classes[0] = len(texts)
+    want = hmm.Model.first(classes)
+    for _ in range(15):
+        want = hmm.Model.from_counts(*(sum(x) for x in zip(*(hmm.expected_counts(want, *g) for g in hmm._segments(blobs)))))
+    lengths, codes = np.full(6000, 4), np.frombuffer(b"".join(blobs), "<u2").astype(np.int64)
+    assert hmm.log_likelihoods(got, lengths, codes) == pytest.approx(hmm.log_likelihoods(want, lengths, codes), abs=2e-3)
+
+
 def test_scores(spark, corpus, odd, empty):
     docs = corpus.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).selectExpr("doc_id", "text", "coalesce(doc_id, 0) % 5 <> 1 as train")
     rows = docs.collect()
