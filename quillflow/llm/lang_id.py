@@ -34,6 +34,8 @@ TRAIN_ROWS, CALIBRATION_ROWS = 2000, 500
 MOST_LANGUAGES = 1000
 #: Least standard deviations from a language's own texts at which a text is rejected.
 LEAST_REJECTED = 6.0
+#: Quantile of a language's own texts that sets its limit: up to a fiftieth of bad labels doesn't move it.
+LIMIT_QUANTILE = 0.98
 #: Least variance of one character's log-probability: a single odd character makes a short text's mean jump.
 CHARACTER_VARIANCE = 6.0
 #: Characters' worth of evidence that a score counts at most.
@@ -284,12 +286,12 @@ def calibrate(model: Model, lang: np.ndarray, entropy: np.ndarray, n: np.ndarray
             continue
         h, m = entropy[own], n[own]
         mean = float(np.median(h))
-        square = np.minimum((h - mean) ** 2, np.quantile((h - mean) ** 2, 0.98))
+        square = np.minimum((h - mean) ** 2, np.quantile((h - mean) ** 2, LIMIT_QUANTILE, method="lower"))
         long_ = m >= np.median(m)
         wide = max(float(square[long_].mean()), 1e-6)
         narrow = max(float(((square - wide) * m)[~long_].mean()) if (~long_).any() else 0.0, CHARACTER_VARIANCE)
         z = (h - mean) / np.sqrt(wide + narrow / m)
-        model.limits[k] = mean, wide, narrow, max(LEAST_REJECTED, 1.2 * float(z.max()))
+        model.limits[k] = mean, wide, narrow, max(LEAST_REJECTED, 1.2 * float(np.quantile(z, LIMIT_QUANTILE, method="lower")))
 
 
 def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:

@@ -82,6 +82,19 @@ def test_languages_of_held_out_rows(spark, corpus):
     assert lang_id.identify(strange, model).first()["rejected"]
 
 
+def test_limits_with_mislabelled_calibration_rows():
+    rng = np.random.default_rng(4)
+    for rows, bad in ((500, 8), (50, 1), (20, 1)):
+        h, n = rng.normal(2, 0.1, rows), rng.integers(50, 2000, rows)
+        h[rng.choice(rows, bad, replace=False)] = rng.uniform(6, 9, bad)  # other languages, or junk
+        model = lang_id.Model(["en"], {}, {}, np.empty(0), np.array([[0.0, 1.0, 0.0, np.inf]]))
+        lang_id.calibrate(model, np.full(rows, "en", object), h, n)
+        mean, wide, narrow, most = model.limits[0]
+        assert (5 - mean) / math.sqrt(wide + narrow / 1000) > most, (rows, model.limits)  # a text like the junk, and nearer
+        good = (rng.normal(2, 0.1, 1000) - mean) / math.sqrt(wide + narrow / 1000)
+        assert (good < most).mean() > 0.99
+
+
 def test_language_of_odd_rows(corpus, odd, empty):
     model = lang_id.learn(corpus)
     got = lang_id.identify(odd, model, ("doc_id", "text")).collect()
