@@ -6,7 +6,9 @@ directory on the first bits of the hash finds a key in a few steps, and each key
 log-probabilities, a column for each language, with the back-off of the languages that lack it
 worked in. A text goes to the language of least cross-entropy per character. It is rejected if its
 cross-entropy is further from that language's own texts, held back for calibration, than a number
-of standard deviations that depends on the text's length.
+of standard deviations that depends on the text's length. Where few texts are held back, each of the
+language's texts is scored by a model of its others (a lone text's halves by each other), and the
+deviation is at least that of the languages with enough texts.
 
 Nulls and edges: a null text, or one without letters, gets ``und``, score 0 and rejected. Texts
 without a lang are not learned from. Ties go to the language that sorts first. Without any
@@ -34,6 +36,10 @@ TRAIN_ROWS, CALIBRATION_ROWS = 2000, 500
 MOST_LANGUAGES = 1000
 #: Least standard deviations from a language's own texts at which a text is rejected.
 LEAST_REJECTED = 6.0
+#: Scores of own texts from which a language gets a limit of its own; below, its deviation is at least the pooled one.
+LEAST_OWN = 20
+#: Parts of a language of few texts, each scored by a model of the others.
+PARTS = 5
 #: Quantile of a language's own texts that sets its limit: up to a fiftieth of bad labels doesn't move it.
 LIMIT_QUANTILE = 0.98
 #: Least variance of one character's log-probability: a single odd character makes a short text's mean jump.
@@ -278,20 +284,66 @@ def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(names, grams, contexts, unigrams, np.tile([0.0, 1.0, 0.0, np.inf], (len(names), 1)))
 
 
+def row_counts(sample: DataFrame) -> DataFrame:
+    """lang, place, half, grams, n: the counts in either half of each whole text that has a letter."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text", 4 << 20):
+                c, offsets = codes(rows.column("text"))
+                k, found = keys(c, ORDER), []
+                for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+                    if c[a:b].any():
+                        found += [(i, half, *np.unique(x, return_counts=True)) for half, x in enumerate(np.array_split(k[a + ORDER - 1 : b], 2))]
+                at = pa.array([x[0] for x in found], pa.int64())
+                yield pa.record_batch({"lang": rows.column("lang").take(at), "place": rows.column("place").take(at), "half": pa.array([x[1] for x in found], pa.int32()), "grams": pa.array([x[2].view(np.int64) for x in found], pa.list_(pa.int64())), "n": pa.array([x[3] for x in found], pa.list_(pa.int64()))})
+
+    return sample.select("text", "lang", F.col("place").cast("int")).mapInArrow(trimmed(count), "lang string, place int, half int, grams array<long>, n array<long>")
+
+
+def cross_scores(sample: DataFrame) -> DataFrame:
+    """lang, h, n: cross-entropy and events of each text by a model of the language's other parts. All counts of a language meet in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        places, text = np.unique(table.column("place").to_numpy(), return_inverse=True)
+        if len(places) == 1:  # the halves of the only one
+            text = table.column("half").to_numpy()
+        lists = [[np.array(x, np.int64) for x in table.column(c).to_pylist()] for c in ("grams", "n")]
+        unit = np.repeat(text, [len(x) for x in lists[0]])
+        grams, n = np.concatenate(lists[0]).view(np.uint64), np.concatenate(lists[1])
+        sums, size = np.zeros(text.max() + 1), np.bincount(unit, n, text.max() + 1)
+        for part in range(min(PARTS, len(sums))):
+            out = unit % PARTS == part
+            if out.any() and not out.all():
+                p = _Language(*_grouped(grams[~out], n[~out])).prob(grams[out], ORDER)
+                sums += np.bincount(unit[out], n[out] * np.log(p), len(sums))
+        scored = sums < 0
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * int(scored.sum()), pa.string()), "h": -sums[scored] / size[scored], "n": size[scored].astype(np.int64)})
+
+    return row_counts(sample).groupBy("lang").applyInArrow(run, "lang string, h double, n long")
+
+
 def calibrate(model: Model, lang: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> None:
     """Fit mean and variance of own texts' cross-entropies; the variance falls with the length to a floor."""
+    few, rest = [], []
     for k, name in enumerate(model.languages):
         own = (lang == name) & (n > 0)
-        if own.sum() < 20:
-            continue
         h, m = entropy[own], n[own]
-        mean = float(np.median(h))
-        square = np.minimum((h - mean) ** 2, np.quantile((h - mean) ** 2, LIMIT_QUANTILE, method="lower"))
+        mean = float(np.median(h)) if len(h) else np.log(_MASK + 1)
+        square = np.minimum((h - mean) ** 2, np.quantile((h - mean) ** 2, LIMIT_QUANTILE, method="lower")) if len(h) else h
+        if len(h) < LEAST_OWN:
+            few.append((k, mean, float(square.mean()) if len(h) else 0.0, len(h)))
+            continue
         long_ = m >= np.median(m)
         wide = max(float(square[long_].mean()), 1e-6)
         narrow = max(float(((square - wide) * m)[~long_].mean()) if (~long_).any() else 0.0, CHARACTER_VARIANCE)
         z = (h - mean) / np.sqrt(wide + narrow / m)
         model.limits[k] = mean, wide, narrow, max(LEAST_REJECTED, 1.2 * float(np.quantile(z, LIMIT_QUANTILE, method="lower")))
+        rest.append(model.limits[k])
+    # the others' mean deviation, or without others that of all languages of few texts
+    pooled = np.mean(rest, axis=0) if rest else np.array([0, max([np.mean([x[2] for x in few if x[3] > 1] or [0.0]), 1e-6]), CHARACTER_VARIANCE, LEAST_REJECTED])
+    for k, mean, square, size in few:
+        model.limits[k] = mean, max(pooled[1], square) * (1 + 1 / max(size, 1)), pooled[2], pooled[3]
 
 
 def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
@@ -326,7 +378,14 @@ def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: i
                     yield pa.record_batch({"lang": part.column("lang"), "h": -sums[np.arange(len(at)), at] / np.maximum(m, 1), "n": m})
 
         seen = ranked.where(held).select("text", "lang").mapInArrow(trimmed(own), "lang string, h double, n long").toArrow()
-        calibrate(model, seen.column("lang").to_numpy(), seen.column("h").to_numpy(), seen.column("n").to_numpy())
+        lang, h, n = (seen.column(c).to_numpy() for c in ("lang", "h", "n"))
+        enough = {x for x, k in zip(*np.unique(lang[n > 0].astype(str), return_counts=True)) if k >= LEAST_OWN}
+        few = [x for x in model.languages if x not in enough]
+        if few:
+            crossed = cross_scores(ranked.where(F.col("lang").isin(few))).toArrow()
+            kept = ~np.isin(lang.astype(str), few)
+            lang, h, n = (np.concatenate([x[kept], crossed.column(c).to_numpy()]) for c, x in (("lang", lang), ("h", h), ("n", n)))
+        calibrate(model, lang, h, n)
         return model
     finally:
         ranked.unpersist()

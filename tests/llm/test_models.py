@@ -95,6 +95,21 @@ def test_limits_with_mislabelled_calibration_rows():
         assert (good < most).mean() > 0.99
 
 
+def test_languages_of_few_rows_reject(spark, corpus):
+    greek = lambda n, seed: " ".join("".join(random.Random(f"{seed} {i}").choices(["και", "το", "ου", "ης", "αν", "ερ"], k=2)) for i in range(n))
+    strange = ["жщц шчь ъыэ юяж " * 30, "xzqj wkvv qqq zzxx jjkw pqx " * 20]
+    few = [(k, prose(lang, 60, k), lang, "a") for k, lang in enumerate(list(SOUNDS) * 8)]
+    for rows in (few, few + [(1000, greek(60, 0), "el", "a")], [(1000, greek(60, 0), "el", "a")]):
+        model = lang_id.learn(spark.createDataFrame(rows_of(rows), SCHEMA))
+        assert np.isfinite(model.limits).all()
+        assert model.predict(pa.array(strange))[2].all(), model.limits
+        fresh = [prose(lang, 60, 900 + k) for k, lang in enumerate(list(SOUNDS) * 5)] if len(rows) > 1 else []
+        fresh += [greek(60, 5 + k) for k in range(10)] if rows[-1][2] == "el" else []
+        assert not model.predict(pa.array(fresh))[2].any(), model.limits
+    model = lang_id.learn(corpus.unionByName(spark.createDataFrame(rows_of([(1000 + k, greek(60, k), "el", "a") for k in range(10)]), SCHEMA)))
+    assert model.predict(pa.array(strange))[2].all() and not model.predict(pa.array([greek(60, 50 + k) for k in range(10)]))[2].any()
+
+
 def test_language_of_odd_rows(corpus, odd, empty):
     model = lang_id.learn(corpus)
     got = lang_id.identify(odd, model, ("doc_id", "text")).collect()
