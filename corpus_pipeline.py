@@ -4,8 +4,9 @@ Every stage but the last returns the columns of documents.
 
 1. language_id: documents whose language the models reject go: those without a letter, and those
    further from every language than its own texts lie.
-2. simhash: of each group of near-duplicates the document of least doc_id stays; rows that share
-   that doc_id all stay. Documents with a null doc_id stay.
+2. simhash: of each group of near-duplicates the document of least doc_id stays; rows of the group
+   that share that doc_id all stay. A doc_id with several texts loses only the rows whose own group
+   has a smaller one. Documents with a null doc_id stay.
 3. suffix_dedup: passages of 50 bytes and more that an earlier document has are cut out; n_chars
    follows. A document of which nothing is left goes.
 4. mix_sources: each row comes as often as the mix takes it.
@@ -31,9 +32,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = simhash.near_duplicates(docs)
-    gone = named.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    named = staged(simhash.near_duplicates(docs), "pipeline-fingerprints")
+    ids = named.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("doc_id <> component_id")).alias("gone"), F.max(F.expr("doc_id = component_id")).alias("stays"))
+    left = docs.join(ids.where("gone"), "doc_id", "left_anti").select(*COLUMNS)
+    both = staged(ids.where("gone and stays").select("doc_id"), "pipeline-both")  # ids whose rows differ in their fate
+    if both.isEmpty():
+        return left
+    rows = simhash.fingerprints(docs.join(both, "doc_id"), keep=COLUMNS[1:])
+    own = named.where("doc_id = component_id").join(both, "doc_id").select("doc_id", "fp").distinct()
+    return left.unionByName(rows.join(own, ["doc_id", "fp"]).select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

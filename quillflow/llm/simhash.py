@@ -58,8 +58,8 @@ def _bit_counts(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long), and the columns of keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,10 +67,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 raw, off = text_buffer(rows.column("text"))
                 raw = raw.tobytes()
                 found = np.array([fingerprint(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], np.uint64)
-                yield pa.record_batch({"doc_id": rows.column("doc_id"), "fp": found.view(np.int64)})
+                yield pa.record_batch({"doc_id": rows.column("doc_id"), "fp": found.view(np.int64)} | {c: rows.column(f"_{c}") for c in keep})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, fp long")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"_{c}") for c in keep])
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(trimmed(run), f"doc_id long, fp long{kept}")
 
 
 # ---- comparison within a bucket

@@ -265,6 +265,15 @@ def test_no_vectors(spark):
 # ---- pipeline
 
 
+def test_near_duplicates_go_by_row(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    one, other = (" ".join(f"{w}{i * i % 97}" for i in range(80)) for w in ("alpha", "omega"))
+    rows = [(1, one, "en", "a"), (2, one, "en", "a"), (2, other, "en", "b"), (3, one, "en", "a"), (None, one, "en", "a")]
+    docs = spark.createDataFrame(rows_of(rows), SCHEMA).select(*pipeline.COLUMNS)
+    got = pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(str((r["doc_id"], r["text"], r["source"], r["n_chars"])) for r in got) == sorted(str((k, t, s, len(t))) for k, t, s in ((1, one, "a"), (2, other, "b"), (None, one, "a")))
+
+
 def test_pipeline(spark, odd, empty, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(10_000 + k, t, "en", s) for k, (_, t, _, s) in enumerate(variants(3))] + [(20_000 + k, t, "en", "p") for k, (_, t, *_) in enumerate(passages(3))]
