@@ -84,7 +84,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
             while first is not None:
                 for part in slices(first, "text", ENCODE_BYTES):
                     ids, off = with_end(*lib.encode(part.column("text")), end_id)
-                    width = 2 if len(lib.ends) <= 1 << 16 and end_id < 1 << 16 else 4
+                    width = 2 if lib.size <= 1 << 16 and end_id < 1 << 16 else 4
                     out.write(ids.astype(f"<u{width}"))
                     keys.append(part.column("doc_id"))
                     sizes.append(np.diff(off))

@@ -1,15 +1,13 @@
 """Whole texts to token ids by the tokenizers library, a word at a time.
 
 The vocabulary's pieces never cross white space, and its normaliser works within words, so a
-text's ids are its words' ids in turn. Each distinct word is encoded once for a batch of new
-words, all in one call, and the ids are cut into words where a piece ends; counts that don't
-tally make the batch fall back to one call a word.
+text's ids are its words' ids in turn. Each distinct word is encoded once: new words share a call,
+a space between them, and each id goes to the word that holds the library's own offset of it.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +18,8 @@ from .common import text_buffer
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept in memory at most; then the memo starts anew.
 MEMO_WORDS = 1_000_000
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Words of one call.
+WORDS_AT_ONCE = 1024
 
 
 def default_vocabulary() -> str:
@@ -35,9 +34,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        vocab = self.lib.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.size = self.lib.get_vocab_size(with_added_tokens=True)
         self.reset()
 
     def reset(self) -> None:
@@ -47,13 +44,6 @@ class WordEncoder:
         self.added: list[str] = []
         self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    @staticmethod
-    def _plain_pieces(word: str) -> int:
-        """Pieces of a word that may share a call with others; 0: it may not."""
-        if word.isalpha():
-            return 1
-        return len(_ASCII_PIECES.findall(word.lower())) if word.isascii() and "<|" not in word else 0
-
     def _add(self, words: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
         """Remember words whose ids lie end to end in ids, each up to its stop."""
         s, to = self.slots, self.used + len(ids)
@@ -67,24 +57,17 @@ class WordEncoder:
         self.used, self.slots = to, s + len(words)
         self.added += words
 
-    def _add_one_by_one(self, words: list[str]) -> None:
-        found = [e.ids for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
-        self._add(words, np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found]))
-
     def _encode_new(self, words: list[str]) -> None:
-        counts = list(map(self._plain_pieces, words))
-        plain = [w for w, c in zip(words, counts) if c]
-        pieces = np.array([c for c in counts if c], np.int64)
-        for a in range(0, len(plain), 1024):
-            group = plain[a : a + 1024]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
-            stops, sums = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pieces[a : a + 1024])
-            if len(stops) == sums[-1] and stops[-1] == len(ids):
-                self._add(group, ids, stops[sums - 1])
-            else:
-                self._add_one_by_one(group)
-        if odd := [w for w, c in zip(words, counts) if not c]:
-            self._add_one_by_one(odd)
+        # a special token's text may swallow the space beside it: such words go alone
+        groups = [[w] for w in words if "<|" in w]
+        plain = [w for w in words if "<|" not in w]
+        groups += [plain[a : a + WORDS_AT_ONCE] for a in range(0, len(plain), WORDS_AT_ONCE)]
+        for group in groups:
+            found = self.lib.encode_batch([" ".join(group)], add_special_tokens=False)[0]
+            starts = np.cumsum([0, *(len(w) + 1 for w in group[:-1])])
+            at = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            counts = np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(group))
+            self._add(group, np.array(found.ids, np.uint32), np.cumsum(counts))
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """The slot of each word, those of new ones added."""
