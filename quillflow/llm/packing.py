@@ -2,9 +2,14 @@
 
 Only the histogram of piece lengths (at most capacity rows) reaches the driver. A configuration is
 a multiset of lengths that fits one sequence. The covering program over configurations is solved
-by multiplicative weights: each length has a weight, a knapsack dynamic program finds the
-configuration of most weight, and the weights of what it covers shrink. The fractional solution is
-rounded down, the rest is solved again, and what little stays is placed best-fit. Pieces then find
+by multiplicative weights. Every length has a price; a knapsack dynamic program finds the
+configuration of most value, and from the same table all others near it, each used for as long a
+step as its scarcest length allows. Lengths of which something stays are priced higher, and the next
+pass covers more, until all is covered. Any prices bound the program from below: all pieces at their
+prices over the best configuration's value. Covers start from several first prices, until one lies
+within GAP of the best bound; the best is kept. Its steps are whole, so rounding only sets loose
+configurations aside, whose pieces are placed best-fit. Plan says what the program was worth, its
+bound, and how many tokens its configurations hold. Pieces then find
 their place by their rank among pieces of their length; the ranks come from counts by partition,
 so a length that many pieces share is not gathered anywhere.
 
@@ -30,56 +35,125 @@ from .common import documents, slices, small_batches, staged, trimmed
 from .tokens import default_vocabulary, encoder, with_end
 
 ENCODE_BYTES = 4 << 20
-#: Pricing steps of one solution, solutions before the rest goes best-fit, and the weights' step.
-PRICINGS, ROUNDS, STEP = 60, 3, 0.5
-#: Exponent of a length in its first weight: over 1, so that short pieces stay for the gaps.
-FAVOUR_LONG = 1.15
+#: How far above the bound a cover may be to end the search, and the exponents of a length in the first prices per token.
+GAP, FIRST_PRICES = 0.002, (0.0, 0.1, 0.3, 0.6, 1.0)
+#: How far below the best value of a pass a configuration may be; the next level holds if less than LEAST_COVERED of what is open was covered.
+SLACKS, LEAST_COVERED = (0.004, 0.016, 0.064, 0.25, 1.0), 0.05
+#: How fast prices grow.
+GROWTH = 0.1
+#: Tokens that a rounded configuration may leave empty, the pieces of looser ones going best-fit: whichever needs the fewest sequences.
+LOOSE = (1 << 30, 64, 16, 4)
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Groups of equal sequences: rows (length, first rank, pieces, first sequence, copies per sequence, first offset)."""
+    """Groups of equal sequences: rows (length, first rank, pieces, first sequence, copies per sequence, first offset).
+
+    program: the value of the program's cover in sequences, and bound: what no cover can go below; both
+    without the pieces that fill a sequence alone. from_program: tokens in its rounded configurations and in full pieces.
+    """
 
     rows: np.ndarray
     sequences: int
-
-
-def _price(lengths: np.ndarray, values: np.ndarray, stock: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of most value that fits: bounded knapsack, multiples by doubling."""
-    items = []
-    for k in np.argsort(-values / lengths, kind="stable"):
-        left, size = min(int(stock[k]), capacity // int(lengths[k])), 1
-        while left > 0:
-            take = min(size, left)
-            items.append((int(k), take, int(lengths[k]) * take, values[k] * take))
-            left, size = left - take, 2 * size
-    best = np.zeros(capacity + 1)
-    chosen = np.zeros((len(items), capacity + 1), bool)
-    for i, (_, _, weight, value) in enumerate(items):
-        with_it = best[: capacity + 1 - weight] + value
-        np.greater(with_it, best[weight:], out=chosen[i, weight:])
-        best[weight:] = np.maximum(best[weight:], with_it)
-    at, found = capacity, {}
-    for i in range(len(items) - 1, -1, -1):
-        if chosen[i, at]:
-            found[items[i][0]] = found.get(items[i][0], 0) + items[i][1]
-            at -= items[i][2]
-    return found
-
-
-def _solve(lengths: np.ndarray, stock: np.ndarray, capacity: int) -> list[tuple[float, dict[int, int]]]:
-    """A fractional cover of the stock: (times, configuration)."""
-    covered, found = np.zeros(len(lengths)), []
-    for _ in range(PRICINGS):
-        weights = np.exp(-STEP * PRICINGS / 10 * (covered / stock - (covered / stock).min())) * lengths**FAVOUR_LONG
-        config = _price(lengths, weights / weights.sum(), stock, capacity)
-        times = max(1.0, min(stock[k] / m for k, m in config.items()) * STEP)
-        for k, m in config.items():
-            covered[k] += m * times
-        found.append((times, config))
-        if (covered >= stock).all():
+    program: int = 0
+    bound: float = 0.0
+    from_program: int = 0
+
+
+class _Prices:
+    """Bounded knapsack over one pass's prices, multiples by doubling: best value, and the way to any configuration."""
+
+    def __init__(self, lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int):
+        self.capacity, items = capacity, []
+        for k in np.lexsort((lengths, values / lengths)).tolist():  # dearest last: they are looked at first
+            left, size = min(int(most[k]), capacity // int(lengths[k])), 1
+            while left > 0:
+                take = min(size, left)
+                items.append((k, take, int(lengths[k]) * take))
+                left, size = left - take, 2 * size
+        best, with_it = np.zeros(capacity + 1, np.float32), np.empty(capacity + 1, np.float32)
+        last = np.full((len(items), capacity + 1), -1, np.int16 if len(items) < 1 << 15 else np.int32)
+        row = np.full(capacity + 1, -1, last.dtype)  # the last item that the best of each capacity takes
+        for i, (k, take, weight) in enumerate(items):
+            new = np.add(best[: capacity + 1 - weight], np.float32(values[k] * take), out=with_it[: capacity + 1 - weight])
+            better = new >= best[weight:]
+            row[weight:][better] = i
+            np.maximum(best[weight:], new, out=best[weight:])
+            last[i] = row
+        self.items, self.last, self.best, self.values = items, last, float(best[-1]), values.tolist()
+        self.below = list(range(-1, len(items) - 1))  # where to look next if nothing is left of an item
+
+    def open_from(self, i: int, left: list[int]) -> int:
+        """The next item from i down of which something is left; -1: none."""
+        passed = []
+        while i >= 0 and not left[self.items[i][0]]:
+            passed.append(i)
+            i = self.below[i]
+        for k in passed:
+            self.below[k] = i
+        return i
+
+    def trace(self, top: int, left: list[int]) -> tuple[dict[int, int], float]:
+        """A configuration of items up to top of which enough is left, and its value."""
+        at, i, found, value = self.capacity, top, {}, 0.0
+        while i >= 0:
+            i = int(self.last[i, at])
+            if i < 0:
+                break
+            k, take, weight = self.items[i]
+            if not left[k]:
+                i = self.open_from(i, left)
+                continue
+            if found.get(k, 0) + take <= left[k]:
+                found[k] = found.get(k, 0) + take
+                value += take * self.values[k]
+                at -= weight
+            i -= 1
+        return found, value
+
+    def near_best(self, left: list[int], slack: float) -> Iterator[tuple[int, dict[int, int]]]:
+        """(times, configuration) within slack of the best value, while left lasts."""
+        top = len(self.items) - 1
+        while (top := self.open_from(top, left)) >= 0:
+            config, value = self.trace(top, left)
+            if not config or value < (1 - slack) * self.best:
+                top -= 1
+                continue
+            times = min(left[k] // m for k, m in config.items())
+            for k, m in config.items():
+                left[k] -= times * m
+            yield times, config
+
+
+def _cover(lengths: np.ndarray, stock: np.ndarray, capacity: int, price: np.ndarray) -> tuple[list[tuple[int, dict[int, int]]], float]:
+    """(times, configuration) that cover the stock, and the dual bound of the first prices (per token)."""
+    rest, found, bound = stock.copy(), [], 0.0
+    while len(open_ := np.flatnonzero(rest)):
+        table = _Prices(lengths[open_], (price * lengths)[open_], rest[open_], capacity)
+        bound = bound or float((stock * price * lengths).sum()) / table.best
+        left, most = rest[open_].tolist(), (1 - LEAST_COVERED) * float((rest * lengths).sum())
+        for slack in SLACKS:
+            for times, config in table.near_best(left, slack):
+                found.append((times, {int(open_[k]): m for k, m in config.items()}))
+            if (left * lengths[open_]).sum() <= most:
+                break
+        price = price.copy()
+        price[open_] *= np.exp(GROWTH * np.array(left) / rest[open_])
+        rest[open_] = left
+    return found, bound
+
+
+def _solve(lengths: np.ndarray, stock: np.ndarray, capacity: int) -> tuple[list[tuple[int, dict[int, int]]], int, float]:
+    """The best cover, its value and the best dual bound."""
+    best, value, bound = [], 0, 0.0
+    for exponent in FIRST_PRICES:
+        found, low = _cover(lengths, stock, capacity, (lengths / capacity) ** exponent)
+        bound = max(bound, low)
+        if not best or sum(times for times, _ in found) < value:
+            best, value = found, sum(times for times, _ in found)
+        if value <= max(np.ceil(bound), (1 + GAP) * bound):
             break
-    return found
+    return best, value, bound
 
 
 def _best_fit(stock: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -108,14 +182,32 @@ def _best_fit(stock: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
     return [(config, bins) for group in groups for config, bins in group if config]
 
 
+def _rounded(cover: list[tuple[dict[int, int], int]], capacity: int) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]]]:
+    """The cover's configurations that are kept, and best-fit ones of the others' pieces."""
+    best: tuple = ()
+    for loose in LOOSE:
+        kept, stock = [], np.zeros(capacity + 1, np.int64)
+        for config, times in cover:
+            if sum(x * m for x, m in config.items()) >= capacity - loose:
+                kept.append((config, times))
+            else:
+                for x, m in config.items():
+                    stock[x] += m * times
+        rest = _best_fit(stock, capacity)
+        used = sum(n for _, n in kept) + sum(n for _, n in rest)
+        if not best or used < best[0]:
+            best = used, kept, rest
+    return best[1:]
+
+
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
     """Places for histogram[length] pieces of each length."""
     stock = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         stock[length] = n
-    taken, rows, sequence = np.zeros(capacity + 1, np.int64), [], 0
+    taken, rows, sequence, held = np.zeros(capacity + 1, np.int64), [], 0, 0
 
-    def place(config: dict[int, int], times: int) -> None:
+    def place(config: dict[int, int], times: int) -> int:
         nonlocal sequence
         offset = 0
         for length, m in sorted(config.items(), reverse=True):
@@ -123,25 +215,22 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
             taken[length] += m * times
             offset += m * length
         sequence += times
+        return offset * times
 
     if stock[capacity]:
-        place({capacity: 1}, int(stock[capacity]))
-    rest = lambda: stock - taken
-    for _ in range(ROUNDS):
-        lengths = np.flatnonzero(rest())
-        if not len(lengths):
-            break
-        solution = _solve(lengths, rest()[lengths].astype(float), capacity)
-        for times, config in sorted(solution, key=lambda x: -sum(int(lengths[k]) * m for k, m in x[1].items())):
-            config = {int(lengths[k]): m for k, m in config.items()}
-            whole = min([int(times), *(int(rest()[length]) // m for length, m in config.items())])
-            # a loose configuration waits for the best-fit pass
-            if whole and sum(length * m for length, m in config.items()) >= capacity - 1:
-                place(config, whole)
-    for config, times in _best_fit(rest(), capacity):
+        held += place({capacity: 1}, int(stock[capacity]))
+    lengths, program, bound = np.flatnonzero(stock[:capacity]), 0, 0.0
+    rest = []
+    if len(lengths):
+        cover, program, bound = _solve(lengths, stock[lengths], capacity)
+        named = [({int(lengths[k]): m for k, m in config.items()}, times) for times, config in cover]
+        kept, rest = _rounded(named, capacity)
+        for config, times in kept:
+            held += place(config, times)
+    for config, times in rest:
         place(config, times)
     table = np.array(rows, np.int64).reshape(-1, 6)
-    return Plan(table[np.lexsort((table[:, 1], table[:, 0]))], sequence)
+    return Plan(table[np.lexsort((table[:, 1], table[:, 0]))], sequence, program, bound, held)
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -197,7 +286,7 @@ def assign(pieces: DataFrame, capacity: int) -> DataFrame:
             yield pa.record_batch(cols | {"sequence_id": row[:, 3] + k // row[:, 4], "offset": row[:, 5] + k % row[:, 4] * length})
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name not in ("part", "place")]
-    located = pieces.join(counts.select("length", "part", "before"), ["length", "part"])
+    located = pieces.join(counts.select("length", "part", "before").hint("merge"), ["length", "part"])  # counts grow with the parts: never broadcast
     return located.mapInArrow(trimmed(place), ", ".join([c for c in kept if c.startswith("length ")] + [c for c in kept if not c.startswith("length ")] + ["sequence_id long", "offset long"]))
 
 

@@ -169,3 +169,41 @@ def test_plan_uses_few_sequences_and_places_all(n, scale, seed):
     for length in np.unique(lengths):
         own = made.rows[made.rows[:, 0] == length]
         assert own[:, 1].tolist() == np.concatenate([[0], np.cumsum(own[:, 2])[:-1]]).tolist() and own[:, 2].sum() == (lengths == length).sum()
+
+
+@pytest.mark.parametrize(("n", "scale", "seed"), [(3000, 400, 6), (3000, 1500, 4), (250_000, 500, 8), (250_000, 1500, 9)])
+def test_most_tokens_come_from_the_program(n, scale, seed):
+    lengths = np.minimum(4096, 1 + np.random.default_rng(seed).exponential(scale, n).astype(int))
+    made = packing.plan(dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)])), 4096)
+    assert made.from_program >= 0.95 * lengths.sum()
+    assert made.program <= max(np.ceil(made.bound), (1 + packing.GAP) * made.bound)
+    assert made.sequences <= made.program + (lengths == 4096).sum()
+    assert made.bound >= lengths[lengths < 4096].sum() / 4096 - 1e-3
+
+
+def brute_sequences(lengths, capacity):
+    """The fewest sequences, by trying every way."""
+    best = len(lengths)
+
+    def go(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for j, r in enumerate(rooms):
+            if r >= lengths[k] and r not in rooms[:j]:
+                go(k + 1, [*rooms[:j], r - lengths[k], *rooms[j + 1 :]])
+        go(k + 1, [*rooms, capacity - lengths[k]])
+
+    go(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_bound_and_cover_against_every_way(lengths):
+    made = packing.plan({x: lengths.count(x) for x in lengths}, 20)
+    fewest, full = brute_sequences(sorted(lengths, reverse=True), 20), lengths.count(20)
+    assert made.bound + full <= fewest + 1e-6 and fewest <= made.sequences <= fewest + 1
