@@ -8,8 +8,9 @@ words' log-probabilities within their classes.
 Word counts cover all training texts. They are too many for any one place: texts are encoded in
 chunks, each chunk sends its distinct words to buckets by hash, a bucket adds up its words, and
 each chunk gets back the counts of its own words. Training sums expected counts over all training
-texts; only states * classes sums reach the driver. Training cuts texts into segments; scoring
-runs the scaled forward recursion over each whole text.
+texts; only states * classes sums reach the driver. Training and scoring both run over whole texts:
+very long ones in segments side by side, joined exactly by each segment's transfer matrix, so that
+memory and steps are bounded by the segments, not by the longest text.
 
 Nulls and edges: a null or wordless text is its end token alone. A null doc_id is scored like any
 other. Repeated rows each count. With no training text, counts are zero, and the model is uniform
@@ -33,8 +34,10 @@ from .common import BATCH_BYTES, documents, fold, plan_bytes, slices, small_batc
 STATES, CLASSES = 8, 4096
 #: Passes over all training texts.
 PASSES = 15
-#: Longest stretch of tokens that training sees as one sequence, and tokens that it handles at once.
-SEGMENT, TOKENS_AT_ONCE = 256, 400_000
+#: Tokens of a text that is gone through at one stretch, and of the segments of a longer one; tokens handled at once.
+LONG, SEGMENT, TOKENS_AT_ONCE = 4096, 256, 600_000
+#: Bytes of classes (two a token) among which texts of like length are handled together.
+POOL_BYTES = 8 << 20
 #: Input bytes for each bucket of words.
 BUCKET_BYTES = 16 << 20
 SMOOTH = 0.05
@@ -51,7 +54,7 @@ def word_class(word: bytes) -> int:
 
 
 def encode(docs: DataFrame, buckets: int) -> DataFrame:
-    """Texts in chunks: doc_ids, train, bounds, words by bucket, bucket bounds, and each token's place among the words.
+    """Texts in chunks: doc_ids, train, bounds, words by bucket, the buckets that have some and where each starts, and each token's place among the words.
 
     docs: doc_id, text, train.
     """
@@ -70,11 +73,12 @@ def encode(docs: DataFrame, buckets: int) -> DataFrame:
                 tokens = place[index] if len(index) else np.empty(0, np.int64)
                 real = tokens >= 0  # but for the empty words at rows' ends
                 bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                yield pa.record_batch({"chunk": [chunk], "doc_ids": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), "train": pa.array([rows.column("train").to_pylist()], pa.list_(pa.bool_())), "bounds": [bounds.astype("<i4").tobytes()], "words": [b"\n".join([words[k] for k in order])], "cuts": [cuts.astype("<i4").tobytes()], "tokens": [tokens[real].astype("<u4").tobytes()]})
+                full = np.unique(bucket[order])
+                cuts = np.append(np.searchsorted(bucket[order], full), len(order))
+                yield pa.record_batch({"chunk": [chunk], "doc_ids": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), "train": pa.array([rows.column("train").to_pylist()], pa.list_(pa.bool_())), "bounds": [bounds.astype("<i4").tobytes()], "words": [b"\n".join([words[k] for k in order])], "buckets": [full.astype("<i4").tobytes()], "cuts": [cuts.astype("<i4").tobytes()], "tokens": [tokens[real].astype("<u4").tobytes()]})
                 chunk += 1
 
-    schema = "chunk long, doc_ids array<long>, train array<boolean>, bounds binary, words binary, cuts binary, tokens binary"
+    schema = "chunk long, doc_ids array<long>, train array<boolean>, bounds binary, words binary, buckets binary, cuts binary, tokens binary"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "train").mapInArrow(trimmed(run), schema)
 
 
@@ -87,12 +91,12 @@ def count_words(chunks: DataFrame) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                chunk, train, bounds, words, cuts, tokens = (batch.column(c)[k].as_py() for c in ("chunk", "train", "bounds", "words", "cuts", "tokens"))
-                cuts, words = np.frombuffer(cuts, "<i4"), words.split(b"\n")
+                chunk, train, bounds, words, full, cuts, tokens = (batch.column(c)[k].as_py() for c in ("chunk", "train", "bounds", "words", "buckets", "cuts", "tokens"))
+                full, cuts, words = np.frombuffer(full, "<i4"), np.frombuffer(cuts, "<i4"), words.split(b"\n")
                 counted = np.repeat(np.array(train, bool), np.diff(np.frombuffer(bounds, "<i4")))
                 n = np.bincount(np.frombuffer(tokens, "<u4")[counted], minlength=int(cuts[-1])).astype("<u4")
-                full = [b for b in range(len(cuts) - 1) if cuts[b] < cuts[b + 1]]
-                yield pa.record_batch({"bucket": np.array(full, np.int32), "chunk": np.full(len(full), chunk), "words": pa.array([b"\n".join(words[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()), "n": pa.array([n[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())})
+                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                yield pa.record_batch({"bucket": full.astype(np.int32), "chunk": np.full(len(full), chunk), "words": pa.array([b"\n".join(words[a:b]) for a, b in spans], pa.binary()), "n": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -107,7 +111,7 @@ def count_words(chunks: DataFrame) -> DataFrame:
         own = np.split(index, stops[:-1])
         return pa.table({"chunk": pa.array([-1, *table.column("chunk").to_pylist()], pa.int64()), "bucket": pa.array([bucket] * (len(parts) + 1), pa.int32()), "n": pa.array([sums[0].tobytes(), *(total[x].astype("<i8").tobytes() for x in own)], pa.binary()), "cls": pa.array([sums[1].tobytes(), *(cls[x].astype("<u2").tobytes() for x in own)], pa.binary())})
 
-    sent = chunks.select("chunk", "train", "bounds", "words", "cuts", "tokens").mapInArrow(trimmed(send), "bucket int, chunk long, words binary, n binary")
+    sent = chunks.select("chunk", "train", "bounds", "words", "buckets", "cuts", "tokens").mapInArrow(trimmed(send), "bucket int, chunk long, words binary, n binary")
     return sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, n binary, cls binary")
 
 
@@ -210,68 +214,181 @@ def _by_time(lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, starts, active, order, at
 
 
+def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of sequences, those of like lengths together, in groups of a bounded number of tokens."""
+    order = np.argsort(lengths, kind="stable")
+    cut = np.cumsum(lengths[order]) // TOKENS_AT_ONCE
+    yield from np.split(order, np.flatnonzero(cut[1:] != cut[:-1]) + 1)
+
+
+def _picked(codes: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The codes of some sequences end to end."""
+    n = np.diff(bounds)[which]
+    return codes[np.arange(n.sum()) + np.repeat(bounds[which] - np.cumsum(n) + n, n)]
+
+
+def _cut_long(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of segments, and which segments open a text: texts over LONG tokens are several."""
+    n = np.where(lengths > LONG, -(-lengths // SEGMENT), 1)
+    opens = np.zeros(n.sum(), bool)
+    opens[np.cumsum(n) - n] = True
+    sizes = np.full(n.sum(), SEGMENT)
+    last = np.cumsum(n) - 1
+    sizes[last] = lengths - (n - 1) * np.where(n > 1, SEGMENT, 0)
+    return sizes, opens
+
+
+def _transfers(model: Model, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each sequence and each state before its first token: the scaled forward row at its end, and the row's log."""
+    by_time, starts, active, order, _ = _by_time(lengths, codes)
+    emit, move, n = np.ascontiguousarray(model.emit.T), model.move, len(lengths)
+    rows = np.repeat(np.eye(STATES)[None], n, axis=0)  # sequence, state before, state
+    logs = np.zeros((n, STATES))
+    for t, k in enumerate(active):
+        now = emit[by_time[starts[t] : starts[t] + k]][:, None, :]
+        rows[:k] = (rows[:k] if t == 0 else rows[:k] @ move) * now
+        scale = rows[:k] @ np.ones(STATES)
+        rows[:k] /= np.maximum(scale, 1e-300)[:, :, None]
+        logs[:k] += np.log(np.maximum(scale, 1e-300))
+    back_rows, back_logs = np.empty_like(rows), np.empty_like(logs)
+    back_rows[order], back_logs[order] = rows, logs
+    return back_rows, back_logs
+
+
+def _all_transfers(model: Model, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    rows, logs = np.empty((len(lengths), STATES, STATES)), np.empty((len(lengths), STATES))
+    for which in _groups(lengths * 4):
+        rows[which], logs[which] = _transfers(model, lengths[which], _picked(codes, bounds, which))
+    return rows, logs
+
+
 def log_likelihoods(model: Model, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """log10 likelihood of each sequence by the scaled forward recursion."""
+    """log10 likelihood of each sequence by the scaled forward recursion.
+
+    A text over LONG tokens is gone through in segments at once: each gives its end for every state
+    before it, and the ends are joined in turn. The result is the same.
+    """
+    bounds, found = np.concatenate([[0], np.cumsum(lengths)]), np.empty(len(lengths))
+    emit = np.ascontiguousarray(model.emit.T)
+    for which in _groups(np.minimum(lengths, LONG + 1)):
+        short = which[lengths[which] <= LONG]
+        if len(short):
+            by_time, starts, active, order, _ = _by_time(lengths[short], _picked(codes, bounds, short))
+            total, alpha = np.zeros(len(short)), None
+            for t, n in enumerate(active):
+                now = emit[by_time[starts[t] : starts[t] + n]]
+                alpha = model.start * now if alpha is None else (alpha[:n] @ model.move) * now
+                scale = alpha @ np.ones(STATES)
+                alpha /= scale[:, None]
+                total[:n] += np.log(scale)
+            found[short[order]] = total
+    for k in np.flatnonzero(lengths > LONG):
+        sizes, _ = _cut_long(lengths[k : k + 1])
+        before, total = model.start, 0.0
+        for row, log in zip(*_all_transfers(model, sizes, codes[bounds[k] : bounds[k + 1]])):
+            after = (before * np.exp(log - log.max())) @ row
+            total += log.max() + np.log(after.sum())
+            before = (after / after.sum()) @ model.move
+        found[k] = total
+    return found / np.log(10)
+
+
+def _entries(model: Model, rows: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment of one text: the states before its first token, and what follows its last one (to scale)."""
+    n = len(rows)
+    before, after = np.empty((STATES, n)), np.ones((STATES, n))
+    weight = np.exp(logs - logs.max(axis=1, keepdims=True))
+    b = model.start
+    for k in range(n):
+        before[:, k] = b
+        b = ((b * weight[k]) @ rows[k]) @ model.move
+        b /= b.sum()
+    for k in range(n - 1, 0, -1):
+        v = model.move @ (weight[k] * (rows[k] @ after[:, k]))
+        after[:, k - 1] = v / v.sum()
+    return before, after
+
+
+def _forward_backward(model: Model, lengths: np.ndarray, codes: np.ndarray, before: np.ndarray, after: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Add to sums (moves within sequences, emissions); states at the first tokens, and what joins sequences of one text.
+
+    before: states ahead of each first token; after: what follows each last token, to scale.
+    """
     by_time, starts, active, order, _ = _by_time(lengths, codes)
-    emit, found = np.ascontiguousarray(model.emit.T), np.zeros(len(lengths))
-    alpha = None
+    emit, move = np.take(model.emit.astype(np.float32), by_time, axis=1), model.move.astype(np.float32)
+    alpha, beta, scale, forth = np.empty_like(emit), np.empty_like(emit), np.empty(len(by_time), np.float32), move.T.copy()
+    ranked = np.arange(len(lengths))
+    ends = starts[lengths[order] - 1] + ranked
     for t, n in enumerate(active):
-        now = emit[by_time[starts[t] : starts[t] + n]]
-        alpha = model.start * now if alpha is None else (alpha[:n] @ model.move) * now
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        found[:n] += np.log10(scale)
-    out = np.empty(len(lengths))
-    out[order] = found
-    return out
-
-
-def expected_counts(model: Model, lengths: np.ndarray, codes: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch sums of starts (where a text opens), moves and emissions."""
-    by_time, starts, active, order, at = _by_time(lengths, codes)
-    emit, move = np.ascontiguousarray(model.emit.T, np.float32)[by_time], model.move.astype(np.float32)
-    alpha, beta, scale = np.empty_like(emit), np.ones_like(emit), np.empty(len(by_time), np.float32)
-    begin = np.where(opens[order][:, None], model.start, np.full(STATES, 1 / STATES)).astype(np.float32)
-    for t, n in enumerate(active):
-        s = slice(starts[t], starts[t] + n)
-        alpha[s] = (begin if t == 0 else alpha[starts[t - 1] : starts[t - 1] + n] @ move) * emit[s]
-        scale[s] = alpha[s].sum(axis=1)
-        alpha[s] /= scale[s, None]
-    back = move.T.copy()
-    emit /= scale[:, None]
-    for t in range(len(active) - 2, -1, -1):
-        n = active[t + 1]
-        s = slice(starts[t + 1], starts[t + 1] + n)
-        emit[s] *= beta[s]
-        beta[starts[t] : starts[t] + n] = emit[s] @ back
-    later = slice(starts[1], len(by_time)) if len(active) > 1 else slice(0, 0)
-    # the place one step earlier of everything after the first step
-    steps = np.repeat(np.arange(1, len(active)), active[1:])
-    before = np.arange(starts[1], len(by_time)) - starts[steps] + starts[steps - 1]
-    moves = model.move * (alpha[before].T @ emit[later]).astype(float)
-    gamma = alpha * beta
-    emitted = np.stack([np.bincount(by_time, gamma[:, k], CLASSES) for k in range(STATES)])
-    return gamma[: active[0]][opens[order]].sum(axis=0, dtype=float), moves, emitted
-
-
-def _segments(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(lengths, codes, opens) of bounded groups of segments."""
-    lengths: list[int] = []
-    parts: list[bytes] = []
-    opens: list[bool] = []
-    held = 0
-    for blob in blobs:
-        for a in range(0, len(blob), 2 * SEGMENT):
-            part = blob[a : a + 2 * SEGMENT]
-            lengths.append(len(part) // 2)
-            parts.append(part)
-            opens.append(a == 0)
-            held += len(part) // 2
-            if held >= TOKENS_AT_ONCE:
-                yield np.array(lengths), np.frombuffer(b"".join(parts), "<u2").astype(np.int64), np.array(opens)
-                lengths, parts, opens, held = [], [], [], 0
-    if parts:
-        yield np.array(lengths), np.frombuffer(b"".join(parts), "<u2").astype(np.int64), np.array(opens)
+        a, b = starts[t], starts[t] + n
+        x = before[:, order].astype(np.float32) if t == 0 else forth @ alpha[:, starts[t - 1] : starts[t - 1] + n]
+        x *= emit[:, a:b]
+        scale[a:b] = x.sum(axis=0)
+        np.divide(x, scale[a:b], out=alpha[:, a:b])
+    emit /= scale
+    last = alpha[:, ends]
+    follow = after[:, order].astype(np.float32)
+    follow /= (last * follow).sum(axis=0)
+    moves = np.zeros((STATES, STATES))
+    for t in range(len(active) - 1, -1, -1):
+        a, n, later = starts[t], active[t], active[t + 1] if t + 1 < len(active) else 0
+        beta[:, a + later : a + n] = follow[:, later:n]
+        if later:
+            c = starts[t + 1]
+            x = emit[:, c : c + later]
+            x *= beta[:, c : c + later]
+            beta[:, a : a + later] = move @ x
+            moves += alpha[:, a : a + later] @ x.T
+    first = emit[:, : active[0]] * beta[:, : active[0]]
+    beta *= alpha
+    sums[0][:] += model.move * moves
+    for k in range(STATES):
+        sums[1][k] += np.bincount(by_time, beta[k], CLASSES)
+    opening, joining, ending = (np.empty((STATES, len(lengths))) for _ in range(3))
+    opening[:, order], joining[:, order], ending[:, order] = beta[:, : active[0]], first, last
+    return opening, joining, ending
+
+
+def expected_counts(model: Model, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch sums of starts, moves and emissions over whole texts.
+
+    Texts over LONG tokens are gone through in segments, whose states ahead and sequels are found first.
+    Nothing is cut: the sums are those of one run through each text.
+    """
+    start, moves, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
+    sizes, opens = _cut_long(lengths)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    before, after = np.repeat(model.start[:, None], len(sizes), axis=1), np.ones((STATES, len(sizes)))
+    firsts = np.append(np.flatnonzero(opens), len(sizes))
+    if len(several := np.flatnonzero(np.diff(firsts) > 1)):
+        which = np.concatenate([np.arange(firsts[k], firsts[k + 1]) for k in several])
+        rows, logs = _all_transfers(model, sizes[which], _picked(codes, bounds, which))
+        at = 0
+        for a, b in zip(firsts[several], firsts[several + 1]):
+            before[:, a:b], after[:, a:b] = _entries(model, rows[at : at + b - a], logs[at : at + b - a])
+            at += b - a
+    joining, ending = np.empty((2, STATES, len(sizes)))
+    for which in _groups(sizes):
+        opening, joining[:, which], ending[:, which] = _forward_backward(model, sizes[which], _picked(codes, bounds, which), before[:, which], after[:, which], (moves, emitted))
+        start += opening[:, opens[which]].sum(axis=1)
+    inner = np.flatnonzero(~opens)
+    moves += model.move * (ending[:, inner - 1] @ joining[:, inner].T)
+    return start, moves, emitted
+
+
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Texts' classes, POOL_BYTES of them at a time: among many texts more are of like length."""
+    held, size = [], 0
+    for batch in batches:
+        for x in batch.column("classes").to_pylist():
+            held.append(x)
+            size += len(x)
+            if size >= POOL_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def baum_welch(model: Model, training: DataFrame) -> Model:
@@ -280,10 +397,10 @@ def baum_welch(model: Model, training: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
-        for batch in batches:
-            for group in _segments(batch.column("classes").to_pylist()):
-                for total, x in zip((start, move, emit), expected_counts(shared.value, *group)):
-                    total += x
+        for blobs in _pooled(batches):
+            lengths = np.array([len(x) // 2 for x in blobs])
+            for total, x in zip((start, move, emit), expected_counts(shared.value, lengths, np.frombuffer(b"".join(blobs), "<u2"))):
+                total += x
         flat = np.concatenate([start, move.ravel(), emit.ravel()])
         some = np.flatnonzero(flat)
         yield pa.record_batch({"k": some, "x": flat[some]})

@@ -202,10 +202,42 @@ def test_forward_and_backward_against_all_paths():
                 emits[q[t], s[t]] += x
                 if t:
                     moves[q[t - 1], q[t]] += x
-    a, b, c = hmm.expected_counts(m, sizes, codes, np.ones(len(sizes), bool))
+    a, b, c = hmm.expected_counts(m, sizes, codes)
     assert a == pytest.approx(starts, abs=1e-4) and b == pytest.approx(moves, abs=1e-4) and c == pytest.approx(emits, abs=1e-4)
 
 
+def plain_forward_backward(m, s):
+    """Starts, moves, emissions and log10 likelihood of one text, a token at a time in double precision."""
+    alpha, scale = np.empty((len(s), hmm.STATES)), np.empty(len(s))
+    for t, x in enumerate(s):
+        alpha[t] = (m.start if t == 0 else alpha[t - 1] @ m.move) * m.emit[:, x]
+        scale[t] = alpha[t].sum()
+        alpha[t] /= scale[t]
+    beta, moves, emits = np.ones((len(s), hmm.STATES)), np.zeros((hmm.STATES,) * 2), np.zeros((hmm.STATES, hmm.CLASSES))
+    for t in range(len(s) - 2, -1, -1):
+        follow = m.emit[:, s[t + 1]] * beta[t + 1] / scale[t + 1]
+        beta[t] = m.move @ follow
+        moves += alpha[t][:, None] * m.move * follow
+    for t, x in enumerate(s):
+        emits[:, x] += alpha[t] * beta[t]
+    return alpha[0] * beta[0], moves, emits, np.log10(scale).sum()
+
+
+@pytest.mark.parametrize(("long_", "segment", "at_once"), [(4096, 256, 600_000), (10, 4, 50), (1, 3, 7), (25, 25, 1000)])
+def test_whole_texts_whatever_the_segments(monkeypatch, long_, segment, at_once):
+    monkeypatch.setattr(hmm, "LONG", long_)
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    monkeypatch.setattr(hmm, "TOKENS_AT_ONCE", at_once)
+    rng = np.random.default_rng(4)
+    m = hmm.Model.first(rng.random(hmm.CLASSES) * 10)
+    seqs = [rng.integers(0, 60, n) for n in (1, 300, 2, 51, 10, 11, 24, 25, 26, 97, 4, 12, 1000)]
+    sizes, codes = np.array([len(s) for s in seqs]), np.concatenate(seqs)
+    want = [plain_forward_backward(m, s) for s in seqs]
+    assert hmm.log_likelihoods(m, sizes, codes) == pytest.approx([w[3] for w in want])
+    for got, k in zip(hmm.expected_counts(m, sizes, codes), range(3)):
+        assert got == pytest.approx(sum(w[k] for w in want), rel=2e-4, abs=2e-4)
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(5)
     seqs = [rng.integers(1, 40, 30) + 100 * (k % 3) for k in range(90)]
@@ -214,7 +246,7 @@ def test_training_raises_the_likelihood():
     for _ in range(8):
         now = hmm.log_likelihoods(m, sizes, codes).sum()
         assert now > last - 1e-6 * abs(now)
-        last, m = now, hmm.Model.from_counts(*hmm.expected_counts(m, sizes, codes, np.ones(90, bool)))
+        last, m = now, hmm.Model.from_counts(*hmm.expected_counts(m, sizes, codes))
 
 
 def test_every_pass_sees_all_training_texts(spark):
@@ -228,9 +260,9 @@ def test_every_pass_sees_all_training_texts(spark):
     classes = by_class.astype(float)
     classes[0] = len(texts)
     want = hmm.Model.first(classes)
-    for _ in range(15):
-        want = hmm.Model.from_counts(*(sum(x) for x in zip(*(hmm.expected_counts(want, *g) for g in hmm._segments(blobs)))))
     lengths, codes = np.full(6000, 4), np.frombuffer(b"".join(blobs), "<u2").astype(np.int64)
+    for _ in range(15):
+        want = hmm.Model.from_counts(*hmm.expected_counts(want, lengths, codes))
     assert hmm.log_likelihoods(got, lengths, codes) == pytest.approx(hmm.log_likelihoods(want, lengths, codes), abs=2e-3)
 
 
