@@ -1,19 +1,24 @@
 """Toxicity by non-negative positive-unlabelled learning of a linear classifier in numpy.
 
-Features are distinct words, hashed. From confirmed toxic texts and unlabelled ones the hashes
-that tell the two apart are selected, and weights are learned by minimising the non-negative
-unbiased risk: prior * loss of positives as positive, plus the larger of zero and (loss of
-unlabelled as negative - prior * loss of positives as negative). Where that difference goes below
-zero, its gradient is ascended. The raw score is then calibrated to a probability.
-
-The fit takes bounded numbers of rows, those of least hash: TRAIN_POSITIVES and TRAIN_UNLABELLED.
-Toxic and other labelled rows are picked at different rates, so the calibration weights each by the
-inverse of its rate: scores follow the toxic share of all labelled rows, whatever their number.
+Features are distinct words, hashed. From confirmed toxic texts and unlabelled ones, which are all
+texts, the hashes that tell the two apart are selected, and weights are learned by minimising the
+non-negative risk under the squared loss: prior * loss of positives as positive, plus the larger of
+zero and (loss of unlabelled as negative - prior * loss of positives as negative). That loss needs no
+more of the unlabelled texts than how often each two features meet, which is summed over all
+partitions; the minimum is then found exactly (see nn_pu). The raw score is calibrated to a
+probability by labelled texts, toxic and other, that the fit left out; they also give the class prior.
+
+Only labelled rows are bounded: the TRAIN_POSITIVES toxic and as many other ones of least hash of id
+and text, a total order but for equal rows. The two kinds are picked at different rates, so the
+calibration weights each by the inverse of its rate: scores follow the toxic share of all labelled
+rows, whatever their number.
 
 Nulls and edges: a null or empty text has no feature and gets the score of the intercept. Labels
 that are null teach nothing. A doc_id with several labels counts as toxic if one says so. Without
-any confirmed toxic text every score is 0. Repeated rows are scored alike. Other columns are
-ignored.
+any confirmed toxic text, or without any text, every score is 0. With fewer than PARTS toxic texts or
+without other labelled ones nothing can be left out, and the raw score goes through a fixed sigmoid.
+Repeated rows are scored alike; a text of any length is one row of at most FEATURES numbers beside its
+own words. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +34,19 @@ from pyspark.sql import functions as F
 
 from .common import documents, fold, slices, small_batches, trimmed, word_codes
 
-HASH_BITS, FEATURES = 20, 1024
-#: Rows that a model learns from at most.
-TRAIN_POSITIVES, TRAIN_UNLABELLED = 4000, 8000
-STEPS, RATE, RIDGE = 300, 0.05, 1e-4
+HASH_BITS, FEATURES = 20, 512
+#: Toxic rows, and other labelled rows, that a model learns from at most.
+TRAIN_POSITIVES = 4000
+RIDGE = 0.02
+#: Scale of the sigmoid where nothing calibrates it.
+SCALE = 4.0
 #: Fits that each leave out a part of the labelled rows, whose scores then calibrate the fit to all.
 PARTS = 3
 #: Positive texts that must share a word for it to become a feature.
 LEAST_POSITIVES = 3
 THRESHOLD = 0.7
+#: Most text that is handled at once, but for a longer row.
+SLICE_BYTES = 2 << 20
 #: Lower case, and a space for every ASCII character that no word has.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
 
@@ -73,106 +82,182 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _select(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The hashes whose share among positives stands out most from that among unlabelled texts."""
-    n = 1 << HASH_BITS
-    p, u = (np.bincount(np.concatenate(x) if x else [], minlength=n) for x in (positive, unlabelled))
-    rate_p, rate_u = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(unlabelled) + 1)
-    spread = np.sqrt(rate_u * (1 - rate_u) * (1 / max(1, len(positive)) + 1 / max(1, len(unlabelled))))
-    z = np.where(p >= LEAST_POSITIVES, np.abs(rate_p - rate_u) / spread, 0)
+def _select(positive: np.ndarray, n_positive: int, unlabelled: np.ndarray, n_unlabelled: int) -> np.ndarray:
+    """The hashes whose share among positives stands out most from that among unlabelled texts, by their counts."""
+    rate_p, rate_u = (positive + 0.5) / (n_positive + 1), (unlabelled + 0.5) / (n_unlabelled + 1)
+    spread = np.sqrt(rate_u * (1 - rate_u) * (1 / max(1, n_positive) + 1 / max(1, n_unlabelled)))
+    z = np.where(positive >= LEAST_POSITIVES, np.abs(rate_p - rate_u) / spread, 0)
     best = np.argsort(-z, kind="stable")[:FEATURES]
     return best[z[best] > 0]
 
 
+def _with_one(gram: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Second and first moments with a constant feature after the others."""
+    mean = np.append(mean, 1.0)
+    return np.block([[gram, mean[:-1, None]], [mean[None]]]), mean
+
+
 def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk under the logistic loss."""
-    w, moments = np.zeros(positive.shape[1] + 1), [np.zeros(positive.shape[1] + 1) for _ in range(2)]
-    w[-1] = np.log(prior / (1 - prior))
-
-    def gradient(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(slope.astype(np.float32) @ x, slope.sum()) / len(x)  # single precision: else x is copied each time
-
-    for t in range(1, STEPS + 1):
-        single = w[:-1].astype(np.float32)
-        sp, su = _sigmoid(positive @ single + w[-1]), _sigmoid(unlabelled @ single + w[-1])
-        as_negative = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
-        negative = gradient(unlabelled, su) - prior * gradient(positive, sp)
-        g = prior * gradient(positive, sp - 1) + negative if as_negative >= 0 else -negative
-        g[:-1] += RIDGE * w[:-1]
-        moments = [0.9 * moments[0] + 0.1 * g, 0.999 * moments[1] + 0.001 * g * g]
-        w -= RATE * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.999**t)) + 1e-8)
+    """Weights and bias of least non-negative risk under the squared loss.
+
+    positive: rows of features; unlabelled: mean products of features of all unlabelled rows (features
+    are 0 or 1, so the diagonal holds their means). With N(w) the corrected loss as negative, the least
+    of prior * P(w) + max(0, N(w)) is the saddle point of prior * P(w) + t * N(w) over 0 <= t <= 1: t = 1 if
+    N is not negative there, else the t at which N is zero.
+    """
+    x = positive.astype(np.float64)
+    second_p, first_p = _with_one(x.T @ x / len(x), x.mean(axis=0))
+    second_u, first_u = _with_one(unlabelled, np.diag(unlabelled))
+    ridge = RIDGE * np.eye(len(first_u))
+    ridge[-1, -1] = 1e-9
+
+    def at(t: float) -> np.ndarray:
+        return np.linalg.solve(prior * (1 - t) * second_p + t * second_u + ridge, prior * (1 + t) * first_p - t * first_u)
+
+    def negative(w: np.ndarray) -> float:
+        loss = lambda second, first: 1 + 2 * w @ first + w @ second @ w
+        return float(loss(second_u, first_u) - prior * loss(second_p, first_p))
+
+    w = at(1.0)
+    if negative(w) < 0:
+        low, high = 0.0, 1.0
+        for _ in range(40):
+            t = (low + high) / 2
+            w = at(t)
+            low, high = (t, high) if negative(w) > 0 else (low, t)
     return w[:-1], float(w[-1])
 
 
 def _calibrated(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Scale and shift by which labelled texts' scores become probabilities. Each text counts weight times."""
-    a, b = 1.0, 0.0
-    x, weight = np.clip(raw, -30, 30), weight / weight.mean()
-    for _ in range(30):
-        s = _sigmoid(a * x + b)
-        v = weight * (s * (1 - s) + 1e-6)
-        g = np.array([(weight * (s - label) * x).sum(), (weight * (s - label)).sum()])
-        h = np.array([[(v * x * x).sum(), (v * x).sum()], [(v * x).sum(), v.sum()]]) + np.eye(2) * 1e-3
-        step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -0.5, 0.5), b - np.clip(step[1], -1, 1)
-    return (a, b) if a > 0 else (1.0, 0.0)
-
-
-def _rows(texts: DataFrame) -> list[tuple[int | None, np.ndarray]]:
-    """(toxic, distinct hashes) of a bounded number of rows."""
+    """Scale and shift by which labelled texts' scores become probabilities. Each text counts weight times.
+
+    Newton's method with halved steps on the logistic loss, over scores of mean 0 and deviation 1.
+    """
+    weight = weight / weight.sum()
+    mean = weight @ raw
+    wide = np.sqrt(weight @ (raw - mean) ** 2) + 1e-12
+    x = np.stack([(raw - mean) / wide, np.ones(len(raw))])
+    # a little short of 0 and 1, so that kinds that never mix still have a best scale
+    label = np.where(label == 1, 1 - 1 / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
+    loss = lambda c: float(weight @ (np.logaddexp(0, c @ x) - label * (c @ x)))
+    c, now = np.zeros(2), loss(np.zeros(2))
+    for _ in range(100):
+        s = _sigmoid(c @ x)
+        step = np.linalg.solve((x * (weight * (s * (1 - s) + 1e-9))) @ x.T + 1e-9 * np.eye(2), x @ (weight * (s - label)))
+        while np.abs(step).max() > 1e-9 and loss(c - step) > now:
+            step /= 2
+        c = c - step
+        if now - loss(c) < 1e-12:
+            break
+        now = loss(c)
+    return (c[0] / wide, c[1] - c[0] * mean / wide) if c[0] > 0 else (SCALE, 0.0)
+
+
+def _told(texts: DataFrame, most: int) -> list[np.ndarray]:
+    """Distinct hashes of the most rows of least pick."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "text", 2 << 20):
+            for rows in slices(batch, "text", SLICE_BYTES):
                 row, h = features(rows.column("text"))
                 cuts = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
-                yield pa.record_batch({"toxic": rows.column("toxic"), "h": pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.astype(np.int32)))})
+                yield pa.record_batch({"pick": rows.column("pick"), "h": pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.astype(np.int32)))})
 
-    found = texts.select("text", F.col("toxic").cast("int")).mapInArrow(trimmed(run), "toxic int, h array<int>").toArrow()
+    found = texts.select("text", "pick").mapInArrow(trimmed(run), "pick long, h array<int>").orderBy("pick").limit(most).toArrow()
     h = found.column("h").combine_chunks() if found.num_rows else None
-    return [] if h is None else list(zip(found.column("toxic").to_pylist(), np.split(h.flatten().to_numpy(), np.cumsum(np.diff(np.asarray(h.offsets)))[:-1])))
+    return [] if h is None else np.split(h.flatten().to_numpy(), np.cumsum(np.diff(np.asarray(h.offsets)))[:-1])
+
+
+def frequencies(docs: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of all rows have each wanted hash, and how many rows there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, n, rows = np.unpackbits(shared.value).astype(bool), np.zeros(1 << HASH_BITS, np.int64), 0
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                _, h = features(part.column("text"))
+                np.add.at(n, h[mask[h]], 1)
+                rows += part.num_rows
+        some = np.flatnonzero(n)
+        yield pa.record_batch({"h": np.append(some, -1), "n": np.append(n[some], rows)})
+
+    sums = docs.select("text").mapInArrow(trimmed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+    h, n, found = sums.column("h").to_numpy(), sums.column("n").to_numpy(), np.zeros(1 << HASH_BITS, np.int64)
+    found[h[h >= 0]] = n[h >= 0]
+    return found, int(n[h < 0].sum())
 
 
-def learn(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, unlabelled: int = TRAIN_UNLABELLED) -> Model | None:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
+def _dense(texts: pa.Array, column: np.ndarray, width: int) -> np.ndarray:
+    row, h = features(texts)
+    col = column[h]
+    x = np.zeros((len(texts), width), np.float32)
+    x[row[col >= 0], col[col >= 0]] = 1
+    return x
+
+
+def products(docs: DataFrame, column: np.ndarray, width: int) -> np.ndarray:
+    """In how many of all rows each two features meet; width * width sums reach the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(column)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                x = _dense(part.column("text"), shared.value, width)
+                total += x.T @ x
+        k = np.flatnonzero(np.triu(total))
+        yield pa.record_batch({"k": k, "n": total.ravel()[k].astype(np.int64)})
+
+    sums = docs.select("text").mapInArrow(trimmed(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(width * width)
+    found[sums.column("k").to_numpy()] = sums.column("n").to_numpy()
+    found = found.reshape(width, width)
+    return found + np.triu(found, 1).T
+
+
+def learn(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES) -> Model | None:
+    """A model from docs (doc_id, text), all of them unlabelled, and labels (doc_id, toxic)."""
     small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    totals = marks.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.count(F.lit(1))).first()
+    totals = marks.agg(F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     if not totals[0]:
         return None
-    spread = lambda seed: F.xxhash64("doc_id", F.lit(seed)) / F.lit(2.0**64) + 0.5
-    chosen = marks.where((F.col("toxic") == 1) & (spread(1) * totals[0] <= positives) | (F.col("toxic") != 1) & (spread(1) * totals[1] <= positives))
-    told = _rows(docs.join(F.broadcast(chosen), "doc_id"))  # a bounded number of ids in expectation; no limit, which would drop arbitrary ones
-    n = docs.agg(F.count(F.lit(1))).first()[0]
-    other = [h for _, h in _rows(docs.where(spread(2) * n <= unlabelled).withColumn("toxic", F.lit(None)))]
-    told = [x for y in (1, 0) for x in told if (x[0] == 1) == y]  # both kinds are dealt evenly
-    label = np.array([y == 1 for y, _ in told], float)
-    positive = [h for y, h in told if y == 1]
-    if not positive or not other:
+    # ids are distinct here, so about positives of each kind are within the bound, and half as many more to be sure
+    spread = F.xxhash64("doc_id", F.lit(1)) / F.lit(2.0**64) + 0.5
+    toxic = F.col("toxic") == 1
+    chosen = marks.where(spread * F.when(toxic, totals[0]).otherwise(totals[1] - totals[0]) <= 1.5 * positives + 50)
+    picked = docs.join(F.broadcast(chosen), "doc_id").withColumn("pick", F.xxhash64("doc_id", "text", F.lit(2)))
+    positive, other = _told(picked.where(toxic), positives), _told(picked.where(~toxic), positives)
+    if not positive:
         return None
-    chosen_hashes = _select(positive, other)
-    column = np.full(1 << HASH_BITS, -1, np.int16)
-    column[chosen_hashes] = np.arange(len(chosen_hashes))
-
-    def dense(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(rows), len(chosen_hashes)), np.float32)
-        for k, h in enumerate(rows):
+    seen = np.bincount(np.concatenate(positive), minlength=1 << HASH_BITS)
+    everywhere, rows = frequencies(docs, seen >= LEAST_POSITIVES)
+    hashes = _select(seen, len(positive), everywhere, rows)
+    column, width = np.full(1 << HASH_BITS, -1, np.int16), len(hashes)
+    column[hashes] = np.arange(width)
+    unlabelled = products(docs, column, width) / rows
+
+    def dense(texts: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(texts), width), np.float32)
+        for k, h in enumerate(texts):
             c = column[h]
             x[k, c[c >= 0]] = 1
         return x
 
-    prior = min(0.5, max(0.01, totals[0] / totals[1]))
-    labelled, unknown = dense([h for _, h in told]), dense(other)
-    part = np.arange(len(told)) % PARTS
-    scale, shift = 1.0, 0.0
-    if label.sum() >= PARTS and (label == 0).any():
-        raw = np.empty(len(told))
-        for k in range(PARTS):
-            w, b = nn_pu(labelled[(label == 1) & (part != k)], unknown, prior)
-            raw[part == k] = labelled[part == k] @ w + b
-        # each kind by the inverse of its rate in chosen
-        scale, shift = _calibrated(raw, label, np.where(label == 1, max(1, totals[0] / positives), max(1, totals[1] / positives)))
-    w, b = nn_pu(labelled[label == 1], unknown, prior)
+    prior = totals[0] / (totals[1] + 1)  # below one even if every label says toxic
+    p, o = dense(positive), dense(other)
+    scale, shift = SCALE, 0.0
+    if len(p) >= PARTS and len(o):
+        part, raw = np.arange(len(p)) % PARTS, np.empty(len(p))
+        fits = [nn_pu(p[part != k], unlabelled, prior) for k in range(PARTS)]
+        for k, (w, b) in enumerate(fits):
+            raw[part == k] = p[part == k] @ w + b
+        other_raw = np.mean([o @ w + b for w, b in fits], axis=0)  # no fit has seen them as such
+        weight = np.append(np.full(len(p), totals[0] / len(p)), np.full(len(o), (totals[1] - totals[0]) / len(o)))
+        scale, shift = _calibrated(np.append(raw, other_raw), np.append(np.ones(len(p)), np.zeros(len(o))), weight)
+    w, b = nn_pu(p, unlabelled, prior)
     return Model(column, w * scale, b * scale + shift)
 
 
@@ -185,7 +270,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for rows in slices(batch, "_text", 2 << 20):
+            for rows in slices(batch, "_text", SLICE_BYTES):
                 found = np.zeros(rows.num_rows) if m is None else m.score(rows.column("_text"))
                 yield pa.record_batch({c: rows.column(c) for c in keep} | {"score": found})
 

@@ -149,33 +149,67 @@ def test_scores_follow_the_toxic_share_above_the_bound_on_rows(spark):
     share = sum(t for _, x, t in rows if "vermin" in x) / sum("vermin" in x for _, x, _ in rows)
     probe = spark.createDataFrame([(0, "river stone vermin"), (1, "river stone")], "doc_id long, text string")
     for most in (4000, 100):  # all labelled rows, and a few of them
-        model = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most, 2000)
+        model = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most)
         got = {x["doc_id"]: x["score"] for x in toxicity.score(probe, model).collect()}
         assert abs(got[0] - share) < 0.2 and got[1] < 0.1, (most, got, share)
 
 
-def test_all_picked_labelled_rows_teach(spark, monkeypatch):
-    docs = spark.range(3000).selectExpr("id doc_id", "concat('word', id) text", "cast(id % 50 = 0 as int) toxic").cache()
-    seen, rows_of_ = [], toxicity._rows
-    monkeypatch.setattr(toxicity, "_rows", lambda texts: seen.append(sorted(r["doc_id"] for r in texts.select("doc_id").collect())) or rows_of_(texts))
-    for most in range(6, 26):
-        picked = docs.selectExpr("doc_id", "toxic", "xxhash64(doc_id, 1) / 18446744073709551616 + 0.5 x").where(f"x * if(toxic = 1, 60, 3000) <= {most}")
-        ids = sorted(r["doc_id"] for r in picked.collect())
-        if len(ids) > 2 * most:
-            break
-    assert len(ids) > 2 * most  # the pick is above the bound
-    toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most, 20)
-    assert seen[0] == ids
-
-
-def test_risk_is_not_driven_below_zero():
-    rng = np.random.default_rng(0)
-    p, u = (rng.random((200, 5)) < q for q in (0.5, 0.3))
-    p, u = p.astype(np.float32), u.astype(np.float32)
-    p[:, 0], u[:, 0] = 1, rng.random(200) < 0.3
-    w, b = toxicity.nn_pu(p, u, 0.3)
-    score = lambda x: 1 / (1 + np.exp(-(x @ w + b)))
-    assert w[0] == w.max() and score(p).mean() > 0.6 > 0.4 > score(u[u[:, 0] == 0]).mean()
+def test_bound_on_labelled_rows_is_exact_whatever_repeats(spark):
+    """A labelled id with half of all rows, equal ones and others: at most the bound, of least hash, in any order of rows."""
+    rows = [(7, f"vermin {k % 400}" if k % 2 else "vermin same") for k in range(2000)] + [(k, f"text {k}") for k in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    picked = docs.selectExpr("doc_id", "text", "xxhash64(doc_id, text, 2) pick")
+    want = [r["text"] for r in picked.orderBy("pick").limit(50).collect()]
+    for parts in (1, 5):
+        got = toxicity._told(picked.repartition(parts), 50)
+        assert [x.tolist() for x in got] == [toxicity.features(pa.array([t]))[1].tolist() for t in want]
+
+
+def test_products_cover_all_rows(spark, odd, monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 40)
+    texts = [r[1] for r in ROWS]
+    each = [set(toxicity.features(pa.array([t], pa.string()))[1].tolist()) for t in texts]
+    every = sorted(set().union(*each))
+    wanted = np.zeros(1 << toxicity.HASH_BITS, bool)
+    wanted[every[::3]] = True
+    n, rows = toxicity.frequencies(odd, wanted)
+    assert rows == len(ROWS) and {h: int(n[h]) for h in np.flatnonzero(n)} == {h: sum(h in x for x in each) for h in every[::3]}
+    column = np.full(1 << toxicity.HASH_BITS, -1, np.int16)
+    column[every[:40]] = np.arange(40)
+    got = toxicity.products(odd, column, 40)
+    assert got.tolist() == [[float(sum(a in x and b in x for x in each)) for b in every[:40]] for a in every[:40]]
+
+
+def pu_risk(w, b, positive, unlabelled, prior, clip=True):
+    f, g = positive @ w + b, unlabelled @ w + b
+    negative = ((1 + g) ** 2).mean() - prior * ((1 + f) ** 2).mean()
+    return prior * ((1 - f) ** 2).mean() + (max(0.0, negative) if clip else negative) + toxicity.RIDGE * w @ w, negative
+
+
+@pytest.mark.parametrize(("n", "d", "prior", "seed"), [(200, 5, 0.3, 0), (12, 30, 0.2, 1), (40, 60, 0.05, 2), (5, 3, 0.9, 3)])
+def test_least_non_negative_risk(n, d, prior, seed):
+    """No step in any direction lowers the risk; where few positives would drive it below zero, it is held at zero."""
+    rng = np.random.default_rng(seed)
+    p = (rng.random((n, d)) < 0.5).astype(np.float32)
+    u = (rng.random((400, d)) < 0.3).astype(np.float32)
+    p[:, 0] = 1
+    w, b = toxicity.nn_pu(p, (u.T @ u).astype(float) / len(u), prior)
+    least, negative = pu_risk(w, b, p, u, prior)
+    assert negative > -1e-6
+    for _ in range(300):
+        step = rng.normal(0, 10.0 ** rng.integers(-5, 0), d + 1)
+        assert pu_risk(w + step[:-1], b + step[-1], p, u, prior)[0] >= least - 1e-6
+    if negative > 1e-3:  # the correction isn't at work: the gradient is zero
+        grad = [(pu_risk(w + e[:-1], b + e[-1], p, u, prior)[0] - pu_risk(w - e[:-1], b - e[-1], p, u, prior)[0]) / 2e-4 for e in np.eye(d + 1) * 1e-4]
+        assert np.abs(grad).max() < 1e-4
+    assert (p @ w + b).mean() > (u[u[:, 0] == 0] @ w + b).mean()
+
+
+def test_toxicity_with_few_labels(spark, corpus):
+    for ids in ([0], [0, 5], [0, 5, 10]):
+        labels = spark.createDataFrame([(k, 1) for k in ids], "doc_id long, toxic int")
+        got = [r["score"] for r in toxicity.score(corpus, toxicity.learn(corpus, labels)).collect()]
+        assert len(got) == 450 and all(0 <= x <= 1 for x in got)
 
 
 def test_word_features_are_distinct_and_caseless():
