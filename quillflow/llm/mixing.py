@@ -1,14 +1,19 @@
 """Mix sources to target weights by hash-threshold histograms, without sorting documents.
 
-Each document gets a 60-bit hash of its id. A source's budget is met by a threshold on that hash:
-sizes are summed by (source, bucket of the hash's first bits), the running sum over buckets names
-the bucket in which the budget is crossed, and only that boundary bucket is refined by the next
-bits. Below the threshold a document is taken once more than above. Thresholds of a larger budget
-keep all that a smaller one takes, so mixes nest. DataFrame operations only.
-
-Nulls and edges: a null text has size 0; a null source is a source of its own, last in order; a
-null id hashes as the empty text. Rows that share an id share a hash and are taken alike. A source
-without words has target 0. An empty table gives an empty result. Other columns pass through.
+Each row gets a 60-bit hash of its id and text, and of its number among equal rows of its source. A
+source's budget is met by a threshold on that hash: sizes are summed by (source, bucket of the hash's
+first bits), the running sum over buckets names the bucket in which the budget is crossed, and only
+that boundary bucket is refined by the next bits. Below the threshold a row is taken once more than
+above. Thresholds of a larger budget keep all that a smaller one takes, so mixes nest. DataFrame
+operations only.
+
+Rows are numbered by the part of the table that they lie in, so equal rows meet in one place only so
+far as one part holds them; which of equal rows has which number makes no difference.
+
+Nulls and edges: a null text has size 0 and counts as empty; a null source is a source of its own,
+last in order; a null id hashes as the empty text. Rows that share an id, or have none, are taken each
+for itself. A source without words has target 0. An empty table gives an empty result. A text of any
+length is one row of fixed width after it is hashed and counted. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -34,9 +39,26 @@ def n_words(text: Column) -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(0)).otherwise(F.regexp_count(trimmed, F.lit(WORD_GAP)) + 1).cast("long")
 
 
-def id_hash(key: Column) -> Column:
-    """60 bits of md5 of the id's decimal text."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def _bits(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def row_hash(key: Column, text: Column) -> Column:
+    """60 bits of md5 of the id's decimal text and the text's md5."""
+    return _bits(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (source, h, part) with hash: h for the first of equal rows, bits of h and the row's number for the others."""
+    own, among = W.partitionBy("source", "h", "part"), W.partitionBy("source", "h").orderBy("part")
+    counts = rows.groupBy("source", "h", "part").agg(F.count(F.lit(1)).alias("_n"))
+    later = counts.withColumn("_base", F.sum("_n").over(among) - F.col("_n")).where("_base > 0")
+    later = later.select(F.col("source").alias("_s"), F.col("h").alias("_h"), F.col("part").alias("_p"), "_base")
+    local = rows.withColumn("_k", F.row_number().over(own.orderBy("part")) - 1)
+    joined = local.join(later, F.col("source").eqNullSafe(F.col("_s")) & (F.col("h") == F.col("_h")) & (F.col("part") == F.col("_p")), "left")
+    number = F.col("_k") + F.coalesce("_base", F.lit(0))
+    hashed = F.when(number == 0, F.col("h")).otherwise(_bits(F.concat_ws("|", F.col("h").cast("string"), number.cast("string"))))
+    return joined.withColumn("hash", hashed).drop("_k", "_base", "_s", "_h", "_p")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -86,22 +108,32 @@ def thresholds(sized: DataFrame, wanted: DataFrame, bits: tuple[int, ...] = LEVE
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    return staged(sized.withColumn("hash", id_hash(F.col("doc_id"))), "mix-sizes")
-
-
-def limits(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The thresholds of docs' sources, a row for each source."""
-    sized = _sized(docs, key, text, source)
-    return thresholds(sized, targets(sized, weights))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), row_hash(F.col(key), F.col(text)).alias("h"), F.spark_partition_id().alias("part"))
+    return staged(numbered(staged(rows, "mix-rows")), "mix-sizes")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row."""
+    """doc_id, source, size, source_size, target, copies, h, hash of every row."""
     sized = _sized(docs, key, text, source)
     cuts = thresholds(sized, targets(sized, weights)).withColumnRenamed("source", "s")
     copies = F.col("repeats") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return sized.join(cuts, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "hash", "source_size", "target", copies.alias("copies"))
+    return sized.join(cuts, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "h", "hash", "source_size", "target", "repeats", "threshold", copies.alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs' rows, each as often as the mix takes it. Only rows that have equals are shuffled with their texts."""
+    names = docs.columns
+    sized = _sized(docs, key, text, source)
+    cuts = staged(thresholds(sized, targets(sized, weights)), "mix-cuts").select(F.col("source").alias("_cut"), "repeats", "threshold")
+    several = staged(sized.groupBy("source", "h").count().where("count > 1"), "mix-several").select(F.col("source").alias("_several"), F.col("h").alias("_h"))
+    marked = docs.select("*", F.col(source).alias("_source"), row_hash(F.col(key), F.col(text)).alias("_own"), F.spark_partition_id().alias("_part"))
+    apart = F.col("_source").eqNullSafe(F.col("_several")) & (F.col("_own") == F.col("_h"))
+    alone = marked.join(several, apart, "left_anti").withColumn("_hash", F.col("_own"))
+    equal = marked.join(several, apart, "left_semi").select(F.struct(*names).alias("_row"), F.col("_source").alias("source"), F.col("_own").alias("h"), F.col("_part").alias("part"))
+    equal = numbered(staged(equal, "mix-equal")).select("_row.*", F.col("source").alias("_source"), F.col("hash").alias("_hash"))
+    rows = alone.select(*names, "_source", "_hash").unionByName(equal).join(cuts, F.col("_source").eqNullSafe(F.col("_cut")))
+    copies = (F.col("repeats") + F.when(F.col("_hash") < F.col("threshold"), 1).otherwise(0)).cast("int")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*names)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +144,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same thresholds in one step: the running sum over the whole hash, cut where it comes nearest.
 OP6_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS hash
-  FROM documents),
+  SELECT doc_id, source, size, CASE WHEN number = 0 THEN h ELSE CAST(('0x' || substr(md5(h || '|' || number), 1, 15)) AS BIGINT) END AS hash
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, h) - 1 AS number FROM (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 15)) AS BIGINT) AS h
+    FROM documents))),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (
   SELECT *, 3 * source_size AS cap,

@@ -43,35 +43,111 @@ def test_codes():
     assert [c[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [[0, 0, 0, 97, 98, 0, 99, 0], [0] * 4, [0] * 4, [0, 0, 0, 233, 0, 120, 0], [0] * 4]
 
 
+def test_letters_beyond_the_basic_planes():
+    texts = ["\U00032000\U00032001 \U000323af", "\U00020000", "𐐀", "12 !?"]
+    c, off = lang_id.codes(pa.array(texts))
+    assert [sorted({int(x) for x in c[a:b] if x}) for a, b in zip(off[:-1], off[1:])] == [[0x32000, 0x32001, 0x323AF], [0x20000], [0x10428], []]
+    letters = [x for x in range(0x110000) if chr(x).isalpha()]
+    table = lang_id.code_table()
+    assert (table[letters] != 0).all() and (table != 0).sum() == len(letters)
+    assert all(table[x] == (ord(chr(x).lower()) if len(chr(x).lower()) == 1 else x) for x in letters)
+
+
 def test_hash_array():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**60, 5000).astype(np.uint64))
-    array, union = lang_id._merged([keys[:3000], keys[2000:]])
+    array, at = lang_id._merged([keys[:3000], keys[2000:]])
+    union = np.concatenate([keys[:3000], keys[2000:]])[at]
     assert (union[array.find(keys)] == keys).all() and (array.find(keys[:50] + np.uint64(1)) == -1).sum() >= 49
 
 
-def test_model_is_a_distribution_with_kneser_ney_estimates():
-    texts = {"a": ["the thing then", "that"], "b": ["der den dem", "die"]}
-    counts = {}
-    for k, v in texts.items():
-        c, off = lang_id.codes(pa.array(v))
-        g, n = np.unique(lang_id.keys(c, 4)[lang_id.events(off, len(c))], return_counts=True)
-        counts[k] = (g, n)
-    model = lang_id.build_model(counts)
+class PlainKneserNey:
+    """Interpolated Kneser-Ney over tuples in dictionaries, one character at a time."""
+
+    def __init__(self, texts):
+        self.levels, grams = {}, collections.Counter()
+        for t in texts:
+            chars = self.chars(t)
+            for i in range(3, len(chars)):
+                grams[tuple(chars[i - 3 : i + 1])] += 1
+        for order in (4, 3, 2, 1):
+            once, twice = (sum(n == k for n in grams.values()) for k in (1, 2))
+            self.levels[order] = (grams, once / (once + 2 * twice) if once and twice else 0.5)
+            grams = collections.Counter(g[1:] for g in grams)
+
+    @staticmethod
+    def chars(text):
+        found = [0, 0, 0]
+        for c in text:
+            c = (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 0
+            if c or found[-1]:
+                found.append(c)
+        return [*found, 0] if len(found) > 3 else [0, 0, 0, 0]
+
+    def prob(self, gram):
+        if not gram:
+            return 1 / lang_id.alphabet()
+        grams, d = self.levels[len(gram)]
+        same = [n for g, n in grams.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return self.prob(gram[1:])
+        return max(grams[gram] - d, 0) / sum(same) + d * len(same) / sum(same) * self.prob(gram[1:])
+
+    def entropy(self, text):
+        chars = self.chars(text)
+        return -sum(math.log(self.prob(tuple(chars[i - 3 : i + 1]))) for i in range(3, len(chars))) / (len(chars) - 3)
+
+
+def built(texts):
+    return lang_id.build_block({k: lang_id._tuples(*lang_id.codes(pa.array(v))) for k, v in texts.items()})
+
+
+@pytest.mark.parametrize("at_once", [7, 1 << 18])
+def test_cross_entropies_against_plain_kneser_ney(monkeypatch, at_once):
+    monkeypatch.setattr(lang_id, "EVENTS", at_once)
+    texts = {"a": ["the thing then", "that  other", "THE", "the \U00032000 x"], "b": ["der den dem", "die Ümläute"], "c": ["12 34", "και το"]}
+    plain = {k: PlainKneserNey(v) for k, v in texts.items()}
+    asked = ["then", "dem the", "Ω", "ünd \U00032000\U00032001", "zzz και", "The, der.", "x" * 50]
+    model = lang_id.Model(sorted(texts), [built({k: v}) for k, v in texts.items()], np.tile([0.0, 1.0, 0.0, np.inf], (3, 1)))
+    c, off = lang_id.codes(pa.array(asked))
+    n = lang_id.predicted(c, off)
+    want = np.array([[plain[k].entropy(t) for k in sorted(texts)] for t in asked])
+    assert -built(texts).sums(c, off) / n[:, None] == pytest.approx(want, rel=1e-4)
+    for one in (model, lang_id.Model(sorted(texts), [built(texts)], model.limits)):  # blocks of one language, and one block
+        lang, score, far = one.predict(pa.array(asked))
+        assert lang.tolist() == [sorted(texts)[k] for k in want.argmin(axis=1)] and not far.any()
+        gaps = (want - want.min(axis=1, keepdims=True)) * np.minimum(n, lang_id.SCORE_CHARS)[:, None]
+        assert score == pytest.approx(1 / np.exp(-gaps).sum(axis=1), rel=1e-3)
+
+
+def test_model_is_a_distribution():
+    model = built({"a": ["the thing then", "that"], "b": ["der den dem", "die"]})
+    letters = np.unique(lang_id.code_table())
     for context in ((0, 0, 0), (116, 104, 101), (122, 122, 122), (100, 101, 114)):
-        every = np.array([[*context, x] for x in range(4096)]).ravel()
-        mask = np.tile([False, False, False, True], 4096)
-        assert np.exp(model.log_probs(every, mask).astype(float)).sum(axis=0) == pytest.approx([1, 1], abs=1e-4)
-    # the longest order by hand: one discount over the count of its context
-    c, off = lang_id.codes(pa.array(texts["a"]))
-    grams = collections.Counter(tuple(c[i - 3 : i + 1]) for i in np.flatnonzero(lang_id.events(off, len(c))))
-    one = lang_id._Language(*counts["a"])
-    d = one.levels[4][5]
-    ctx = (116, 104, 101)
-    total = sum(n for g, n in grams.items() if g[:3] == ctx)
-    kinds = sum(g[:3] == ctx for g in grams)
-    key = np.array([sum(x << 12 * (3 - i) for i, x in enumerate((*ctx, 110)))], np.uint64)
-    lower = one.prob(key & np.uint64(2**36 - 1), 3)[0]
-    assert one.prob(key, 4)[0] == pytest.approx((grams[(*ctx, 110)] - d) / total + d * kinds / total * lower)
+        every = np.array([[*context, x] for x in letters], np.uint32).ravel()
+        assert np.exp(model.log_probs(every, np.arange(3, len(every), 4)).astype(float)).sum(axis=0) == pytest.approx([1, 1], abs=1e-4)
+
+
+def test_any_number_of_languages(spark, corpus, monkeypatch):
+    """Blocks in memory and in files give what one block gives, and there may be any number of them."""
+    rows = corpus.select("doc_id", "text", "lang")
+    asked = corpus.limit(60).select("doc_id", "text")
+    want = {r["doc_id"]: r for r in lang_id.identify(asked, lang_id.learn(rows)).collect()}
+    for block, held in ((1, 4), (1, 1), (2, 1)):
+        monkeypatch.setattr(lang_id, "BLOCK", block)
+        monkeypatch.setattr(lang_id, "BLOCKS_HELD", held)
+        for r in lang_id.identify(asked, lang_id.learn(rows)).collect():
+            assert (r["lang_pred"], r["rejected"]) == (want[r["doc_id"]]["lang_pred"], want[r["doc_id"]]["rejected"]) and r["score"] == pytest.approx(want[r["doc_id"]]["score"], rel=1e-3)
+    monkeypatch.undo()
+    many = rows.unionByName(spark.range(130).selectExpr("id + 10000 doc_id", "concat('abc', id) text", "concat('zz', id) lang"))
+    model = lang_id.learn(many)
+    assert len(model.languages) == 133 and len(model.blocks) == 9 and all(isinstance(x, str) for x in model.blocks)
+    assert model.predict(pa.array([prose("de", 60, 77)]))[0][0] == "de"
+
+
+def test_hot_ids_do_not_fill_one_window(spark):
+    rows = [(7, "the same thing", "en")] * 300 + [(7, f"other {k}", "en") for k in range(300)] + [(None, "null", "en")] * 300
+    got = lang_id.picked(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50).collect()
+    assert len(got) <= 50 and len({r["text"] for r in got}) == len(got) and sorted(r["place"] for r in got) == list(range(1, len(got) + 1))
 
 
 def test_languages_of_held_out_rows(spark, corpus):
@@ -87,7 +163,7 @@ def test_limits_with_mislabelled_calibration_rows():
     for rows, bad in ((500, 8), (50, 1), (20, 1)):
         h, n = rng.normal(2, 0.1, rows), rng.integers(50, 2000, rows)
         h[rng.choice(rows, bad, replace=False)] = rng.uniform(6, 9, bad)  # other languages, or junk
-        model = lang_id.Model(["en"], {}, {}, np.empty(0), np.array([[0.0, 1.0, 0.0, np.inf]]))
+        model = lang_id.Model(["en"], [], np.array([[0.0, 1.0, 0.0, np.inf]]))
         lang_id.calibrate(model, np.full(rows, "en", object), h, n)
         mean, wide, narrow, most = model.limits[0]
         assert (5 - mean) / math.sqrt(wide + narrow / 1000) > most, (rows, model.limits)  # a text like the junk, and nearer
