@@ -49,10 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    limits = mixing.limits(docs).withColumnRenamed("source", "s")
-    rows = docs.withColumn("hash", mixing.id_hash(F.col("doc_id"))).join(limits, F.col("source").eqNullSafe(F.col("s")))
-    copies = (F.col("repeats") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("int")
-    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*COLUMNS)
+    return mixing.mixed_rows(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
