@@ -19,8 +19,9 @@ over classes. Other columns are ignored.
 
 from __future__ import annotations
 
+import collections
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +37,12 @@ STATES, CLASSES = 8, 4096
 PASSES = 15
 #: Tokens of a text that is gone through at one stretch, and of the segments of a longer one; tokens handled at once.
 LONG, SEGMENT, TOKENS_AT_ONCE = 4096, 256, 600_000
+#: Segments of one text that its score takes at once.
+SEGMENTS_AT_ONCE = 4096
+#: Steps after which training's forward sums are scaled to one again; they shrink by the least ratio between states at each.
+RESCALED = 4
 #: Bytes of classes (two a token) among which texts of like length are handled together.
-POOL_BYTES = 8 << 20
+POOL_BYTES = 16 << 20
 #: Input bytes for each bucket of words.
 BUCKET_BYTES = 16 << 20
 SMOOTH = 0.05
@@ -199,26 +204,30 @@ class Model:
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def _by_time(lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences side by side, longest first: codes by time, step starts, active sequences, ranks, and times."""
+def _ranks(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences side by side, longest first: their order, and where each step starts and how many it has."""
     order = np.argsort(-lengths, kind="stable")
+    active = len(lengths) - np.searchsorted(lengths[order[::-1]], np.arange(int(lengths.max(initial=0))), side="right")
+    return order, np.concatenate([[0], np.cumsum(active)]), active
+
+
+def _by_time(lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The codes of all sequences step by step, in the order of _ranks."""
+    order, starts, _ = _ranks(lengths)
     rank = np.empty(len(lengths), np.int64)
     rank[order] = np.arange(len(lengths))
-    active = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(int(lengths.max())), side="right")
-    starts = np.concatenate([[0], np.cumsum(active)])
-    row = np.repeat(np.arange(len(lengths)), lengths)
     time = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out = np.empty(len(codes), np.int64)
-    at = starts[time] + rank[row]
-    out[at] = codes
-    return out, starts, active, order, at
+    out = np.empty_like(codes)
+    out[starts[time] + np.repeat(rank, lengths)] = codes
+    return out
 
 
 def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
     """Places of sequences, those of like lengths together, in groups of a bounded number of tokens."""
     order = np.argsort(lengths, kind="stable")
     cut = np.cumsum(lengths[order]) // TOKENS_AT_ONCE
-    yield from np.split(order, np.flatnonzero(cut[1:] != cut[:-1]) + 1)
+    if len(order):
+        yield from np.split(order, np.flatnonzero(cut[1:] != cut[:-1]) + 1)
 
 
 def _picked(codes: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -238,31 +247,23 @@ def _cut_long(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sizes, opens
 
 
-def _transfers(model: Model, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _transfers(model: Model, lengths: np.ndarray, by_time: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each sequence and each state before its first token: the scaled forward row at its end, and the row's log."""
-    by_time, starts, active, order, _ = _by_time(lengths, codes)
+    order, starts, active = _ranks(lengths)
     emit, move, n = np.ascontiguousarray(model.emit.T), model.move, len(lengths)
     rows = np.repeat(np.eye(STATES)[None], n, axis=0)  # sequence, state before, state
-    logs = np.zeros((n, STATES))
+    logs, ones = np.zeros((n, STATES)), np.ones(STATES)
     for t, k in enumerate(active):
         now = emit[by_time[starts[t] : starts[t] + k]][:, None, :]
         rows[:k] = (rows[:k] if t == 0 else rows[:k] @ move) * now
-        scale = rows[:k] @ np.ones(STATES)
-        rows[:k] /= np.maximum(scale, 1e-300)[:, :, None]
-        logs[:k] += np.log(np.maximum(scale, 1e-300))
+        scale = np.maximum(rows[:k] @ ones, 1e-300)
+        rows[:k] /= scale[:, :, None]
+        logs[:k] += np.log(scale)
     back_rows, back_logs = np.empty_like(rows), np.empty_like(logs)
     back_rows[order], back_logs[order] = rows, logs
     return back_rows, back_logs
 
 
-def _all_transfers(model: Model, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    rows, logs = np.empty((len(lengths), STATES, STATES)), np.empty((len(lengths), STATES))
-    for which in _groups(lengths * 4):
-        rows[which], logs[which] = _transfers(model, lengths[which], _picked(codes, bounds, which))
-    return rows, logs
-
-
 def log_likelihoods(model: Model, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """log10 likelihood of each sequence by the scaled forward recursion.
 
@@ -270,30 +271,74 @@ def log_likelihoods(model: Model, lengths: np.ndarray, codes: np.ndarray) -> np.
     before it, and the ends are joined in turn. The result is the same.
     """
     bounds, found = np.concatenate([[0], np.cumsum(lengths)]), np.empty(len(lengths))
-    emit = np.ascontiguousarray(model.emit.T)
-    for which in _groups(np.minimum(lengths, LONG + 1)):
-        short = which[lengths[which] <= LONG]
-        if len(short):
-            by_time, starts, active, order, _ = _by_time(lengths[short], _picked(codes, bounds, short))
-            total, alpha = np.zeros(len(short)), None
-            for t, n in enumerate(active):
-                now = emit[by_time[starts[t] : starts[t] + n]]
-                alpha = model.start * now if alpha is None else (alpha[:n] @ model.move) * now
-                scale = alpha @ np.ones(STATES)
-                alpha /= scale[:, None]
+    most = model.emit.max(axis=0)
+    relative, logs, forth = model.emit / most, np.log(most), model.move.T.copy()
+    short = np.flatnonzero(lengths <= LONG)
+    for group in _groups(lengths[short]):
+        which = short[group]
+        own = _picked(codes, bounds, which)
+        order, starts, active = _ranks(lengths[which])
+        emit, total, alpha = np.take(relative, _by_time(lengths[which], own), axis=1), np.zeros(len(which)), None
+        for t, n in enumerate(active):
+            now = emit[:, starts[t] : starts[t] + n]
+            alpha = model.start[:, None] * now if t == 0 else (forth @ alpha[:, :n]) * now
+            later = active[t + 1] if t + 1 < len(active) else 0
+            if t % RESCALED == 0 or later < n:
+                scale = alpha.sum(axis=0)
+                alpha /= scale
                 total[:n] += np.log(scale)
-            found[short[order]] = total
+        found[which[order]] = total
+        found[which] += np.add.reduceat(logs[own], np.cumsum(lengths[which]) - lengths[which])
     for k in np.flatnonzero(lengths > LONG):
         sizes, _ = _cut_long(lengths[k : k + 1])
-        before, total = model.start, 0.0
-        for row, log in zip(*_all_transfers(model, sizes, codes[bounds[k] : bounds[k + 1]])):
-            after = (before * np.exp(log - log.max())) @ row
-            total += log.max() + np.log(after.sum())
-            before = (after / after.sum()) @ model.move
+        before, total, at = model.start, 0.0, bounds[k]
+        for a in range(0, len(sizes), SEGMENTS_AT_ONCE):
+            some = sizes[a : a + SEGMENTS_AT_ONCE]
+            for row, log in zip(*_transfers(model, some, _by_time(some, codes[at : at + some.sum()]))):
+                after = (before * np.exp(log - log.max())) @ row
+                total += log.max() + np.log(after.sum())
+                before = (after / after.sum()) @ model.move
+            at += some.sum()
         found[k] = total
     return found / np.log(10)
 
 
+# ---- training
+
+
+@dataclass(frozen=True)
+class Group:
+    """Sequences that training goes through side by side: distinct texts, or segments of long ones, with their codes by time.
+
+    opens: whether a sequence begins a text. weights: how many texts are equal to the one it belongs to.
+    """
+
+    sizes: np.ndarray
+    opens: np.ndarray
+    weights: np.ndarray
+    codes: np.ndarray
+
+    def to_batch(self) -> pa.RecordBatch:
+        return pa.record_batch({k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(("sizes", "opens", "weights", "codes"), (self.sizes.astype("<i4"), self.opens, self.weights.astype("<i8"), self.codes.astype("<u2")))})
+
+    @classmethod
+    def from_row(cls, sizes: bytes, opens: bytes, weights: bytes, codes: bytes) -> Group:
+        return cls(np.frombuffer(sizes, "<i4").astype(np.int64), np.frombuffer(opens, bool), np.frombuffer(weights, "<i8"), np.frombuffer(codes, "<u2"))
+
+
+def arranged(texts: list[bytes]) -> Iterator[Group]:
+    """Groups of texts' classes (two bytes a token); equal texts are one."""
+    counts = collections.Counter(texts)
+    kinds = list(counts)
+    lengths = np.array([len(x) // 2 for x in kinds], np.int64)
+    for some in (np.flatnonzero(lengths <= LONG), np.flatnonzero(lengths > LONG)):
+        for group in _groups(lengths[some]):
+            which = some[group]
+            sizes, opens = _cut_long(lengths[which])
+            weights = np.array([counts[kinds[k]] for k in which])[np.cumsum(opens) - 1]
+            yield Group(sizes, opens, weights, _by_time(sizes, np.frombuffer(b"".join([kinds[k] for k in which]), "<u2")))
+
+
 def _entries(model: Model, rows: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each segment of one text: the states before its first token, and what follows its last one (to scale)."""
     n = len(rows)
@@ -310,26 +355,30 @@ def _entries(model: Model, rows: np.ndarray, logs: np.ndarray) -> tuple[np.ndarr
     return before, after
 
 
-def _forward_backward(model: Model, lengths: np.ndarray, codes: np.ndarray, before: np.ndarray, after: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _forward_backward(model: Model, active: np.ndarray, by_time: np.ndarray, before: np.ndarray, after: np.ndarray, weights: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Add to sums (moves within sequences, emissions); states at the first tokens, and what joins sequences of one text.
 
-    before: states ahead of each first token; after: what follows each last token, to scale.
+    All by rank. before: states ahead of each first token; after: what follows each last token, to scale.
+    Weights come in with what follows, which all that is expected is proportional to.
     """
-    by_time, starts, active, order, _ = _by_time(lengths, codes)
-    emit, move = np.take(model.emit.astype(np.float32), by_time, axis=1), model.move.astype(np.float32)
-    alpha, beta, scale, forth = np.empty_like(emit), np.empty_like(emit), np.empty(len(by_time), np.float32), move.T.copy()
-    ranked = np.arange(len(lengths))
-    ends = starts[lengths[order] - 1] + ranked
+    starts, n_all = np.concatenate([[0], np.cumsum(active)]), active[0]
+    # a class's share in the likeliest state is taken as 1: what states a token may have depends on the ratios alone
+    emit, move = np.take((model.emit / model.emit.max(axis=0)).astype(np.float32), by_time, axis=1), model.move.astype(np.float32)
+    alpha, beta, forth = np.empty_like(emit), np.empty_like(emit), move.T.copy()
+    x, last = before.astype(np.float32), np.empty((STATES, n_all), np.float32)
     for t, n in enumerate(active):
         a, b = starts[t], starts[t] + n
-        x = before[:, order].astype(np.float32) if t == 0 else forth @ alpha[:, starts[t - 1] : starts[t - 1] + n]
-        x *= emit[:, a:b]
-        scale[a:b] = x.sum(axis=0)
-        np.divide(x, scale[a:b], out=alpha[:, a:b])
-    emit /= scale
-    last = alpha[:, ends]
-    follow = after[:, order].astype(np.float32)
-    follow /= (last * follow).sum(axis=0)
+        if t:
+            x = forth @ alpha[:, starts[t - 1] : starts[t - 1] + n]
+        now = np.multiply(x, emit[:, a:b], out=alpha[:, a:b])
+        if t % RESCALED == 0:
+            scale = now.sum(axis=0)
+            now /= scale
+            emit[:, a:b] /= scale
+        later = active[t + 1] if t + 1 < len(active) else 0
+        last[:, later:n] = now[:, later:]
+    follow = after.astype(np.float32)
+    follow *= weights / (last * follow).sum(axis=0)
     moves = np.zeros((STATES, STATES))
     for t in range(len(active) - 1, -1, -1):
         a, n, later = starts[t], active[t], active[t + 1] if t + 1 < len(active) else 0
@@ -340,72 +389,81 @@ def _forward_backward(model: Model, lengths: np.ndarray, codes: np.ndarray, befo
             x *= beta[:, c : c + later]
             beta[:, a : a + later] = move @ x
             moves += alpha[:, a : a + later] @ x.T
-    first = emit[:, : active[0]] * beta[:, : active[0]]
+    first = emit[:, :n_all] * beta[:, :n_all]
     beta *= alpha
     sums[0][:] += model.move * moves
     for k in range(STATES):
         sums[1][k] += np.bincount(by_time, beta[k], CLASSES)
-    opening, joining, ending = (np.empty((STATES, len(lengths))) for _ in range(3))
-    opening[:, order], joining[:, order], ending[:, order] = beta[:, : active[0]], first, last
-    return opening, joining, ending
-
-
-def expected_counts(model: Model, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return beta[:, :n_all], first, last / last.sum(axis=0)
+
+
+def group_counts(model: Model, group: Group, sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """Add a group's expected starts, moves and emissions to sums."""
+    start, moves, emitted = sums
+    order, starts, active = _ranks(group.sizes)
+    before, after = np.repeat(model.start[:, None], len(order), axis=1), np.ones((STATES, len(order)))
+    several = not group.opens.all()
+    if several:
+        rows, logs = _transfers(model, group.sizes, group.codes)
+        firsts = np.append(np.flatnonzero(group.opens), len(order))
+        for a, b in zip(firsts[:-1], firsts[1:]):
+            before[:, a:b], after[:, a:b] = _entries(model, rows[a:b], logs[a:b])
+    joining, ending = np.empty((2, STATES, len(order)))
+    step = max(1, TOKENS_AT_ONCE // len(active)) if several else len(order)
+    for a in range(0, len(order), step):
+        b = min(len(order), a + step)
+        here = np.minimum(active, b) - a
+        here = here[here > 0]
+        codes = group.codes if b - a == len(order) else np.concatenate([group.codes[starts[t] + a : starts[t] + a + n] for t, n in enumerate(here)])
+        own = order[a:b]
+        opening, joining[:, own], ending[:, own] = _forward_backward(model, here, codes, before[:, own], after[:, own], group.weights[own], (moves, emitted))
+        start += opening[:, group.opens[own]].sum(axis=1)
+    if several:
+        inner = np.flatnonzero(~group.opens)
+        moves += model.move * (ending[:, inner - 1] @ joining[:, inner].T)
+
+
+def expected_counts(model: Model, texts: Iterable[Group]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch sums of starts, moves and emissions over whole texts.
 
-    Texts over LONG tokens are gone through in segments, whose states ahead and sequels are found first.
-    Nothing is cut: the sums are those of one run through each text.
+    Long texts are gone through in segments, whose states ahead and sequels are found first. Nothing is
+    cut: the sums are those of one run through each text.
     """
-    start, moves, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
-    sizes, opens = _cut_long(lengths)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    before, after = np.repeat(model.start[:, None], len(sizes), axis=1), np.ones((STATES, len(sizes)))
-    firsts = np.append(np.flatnonzero(opens), len(sizes))
-    if len(several := np.flatnonzero(np.diff(firsts) > 1)):
-        which = np.concatenate([np.arange(firsts[k], firsts[k + 1]) for k in several])
-        rows, logs = _all_transfers(model, sizes[which], _picked(codes, bounds, which))
-        at = 0
-        for a, b in zip(firsts[several], firsts[several + 1]):
-            before[:, a:b], after[:, a:b] = _entries(model, rows[at : at + b - a], logs[at : at + b - a])
-            at += b - a
-    joining, ending = np.empty((2, STATES, len(sizes)))
-    for which in _groups(sizes):
-        opening, joining[:, which], ending[:, which] = _forward_backward(model, sizes[which], _picked(codes, bounds, which), before[:, which], after[:, which], (moves, emitted))
-        start += opening[:, opens[which]].sum(axis=1)
-    inner = np.flatnonzero(~opens)
-    moves += model.move * (ending[:, inner - 1] @ joining[:, inner].T)
-    return start, moves, emitted
-
-
-def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """Texts' classes, POOL_BYTES of them at a time: among many texts more are of like length."""
-    held, size = [], 0
-    for batch in batches:
-        for x in batch.column("classes").to_pylist():
-            held.append(x)
-            size += len(x)
-            if size >= POOL_BYTES:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def baum_welch(model: Model, training: DataFrame) -> Model:
-    """One step over all texts of training (classes). Sums of states * classes come to the driver."""
-    shared = training.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    sums = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
+    for group in texts:
+        group_counts(model, group, sums)
+    return sums
+
+
+def arrange(training: DataFrame) -> DataFrame:
+    """Groups of all texts of training (classes), POOL_BYTES of them at a time, for every pass to read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for x in batch.column("classes").to_pylist():
+                held.append(x)
+                size += len(x)
+                if size >= POOL_BYTES:
+                    yield from (g.to_batch() for g in arranged(held))
+                    held, size = [], 0
+        yield from (g.to_batch() for g in arranged(held))
+
+    return training.select("classes").mapInArrow(trimmed(run), "sizes binary, opens binary, weights binary, codes binary")
+
+
+def baum_welch(model: Model, groups: DataFrame) -> Model:
+    """One step over all groups. Sums of states * classes come to the driver."""
+    shared = groups.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
-        for blobs in _pooled(batches):
-            lengths = np.array([len(x) // 2 for x in blobs])
-            for total, x in zip((start, move, emit), expected_counts(shared.value, lengths, np.frombuffer(b"".join(blobs), "<u2"))):
-                total += x
-        flat = np.concatenate([start, move.ravel(), emit.ravel()])
+        rows = (Group.from_row(*(batch.column(c)[k].as_py() for c in ("sizes", "opens", "weights", "codes"))) for batch in batches for k in range(batch.num_rows))
+        flat = np.concatenate([x.ravel() for x in expected_counts(shared.value, rows)])
         some = np.flatnonzero(flat)
         yield pa.record_batch({"k": some, "x": flat[some]})
 
-    sums = training.select("classes").mapInArrow(trimmed(run), "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).toArrow()
+    sums = groups.select("sizes", "opens", "weights", "codes").mapInArrow(trimmed(run), "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).toArrow()
     flat = np.zeros(STATES + STATES * STATES + STATES * CLASSES)
     flat[sums.column("k").to_numpy()] = sums.column("x").to_numpy()
     a, b = STATES, STATES + STATES * STATES
@@ -419,9 +477,9 @@ def train(rows: DataFrame, t: Totals) -> Model:
     model = Model.first(classes)
     if not t.texts:
         return model
-    training = rows.where("train")
+    groups = staged(arrange(rows.where("train")), "hmm-training")
     for _ in range(PASSES):
-        model = baum_welch(model, training)
+        model = baum_welch(model, groups)
     return model
 
 

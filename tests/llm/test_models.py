@@ -296,6 +296,11 @@ def test_word_features_are_distinct_and_caseless():
 # ---- language model
 
 
+def groups_of(lengths, codes):
+    ends = np.cumsum(lengths)
+    return hmm.arranged([codes[b - n : b].astype("<u2").tobytes() for n, b in zip(lengths, ends)])
+
+
 def test_forward_and_backward_against_all_paths():
     rng = np.random.default_rng(3)
     m = hmm.Model.first(rng.random(hmm.CLASSES) * 10)
@@ -312,7 +317,7 @@ def test_forward_and_backward_against_all_paths():
                 emits[q[t], s[t]] += x
                 if t:
                     moves[q[t - 1], q[t]] += x
-    a, b, c = hmm.expected_counts(m, sizes, codes)
+    a, b, c = hmm.expected_counts(m, groups_of(sizes, codes))
     assert a == pytest.approx(starts, abs=1e-4) and b == pytest.approx(moves, abs=1e-4) and c == pytest.approx(emits, abs=1e-4)
 
 
@@ -341,10 +346,11 @@ def test_whole_texts_whatever_the_segments(monkeypatch, long_, segment, at_once)
     rng = np.random.default_rng(4)
     m = hmm.Model.first(rng.random(hmm.CLASSES) * 10)
     seqs = [rng.integers(0, 60, n) for n in (1, 300, 2, 51, 10, 11, 24, 25, 26, 97, 4, 12, 1000)]
+    seqs += [seqs[1], seqs[2], seqs[1], seqs[4]]  # equal texts each count
     sizes, codes = np.array([len(s) for s in seqs]), np.concatenate(seqs)
     want = [plain_forward_backward(m, s) for s in seqs]
     assert hmm.log_likelihoods(m, sizes, codes) == pytest.approx([w[3] for w in want])
-    for got, k in zip(hmm.expected_counts(m, sizes, codes), range(3)):
+    for got, k in zip(hmm.expected_counts(m, groups_of(sizes, codes)), range(3)):
         assert got == pytest.approx(sum(w[k] for w in want), rel=2e-4, abs=2e-4)
 
 
@@ -356,7 +362,7 @@ def test_training_raises_the_likelihood():
     for _ in range(8):
         now = hmm.log_likelihoods(m, sizes, codes).sum()
         assert now > last - 1e-6 * abs(now)
-        last, m = now, hmm.Model.from_counts(*hmm.expected_counts(m, sizes, codes))
+        last, m = now, hmm.Model.from_counts(*hmm.expected_counts(m, groups_of(sizes, codes)))
 
 
 def test_every_pass_sees_all_training_texts(spark):
@@ -372,7 +378,7 @@ def test_every_pass_sees_all_training_texts(spark):
     want = hmm.Model.first(classes)
     lengths, codes = np.full(6000, 4), np.frombuffer(b"".join(blobs), "<u2").astype(np.int64)
     for _ in range(15):
-        want = hmm.Model.from_counts(*hmm.expected_counts(want, lengths, codes))
+        want = hmm.Model.from_counts(*hmm.expected_counts(want, groups_of(lengths, codes)))
     assert hmm.log_likelihoods(got, lengths, codes) == pytest.approx(hmm.log_likelihoods(want, lengths, codes), abs=2e-3)
 
 
