@@ -361,35 +361,36 @@ def _forward_backward(model: Model, active: np.ndarray, by_time: np.ndarray, bef
     All by rank. before: states ahead of each first token; after: what follows each last token, to scale.
     Weights come in with what follows, which all that is expected is proportional to.
     """
-    starts, n_all = np.concatenate([[0], np.cumsum(active)]), active[0]
+    n_all, steps = int(active[0]), active.tolist()
+    starts = np.concatenate([[0], np.cumsum(active)]).tolist()
     # a class's share in the likeliest state is taken as 1: what states a token may have depends on the ratios alone
     emit, move = np.take((model.emit / model.emit.max(axis=0)).astype(np.float32), by_time, axis=1), model.move.astype(np.float32)
     alpha, beta, forth = np.empty_like(emit), np.empty_like(emit), move.T.copy()
-    x, last = before.astype(np.float32), np.empty((STATES, n_all), np.float32)
-    for t, n in enumerate(active):
-        a, b = starts[t], starts[t] + n
-        if t:
-            x = forth @ alpha[:, starts[t - 1] : starts[t - 1] + n]
-        now = np.multiply(x, emit[:, a:b], out=alpha[:, a:b])
+    now, last = before.astype(np.float32), np.empty((STATES, n_all), np.float32)
+    for t, (n, a) in enumerate(zip(steps, starts)):
+        if t and n < now.shape[1]:
+            last[:, n : now.shape[1]] = now[:, n:]
+            now = now[:, :n]
+        e = emit[:, a : a + n]
+        now = np.multiply(forth @ now if t else now, e, out=alpha[:, a : a + n])
         if t % RESCALED == 0:
             scale = now.sum(axis=0)
             now /= scale
-            emit[:, a:b] /= scale
-        later = active[t + 1] if t + 1 < len(active) else 0
-        last[:, later:n] = now[:, later:]
+            e /= scale
+    last[:, : now.shape[1]] = now
     follow = after.astype(np.float32)
     follow *= weights / (last * follow).sum(axis=0)
-    moves = np.zeros((STATES, STATES))
-    for t in range(len(active) - 1, -1, -1):
-        a, n, later = starts[t], active[t], active[t + 1] if t + 1 < len(active) else 0
-        beta[:, a + later : a + n] = follow[:, later:n]
+    moves, later, x = np.zeros((STATES, STATES)), 0, None
+    for n, a in zip(steps[::-1], starts[-2::-1]):
+        b = beta[:, a : a + n]
+        if n > later:
+            b[:, later:] = follow[:, later:n]
         if later:
-            c = starts[t + 1]
-            x = emit[:, c : c + later]
-            x *= beta[:, c : c + later]
-            beta[:, a : a + later] = move @ x
+            b[:, :later] = move @ x
             moves += alpha[:, a : a + later] @ x.T
-    first = emit[:, :n_all] * beta[:, :n_all]
+        x, later = emit[:, a : a + n], n
+        x *= b
+    first = emit[:, :n_all].copy()
     beta *= alpha
     sums[0][:] += model.move * moves
     for k in range(STATES):
@@ -477,7 +478,7 @@ def train(rows: DataFrame, t: Totals) -> Model:
     model = Model.first(classes)
     if not t.texts:
         return model
-    groups = staged(arrange(rows.where("train")), "hmm-training")
+    groups = staged(arrange(rows.where("train")), "hmm-training", "snappy")  # read by every pass
     for _ in range(PASSES):
         model = baum_welch(model, groups)
     return model
@@ -506,7 +507,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     chunks = staged(encode(docs, buckets), "hmm-chunks")
     counts = staged(count_words(chunks), "hmm-counts")
     t = totals(chunks, counts)
-    rows = staged(sequences(chunks, counts, t), "hmm-sequences")
+    rows = staged(sequences(chunks, counts, t), "hmm-sequences", "snappy")
     return score(rows, train(rows, t)).withColumn("train_tokens", F.lit(t.tokens).cast("long"))
 
 
