@@ -1,10 +1,15 @@
 """Approximate nearest neighbours by a robust-pruned directed graph in each shard.
 
-Equal vectors count as one with a short list of ids. Distinct vectors are dealt to shards by hash.
-In a shard, greedy searches from a few entry points propose neighbours of each vector, and relaxed
-distance pruning keeps a diverse set of them: the nearest stays, and drops whatever is nearer to it,
-by a factor, than to the vector. Queries go in blocks to every shard, whose graph a beam search
-walks; distances of what is found are computed anew in double precision on the original vectors.
+Equal vectors count as one with a short list of ids. Distinct vectors are dealt to shards by the
+nearest of some centroids, which a bounded sample fixes (SAMPLE vectors of least hash); a centroid
+with more vectors than a shard holds has several shards, by hash. Every vector is indexed. In a shard,
+greedy searches from a few entry points propose neighbours of each vector, and relaxed distance
+pruning keeps a diverse set of them: the nearest stays, and drops whatever is nearer to it, by a
+factor, than to the vector. A query goes to the shards of its nearest centroids, PROBES times the
+square root of all centroids (so to every shard up to PROBES * PROBES of them, and to a falling share
+of more), whose graphs a beam search walks; queries of one centroid come in blocks, so that a shard is
+read once for thousands of them. Distances of what is found are computed anew in double precision on
+the original vectors. Recall is approximate: see README for figures.
 
 Nulls and edges: vectors that are null, empty, zero, or hold null, NaN or infinite components take
 no part, nor do rows with a null id. Vectors of different lengths never meet. Ties go to the smaller
@@ -18,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,9 +32,12 @@ from .common import small_batches, staged, trimmed
 
 #: Vectors of a shard, about; out-neighbours; beam widths when building and searching; pruning's factor.
 SHARD_VECTORS, DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 8192, 32, 64, 96, 1.2
-ENTRIES, AT_ONCE = 16, 256
+#: Entry points of a graph, vectors handled at once, and places of a beam whose neighbours are looked at in one step.
+ENTRIES, AT_ONCE, WIDTH = 16, 256, 4
 #: Distinct query vectors of a block, about.
-QUERY_BLOCK = 512
+QUERY_BLOCK = 4096
+#: Vectors that fix the centroids, at most in expectation; centroids of one length of vectors; centroids that a query visits.
+SAMPLE, MOST_CENTROIDS, PROBES = 65_536, 2048, 4
 
 
 def usable(vector: str, key: str) -> Column:
@@ -46,37 +55,44 @@ def _sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def beam_search(vectors: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and squared distances of up to beam vectors near each query, nearest first; -1 and inf where there are fewer."""
+    """Places and squared distances of up to beam vectors near each query, nearest first; -1 and inf where there are fewer.
+
+    Each step looks at the neighbours of the WIDTH nearest places that weren't looked at yet.
+    """
     q, n = len(queries), len(vectors)
     seen = np.zeros((q, n), bool)
     seen[:, entries] = True
     at = np.full((q, beam), -1, np.int64)
     dist = np.full((q, beam), np.inf, np.float32)
-    done = np.ones((q, beam), bool)
     k = min(beam, len(entries))
     first = _sq(vectors[entries][None], queries[:, None])
-    near = np.argsort(first, axis=1, kind="stable")[:, :k]
-    at[:, :k], dist[:, :k], done[:, :k] = entries[near], np.take_along_axis(first, near, 1), False
+    near = np.argsort(first, axis=1)[:, :k]
+    at[:, :k], dist[:, :k] = entries[near], np.take_along_axis(first, near, 1)
+    todo = dist.copy()  # distances of places to look at; inf for the others
     rows = np.arange(q)
-    while len(rows):
-        pick = (~done[rows]).argmax(axis=1)
-        rows = rows[~done[rows, pick]]
+    while True:
+        rows = rows[np.isfinite(todo[rows].min(axis=1))]
         if not len(rows):
             break
-        pick = (~done[rows]).argmax(axis=1)
-        done[rows, pick] = True
-        new = graph[at[rows, pick]]
-        fresh = (new >= 0) & ~seen[rows[:, None], new]
-        d = _sq(vectors[new], queries[rows][:, None])
-        d[~fresh] = np.inf
-        r, c = np.nonzero(fresh)
-        seen[rows[r], new[r, c]] = True
-        all_d = np.concatenate([dist[rows], d], axis=1)
-        order = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-        dist[rows] = np.take_along_axis(all_d, order, 1)
-        at[rows] = np.take_along_axis(np.concatenate([at[rows], np.where(fresh, new, -1)], axis=1), order, 1)
-        done[rows] = np.take_along_axis(np.concatenate([done[rows], ~fresh], axis=1), order, 1)
-    return at, dist
+        pick = np.argpartition(todo[rows], WIDTH, axis=1)[:, :WIDTH] if beam > WIDTH else np.tile(np.arange(beam), (len(rows), 1))
+        open_ = np.isfinite(np.take_along_axis(todo[rows], pick, 1))
+        todo[rows[:, None], pick] = np.inf
+        new = np.where(open_[:, :, None], graph[at[rows[:, None], pick]], -1).reshape(len(rows), -1)
+        r, c = np.nonzero((new >= 0) & ~seen[rows[:, None], new])
+        place, row = new[r, c], rows[r]
+        # of places that two neighbours name, one
+        _, once = np.unique(row * n + place, return_index=True)
+        r, c, place, row = r[once], c[once], place[once], row[once]
+        seen[row, place] = True
+        d = np.full(new.shape, np.inf, np.float32)
+        d[r, c] = _sq(vectors[place], queries[row])
+        all_d, all_at = np.concatenate([dist[rows], d], axis=1), np.concatenate([at[rows], new], axis=1)
+        all_todo = np.concatenate([todo[rows], d], axis=1)
+        kept = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
+        dist[rows], at[rows], todo[rows] = (np.take_along_axis(x, kept, 1) for x in (all_d, all_at, all_todo))
+    at[~np.isfinite(dist)] = -1
+    order = np.argsort(dist, axis=1)
+    return np.take_along_axis(at, order, 1), np.take_along_axis(dist, order, 1)
 
 
 def robust_prune(vectors: np.ndarray, own: np.ndarray, proposed: np.ndarray, relax: float) -> np.ndarray:
@@ -85,8 +101,10 @@ def robust_prune(vectors: np.ndarray, own: np.ndarray, proposed: np.ndarray, rel
     ordered = np.sort(proposed, axis=1)
     ordered[:, 1:][ordered[:, 1:] == ordered[:, :-1]] = -1
     ordered[ordered == own[:, None]] = -1
-    near = vectors[ordered]
-    d = _sq(near, vectors[own][:, None])
+    near = vectors[ordered] - vectors[own][:, None]  # as seen from the vector: no digits lost to its own length
+    products = near @ near.transpose(0, 2, 1)
+    size = np.einsum("abb->ab", products).copy()
+    d = size.copy()
     d[ordered < 0] = np.inf
     rows = np.arange(len(own))
     for k in range(DEGREE):
@@ -95,7 +113,7 @@ def robust_prune(vectors: np.ndarray, own: np.ndarray, proposed: np.ndarray, rel
         if not live.any():
             break
         out[live, k] = ordered[live, best[live]]
-        between = _sq(near, near[rows, best][:, None])
+        between = size + size[rows, best][:, None] - 2 * products[rows, best]
         d[relax * relax * between <= d] = np.inf
         d[rows, best] = np.inf
     return out
@@ -104,7 +122,8 @@ def robust_prune(vectors: np.ndarray, own: np.ndarray, proposed: np.ndarray, rel
 def build_graph(vectors: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Out-neighbours of every vector (-1: none) and the entry points."""
     n, rng = len(vectors), np.random.default_rng(seed)
-    centre = int(_sq(vectors, vectors.mean(axis=0)[None]).argmin())
+    vectors = vectors - vectors.mean(axis=0)
+    centre = int(np.einsum("ab,ab->a", vectors, vectors).argmin())
     entries = np.unique(np.append(rng.choice(n, min(n, ENTRIES - 1), replace=False), centre))
     graph = np.where(n > 1, rng.integers(0, max(1, n), (n, DEGREE)), -1)
     graph[graph == np.arange(n)[:, None]] = -1
@@ -161,29 +180,110 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     return partial.groupBy("vector").agg(ids.alias("ids")).withColumn("dim", (F.octet_length("vector") / 8).cast("int"))
 
 
-def index(distinct: DataFrame, shards: int) -> DataFrame:
-    """shard, dim, vectors, ids, id_bounds, graph, entries: a row for each shard and length of vectors."""
+def _places(distinct: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """distinct with its centroid; and the centroids by length of vectors, where there are several."""
+    sizes = {r["dim"]: r["count"] for r in distinct.groupBy("dim").count().collect()}  # one row a length
+    total = sum(sizes.values())
+    sample = distinct.where((F.xxhash64("vector") / F.lit(2.0**64) + 0.5) * total <= SAMPLE).select("dim", "vector").toArrow() if max(sizes.values(), default=0) > SHARD_VECTORS else None
+    centroids = {}
+    for dim, n in sizes.items():
+        if n > SHARD_VECTORS:
+            raw = sample.filter(pc.equal(sample.column("dim"), dim)).column("vector").to_pylist()
+            if raw:
+                own = np.frombuffer(b"".join(sorted(raw)), "<f8").reshape(-1, dim).astype(np.float32)
+                centroids[dim] = means(own, min(-(-n // SHARD_VECTORS), MOST_CENTROIDS, len(own)))
+    shared = distinct.sparkSession.sparkContext.broadcast(centroids)  # at most MOST_CENTROIDS of each length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, raw = b.column("dim").to_numpy(), b.column("vector")
+            found = np.zeros(len(dims), np.int32)
+            for dim in np.unique(dims):
+                if dim in shared.value:
+                    which = np.flatnonzero(dims == dim)
+                    vectors = np.frombuffer(b"".join(raw.take(pa.array(which)).to_pylist()), "<f8").reshape(-1, dim).astype(np.float32)
+                    found[which] = nearest_centroids(vectors, shared.value[dim], 1)[:, 0]
+            yield pa.record_batch({c: b.column(c) for c in ("vector", "dim", "ids")} | {"centroid": found})
+
+    return distinct.select("vector", "dim", "ids").mapInArrow(trimmed(run), "vector binary, dim int, ids array<long>, centroid int"), centroids
+
+
+def nearest_centroids(vectors: np.ndarray, centroids: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest centroids of each vector, nearest first."""
+    found = np.empty((len(vectors), k), np.int32)
+    size = np.einsum("ab,ab->a", centroids, centroids)
+    for a in range(0, len(vectors), 4 * AT_ONCE):
+        d = size - 2 * (vectors[a : a + 4 * AT_ONCE] @ centroids.T)
+        found[a : a + 4 * AT_ONCE] = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return found
+
+
+def means(vectors: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """k centroids by Lloyd's rounds; one that nothing is near stays where it is."""
+    centroids = vectors[np.random.default_rng(seed).choice(len(vectors), k, replace=False)].copy()
+    for _ in range(rounds):
+        own = nearest_centroids(vectors, centroids, 1)[:, 0]
+        order = np.argsort(own, kind="stable")
+        which, first = np.unique(own[order], return_index=True)
+        centroids[which] = np.add.reduceat(vectors[order], first, axis=0) / np.diff(np.append(first, len(own)))[:, None]
+    return centroids
+
+
+def index(distinct: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """dim, centroid, vectors, ids, bounds, graph, entries: a row for each shard; and the centroids."""
+    spark = distinct.sparkSession
+    placed, centroids = _places(distinct)
+    placed = staged(placed, "ann-placed")
+    sizes = sorted((r["dim"], r["centroid"], r["count"]) for r in placed.groupBy("dim", "centroid").count().collect())  # one row a centroid
+    rows, number = [], 0
+    for dim, centroid, n in sizes:
+        parts = -(-n // SHARD_VECTORS)
+        rows.append((dim, centroid, number, parts))
+        number += parts
+    numbers = spark.createDataFrame(rows, "dim int, centroid int, first int, parts int")
 
     def build(table: pa.Table) -> pa.Table:
         vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<f8").reshape(table.num_rows, -1)
         graph, entries = build_graph(vectors.astype(np.float32))
         ids = table.column("ids").combine_chunks()
         bounds = np.asarray(ids.offsets) - ids.offsets[0].as_py()
-        row = {"shard": table.column("shard")[0].as_py(), "dim": table.column("dim")[0].as_py(), "vectors": vectors.tobytes(), "ids": ids.flatten().to_numpy().astype("<i8").tobytes(), "bounds": bounds.astype("<i8").tobytes(), "graph": graph.astype("<i4").tobytes(), "entries": entries.astype("<i8").tobytes()}
+        row = {"dim": table.column("dim")[0].as_py(), "centroid": table.column("centroid")[0].as_py(), "vectors": vectors.tobytes(), "ids": ids.flatten().to_numpy().astype("<i8").tobytes(), "bounds": bounds.astype("<i8").tobytes(), "graph": graph.astype("<i4").tobytes(), "entries": entries.astype("<i8").tobytes()}
         return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), (pa.int32(), pa.int32(), *[pa.binary()] * 5))})
 
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, vectors binary, ids binary, bounds binary, graph binary, entries binary")
+    dealt = placed.join(F.broadcast(numbers), ["dim", "centroid"]).withColumn("number", (F.col("first") + F.pmod(F.xxhash64("vector"), F.col("parts"))).cast("int"))
+    built = dealt.select("number", "dim", "centroid", "vector", "ids").repartitionByRange(max(1, number), "number").groupBy("number").applyInArrow(build, "dim int, centroid int, vectors binary, ids binary, bounds binary, graph binary, entries binary")
+    return staged(built, "ann-shards"), centroids
+
+
+def visits(wanted: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
+    """qkey, vector, dim, centroid: a row for each centroid that a query visits."""
+    shared = wanted.sparkSession.sparkContext.broadcast(centroids)  # at most MOST_CENTROIDS of each length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, raw = b.column("dim").to_numpy(), b.column("vector")
+            for dim in np.unique(dims):
+                which, own = np.flatnonzero(dims == dim), shared.value.get(dim)
+                found = np.zeros((len(which), 1), np.int32)
+                if own is not None:
+                    vectors = np.frombuffer(b"".join(raw.take(pa.array(which)).to_pylist()), "<f8").reshape(-1, dim).astype(np.float32)
+                    found = nearest_centroids(vectors, own, min(len(own), int(np.ceil(PROBES * np.sqrt(len(own))))))
+                for a in range(0, len(which), AT_ONCE):
+                    each = np.repeat(which[a : a + AT_ONCE], found.shape[1])
+                    yield pa.record_batch({"qkey": b.column("qkey").take(pa.array(each)), "vector": raw.take(pa.array(each)), "dim": np.full(len(each), dim, np.int32), "centroid": found[a : a + AT_ONCE].ravel()})
+
+    return wanted.select("qkey", "vector", "dim").mapInArrow(trimmed(run), "qkey long, vector binary, dim int, centroid int")
 
 
-def search(shards: DataFrame, wanted: DataFrame, n_shards: int, k: int) -> DataFrame:
-    """qkey, vec_id, score: each shard's k nearest. wanted: qkey, vector, dim, of distinct vectors.
+def search(shards: DataFrame, going: DataFrame, k: int) -> DataFrame:
+    """qkey, vec_id, score: each shard's k nearest. going: qkey, vector, dim, centroid.
 
-    Query blocks are dealt to the shards by number, so that no key has more than one shard's rows.
+    Queries of one centroid are dealt to blocks of about QUERY_BLOCK, so that no group is unbounded.
     """
-    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
-    dealt = wanted.withColumn("block", F.pmod(F.xxhash64("qkey"), F.lit(blocks)).cast("int"))
-    gathered = dealt.groupBy("dim", "block").agg(F.collect_list("qkey").alias("qkeys"), F.collect_list("vector").alias("queries"))  # about QUERY_BLOCK each
+    going = staged(going, "ann-visits")
+    blocks = going.groupBy("dim", "centroid").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))  # one row a centroid
+    dealt = going.join(F.broadcast(blocks), ["dim", "centroid"]).withColumn("block", F.pmod(F.xxhash64("qkey"), F.col("blocks")))
+    gathered = dealt.groupBy("dim", "centroid", "block").agg(F.collect_list("qkey").alias("qkeys"), F.collect_list("vector").alias("queries"))  # about QUERY_BLOCK each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,8 +307,7 @@ def search(shards: DataFrame, wanted: DataFrame, n_shards: int, k: int) -> DataF
                     first = np.arange(len(r)) - np.searchsorted(r, r) < k
                     yield pa.record_batch({"qkey": np.array(row["qkeys"])[a + r[first]], "vec_id": vec[first], "score": score[first]})
 
-    visits = gathered.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    return shards.join(visits, ["dim", "shard"]).mapInArrow(trimmed(run), "qkey long, vec_id long, score double")
+    return shards.join(gathered, ["dim", "centroid"]).mapInArrow(trimmed(run), "qkey long, vec_id long, score double")
 
 
 def nearest(rows: DataFrame, queries: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -216,12 +315,11 @@ def nearest(rows: DataFrame, queries: Column, k: int, key: str = "vec_id", vecto
     small_batches(rows.sparkSession)
     kept = rows.where(usable(vector, key)).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), queries.alias("asks"))
     distinct = staged(distinct_vectors(kept.select("vec_id", "vector"), k + 1), "ann-vectors")
-    n_shards = max(1, -(-distinct.count() // SHARD_VECTORS))
-    shards = staged(index(distinct, n_shards), "ann-shards")
+    shards, centroids = index(distinct)
     asking = kept.where("asks").select("vec_id", "vector").distinct()
     asked = distinct_vectors(asking, 1).select("vector", "dim", F.col("ids")[0].alias("qkey"))
     asked = staged(asked, "ann-asked")
-    found = search(shards, asked, n_shards, k + 1)
+    found = search(shards, visits(asked, centroids), k + 1)
     best = found.withColumn("place", F.row_number().over(W.partitionBy("qkey").orderBy("score", "vec_id"))).where(F.col("place") <= k + 1).drop("place")
     each = _queries_by_vector(asking, asked)
     own = each.join(best, "qkey").where("vec_id <> query_id")

@@ -247,6 +247,40 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def recall_of(spark, data, k=10):
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for x in ann.nearest(table, F.col("vec_id") % 100 == 0, k).collect():
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    data, hits = data.astype(float), 0
+    for q in range(0, len(data), 100):
+        d = ((data - data[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(got[q]) & set(np.argsort(d)[:k].tolist()))
+    return hits / k / len(range(0, len(data), 100))
+
+
+@pytest.mark.parametrize("kind", ["clusters", "gaussian"])
+def test_recall_over_many_shards(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "SHARD_VECTORS", 150)
+    r = np.random.default_rng(4)
+    if kind == "clusters":  # one cluster with a third of all vectors: several shards of one centroid
+        which = np.where(r.random(6000) < 1 / 3, 0, r.integers(0, 60, 6000))
+        data = r.normal(size=(60, 32))[which] + 0.4 * r.normal(size=(6000, 32))
+    else:
+        data = r.normal(size=(6000, 24))
+    assert recall_of(spark, data.astype(np.float32)) >= 0.9
+
+
+def test_means_and_nearest_centroids():
+    r = np.random.default_rng(2)
+    data = (r.normal(size=(5, 8)) * 10)[r.integers(0, 5, 2000)] + 0.1 * r.normal(size=(2000, 8))
+    centroids = ann.means(data.astype(np.float32), 5)
+    near = ann.nearest_centroids(data.astype(np.float32), centroids, 3)
+    d = ((data[:, None] - centroids[None]) ** 2).sum(axis=2)
+    assert np.take_along_axis(d, near, 1) == pytest.approx(np.sort(d, axis=1)[:, :3], rel=1e-3, abs=1e-2)
+
+
 @pytest.mark.parametrize("n", [1, 2, 20, 400])
 def test_graph_finds_nearest(n):
     r = np.random.default_rng(n)
