@@ -18,9 +18,11 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quillflow-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -82,10 +84,9 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return tidy
 
 
-def plan_bytes(df: DataFrame, text: str = "text") -> int:
-    """Bytes of df, for choosing partition counts: the optimizer's estimate, or where it has none the size of its texts."""
-    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return guess if guess < 1 << 60 else df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes of df's texts, for choosing partition counts: the size in a file depends on how well it compresses."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

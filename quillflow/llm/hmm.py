@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, documents, fold, plan_bytes, slices, small_batches, staged, trimmed, word_codes
+from .common import BATCH_BYTES, documents, fold, text_bytes, slices, small_batches, staged, trimmed, word_codes
 
 STATES, CLASSES = 8, 4096
 #: Passes over all training texts.
@@ -503,7 +503,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 def language_model_scores(docs: DataFrame) -> DataFrame:
     """doc_id, train, n_tokens, n_known, base_score, score, train_tokens. docs: doc_id, text, train."""
     small_batches(docs.sparkSession)
-    buckets = max(4, -(-plan_bytes(docs) // BUCKET_BYTES))
+    buckets = max(4, -(-text_bytes(docs) // BUCKET_BYTES))
     chunks = staged(encode(docs, buckets), "hmm-chunks")
     counts = staged(count_words(chunks), "hmm-counts")
     t = totals(chunks, counts)

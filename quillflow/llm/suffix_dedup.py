@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, plan_bytes, slices, small_batches, staged_by, text_buffer, trimmed
+from .common import documents, mix64, text_bytes, slices, small_batches, staged_by, text_buffer, trimmed
 
 #: Bytes of a repeated string; of an anchor's gram; and grams among which an anchor is least.
 LENGTH, GRAM = 50, 24
@@ -52,6 +52,8 @@ STRETCH = 1 << 18
 BUCKET_BYTES = 4 << 20
 #: Input bytes for each part of the blocks' table.
 PART_BYTES = 16 << 20
+#: Tasks that buckets are dealt to at most.
+MOST_TASKS = 20_000
 #: Distinct snippets of one suffix array.
 ARRAY_SNIPPETS = 8_000
 _NO_ID = np.iinfo(np.int64).max
@@ -116,10 +118,27 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, start: int, stop: int) -> tup
     padded = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
     at = np.flatnonzero(_slide(padded, WINDOW, np.maximum) == h)
     at = at[(at >= start - lo) & (at < stop - lo)]
+    at = _spaced(at, h, np.searchsorted(bounds, at + lo, side="right"))
     # being least of many, they crowd at the low end: spread them anew
     return at + lo, mix64(h[at] + np.uint64(1)) >> np.uint64(64 - HASH_BITS)
 
 
+def _spaced(at: np.ndarray, h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Of equal grams that are least together, as in periodic text, enough that every window keeps one.
+
+    Which one is kept doesn't matter: any of them reaches every string that holds another beside it.
+    """
+    if len(at) < 3:
+        return at
+    head = np.concatenate([[True], (h[at[1:]] != h[at[:-1]]) | (row[1:] != row[:-1]) | (at[1:] - at[:-1] >= WINDOW)])
+    origin = at[head][np.cumsum(head) - 1]
+    cell = (at - origin) // (WINDOW // 2)
+    first = head | np.concatenate([[True], cell[1:] != cell[:-1]])
+    last = np.append(first[1:], True)  # of its cell: the next cell's first may be too far from this one's
+    apart = np.append(at[first][1:], np.iinfo(np.int64).max)[np.cumsum(first) - 1] - at[first][np.cumsum(first) - 1] > WINDOW
+    return at[first | last & apart | np.append(head[1:], True)]
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -180,6 +199,7 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array([np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])], pa.binary())})
 
     sent = blocks.select("block", "ids", "bounds", "data").mapInArrow(trimmed(send), "bucket int, block long, hashes binary, twice binary")
+    sent = sent.repartition(min(buckets, MOST_TASKS), "bucket")
     return sent.groupBy("bucket").applyInArrow(find, "block long, bucket int, flags binary")
 
 
@@ -404,7 +424,7 @@ def extents(text: np.ndarray, size: np.ndarray, doc: np.ndarray, h: np.ndarray)
     return np.where(high < 0, -1, low), high
 
 
-def removals(sent: DataFrame) -> DataFrame:
+def removals(sent: DataFrame, tasks: int) -> DataFrame:
     """block, spans: (start, stop) in the block's bytes."""
 
     def shard(table: pa.Table) -> pa.Table:
@@ -443,7 +463,7 @@ def removals(sent: DataFrame) -> DataFrame:
         by = np.searchsorted(owner[found], np.arange(len(heads) + 1))
         return pa.table({"block": table.column("block"), "spans": pa.array([spans[found[a:b]].astype("<i8").tobytes() for a, b in zip(by[:-1], by[1:])], pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(shard, "block long, spans binary")
+    return sent.repartition(min(tasks, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(shard, "block long, spans binary")
 
 
 def _several(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -475,9 +495,9 @@ def repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", *keep)
-    buckets = max(4, -(-plan_bytes(rows) // BUCKET_BYTES))
-    blocks = staged_by(lay_out(rows, keep), "block", max(4, -(-plan_bytes(rows) // PART_BYTES)), "dedup-blocks")
-    spans = removals(snippets(blocks, shared_anchors(blocks, buckets), buckets))
+    buckets = max(4, -(-text_bytes(rows) // BUCKET_BYTES))
+    blocks = staged_by(lay_out(rows, keep), "block", max(4, -(-text_bytes(rows) // PART_BYTES)), "dedup-blocks")
+    spans = removals(snippets(blocks, shared_anchors(blocks, buckets), buckets), buckets)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:

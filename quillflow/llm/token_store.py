@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sharedfs
-from .common import fresh_path, plan_bytes, slices, small_batches, staged, trimmed
+from .common import fresh_path, text_bytes, slices, small_batches, staged, trimmed
 from .mph import PerfectHash
 from .tokens import encoder, with_end
 
-#: Input bytes for each shard, by the optimizer's estimate.
+#: Bytes of text for each shard.
 SHARD_BYTES = 16 << 20
 #: Distinct keys for each index file, about.
 BUCKET_KEYS = 100_000
@@ -73,7 +73,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
     root = fresh_path(spark, "token-store")
     sharedfs.make_dir(root)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    shards = max(1, -(-plan_bytes(rows) // SHARD_BYTES))
+    shards = max(1, -(-text_bytes(rows) // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)

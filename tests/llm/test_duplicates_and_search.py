@@ -167,6 +167,51 @@ def test_anchors_in_stretches(monkeypatch):
             assert ((whole[0] >= p) & (whole[0] <= p + 26)).any()
 
 
+def test_periodic_texts_have_few_anchors_and_every_window_one():
+    r = random.Random(1)
+    for period in (1, 2, 3, 7, 13, 14, 20, 26, 27, 40):
+        unit = "".join(r.choices("abcdef", k=period))
+        texts = [(unit * 3000)[: r.randint(60, 3000)] for _ in range(6)] + [unit * (30_000 // period)]
+        raw = "".join(texts).encode()
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        at, h = suffix_dedup.anchors(np.frombuffer(raw, np.uint8), bounds)
+        assert len(at) < len(raw) / 5 and len(at) == len(h)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            own = at[(at >= a) & (at <= b - 24)]
+            starts = np.arange(a, b - 49)
+            assert (np.searchsorted(own, starts + 26, side="right") > np.searchsorted(own, starts)).all()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_periodic_passages(spark, monkeypatch, seed):
+    """Periodic stretches of many lengths and phases, within and across texts, against every 50 bytes looked up."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 500)
+    r = random.Random(seed)
+    units = ["a", "ab", "abc", "aab", "".join(r.choices("abcd", k=9)), "".join(r.choices("abcd", k=17)), "".join(r.choices("ab", k=30))]
+    rows = []
+    for k in range(50):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            u = r.choice(units)
+            parts += ["".join(r.choices("abcd", k=r.randint(0, 20))), (u * 300)[r.randint(0, 20) :][: r.randint(30, 260)]]
+        rows.append((r.randrange(400), "".join(parts), "en", "a"))
+    docs = spark.createDataFrame(rows_of(rows), SCHEMA).repartition(3)
+    got = suffix_dedup.repeats(docs).collect()
+    assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == plain_removal(rows)
+
+
+def test_one_passage_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "ARRAY_SNIPPETS", 60)
+    r = random.Random(6)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    common = text(300)
+    rows = [(k, text(r.randint(0, 80)) + common + text(r.randint(0, 80)), "en", "a") for k in r.sample(range(10_000), 600)]
+    got = suffix_dedup.repeats(spark.createDataFrame(rows_of(rows), SCHEMA).repartition(4)).collect()
+    assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == plain_removal(rows)
+
+
 @pytest.mark.parametrize("alphabet", [2, 3, 26])
 def test_suffix_array_and_common_prefixes(alphabet):
     r = np.random.default_rng(alphabet)
