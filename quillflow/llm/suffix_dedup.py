@@ -15,7 +15,14 @@
 5. The strings' extents go back to the blocks, which cut them out of the texts.
 
 Anchors only say where to look; what is removed is decided on the bytes themselves. A passage or
-copy that a third of all documents share is one anchor entry and one snippet in each block.
+copy that a third of all documents share is one anchor entry and one snippet in each block. At its
+edges each document has a snippet of its own: an anchor that more than HOT_BLOCKS blocks have is not
+gathered in one shard; each block sorts the strings around it with its own suffix array, and the
+sorted runs are merged by binary search in buckets by string.
+
+A text's bytes lie in one task, with about five times as many for the snippets of its anchors, which
+are at most one in seven bytes, in periodic text too. Messages between blocks and buckets grow with
+their product up to one for each anchor.
 
 Nulls and edges: a null text counts as empty. Texts under 50 bytes lose nothing. A null doc_id is
 later than any other. Rows that share a doc_id don't cut each other. An empty table gives an empty
@@ -48,12 +55,14 @@ BLOCK_BYTES = 4 << 20
 HASH_BITS = 48
 #: Bytes that anchors are sought in at once.
 STRETCH = 1 << 18
-#: Input bytes for each bucket of anchors and shard of snippets.
-BUCKET_BYTES = 4 << 20
-#: Input bytes for each part of the blocks' table.
+#: Bytes of text for each bucket of anchors, and for each shard of snippets.
+ANCHOR_BYTES, SHARD_BYTES = 32 << 20, 8 << 20
+#: Bytes of text for each part of the blocks' table.
 PART_BYTES = 16 << 20
 #: Tasks that buckets are dealt to at most.
 MOST_TASKS = 20_000
+#: Blocks above which an anchor's snippets are compared string by string.
+HOT_BLOCKS = 256
 #: Distinct snippets of one suffix array.
 ARRAY_SNIPPETS = 8_000
 _NO_ID = np.iinfo(np.int64).max
@@ -174,7 +183,10 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, flags: packed bits, in order of hash, of the block's distinct anchors in the bucket that two documents have."""
+    """block, bucket, and packed bits, in order of hash, for the block's distinct anchors in the bucket.
+
+    flags: those that two documents have; hot: those in more than HOT_BLOCKS blocks.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,20 +208,25 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         repeated = np.sort(np.concatenate([repeated, every[twice]]))
         at = np.minimum(np.searchsorted(repeated, every), max(0, len(repeated) - 1))
         flags = repeated[at] == every if len(repeated) else np.zeros(len(every), bool)
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array([np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])], pa.binary())})
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
+        often = ranked[starts[np.diff(np.append(starts, len(ranked))) > HOT_BLOCKS]]
+        at = np.minimum(np.searchsorted(often, every), max(0, len(often) - 1))
+        hot = often[at] == every if len(often) else np.zeros(len(every), bool)
+        split = lambda x: pa.array([np.packbits(y).tobytes() for y in np.split(x, np.cumsum(sizes)[:-1])], pa.binary())
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": split(flags), "hot": split(hot)})
 
     sent = blocks.select("block", "ids", "bounds", "data").mapInArrow(trimmed(send), "bucket int, block long, hashes binary, twice binary")
     sent = sent.repartition(min(buckets, MOST_TASKS), "bucket")
-    return sent.groupBy("bucket").applyInArrow(find, "block long, bucket int, flags binary")
+    return sent.groupBy("bucket").applyInArrow(find, "block long, bucket int, flags binary, hot binary")
 
 
 # ---- snippets
 
 
-def snippets(blocks: DataFrame, flags: DataFrame, buckets: int) -> DataFrame:
-    """bucket, block, and per distinct snippet: hash, document, place, extent, bytes; and what the block itself removes.
+def snippets(blocks: DataFrame, flags: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """bucket (a shard), block, and per distinct snippet: hash, document, place, extent, bytes; and what the block itself removes.
 
-    Rows of buckets below 0 hold the removals (start, stop) that a block decides alone.
+    buckets: those of the flags. Rows of buckets below 0 hold the removals (start, stop) that a block decides alone.
     """
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -222,11 +239,12 @@ def snippets(blocks: DataFrame, flags: DataFrame, buckets: int) -> DataFrame:
         ranked = h[order]
         first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
         sizes = np.bincount(_bucket(ranked[first], buckets), minlength=buckets)
-        told = dict(zip(right.column("bucket").to_pylist(), right.column("flags").to_pylist()))
-        flag = np.concatenate([np.unpackbits(np.frombuffer(told[b], np.uint8), count=int(n)) for b, n in enumerate(sizes) if n]).astype(bool)
-        chosen = np.sort(order[flag[np.cumsum(first) - 1]])
+        told = right.sort_by("bucket")
+        flag, often = (np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=int(n)) for x, n in zip(told.column(c).to_pylist(), sizes[sizes > 0])]).astype(bool)[np.cumsum(first) - 1] for c in ("flags", "hot"))
+        chosen = np.sort(order[flag & ~often])
+        rows = _hot_strings(row["block"], ids, bounds, data, np.sort(at[order[flag & often]]), shards) if (flag & often).any() else []
         if not len(chosen):
-            return _packed([])
+            return _packed(rows)
         at, h = at[chosen], h[chosen]
         doc = np.searchsorted(bounds, at, side="right") - 1
         start, stop = np.maximum(at - REACH, bounds[doc]), np.minimum(at + GRAM + REACH, bounds[doc + 1])
@@ -244,12 +262,11 @@ def snippets(blocks: DataFrame, flags: DataFrame, buckets: int) -> DataFrame:
         gone = order[later]
         # equal snippets of the leader's own document stand or fall with it, each in its place
         kept = np.sort(order[~later])
-        b = _bucket(h[kept], buckets)
-        rows = []
+        b = _bucket(h[kept], shards)
         if len(gone):
             whole = (stop - start)[gone] >= LENGTH
             spans = np.stack([start[gone], stop[gone]], axis=1)[whole].astype("<i8")
-            rows.append((-1 - row["block"] % buckets, row["block"], len(spans), spans.tobytes(), b""))
+            rows.append((-1 - row["block"] % shards, row["block"], len(spans), spans.tobytes(), b""))
         for k in np.unique(b):
             own = kept[b == k]
             head = np.concatenate([h[own].view(np.int64), ids[doc[own]], at[own], start[own], stop[own]])
@@ -259,6 +276,41 @@ def snippets(blocks: DataFrame, flags: DataFrame, buckets: int) -> DataFrame:
     return blocks.select("block", "ids", "bounds", "data").groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(cut, "bucket int, block long, n long, head binary, body binary")
 
 
+def _hot_strings(block: int, ids: np.ndarray, bounds: np.ndarray, data: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple[int, int, int, bytes, bytes]]:
+    """Rows for the snippets of anchors that very many blocks have: their strings one by one, each once a block.
+
+    Such an anchor may have a snippet for each document, all different by what stands beside a common
+    passage. Its strings go to buckets (from buckets on) by their own hash, so that a common string is one
+    entry for each block and the others are spread. Later documents' are removed on the spot.
+    """
+    rows = []
+    width = np.concatenate([data, np.zeros(SNIPPET, np.uint8)])
+    for a in range(0, len(at), ARRAY_SNIPPETS):
+        some = at[a : a + ARRAY_SNIPPETS]
+        doc = np.searchsorted(bounds, some, side="right") - 1
+        start, stop = np.maximum(some - REACH, bounds[doc]), np.minimum(some + GRAM + REACH, bounds[doc + 1])
+        text = np.lib.stride_tricks.sliding_window_view(width, SNIPPET)[start]
+        text[np.arange(SNIPPET) >= (stop - start)[:, None]] = 0
+        found = Strings(text, stop - start, ids[doc])
+        if not len(found.strings):
+            continue
+        place, own = start[found.row] + found.offset, ids[doc[found.row]]
+        later = own > found.least[found.run]
+        if later.any():
+            spans = np.stack([place[later], place[later] + LENGTH], axis=1).astype("<i8")
+            rows.append((-1 - block % buckets, block, len(spans), spans.tobytes(), b""))
+        run, place = found.run[~later], place[~later]  # runs ascend
+        bytes_ = np.frombuffer(found.strings.tobytes(), np.uint8).reshape(-1, LENGTH)
+        bucket = (_row_hash(bytes_) % np.uint64(buckets)).astype(np.int64)
+        n = np.bincount(run, minlength=len(found.strings))
+        for k in np.unique(bucket):
+            which = np.flatnonzero(bucket == k)
+            mine = place[bucket[run] == k]
+            head = np.concatenate([found.least[which], n[which], mine]).astype("<i8")
+            rows.append((buckets + int(k), block, len(which), head.tobytes(), _squeezed(bytes_[which].tobytes())))
+    return rows
+
+
 def _packed(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.Table:
     cols = list(zip(*rows)) if rows else [[], [], [], [], []]
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "n", "head", "body"])
@@ -424,12 +476,31 @@ def extents(text: np.ndarray, size: np.ndarray, doc: np.ndarray, h: np.ndarray)
     return np.where(high < 0, -1, low), high
 
 
-def removals(sent: DataFrame, tasks: int) -> DataFrame:
+def _merged_strings(table: pa.Table) -> pa.Table:
+    """Spans of the strings that an earlier document has, from the blocks' sorted runs of strings, each with its least document."""
+    sizes = table.column("n").to_pylist()
+    heads = [np.frombuffer(x, "<i8") for x in table.column("head").to_pylist()]
+    runs = [np.frombuffer(_expanded(x, LENGTH * n), f"S{LENGTH}") for x, n in zip(table.column("body").to_pylist(), sizes)]
+    every = np.unique(np.concatenate(runs))
+    places = [np.searchsorted(every, run) for run in runs]
+    least = np.full(len(every), _NO_ID, np.int64)
+    for at, head, n in zip(places, heads, sizes):
+        least[at] = np.minimum(least[at], head[:n])  # a run's strings are distinct
+    spans = []
+    for at, head, n in zip(places, heads, sizes):
+        own, place = np.repeat(least[at] < head[:n], head[n : 2 * n]), head[2 * n :]
+        spans.append(np.stack([place[own], place[own] + LENGTH], axis=1).astype("<i8").tobytes())
+    return pa.table({"block": table.column("block"), "spans": pa.array(spans, pa.binary())})
+
+
+def removals(sent: DataFrame, buckets: int) -> DataFrame:
     """block, spans: (start, stop) in the block's bytes."""
 
     def shard(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
             return pa.table({"block": table.column("block"), "spans": table.column("head")})
+        if table.column("bucket")[0].as_py() >= buckets:
+            return _merged_strings(table)
         sizes = table.column("n").to_pylist()
         heads = [_from_planes(_expanded(x, 40 * n)).view("<i8").reshape(5, n) for x, n in zip(table.column("head").to_pylist(), sizes)]
         text = np.frombuffer(b"".join(_expanded(x, SNIPPET * n) for x, n in zip(table.column("body").to_pylist(), sizes)), np.uint8).reshape(-1, SNIPPET)
@@ -463,7 +534,7 @@ def removals(sent: DataFrame, tasks: int) -> DataFrame:
         by = np.searchsorted(owner[found], np.arange(len(heads) + 1))
         return pa.table({"block": table.column("block"), "spans": pa.array([spans[found[a:b]].astype("<i8").tobytes() for a, b in zip(by[:-1], by[1:])], pa.binary())})
 
-    return sent.repartition(min(tasks, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(shard, "block long, spans binary")
+    return sent.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(shard, "block long, spans binary")
 
 
 def _several(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -495,9 +566,10 @@ def repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", *keep)
-    buckets = max(4, -(-text_bytes(rows) // BUCKET_BYTES))
-    blocks = staged_by(lay_out(rows, keep), "block", max(4, -(-text_bytes(rows) // PART_BYTES)), "dedup-blocks")
-    spans = removals(snippets(blocks, shared_anchors(blocks, buckets), buckets), buckets)
+    size = text_bytes(rows)
+    buckets, shards, parts = (max(4, -(-size // x)) for x in (ANCHOR_BYTES, SHARD_BYTES, PART_BYTES))
+    blocks = staged_by(lay_out(rows, keep), "block", parts, "dedup-blocks")
+    spans = removals(snippets(blocks, shared_anchors(blocks, buckets), buckets, shards), shards)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:

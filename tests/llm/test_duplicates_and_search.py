@@ -142,9 +142,10 @@ def passages(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeated_passages(spark, odd, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 256), (2, 256), (3, 0), (4, 1)])
+def test_repeated_passages(spark, odd, seed, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
     rows = passages(seed) + ROWS
     docs = spark.createDataFrame(rows_of(passages(seed)), SCHEMA).unionByName(odd).repartition(5)
     got = suffix_dedup.repeats(docs, keep=("lang", "words"), with_text=True).collect()
@@ -187,6 +188,7 @@ def test_periodic_passages(spark, monkeypatch, seed):
     """Periodic stretches of many lengths and phases, within and across texts, against every 50 bytes looked up."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "STRETCH", 500)
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", (256, 1, 0)[seed - 1])
     r = random.Random(seed)
     units = ["a", "ab", "abc", "aab", "".join(r.choices("abcd", k=9)), "".join(r.choices("abcd", k=17)), "".join(r.choices("ab", k=30))]
     rows = []
@@ -201,7 +203,9 @@ def test_periodic_passages(spark, monkeypatch, seed):
     assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == plain_removal(rows)
 
 
-def test_one_passage_in_every_document(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [2, 256])
+def test_one_passage_in_every_document(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(suffix_dedup, "ARRAY_SNIPPETS", 60)
     r = random.Random(6)
