@@ -84,9 +84,14 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return tidy
 
 
-def text_bytes(df: DataFrame, text: str = "text") -> int:
-    """Bytes of df's texts, for choosing partition counts: the size in a file depends on how well it compresses."""
-    return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+def plan_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes of df in its files, by the optimizer's estimate, or where it has none the size of its texts.
+
+    For numbers of files and streamed partitions only: what a group holds in memory must not follow from
+    how well its input compresses.
+    """
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return guess if guess < 1 << 60 else df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

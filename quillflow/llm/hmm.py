@@ -26,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, documents, fold, text_bytes, slices, small_batches, staged, trimmed, word_codes
+from .common import BATCH_BYTES, documents, fold, slices, small_batches, staged, trimmed, word_codes
 
 STATES, CLASSES = 8, 4096
 #: Passes over all training texts.
@@ -43,7 +44,7 @@ SEGMENTS_AT_ONCE = 4096
 RESCALED = 4
 #: Bytes of classes (two a token) among which texts of like length are handled together.
 POOL_BYTES = 16 << 20
-#: Input bytes for each bucket of words.
+#: Bytes of text for each bucket of words.
 BUCKET_BYTES = 16 << 20
 SMOOTH = 0.05
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -58,8 +59,8 @@ def word_class(word: bytes) -> int:
     return 1 + zlib.crc32(word if len(word) <= 4 else b"-" + word[-3:]) % (CLASSES - 1)
 
 
-def encode(docs: DataFrame, buckets: int) -> DataFrame:
-    """Texts in chunks: doc_ids, train, bounds, words by bucket, the buckets that have some and where each starts, and each token's place among the words.
+def encode(docs: DataFrame) -> DataFrame:
+    """Texts in chunks: size (bytes), doc_ids, train, bounds, words in order of their hashes, the hashes, and each token's place among the words.
 
     docs: doc_id, text, train.
     """
@@ -70,24 +71,22 @@ def encode(docs: DataFrame, buckets: int) -> DataFrame:
             for rows in slices(batch, "text", BATCH_BYTES):
                 words, index, bounds = word_codes(rows.column("text"), _LOWER)
                 words = [w.encode() for w in words.to_pylist()]
-                bucket = np.array([zlib.crc32(w) % buckets if w else -1 for w in words], np.int64)
-                order = np.argsort(bucket, kind="stable")
-                order = order[bucket[order] >= 0]
+                hashes = np.array([zlib.crc32(w) if w else -1 for w in words], np.int64)
+                order = np.argsort(hashes, kind="stable")
+                order = order[hashes[order] >= 0]
                 place = np.full(len(words), -1, np.int64)
                 place[order] = np.arange(len(order))
                 tokens = place[index] if len(index) else np.empty(0, np.int64)
                 real = tokens >= 0  # but for the empty words at rows' ends
                 bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
-                full = np.unique(bucket[order])
-                cuts = np.append(np.searchsorted(bucket[order], full), len(order))
-                yield pa.record_batch({"chunk": [chunk], "doc_ids": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), "train": pa.array([rows.column("train").to_pylist()], pa.list_(pa.bool_())), "bounds": [bounds.astype("<i4").tobytes()], "words": [b"\n".join([words[k] for k in order])], "buckets": [full.astype("<i4").tobytes()], "cuts": [cuts.astype("<i4").tobytes()], "tokens": [tokens[real].astype("<u4").tobytes()]})
+                yield pa.record_batch({"chunk": [chunk], "size": [int(pc.sum(pc.binary_length(rows.column("text"))).as_py() or 0)], "doc_ids": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), "train": pa.array([rows.column("train").to_pylist()], pa.list_(pa.bool_())), "bounds": [bounds.astype("<i4").tobytes()], "words": [b"\n".join([words[k] for k in order])], "hashes": [hashes[order].astype("<u4").tobytes()], "tokens": [tokens[real].astype("<u4").tobytes()]})
                 chunk += 1
 
-    schema = "chunk long, doc_ids array<long>, train array<boolean>, bounds binary, words binary, buckets binary, cuts binary, tokens binary"
+    schema = "chunk long, size long, doc_ids array<long>, train array<boolean>, bounds binary, words binary, hashes binary, tokens binary"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "train").mapInArrow(trimmed(run), schema)
 
 
-def count_words(chunks: DataFrame) -> DataFrame:
+def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
     """For each chunk and bucket: counts over all training texts, and classes, of the chunk's words in order.
 
     A row of chunk -1 for each bucket has by class the sums of counts and the known words.
@@ -96,8 +95,10 @@ def count_words(chunks: DataFrame) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                chunk, train, bounds, words, full, cuts, tokens = (batch.column(c)[k].as_py() for c in ("chunk", "train", "bounds", "words", "buckets", "cuts", "tokens"))
-                full, cuts, words = np.frombuffer(full, "<i4"), np.frombuffer(cuts, "<i4"), words.split(b"\n")
+                chunk, train, bounds, words, hashes, tokens = (batch.column(c)[k].as_py() for c in ("chunk", "train", "bounds", "words", "hashes", "tokens"))
+                bucket, words = np.frombuffer(hashes, "<u4").astype(np.int64) * buckets >> 32, words.split(b"\n")
+                full = np.unique(bucket)  # those that the chunk has words of
+                cuts = np.append(np.searchsorted(bucket, full), len(bucket))
                 counted = np.repeat(np.array(train, bool), np.diff(np.frombuffer(bounds, "<i4")))
                 n = np.bincount(np.frombuffer(tokens, "<u4")[counted], minlength=int(cuts[-1])).astype("<u4")
                 spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
@@ -116,7 +117,7 @@ def count_words(chunks: DataFrame) -> DataFrame:
         own = np.split(index, stops[:-1])
         return pa.table({"chunk": pa.array([-1, *table.column("chunk").to_pylist()], pa.int64()), "bucket": pa.array([bucket] * (len(parts) + 1), pa.int32()), "n": pa.array([sums[0].tobytes(), *(total[x].astype("<i8").tobytes() for x in own)], pa.binary()), "cls": pa.array([sums[1].tobytes(), *(cls[x].astype("<u2").tobytes() for x in own)], pa.binary())})
 
-    sent = chunks.select("chunk", "train", "bounds", "words", "buckets", "cuts", "tokens").mapInArrow(trimmed(send), "bucket int, chunk long, words binary, n binary")
+    sent = chunks.select("chunk", "train", "bounds", "words", "hashes", "tokens").mapInArrow(trimmed(send), "bucket int, chunk long, words binary, n binary")
     return sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, n binary, cls binary")
 
 
@@ -503,9 +504,9 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 def language_model_scores(docs: DataFrame) -> DataFrame:
     """doc_id, train, n_tokens, n_known, base_score, score, train_tokens. docs: doc_id, text, train."""
     small_batches(docs.sparkSession)
-    buckets = max(4, -(-text_bytes(docs) // BUCKET_BYTES))
-    chunks = staged(encode(docs, buckets), "hmm-chunks")
-    counts = staged(count_words(chunks), "hmm-counts")
+    chunks = staged(encode(docs), "hmm-chunks")
+    size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    counts = staged(count_words(chunks, max(4, -(-size // BUCKET_BYTES))), "hmm-counts")
     t = totals(chunks, counts)
     rows = staged(sequences(chunks, counts, t), "hmm-sequences", "snappy")
     return score(rows, train(rows, t)).withColumn("train_tokens", F.lit(t.tokens).cast("long"))

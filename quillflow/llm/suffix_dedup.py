@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, text_bytes, slices, small_batches, staged_by, text_buffer, trimmed
+from .common import documents, mix64, plan_bytes, slices, small_batches, staged_by, text_buffer, trimmed
 
 #: Bytes of a repeated string; of an anchor's gram; and grams among which an anchor is least.
 LENGTH, GRAM = 50, 24
@@ -56,8 +56,8 @@ HASH_BITS = 48
 #: Bytes that anchors are sought in at once.
 STRETCH = 1 << 18
 #: Bytes of text for each bucket of anchors, and for each shard of snippets.
-ANCHOR_BYTES, SHARD_BYTES = 32 << 20, 8 << 20
-#: Bytes of text for each part of the blocks' table.
+ANCHOR_BYTES, SHARD_BYTES = 12 << 20, 6 << 20
+#: Input bytes for each part of the blocks' table, which is read block by block.
 PART_BYTES = 16 << 20
 #: Tasks that buckets are dealt to at most.
 MOST_TASKS = 20_000
@@ -72,7 +72,7 @@ _NO_ID = np.iinfo(np.int64).max
 
 
 def lay_out(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """block, ids, bounds, data (compressed), and kept: a list for each kept string column. docs: doc_id, text, keep."""
+    """block, size (of its texts), ids, bounds, data (compressed), and kept: a list for each kept string column. docs: doc_id, text, keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -80,11 +80,11 @@ def lay_out(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             for rows in slices(batch, "text", BLOCK_BYTES):
                 data, bounds = text_buffer(rows.column("text"))
                 ids = rows.column("doc_id").fill_null(_NO_ID).to_numpy()
-                yield pa.record_batch({"block": [block], "ids": [ids.astype("<i8").tobytes()], "bounds": [bounds.astype("<i8").tobytes()], "data": pa.array([_squeezed(data.tobytes())], pa.binary()), "kept": pa.array([[rows.column(c).to_pylist() for c in keep]], pa.list_(pa.list_(pa.string())))})
+                yield pa.record_batch({"block": [block], "size": [len(data)], "ids": [ids.astype("<i8").tobytes()], "bounds": [bounds.astype("<i8").tobytes()], "data": pa.array([_squeezed(data.tobytes())], pa.binary()), "kept": pa.array([[rows.column(c).to_pylist() for c in keep]], pa.list_(pa.list_(pa.string())))})
                 block += 1
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).cast("string") for c in keep])
-    return rows.mapInArrow(trimmed(run), "block long, ids binary, bounds binary, data binary, kept array<array<string>>")
+    return rows.mapInArrow(trimmed(run), "block long, size long, ids binary, bounds binary, data binary, kept array<array<string>>")
 
 
 def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -566,9 +566,9 @@ def repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", *keep)
-    size = text_bytes(rows)
-    buckets, shards, parts = (max(4, -(-size // x)) for x in (ANCHOR_BYTES, SHARD_BYTES, PART_BYTES))
-    blocks = staged_by(lay_out(rows, keep), "block", parts, "dedup-blocks")
+    blocks = staged_by(lay_out(rows, keep), "block", max(4, -(-plan_bytes(rows) // PART_BYTES)), "dedup-blocks")
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets, shards = (max(4, -(-size // x)) for x in (ANCHOR_BYTES, SHARD_BYTES))
     spans = removals(snippets(blocks, shared_anchors(blocks, buckets), buckets, shards), shards)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
