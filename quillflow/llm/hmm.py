@@ -37,7 +37,9 @@ STATES, CLASSES = 8, 4096
 #: Passes over all training texts.
 PASSES = 15
 #: Tokens of a text that is gone through at one stretch, and of the segments of a longer one; tokens handled at once.
-LONG, SEGMENT, TOKENS_AT_ONCE = 4096, 256, 600_000
+LONG, SEGMENT, TOKENS_AT_ONCE = 4096, 256, 300_000
+#: Tokens whose emissions are summed at once: few enough to stay in a core's cache.
+SUMMED = 1 << 16
 #: Segments of one text that its score takes at once.
 SEGMENTS_AT_ONCE = 4096
 #: Steps after which training's forward sums are scaled to one again; they shrink by the least ratio between states at each.
@@ -256,7 +258,9 @@ def _transfers(model: Model, lengths: np.ndarray, by_time: np.ndarray) -> tuple[
     logs, ones = np.zeros((n, STATES)), np.ones(STATES)
     for t, k in enumerate(active):
         now = emit[by_time[starts[t] : starts[t] + k]][:, None, :]
-        rows[:k] = (rows[:k] if t == 0 else rows[:k] @ move) * now
+        if t:
+            rows[:k] = (rows[:k].reshape(-1, STATES) @ move).reshape(-1, STATES, STATES)
+        rows[:k] *= now
         scale = np.maximum(rows[:k] @ ones, 1e-300)
         rows[:k] /= scale[:, :, None]
         logs[:k] += np.log(scale)
@@ -362,7 +366,7 @@ def _forward_backward(model: Model, active: np.ndarray, by_time: np.ndarray, bef
     All by rank. before: states ahead of each first token; after: what follows each last token, to scale.
     Weights come in with what follows, which all that is expected is proportional to.
     """
-    n_all, steps = int(active[0]), active.tolist()
+    n_all, steps, by_time = int(active[0]), active.tolist(), by_time.astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(active)]).tolist()
     # a class's share in the likeliest state is taken as 1: what states a token may have depends on the ratios alone
     emit, move = np.take((model.emit / model.emit.max(axis=0)).astype(np.float32), by_time, axis=1), model.move.astype(np.float32)
@@ -391,12 +395,12 @@ def _forward_backward(model: Model, active: np.ndarray, by_time: np.ndarray, bef
             moves += alpha[:, a : a + later] @ x.T
         x, later = emit[:, a : a + n], n
         x *= b
-    first = emit[:, :n_all].copy()
-    beta *= alpha
     sums[0][:] += model.move * moves
-    for k in range(STATES):
-        sums[1][k] += np.bincount(by_time, beta[k], CLASSES)
-    return beta[:, :n_all], first, last / last.sum(axis=0)
+    for a in range(0, len(by_time), SUMMED):
+        some, share = by_time[a : a + SUMMED], alpha[:, a : a + SUMMED] * beta[:, a : a + SUMMED]
+        for k in range(STATES):
+            sums[1][k] += np.bincount(some, share[k], CLASSES)
+    return alpha[:, :n_all] * beta[:, :n_all], emit[:, :n_all], last / last.sum(axis=0)
 
 
 def group_counts(model: Model, group: Group, sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
