@@ -126,19 +126,6 @@ def json_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), X.loose_json(F.concat(F.lit("reply: "), F.col("props"), F.lit(" end"))).alias("found"))
 
 
-# ---- pages
-
-
-def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = X.normal_text(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1), 240)
-    return _table(spark, sf_dir, "pages").select("page_id", F.coalesce(title, F.lit("")).alias("title"))
-
-
-def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = F.regexp_extract_all("html", F.lit(r"<(p|li|td|th|caption|figcaption|h1|h2|h3|h4|h5|h6)[ >]"), 1)
-    return _table(spark, sf_dir, "pages").select("page_id", F.explode(blocks).alias("block")).groupBy("page_id", "block").agg(F.count(F.lit(1)).alias("n"))
-
-
 # ---- sampling and scope
 
 
@@ -152,10 +139,6 @@ def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(read, "path", "left").select("path", F.col("_read").isNotNull().alias("in_spine"), (F.col("source") == "src1").alias("is_nav"))
 
 
-def spine_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flagged(spark, sf_dir)
-
-
 def unknown_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"))
     return sampling.unknown_paths(labels, _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path")))
@@ -211,12 +194,6 @@ SELECT run_id, id, 'worker' || CAST(n - 1 AS VARCHAR) AS worker_id,
 FROM free WHERE n <= {workers}"""
 
 
-def lease_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _table(spark, sf_dir, "events").withColumn("gap", F.unix_micros(F.lead(F.col("ts").cast("timestamp")).over(w)) - F.unix_micros(F.col("ts").cast("timestamp")))
-    return e.select("event_id", "user_id", (F.col("gap") > S.LEASE_SECONDS * 1_000_000).alias("expired"))
-
-
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leased job's own request; of every third the token is stale, of every fifth the worker wrong."""
     leased = jobs(spark, sf_dir).where(F.col("state").isin(S.LEASED, S.DONE))
@@ -275,43 +252,7 @@ def progress_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.progress(summary.summary(jobs(spark, sf_dir), runs(spark, sf_dir)), NOW * 1000)
 
 
-# ---- reassembly
-
-
-def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations")
-    joined = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text")), asc=False), lambda x: F.concat(x["role"], F.lit(": "), F.coalesce(x["text"], F.lit("")))).alias("parts"))
-    return joined.select("conv_id", F.size("parts").alias("n_parts"), F.md5(F.array_join("parts", "\n").cast("binary")).alias("digest"))
-
-
-def locator_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations").withColumn("place", F.array((F.col("conv_id") % 13).cast("int"), F.col("turn").cast("int"), F.length("role")))
-    order = W.partitionBy("role").orderBy(F.desc("place"), "conv_id")
-    return c.select("conv_id", "turn", X.locator_text(F.col("place")).alias("locator"), F.row_number().over(order).alias("n"))
-
-
-def structure_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each conversation turn's markup keeps its structure when its text changes, and when a tag does."""
-    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", _markup("p").alias("source"), _markup("p", "changed").alias("same"), _markup("h1").alias("other"))
-    a = fragments.signatures(c, "source").withColumnRenamed("signature", "s").drop("error")
-    b = fragments.signatures(a, "same").withColumnRenamed("signature", "t").drop("error")
-    return fragments.signatures(b, "other").select("conv_id", "turn", (F.col("s") == F.col("t")).alias("kept"), (F.col("s") == F.col("signature")).alias("kept_other"))
-
-
-def _markup(tag: str, text: str | None = None):
-    clean = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    body = F.lit(text) if text else clean(F.coalesce("text", F.lit("")))
-    return F.concat(F.lit(f"<{tag} class='"), F.col("role"), F.lit("'>"), body, F.lit(f"<b/></{tag}>"))
-
-
-def pagebreak_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation turn as a block with two page breaks: protected, translated as itself, restored and checked."""
-    head = "<p xmlns='http://www.w3.org/1999/xhtml' xmlns:epub='http://www.idpf.org/2007/ops'><span epub:type='pagebreak'/>"
-    clean = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    source = F.concat(F.lit(head), clean, F.lit("<span epub:type='pagebreak' id='x'/></p>"))
-    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", source.alias("source"))
-    ready = fragments.protected(rows).withColumn("translated", F.col("protected")).select("id", "turn", "source", "translated", F.size("markers").alias("markers"))
-    return fragments.checked(ready).select(F.col("id").alias("conv_id"), "turn", "markers", F.col("error").isNull().alias("fine"))
+# ---- archives
 
 
 def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +276,7 @@ def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (candidate_terms, tokenize_counts, text_sample, ordered_distinct, safe_name, language_code, json_config, page_titles, page_blocks, even_sample, spine_flag, unknown_paths, selected_documents, member_set_diff, scope_assignment, state_summary, claim_next, claim_batch, lease_expired, fenced_complete, heartbeats, failed_jobs, retry_reset, merge_ready, latest_run, sequential_ids, elapsed, progress_line, reassemble, locator_order, structure_signature, pagebreak_roundtrip, archive_members)
+    for f in (candidate_terms, tokenize_counts, text_sample, ordered_distinct, safe_name, language_code, json_config, even_sample, unknown_paths, selected_documents, member_set_diff, scope_assignment, state_summary, claim_next, claim_batch, fenced_complete, heartbeats, failed_jobs, retry_reset, merge_ready, latest_run, sequential_ids, elapsed, progress_line, archive_members)
 }
 
 _FLAGS_SQL = "SELECT d.doc_id AS path, d.doc_id IN (SELECT doc_id FROM labels) AS in_spine, d.source = 'src1' AS is_nav FROM documents d"
@@ -357,12 +298,9 @@ SELECT conv_id, turn, coalesce(string_agg(w, ' ' ORDER BY i), '') AS words FROM
     "safe_name": r"SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}._-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'book') AS name FROM documents",
     "language_code": "SELECT doc_id, CASE lang WHEN 'en' THEN 'en-US' WHEN 'fr' THEN 'fr' WHEN 'de' THEN 'de' END AS code, lang || '-latn-' || upper(lang) AS normal FROM documents",
     "json_config": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, props AS found FROM events",
-    "page_titles": r"SELECT page_id, left(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 'is'), '\s+', ' ', 'g')), 240) AS title FROM pages",
-    "page_blocks": "SELECT page_id, block, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(p|li|td|th|caption|figcaption|h1|h2|h3|h4|h5|h6)[ >]', 1)) AS block FROM pages) GROUP BY ALL",
     "even_sample": """
 WITH n AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents)
 SELECT doc_id, lang FROM n WHERE n <= 6 OR k IN (SELECT CAST(round_even(i * (n - 1) / 5.0, 0) AS INTEGER) FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i))""",
-    "spine_flag": _FLAGS_SQL,
     "unknown_paths": "SELECT DISTINCT doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "selected_documents": "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "member_set_diff": """
@@ -378,7 +316,6 @@ SELECT run_id, 'running' AS state, 'pending' AS merge_state, 'test/' || run_id A
        {_LIMIT_SQL} AS max_attempts, total, done, leased, failed, pending, retryable, run_id = 'r3' AS cancel_requested FROM ({_COUNTS_SQL})""",
     "claim_next": _claims_sql(1),
     "claim_batch": _claims_sql(25),
-    "lease_expired": f"SELECT event_id, user_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) > {S.LEASE_SECONDS * 1_000_000} AS expired FROM events",
     "fenced_complete": f"""WITH {_JOBS_SQL}
 SELECT run_id, id, CASE WHEN {_FENCE_SQL} THEN 'done' ELSE state END AS state, CASE WHEN NOT ({_FENCE_SQL}) THEN worker_id END AS worker_id,
        CASE WHEN NOT ({_FENCE_SQL}) THEN lease_until END AS lease_until, attempts FROM jobs""",
@@ -392,10 +329,6 @@ SELECT run_id, id, CASE WHEN {_FENCE_SQL} THEN 'done' ELSE state END AS state, C
     "progress_line": f"""
 SELECT run_id, CASE WHEN run_id = 'r3' THEN 'EPUB cancellation requested · ' || done || '/' || total
        ELSE 'EPUB translating · ' || done || '/' || total || ' complete · ' || leased || ' active · ' || failed || ' failed · 1h 2m 5s' END AS line FROM ({_COUNTS_SQL})""",
-    "reassemble": "SELECT conv_id, CAST(count(*) AS INTEGER) AS n_parts, md5(string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn DESC, role DESC, text DESC)) AS digest FROM conversations GROUP BY conv_id",
-    "locator_order": "SELECT conv_id, turn, CAST(conv_id % 13 AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '/' || CAST(length(role) AS VARCHAR) AS locator, CAST(row_number() OVER (PARTITION BY role ORDER BY conv_id % 13 DESC, turn DESC, length(role) DESC, conv_id) AS INTEGER) AS n FROM conversations",
-    "structure_signature": "SELECT conv_id, turn, true AS kept, false AS kept_other FROM conversations",
-    "pagebreak_roundtrip": "SELECT conv_id, turn, 2 AS markers, true AS fine FROM conversations",
     "archive_members": """
 WITH m AS (
   SELECT coalesce(lang, 'none') || '-' || coalesce(source, 'none') AS book, 'text/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS member, strlen(coalesce(text, '')) AS n FROM documents),

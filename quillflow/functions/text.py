@@ -143,7 +143,7 @@ def preferred(scoped: Column, available: Column) -> Column:
 
 
 def stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
 def extension(path: Column) -> Column:

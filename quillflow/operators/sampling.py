@@ -37,4 +37,6 @@ def unknown_paths(docs: DataFrame, paths: DataFrame, path: str = "path") -> Data
 
 
 def sample_documents(docs: DataFrame, paths: DataFrame, k: int = SAMPLE) -> DataFrame:
-    return even_sample(selected(docs, paths), k)
+    """k documents of each book, or all of a book that has k or fewer."""
+    wanted = paths.select("path").distinct()
+    return even_sample(selected(docs, wanted), k, group="book")

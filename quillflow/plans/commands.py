@@ -120,11 +120,9 @@ def _merge(store: RunStore, run_id: str, now: int | None) -> str:
     folder, _, file = output.rpartition("/")
     whole = members.select("book", "member", "content").join(changed, ["book", "member"], "left_anti").unionByName(merged)
     archive.write_archives(whole.withColumn("book", F.lit(file)), folder or ".")
-    written = archive.members(spark, output)
-    if not archive.member_differences(members.withColumn("book", F.lit("")), written.withColumn("book", F.lit(""))).isEmpty():
-        raise ValueError("EPUB members changed unexpectedly")
-    content = spark.read.format("binaryFile").load(output).first()["content"]
-    archive.verify(bytes(content), {r["member"] for r in members.select("member").collect()})
+    checked = archive.verified(archive.contents(spark, output), members.select(F.lit(file).alias("name"), "member")).first()
+    if checked is None or checked["error"] is not None:
+        raise ValueError(checked["error"] if checked else "invalid EPUB archive")
     store.update_run(run_id, now, state="completed", merge_state="completed", output_path=output, error=None)
     return output
 

@@ -101,6 +101,29 @@ def archives(rows: DataFrame) -> DataFrame:
     return rows.select("book", "member", "content").groupBy("book").applyInArrow(build, "book string, content binary")
 
 
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """book (the file's name), content of the archives at path."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("book"), "content")
+
+
+def verified(archives_: DataFrame, expected: DataFrame, name: str = "name") -> DataFrame:
+    """book, error (null if sound) of archives (book, content) against their expected members (name, member)."""
+    wanted = expected.groupBy(F.col(name).alias("book")).agg(F.collect_set("member").alias("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = []
+            for content, names in zip(batch.column("content").to_pylist(), batch.column("wanted").to_pylist()):
+                try:
+                    verify(content, set(names or ()))
+                    errors.append(None)
+                except (ValueError, zipfile.BadZipFile) as e:
+                    errors.append(str(e))
+            yield pa.record_batch({"book": batch.column("book"), "error": pa.array(errors, pa.string())})
+
+    return archives_.select("book", "content").join(wanted, "book", "left").mapInArrow(run, "book string, error string")
+
+
 def member_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """book, member, side of members that only one of the two has."""
     a, b = (x.select("book", "member").distinct() for x in (left, right))
