@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of what is no word, and of words.
 URL = r"(?i)https?://\S+|www\.\S+"
 TOKEN = r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"
 
@@ -55,13 +56,43 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(without_urls(c), F.lit(TOKEN), 0)
 
 
+def _folds() -> dict[str, str]:
+    """By the rule of full case folding: what each lower-case character folds to, where that differs."""
+    lows = {c.lower() for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000)))}
+    return {c: c.casefold() for c in sorted(lows) if len(c) == 1 and c.casefold() != c}
+
+
+_FOLDS = _folds()
+_SINGLE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_SEVERAL = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+
+
 def casefold(c: Column) -> Column:
-    """Lower case with sharp s and final sigma folded; full folding differs in rarer letters."""
-    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Full case folding: lower case, then what folds further; plain ASCII takes the first step alone."""
+    low = F.lower(c)
+    one = F.translate(low, "".join(_SINGLE), "".join(_SINGLE.values()))
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _SEVERAL.items()])
+    many = F.aggregate(pairs, one, lambda s, p: F.replace(s, p["k"], p["v"]))
+    return F.when(~low.rlike(r"[^\x00-\x7F]"), low).when(low.rlike("[" + "".join(_SEVERAL) + "]"), many).otherwise(one)
+
+
+def _ranges(points: list[int]) -> str:
+    """Code points as the inside of a character class."""
+    found: list[list[int]] = []
+    for p in points:
+        if found and p == found[-1][1] + 1:
+            found[-1][1] = p
+        else:
+            found.append([p, p])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in found)
+
+
+#: Digits that no decimal number has, such as superscripts and numbers in circles.
+_OTHER_DIGITS = _ranges([p for p in range(0x110000) if chr(p).isdigit() and not chr(p).isdecimal()])
 
 
 def all_digits(c: Column) -> Column:
-    return c.rlike(r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]+$")
+    return c.rlike(rf"^[\p{{Nd}}{_OTHER_DIGITS}]+$")
 
 
 def starts_upper(c: Column) -> Column:
@@ -133,6 +164,11 @@ def model_label(provider: Column, model: Column, name: Column) -> Column:
     return F.when(name.isNotNull() & (name != ""), F.concat(name, F.lit(" ("), base, F.lit(")"))).otherwise(base)
 
 
+def model_at(label: Column, models: Column) -> Column:
+    """The first of models (provider, id, name) that is shown under a label; null if none is."""
+    return F.get(F.filter(models, lambda m: model_label(m["provider"], m["id"], m["name"]) == label), F.lit(0))
+
+
 def thinking_levels(reasoning: Column) -> Column:
     return F.when(reasoning == F.lit(False), F.array(F.lit("off"))).otherwise(F.array(*map(F.lit, THINKING_LEVELS)))
 

@@ -55,3 +55,16 @@ def latest(rows: DataFrame, group: list[str], at: str) -> DataFrame:
 def numbered(rows: DataFrame, group: str, order: list[str], name: str = "id") -> DataFrame:
     """Ascending numbers from 1 within each group."""
     return rows.withColumn(name, F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("long"))
+
+
+def resolve_runs(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """asked (explicit, current, ...) with run: the explicit one, else the current one, else the stored one modified last.
+
+    stored: run, modified. error says where an explicit run isn't stored.
+    """
+    known = stored.select(F.col("run").alias("explicit")).distinct().withColumn("_known", F.lit(True))
+    last = stored.agg(F.max(F.struct("modified", "run")).alias("_last")).select(F.lit(1).alias("_one"), F.col("_last.run").alias("_last"))  # one row
+    joined = asked.join(known, "explicit", "left").withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one", "left")
+    missing = F.col("explicit").isNotNull() & F.col("_known").isNull()
+    run = F.when(~missing, F.coalesce("explicit", "current", "_last"))
+    return joined.withColumn("run", run).withColumn("error", F.when(missing, F.concat(F.lit("no run at "), F.col("explicit")))).drop("_known", "_one", "_last")

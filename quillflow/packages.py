@@ -303,6 +303,29 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", X.model_identifier(F.col("p_brand"), F.col("p_type")).alias("model"), X.model_label(F.col("p_brand"), F.col("p_type"), F.col("shown")).alias("label"), F.array_join(X.thinking_levels(reasoning), " ").alias("levels"), F.array_join(X.preferred(scoped, F.array("p_brand")), " ").alias("offered"))
 
 
+def chosen_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model behind a label that is shown to a customer; every third label belongs to none."""
+    models = F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(i).alias("id"), F.lit(n).cast("string").alias("name")) for p, i, n in (("a", "x", "Ax"), ("b", "y", None), ("b", "z", ""), ("c", "x", "Ax"))])
+    label = F.element_at(F.array(F.lit("Ax (c/x)"), F.lit("b/z"), F.lit("Ax")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    found = C._table(spark, sf_dir, "customer").withColumn("m", X.model_at(label, models))
+    return found.select("c_custkey", "m.provider", "m.id", "m.name")
+
+
+def resolved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which run a request means: of every fourth one that is named, of every third else the current one, else the last one."""
+    stored = C._table(spark, sf_dir, "nation").select(say("n", F.col("n_nationkey").cast("string")).alias("run"), (F.col("n_nationkey") * 7 % 25).alias("modified"))
+    k = F.col("c_custkey")
+    name = F.when(k % 8 == 0, "elsewhere").when(k % 4 == 0, F.lit("run"))
+    asked = C._table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 8 == 4, F.lit("n3")).otherwise(name).alias("explicit"), F.when(k % 3 == 0, "now").alias("current"))
+    return scope.resolve_runs(asked.withColumn("explicit", F.when(F.col("explicit") != "run", F.col("explicit"))), stored).select("c_custkey", "run", "error")
+
+
+def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case folding and digits of a few odd spellings."""
+    odd = F.element_at(F.array(*map(F.lit, ("STRASSE Straße", "ΟΔΟΣ", "ﬁN ŉ", "²③", "١٢", "½", "plain 7"))), (F.col("c_custkey") % 7 + 1).cast("int"))
+    return C._table(spark, sf_dir, "customer").select("c_custkey", X.casefold(odd).alias("folded"), X.all_digits(odd).alias("digits"))
+
+
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.element_at(F.array(F.lit("/books/A.b.epub"), F.lit("notes"), F.lit("x/.hidden"), F.lit("dir.d/Z.EPUB")), (F.col("page_id") % 4 + 1).cast("int"))
     return C._table(spark, sf_dir, "pages").withColumn("p", path).select("page_id", X.stem(F.col("p")).alias("stem"), X.extension(F.col("p")).alias("extension"), X.run_path(say("/runs/", F.col("page_id").cast("string")), F.col("p")).alias("path"))
@@ -349,7 +372,7 @@ def locators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (inspect_books, sampled_books, page_titles, resolved_paths, extracted_jobs, reassembled_documents, structure_checks, page_breaks, archive_files, claimable_jobs, cancelled_runs, failed_runs, retried_runs, merge_claims, created_runs, run_settings, job_lookup, summary_lines, progress_states, model_names, path_parts, glossaries, scope_reviews, worker_counts, locators)
+    for f in (inspect_books, sampled_books, page_titles, resolved_paths, extracted_jobs, reassembled_documents, structure_checks, page_breaks, archive_files, claimable_jobs, cancelled_runs, failed_runs, retried_runs, merge_claims, created_runs, run_settings, job_lookup, summary_lines, progress_states, model_names, chosen_models, resolved_runs, folded_names, path_parts, glossaries, scope_reviews, worker_counts, locators)
 }
 
 _CANCEL_SQL = "run_id = 'r3'"
@@ -388,6 +411,13 @@ SELECT run_id, '{{"state":"running","mergeState":"pending","model":"test/' || ru
     "model_names": """
 SELECT p_partkey, p_brand || '/' || p_type AS model, CASE WHEN p_size % 3 = 1 AND p_name <> '' THEN p_name || ' (' || p_brand || '/' || p_type || ')' ELSE p_brand || '/' || p_type END AS label,
        CASE WHEN p_size % 4 IN (1, 2) THEN 'off' ELSE 'off minimal low medium high xhigh max' END AS levels, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END AS offered FROM part""",
+    "chosen_models": """
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'b' END AS provider, CASE c_custkey % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'z' END AS id, CASE c_custkey % 3 WHEN 0 THEN 'Ax' WHEN 1 THEN '' END AS name FROM customer""",
+    "resolved_runs": """
+SELECT c_custkey, CASE WHEN c_custkey % 8 = 0 THEN NULL WHEN c_custkey % 8 = 4 THEN 'n3' WHEN c_custkey % 3 = 0 THEN 'now' ELSE (SELECT 'n' || n_nationkey FROM nation ORDER BY n_nationkey * 7 % 25 DESC LIMIT 1) END AS run,
+       CASE WHEN c_custkey % 8 = 0 THEN 'no run at elsewhere' END AS error FROM customer""",
+    "folded_names": """
+SELECT c_custkey, ['strasse strasse', 'οδοσ', 'fin ʼn', '²③', '١٢', '½', 'plain 7'][CAST(c_custkey % 7 + 1 AS INTEGER)] AS folded, c_custkey % 7 IN (3, 4) AS digits FROM customer""",
     "path_parts": """
 SELECT page_id, ['A.b', 'notes', '.hidden', 'Z'][k] AS stem, ['.epub', '', '', '.EPUB'][k] AS extension, CASE WHEN k = 1 THEN '/books/A.b.epub' ELSE '/runs/' || page_id || '/' || ['', 'notes', 'x/.hidden', 'dir.d/Z.EPUB'][k] END AS path
 FROM (SELECT page_id, CAST(page_id % 4 + 1 AS INTEGER) AS k FROM pages)""",

@@ -1,7 +1,10 @@
 """Runs and jobs as versioned tables in a folder: each step writes the next version, whole or not at all.
 
-One writer at a time: a version that another writer has just taken makes the step fail, and the
-caller applies it again to what is there now.
+A version's tables lie in a folder of their own, and the version is there once a marker file of its
+number names that folder. The marker is created without overwriting, which file systems with a
+consistent create let only one of several writers do; nothing is renamed. One writer at a time: a
+version that another writer has just taken makes the step fail, and the caller applies it again to
+what is there now. The last KEPT versions stay; older ones and what lost a conflict are deleted.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from ..operators import queue
 from ..operators.summary import summary
 
 
+#: Versions that stay readable.
+KEPT = 8
+
+
 class Conflict(RuntimeError):
     """Another writer took the version."""
 
@@ -40,18 +47,31 @@ class RunStore:
         found = self.versions()
         if not found:
             return self.spark.createDataFrame([], S.JOBS), self.spark.createDataFrame([], S.RUNS)
-        at = f"{self.path}/v{found[-1]}"
+        at = self._folder(found[-1])
         return self.spark.read.schema(S.JOBS).parquet(f"{at}/jobs"), self.spark.read.schema(S.RUNS).parquet(f"{at}/runs")
 
+    def _folder(self, version: int) -> str:
+        stream = self._files.open(self._path(f"{self.path}/v{version}"))
+        try:
+            return f"{self.path}/{self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+        finally:
+            stream.close()
+
     def commit(self, jobs: DataFrame, runs: DataFrame, after: int) -> int:
         """Write the version that follows after."""
-        part = f"{self.path}/.{uuid.uuid4().hex}"
-        jobs.write.parquet(f"{part}/jobs")
-        runs.write.parquet(f"{part}/runs")
-        target = self._path(f"{self.path}/v{after + 1}")
-        if self._files.exists(target) or not self._files.rename(self._path(part), target):
-            self._files.delete(self._path(part), True)
-            raise Conflict(f"version {after + 1} exists")
+        name = f"data-{uuid.uuid4().hex}"
+        jobs.write.parquet(f"{self.path}/{name}/jobs")
+        runs.write.parquet(f"{self.path}/{name}/runs")
+        try:
+            marker = self._files.create(self._path(f"{self.path}/v{after + 1}"), False)
+        except Exception as e:
+            self._files.delete(self._path(f"{self.path}/{name}"), True)
+            raise Conflict(f"version {after + 1} exists") from e
+        marker.write(bytearray(name.encode()))
+        marker.close()
+        for old in [v for v in self.versions() if v <= after + 1 - KEPT]:
+            self._files.delete(self._path(self._folder(old)), True)
+            self._files.delete(self._path(f"{self.path}/v{old}"), False)
         return after + 1
 
     def step(self, change: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, DataFrame | None]]) -> list:

@@ -66,15 +66,15 @@ def verify(content: bytes, expected: set[str]) -> None:
 
 
 def list_books(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name of the archives in a folder, by name without regard to case."""
+    """path, name of the archives in a folder, in the order of a dictionary."""
     found = spark.read.format("binaryFile").load(folder).select("path").withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return found.where(F.lower("name").endswith(".epub")).orderBy(F.lower("name"), "name")
+    return found.where(F.lower("name").endswith(".epub")).orderBy(F.collate("name", "UNICODE"), "name")
 
 
 def list_runs(spark: SparkSession, folder: str) -> DataFrame:
     """run folder and modified of stored runs under folder, latest first."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
-    runs = found.where(F.col("path").rlike(r"/v\d+/runs/")).groupBy(F.regexp_extract("path", r"^(.*)/v\d+/runs/", 1).alias("run")).agg(F.max("modificationTime").alias("modified"))
+    runs = found.where(F.col("path").rlike(r"/data-[0-9a-f]+/runs/")).groupBy(F.regexp_extract("path", r"^(.*)/data-[0-9a-f]+/runs/", 1).alias("run")).agg(F.max("modificationTime").alias("modified"))
     return runs.orderBy(F.col("modified").desc(), "run")
 
 
