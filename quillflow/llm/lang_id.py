@@ -23,6 +23,7 @@ scored alike. Other columns pass through where keep names them.
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -82,6 +83,7 @@ def code_table() -> np.ndarray:
     return _table[0]
 
 
+@functools.cache
 def alphabet() -> int:
     """How many characters there are to predict, the gap among them."""
     return len(np.unique(code_table()))

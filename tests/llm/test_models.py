@@ -71,7 +71,10 @@ class PlainKneserNey:
                 grams[tuple(chars[i - 3 : i + 1])] += 1
         for order in (4, 3, 2, 1):
             once, twice = (sum(n == k for n in grams.values()) for k in (1, 2))
-            self.levels[order] = (grams, once / (once + 2 * twice) if once and twice else 0.5)
+            contexts = collections.defaultdict(list)
+            for g, n in grams.items():
+                contexts[g[:-1]].append(n)
+            self.levels[order] = (grams, once / (once + 2 * twice) if once and twice else 0.5, contexts)
             grams = collections.Counter(g[1:] for g in grams)
 
     @staticmethod
@@ -86,8 +89,8 @@ class PlainKneserNey:
     def prob(self, gram):
         if not gram:
             return 1 / lang_id.alphabet()
-        grams, d = self.levels[len(gram)]
-        same = [n for g, n in grams.items() if g[:-1] == gram[:-1]]
+        grams, d, contexts = self.levels[len(gram)]
+        same = contexts.get(gram[:-1])
         if not same:
             return self.prob(gram[1:])
         return max(grams[gram] - d, 0) / sum(same) + d * len(same) / sum(same) * self.prob(gram[1:])
