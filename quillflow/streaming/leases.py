@@ -2,14 +2,25 @@
 
 Messages (run_id, kind, worker_id, job_id, lease_token, payload, at) come in any order and number; a
 run's messages of one batch are taken by at. add opens job_id; claim, heartbeat, complete and fail
-do as the table transitions of operators.queue do, under the same fences. Late messages are turned
-away by their token, not by a watermark. State is one row for each job, so a message reads and
-writes the jobs that it names, and a claim the open ones.
+do as the table transitions of operators.queue do, under the same fences, and so do cancel,
+clear_cancel, mark_failed, retry (job_id, or all failed jobs if null) and claim_merge; complete_merge
+ends a merge for the worker that holds it. An unknown kind is not accepted. Late messages are turned
+away by their token, not by a watermark.
+
+Each message has one outcome, a retry one more for each job that it opens again. With expiry, leases
+that end unrenewed are reported by a timer as outcomes of kind expired, once each; as in the store
+such a lease may still complete until it is dealt anew. at is then in epoch seconds.
+
+State is one row for each job, finished jobs apart from open ones. A message reads and writes the
+jobs that it names; the open jobs are read once for a batch that has claims, into heaps of a batch's
+own, and once for each retry of all jobs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +31,12 @@ from .. import schemas as S
 
 MESSAGES = "run_id string, kind string, worker_id string, job_id bigint, lease_token string, payload string, at bigint"
 OUTCOMES = "run_id string, kind string, worker_id string, job_id bigint, lease_token string, accepted boolean, state string, attempts int, at bigint"
+COLUMNS = [x.split()[0] for x in OUTCOMES.split(", ")]
+
+JOB = "state string, worker_id string, lease_token string, lease_until bigint, attempts int"
+RUN = "state string, cancelled boolean, merge_state string, merge_worker_id string, unfinished bigint"
+NEW_JOB = (S.PENDING, None, None, None, 0)
+NEW_RUN = (S.RUNNING, False, S.PENDING, None, 0)
 
 
 def token(run_id: str, job_id: int, attempt: int, now: int) -> str:
@@ -27,57 +44,181 @@ def token(run_id: str, job_id: int, attempt: int, now: int) -> str:
 
 
 class Leases(StatefulProcessor):
-    """State: job_id -> (state, worker_id, lease_token, lease_until, attempts)."""
+    """State: open and finished jobs, the run, and with expiry the jobs whose leases end in a second."""
 
-    def __init__(self, max_attempts: int = S.DEFAULT_MAX_ATTEMPTS):
+    def __init__(self, max_attempts: int = S.DEFAULT_MAX_ATTEMPTS, expiry: bool = False):
         self.max_attempts = max_attempts
+        self.expiry = expiry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.jobs = handle.getMapState("jobs", "job_id bigint", "state string, worker_id string, lease_token string, lease_until bigint, attempts int")
+        self.handle = handle
+        self.open = handle.getMapState("open", "job_id bigint", JOB)
+        self.done = handle.getMapState("done", "job_id bigint", "attempts int")
+        self.run = handle.getValueState("run", RUN)
+        self.due = handle.getMapState("due", "lease_until bigint", "job_ids string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         (run_id,) = key
         messages = pd.concat(list(rows)).sort_values("at", kind="stable")
-        out = [self._one(run_id, m) for m in messages.itertuples()]
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOMES.split(", ")])
+        self.free: list[int] | None = None
+        self.leased: list[tuple[int, int]] = []
+        self.ends: dict[int, list[int]] = defaultdict(list)
+        before = tuple(self.run.get()) if self.run.exists() else None
+        self.now_run = before or NEW_RUN
+        out = [row for m in messages.itertuples() for row in self._one(run_id, m)]
+        if self.now_run != before:
+            self.run.update(self.now_run)
+        self._watch()
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        (run_id,) = key
+        until = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
+        out = []
+        if self.due.containsKey((until,)):
+            for job in sorted(set(map(int, self.due.getValue((until,))[0].split(",")))):
+                known = self._job(job)
+                if known and known[0] == S.LEASED and known[3] == until:
+                    out.append((run_id, "expired", known[1], job, known[2], True, S.LEASED, known[4], until + 1))
+            self.due.removeKey((until,))
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+    # ---- messages
 
-    def _one(self, run_id: str, m: object) -> tuple:
+    def _one(self, run_id: str, m: object) -> list[tuple]:
         now = int(m.at)
         if m.kind == "claim":
-            free = sorted((j[0], s) for j, s in self.jobs.iterator() if self._free(s, now))
-            if not free:
-                return (run_id, m.kind, m.worker_id, None, None, False, None, None, now)
-            job, (_, _, _, _, attempts) = free[0]
-            given = token(run_id, job, attempts + 1, now)
-            self.jobs.updateValue((job,), (S.LEASED, m.worker_id, given, now + S.LEASE_SECONDS, attempts + 1))
-            return (run_id, m.kind, m.worker_id, job, given, True, S.LEASED, attempts + 1, now)
-        job = int(m.job_id)
-        known = self.jobs.getValue((job,)) if self.jobs.containsKey((job,)) else None
+            return [self._claim(run_id, m.worker_id, now)]
+        if m.kind in ("add", "heartbeat", "complete", "fail"):
+            return [self._of_job(run_id, m, now)]
+        state, cancelled, merge, holder, unfinished = self.now_run
+        accepted, opened = True, []
+        if m.kind == "cancel":
+            cancelled = True
+        elif m.kind == "clear_cancel":
+            cancelled, state = False, S.RUNNING
+        elif m.kind == "mark_failed":
+            state, merge = S.FAILED, merge if merge == S.LEASED else S.FAILED
+        elif m.kind == "retry":
+            opened = self._reopen(None if pd.isna(m.job_id) else int(m.job_id))
+            cancelled, state, merge = False, S.RUNNING, merge if merge == S.COMPLETED else S.PENDING
+        elif m.kind == "claim_merge":
+            accepted = not cancelled and merge == S.PENDING and unfinished == 0
+            merge, holder = (S.LEASED, m.worker_id) if accepted else (merge, holder)
+        elif m.kind == "complete_merge":
+            accepted = merge == S.LEASED and holder == m.worker_id
+            state, merge = (S.COMPLETED, S.COMPLETED) if accepted else (state, merge)
+        else:
+            accepted = False
+        self.now_run = (state, cancelled, merge, holder, unfinished)
+        told = merge if m.kind in ("claim_merge", "complete_merge") else state
+        rows = [(run_id, m.kind, m.worker_id, None, None, accepted, told, None, now)]
+        return rows + [(run_id, m.kind, None, job, None, True, S.PENDING, 0, now) for job in opened]
+
+    def _claim(self, run_id: str, worker: str, now: int) -> tuple:
+        job = None if self.now_run[1] else self._next(now)
+        if job is None:
+            return (run_id, "claim", worker, None, None, False, None, None, now)
+        attempt = self._job(job)[4] + 1
+        given = token(run_id, job, attempt, now)
+        self._put(job, (S.LEASED, worker, given, now + S.LEASE_SECONDS, attempt))
+        return (run_id, "claim", worker, job, given, True, S.LEASED, attempt, now)
+
+    def _of_job(self, run_id: str, m: object, now: int) -> tuple:
+        job = None if pd.isna(m.job_id) else int(m.job_id)
+        known = None if job is None else self._job(job)
         if m.kind == "add":
-            if known is None:
-                self.jobs.updateValue((job,), (S.PENDING, None, None, None, 0))
-            return (run_id, m.kind, None, job, None, known is None, S.PENDING if known is None else known[0], 0 if known is None else known[4], now)
-        fits = known is not None and known[0] == S.LEASED and known[1] == m.worker_id and known[2] == m.lease_token
-        if m.kind == "heartbeat":
-            fits = fits and known[3] >= now
-            new = (S.LEASED, known[1], known[2], now + S.LEASE_SECONDS, known[4]) if fits else None
+            fits = known is None and job is not None
+            new = NEW_JOB if fits else None
+            if fits:
+                self.now_run = (*self.now_run[:4], self.now_run[4] + 1)
         else:
-            new = (S.DONE if m.kind == "complete" else S.FAILED, None, None, None, known[4]) if fits else None
+            fits = known is not None and known[0] == S.LEASED and known[1] == m.worker_id and known[2] == m.lease_token
+            if m.kind == "heartbeat":
+                fits = fits and known[3] >= now
+                new = (S.LEASED, known[1], known[2], now + S.LEASE_SECONDS, known[4]) if fits else None
+            else:
+                new = (S.DONE if m.kind == "complete" else S.FAILED, None, None, None, known[4]) if fits else None
         if new:
-            self.jobs.updateValue((job,), new)
+            self._put(job, new)
         state, attempts = (new or known or (None,) * 5)[0], (new or known or (None,) * 5)[4]
-        return (run_id, m.kind, m.worker_id, job, m.lease_token, bool(fits), state, attempts, now)
+        worker, given = (None, None) if m.kind == "add" else (m.worker_id, m.lease_token)
+        return (run_id, m.kind, worker, job, given, bool(fits), state, attempts, now)
+
+    def _reopen(self, job: int | None) -> list[int]:
+        """Failed jobs, the one or all, are pending again without attempts; their ids."""
+        if job is None:
+            failed = sorted(j[0] for j, s in self.open.iterator() if s[0] == S.FAILED)
+        else:
+            known = self._job(job)
+            failed = [job] if known and known[0] == S.FAILED else []
+        for j in failed:
+            self._put(j, NEW_JOB)
+        return failed
+
+    # ---- jobs
+
+    def _job(self, job: int) -> tuple | None:
+        if self.open.containsKey((job,)):
+            return tuple(self.open.getValue((job,)))
+        return (S.DONE, None, None, None, self.done.getValue((job,))[0]) if self.done.containsKey((job,)) else None
+
+    def _put(self, job: int, new: tuple) -> None:
+        if new[0] == S.DONE:
+            self.open.removeKey((job,))
+            self.done.updateValue((job,), (new[4],))
+            self.now_run = (*self.now_run[:4], self.now_run[4] - 1)
+            return
+        self.open.updateValue((job,), new)
+        if new[0] == S.LEASED:
+            self.ends[new[3]].append(job)
+        if self.free is not None:
+            self._offer(job, new)
+
+    def _offer(self, job: int, s: tuple) -> None:
+        if s[0] == S.LEASED:
+            heapq.heappush(self.leased, (s[3], job))
+        elif s[0] == S.PENDING or s[4] < self.max_attempts:
+            heapq.heappush(self.free, job)
+
+    def _next(self, now: int) -> int | None:
+        """The claimable job of the smallest id. The heaps may hold outdated entries; the state decides."""
+        if self.free is None:
+            self.free = []
+            for j, s in list(self.open.iterator()):
+                self._offer(j[0], tuple(s))
+        while self.leased and self.leased[0][0] < now:
+            heapq.heappush(self.free, heapq.heappop(self.leased)[1])
+        while self.free:
+            job = heapq.heappop(self.free)
+            known = self._job(job)
+            if known and self._free(known, now):
+                return job
+        return None
 
     def _free(self, s: tuple, now: int) -> bool:
         state, _, _, until, attempts = s
         return state == S.PENDING or state == S.LEASED and until < now or state == S.FAILED and attempts < self.max_attempts
 
-    def close(self) -> None:
-        pass
+    def _watch(self) -> None:
+        """One timer for each second in which leases end."""
+        if not self.expiry:
+            return
+        for until, ids in self.ends.items():
+            known = [self.due.getValue((until,))[0]] if self.due.containsKey((until,)) else []
+            self.due.updateValue((until,), (",".join(known + [str(i) for i in ids]),))
+            self.handle.registerTimer((until + 1) * 1000)
+
 
+def lease_stream(messages: DataFrame, max_attempts: int = S.DEFAULT_MAX_ATTEMPTS, expiry: bool = False) -> DataFrame:
+    """Outcomes of a stream of messages. Needs the RocksDB state store provider.
 
-def lease_stream(messages: DataFrame, max_attempts: int = S.DEFAULT_MAX_ATTEMPTS) -> DataFrame:
-    """Outcomes of a stream of messages. Needs the RocksDB state store provider."""
+    With expiry the query needs a processing-time trigger: timers keep an availableNow query from ending.
+    """
     spark = messages.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return messages.groupBy("run_id").transformWithStateInPandas(Leases(max_attempts), OUTCOMES, "append", "none")
+    timers = "processingTime" if expiry else "none"
+    return messages.groupBy("run_id").transformWithStateInPandas(Leases(max_attempts, expiry), OUTCOMES, "append", timers)
