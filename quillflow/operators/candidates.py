@@ -14,16 +14,16 @@ LONGEST, CONTEXTS, LIMIT = 4, 3, 200
 def phrases(samples: DataFrame, document: str = "doc_index", text: str = "text") -> DataFrame:
     """document, key, phrase: each phrase of a document once, as it first stands there.
 
-    Only places where two fitting words meet are exploded.
+    Only places where two fitting words meet are exploded, and without the words of their document.
     """
     rows = samples.select(F.col(document).alias("document"), X.tokens(F.col(text)).alias("t"))
     rows = rows.withColumn("ok", F.transform("t", lambda t: ~X.blocks_term(t)))
     fits = lambda i: F.coalesce(F.get("ok", i), F.lit(False))
     starts = F.filter(F.transform("ok", lambda ok, i: F.when(ok & fits(i + 1), i)), lambda i: i.isNotNull())
-    rows = rows.select("document", "t", "ok", F.explode(starts).alias("start"))
-    longest = F.lit(2) + fits(F.col("start") + 2).cast("int") * (F.lit(1) + fits(F.col("start") + 3).cast("int"))
-    rows = rows.select("document", "t", "start", F.explode(F.sequence(F.lit(2), longest)).alias("n"))
-    rows = rows.select("document", "start", "n", F.array_join(F.slice("t", F.col("start") + 1, F.col("n")), " ").alias("phrase"))
+    longest = lambda i: F.lit(2) + fits(i + 2).cast("int") * (F.lit(1) + fits(i + 3).cast("int"))
+    span = lambda i, n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice("t", i + 1, n), " ").alias("phrase"))
+    spans = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), longest(i)), lambda n: span(i, n)))
+    rows = rows.select("document", F.explode(F.flatten(spans)).alias("span")).select("document", "span.*")
     rows = rows.withColumn("key", X.casefold(F.col("phrase")))
     return rows.groupBy("document", "key").agg(F.min_by("phrase", F.struct("start", "n")).alias("phrase"))
 
