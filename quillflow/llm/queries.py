@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op7_nearest_vectors
+from .chat_format import OP12_SQL, op12_chat_format
 from .hmm import op8_hmm_scores
+from .importance import OP11_SQL, op11_importance_resample
 from .lang_id import op3_language_id
 from .mixing import OP6_SQL, op6_mix_sources
 from .packing import op4_best_fit_packing
@@ -28,9 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hmm_scores": op8_hmm_scores,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_importance_resample": op11_importance_resample,
+    "op12_chat_format": op12_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality_divergence": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
+    "op11_importance_resample": OP11_SQL,
+    "op12_chat_format": OP12_SQL,
 }
