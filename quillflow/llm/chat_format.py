@@ -95,8 +95,8 @@ PIECES = "conv_id bigint, piece int, last boolean, n_turns bigint, segments arra
 class _Writer:
     """Pieces of one conversation after another."""
 
-    def __init__(self, template: Template, conv_id: int | None):
-        self.template, self.conv_id = template, conv_id
+    def __init__(self, template: Template, conv_id: int | None, most: int):
+        self.template, self.conv_id, self.most = template, conv_id, most
         self.state, self.error, self.turns, self.piece = template.start, None, 0, 0
         self._begin()
 
@@ -107,7 +107,7 @@ class _Writer:
         return {"conv_id": self.conv_id, "piece": self.piece, "last": last, "n_turns": self.turns - self.before, "segments": [{"text": t, "loss": loss} for t, loss in self.segments], "error": self.error}
 
     def add(self, role: str, text: str) -> Iterator[dict]:
-        if self.size >= PIECE_BYTES:
+        if self.size >= self.most:
             yield self._row(False)
             self.piece += 1
             self._begin()
@@ -129,7 +129,7 @@ class _Writer:
 def formatted(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     """Pieces of each conversation of turns (conv_id, turn, role, text); error: the first break of the order."""
     small_batches(turns.sparkSession)
-    order = ["conv_id", "turn", "role", "text"]
+    order, most = ["conv_id", "turn", "role", "text"], PIECE_BYTES
     plain = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +140,9 @@ def formatted(turns: DataFrame, template: Template = CHATML) -> DataFrame:
                     if writer is not None:
                         size += writer.size
                         ready.append(writer.end())
-                    writer = _Writer(template, conv_id)
+                    writer = _Writer(template, conv_id, most)
                 ready += writer.add(role, text)
-                if len(ready) >= ROWS_AT_ONCE or size >= PIECE_BYTES:
+                if len(ready) >= ROWS_AT_ONCE or size >= most:
                     yield pa.RecordBatch.from_pylist(ready, _PIECES)
                     ready, size = [], 0
         if writer is not None:

@@ -69,7 +69,7 @@ def _crc32(features: pa.Array) -> pa.Array:
 def bucket_counts(texts: DataFrame, keep: Sequence[str] = (), longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
     """keep, n_words, n_features, and the text's hash buckets with their counts."""
     small_batches(texts.sparkSession)
-    sql = _count_sql(longest, buckets)
+    sql, most = _count_sql(longest, buckets), SLICE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -78,7 +78,7 @@ def bucket_counts(texts: DataFrame, keep: Sequence[str] = (), longest: int = LON
         con.execute("SET temp_directory = ''")  # nothing goes to a machine's own disk
         con.create_function("zlib_crc32", _crc32, ["VARCHAR"], "UINTEGER", type="arrow")
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", most):
                 con.register("part", pa.table({"r": pa.array(range(part.num_rows), pa.int64()), "text": part.column("text")}))
                 found = con.sql(sql).to_arrow_table().cast(_COUNTED).combine_chunks()
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(c.combine_chunks() for c in found.columns)], [*keep, *_COUNTED.names])

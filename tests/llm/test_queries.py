@@ -27,6 +27,8 @@ CONTRACT = {
     "op8": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     "op9": "doc_id bigint, fingerprint string, component_id bigint",
     "op10": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op11": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op12": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
 }
 
 
@@ -49,6 +51,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(100, 220)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     vectors = np.random.default_rng(1).normal(size=(300, 8))
     spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame([(k, rows[k][1][:200]) for k in range(5)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(k % 9, k // 9, "assistant" if k // 9 % 2 else "user", x[1]) for k, x in enumerate(rows[:50])], "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
     return at
 
 
@@ -67,9 +71,10 @@ def test_columns_and_rows(got):
     for name, (types, found) in got.items():
         op = name.split("_")[0]
         assert dict(x.split() for x in CONTRACT[op].split(", ")).items() <= dict(types).items(), name
-        if op not in ("op4", "op7"):
+        if op not in ("op4", "op7", "op12"):
             assert collections.Counter(str(r["doc_id"]) for r in found) == collections.Counter(str(r[0]) for r in rows), name
     assert {str(r["doc_id"]) for r in got["op4_best_fit_packing"][1]} == {str(r[0]) for r in rows}
+    assert sorted(r["conv_id"] for r in got["op12_chat_format"][1]) == list(range(-1, 9))
     assert len(got["op7_nearest_vectors"][1]) == 3 * 10 and set(queries.ORACLES) <= set(QUERIES)
 
 
