@@ -39,6 +39,8 @@ from . import sharedfs
 from .common import documents, fold, fresh_path, mix64, slices, small_batches, staged, text_buffer, trimmed
 
 ORDER = 4
+#: Relative deviation of a language's estimated number of distinct rows, which bounds what is picked from.
+PICK_DEVIATION = 0.01
 #: Labelled rows of each language that a model learns from at most, those of least hash; a fifth more calibrates.
 TRAIN_ROWS, CALIBRATION_ROWS = 2000, 500
 #: Languages whose numbers of rows are sent to every task at most.
@@ -438,10 +440,11 @@ def calibrate(model: Model, lang: np.ndarray, entropy: np.ndarray, n: np.ndarray
 def picked(labelled: DataFrame, wanted: int) -> DataFrame:
     """text, lang, place (from 1): the wanted rows of each language of least hash of id and text; equal rows are one."""
     rows = labelled.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), "lang", F.xxhash64("doc_id", "text", "lang").alias("pick"))
-    totals = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total")), "lang-totals")
+    # repeated rows count once here too; the slack is 15 times the estimate's deviation
+    totals = staged(rows.groupBy("lang").agg(F.approx_count_distinct("pick", PICK_DEVIATION).alias("total")), "lang-totals")
     if totals.count() <= MOST_BROADCAST:  # else texts meet their language's total by a shuffle
         totals = F.broadcast(totals)
-    likely = rows.join(totals, "lang").where((F.col("pick") / F.lit(2.0**64) + 0.5) * F.col("total") <= wanted * 1.1 + 50)
+    likely = rows.join(totals, "lang").where((F.col("pick") / F.lit(2.0**64) + 0.5) * F.col("total") <= wanted * (1 + 15 * PICK_DEVIATION) + 50)
     # equal rows have one pick: joined where they lie, any number of them is one row in the window
     once = likely.groupBy("lang", "pick").agg(F.first("text").alias("text"))
     return once.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("pick"))).where(F.col("place") <= wanted).select("text", "lang", "place")
