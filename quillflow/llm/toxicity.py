@@ -221,6 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES)
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = marks.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels of other documents say nothing here
     totals = marks.agg(F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     if not totals[0]:
         return None
