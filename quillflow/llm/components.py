@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps.
+
+Rounds grow with the logarithm of the longest path; after MOST_ROUNDS, far beyond any path of 64-bit
+ids, the query fails rather than return components that are not whole.
+"""
 
 from __future__ import annotations
 

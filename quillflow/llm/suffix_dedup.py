@@ -16,8 +16,8 @@
 
 Anchors only say where to look; what is removed is decided on the bytes themselves. A passage or
 copy that a third of all documents share is one anchor entry and one snippet in each block. At its
-edges each document has a snippet of its own: an anchor that more than HOT_BLOCKS blocks have is not
-gathered in one shard; each block sorts the strings around it with its own suffix array, and the
+edges each document has a snippet of its own: an anchor of more than HOT_BLOCKS blocks or HOT_PLACES
+places is not gathered in one shard; each block sorts the strings around it with its own suffix array, and the
 sorted runs are merged by binary search in buckets by string.
 
 A text's bytes lie in one task, with about five times as many for the snippets of its anchors, which
@@ -61,8 +61,8 @@ ANCHOR_BYTES, SHARD_BYTES = 12 << 20, 6 << 20
 PART_BYTES = 16 << 20
 #: Tasks that buckets are dealt to at most.
 MOST_TASKS = 20_000
-#: Blocks above which an anchor's snippets are compared string by string.
-HOT_BLOCKS = 256
+#: Blocks, or places, above which an anchor's snippets are compared string by string.
+HOT_BLOCKS, HOT_PLACES = 256, 16_000
 #: Distinct snippets of one suffix array.
 ARRAY_SNIPPETS = 8_000
 _NO_ID = np.iinfo(np.int64).max
@@ -72,19 +72,22 @@ _NO_ID = np.iinfo(np.int64).max
 
 
 def lay_out(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """block, size (of its texts), ids, bounds, data (compressed), and kept: a list for each kept string column. docs: doc_id, text, keep."""
+    """block, size (of its texts), ids (as places in order), shown (as they are), bounds, data (compressed), and kept: a list for each kept string column. docs: doc_id, text, keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for rows in slices(batch, "text", BLOCK_BYTES):
                 data, bounds = text_buffer(rows.column("text"))
-                ids = rows.column("doc_id").fill_null(_NO_ID).to_numpy()
-                yield pa.record_batch({"block": [block], "size": [len(data)], "ids": [ids.astype("<i8").tobytes()], "bounds": [bounds.astype("<i8").tobytes()], "data": pa.array([_squeezed(data.tobytes())], pa.binary()), "kept": pa.array([[rows.column(c).to_pylist() for c in keep]], pa.list_(pa.list_(pa.string())))})
+                ids = rows.column("doc_id")
+                none = ids.is_null().to_numpy(zero_copy_only=False)
+                # a null comes last of all, one place after the largest id; the two least ids there are share a place
+                ids = np.where(none, _NO_ID, np.maximum(ids.fill_null(0).to_numpy(), np.iinfo(np.int64).min + 1) - 1)
+                yield pa.record_batch({"block": [block], "size": [len(data)], "ids": [ids.astype("<i8").tobytes()], "shown": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), "bounds": [bounds.astype("<i8").tobytes()], "data": pa.array([_squeezed(data.tobytes())], pa.binary()), "kept": pa.array([[rows.column(c).to_pylist() for c in keep]], pa.list_(pa.list_(pa.string())))})
                 block += 1
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).cast("string") for c in keep])
-    return rows.mapInArrow(trimmed(run), "block long, size long, ids binary, bounds binary, data binary, kept array<array<string>>")
+    return rows.mapInArrow(trimmed(run), "block long, size long, ids binary, shown array<long>, bounds binary, data binary, kept array<array<string>>")
 
 
 def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -174,29 +177,32 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], "<i8"), bounds, np.frombuffer(_expanded(row["data"], int(bounds[-1])), np.uint8)
 
 
-def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, and whether each occurs in two documents."""
+def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, whether each occurs in two documents, and in how many places (as many as two bytes hold)."""
     order = np.argsort(h, kind="stable")
     h, doc = h[order], doc[order]
     cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-    return h[cut], np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut) if len(cut) else np.empty(0, bool)
+    places = np.minimum(np.diff(np.append(cut, len(h))), np.iinfo(np.uint16).max).astype("<u2")
+    return h[cut], np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut) if len(cut) else np.empty(0, bool), places
 
 
 def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
     """block, bucket, and packed bits, in order of hash, for the block's distinct anchors in the bucket.
 
-    flags: those that two documents have; hot: those in more than HOT_BLOCKS blocks.
+    flags: those that two documents have; hot: those in more than HOT_BLOCKS blocks or HOT_PLACES places.
     """
 
+    most_blocks, most_places = HOT_BLOCKS, HOT_PLACES
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, bounds, data = _read(row)
                 at, h = anchors(data, bounds)
-                h, twice = _distinct(h, ids[np.searchsorted(bounds, at, side="right") - 1])
+                h, twice, places = _distinct(h, ids[np.searchsorted(bounds, at, side="right") - 1])
                 cuts = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                yield pa.record_batch({"bucket": full.astype(np.int32), "block": np.full(len(full), row["block"]), "hashes": pa.array([_planes(np.diff(h[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))) for b in full], pa.binary()), "twice": pa.array([np.packbits(twice[cuts[b] : cuts[b + 1]]).tobytes() for b in full], pa.binary())})
+                yield pa.record_batch({"bucket": full.astype(np.int32), "block": np.full(len(full), row["block"]), "hashes": pa.array([_planes(np.diff(h[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))) for b in full], pa.binary()), "twice": pa.array([np.packbits(twice[cuts[b] : cuts[b + 1]]).tobytes() for b in full], pa.binary()), "places": pa.array([places[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())})
 
     def find(table: pa.Table) -> pa.Table:
         parts = [np.cumsum(_from_planes(x), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
@@ -209,13 +215,17 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         at = np.minimum(np.searchsorted(repeated, every), max(0, len(repeated) - 1))
         flags = repeated[at] == every if len(repeated) else np.zeros(len(every), bool)
         starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
-        often = ranked[starts[np.diff(np.append(starts, len(ranked))) > HOT_BLOCKS]]
+        many = np.diff(np.append(starts, len(ranked))) > most_blocks
+        if len(many):
+            places = np.concatenate([np.frombuffer(x, "<u2") for x in table.column("places").to_pylist()])
+            many |= np.add.reduceat(places[np.argsort(every, kind="stable")].astype(np.int64), starts) > most_places
+        often = ranked[starts[many]]
         at = np.minimum(np.searchsorted(often, every), max(0, len(often) - 1))
         hot = often[at] == every if len(often) else np.zeros(len(every), bool)
         split = lambda x: pa.array([np.packbits(y).tobytes() for y in np.split(x, np.cumsum(sizes)[:-1])], pa.binary())
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": split(flags), "hot": split(hot)})
 
-    sent = blocks.select("block", "ids", "bounds", "data").mapInArrow(trimmed(send), "bucket int, block long, hashes binary, twice binary")
+    sent = blocks.select("block", "ids", "bounds", "data").mapInArrow(trimmed(send), "bucket int, block long, hashes binary, twice binary, places binary")
     sent = sent.repartition(min(buckets, MOST_TASKS), "bucket")
     return sent.groupBy("bucket").applyInArrow(find, "block long, bucket int, flags binary, hot binary")
 
@@ -595,7 +605,7 @@ def repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False
                 parts.append(raw[here:x])
                 here = y
             kept = b"".join([*parts, raw[here : int(bounds[d + 1])]])
-            out.append((None if ids[d] == _NO_ID else int(ids[d]), int(bounds[d + 1] - bounds[d]), int(sum(y - x for x, y in cuts)), len(cuts), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore"), [v - int(bounds[d]) for x in cuts for v in x]] if with_text else []), *(x[d] for x in block["kept"])))
+            out.append((block["shown"][d], int(bounds[d + 1] - bounds[d]), int(sum(y - x for x, y in cuts)), len(cuts), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore"), [v - int(bounds[d]) for x in cuts for v in x]] if with_text else []), *(x[d] for x in block["kept"])))
         return _cut_rows(out, keep, with_text)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string, spans array<long>" * with_text + "".join(f", `{c}` string" for c in keep)

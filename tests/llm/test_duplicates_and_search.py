@@ -105,7 +105,7 @@ def test_empty_near_duplicates(empty):
 
 def plain_removal(rows):
     """(doc_id, n_bytes, n_removed, n_spans, sha256) by looking up every 50 bytes of documents with smaller ids."""
-    big = 10**18
+    big = 10**20
     data = [((big if r[0] is None else r[0]), (r[1] or "").encode()) for r in rows]
     first = {}
     for d, b in data:
@@ -203,9 +203,20 @@ def test_periodic_passages(spark, monkeypatch, seed):
     assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == plain_removal(rows)
 
 
-@pytest.mark.parametrize("hot", [2, 256])
-def test_one_passage_in_every_document(spark, monkeypatch, hot):
+def test_largest_and_least_ids_and_nulls(spark):
+    """The largest id is an id, and earlier than none at all."""
+    top, low, word = 2**63 - 1, -(2**63), "".join(random.Random(5).choices("abcdefgh", k=90))
+    ids = (None, top, top - 1, low, 0, None, top)
+    rows = [(k, word[i:] if k is not None else word, "en", "a") for i, k in enumerate(ids)] + [(top, "only here " * 9, "en", "a"), (None, "only here " * 9, "en", "a")]
+    got = suffix_dedup.repeats(spark.createDataFrame(rows_of(rows), SCHEMA).repartition(3)).collect()
+    assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == plain_removal(rows)
+    assert sum(x["doc_id"] == top for x in got) == 3 and sum(x["doc_id"] is None for x in got) == 3
+
+
+@pytest.mark.parametrize(("hot", "places"), [(2, 16_000), (256, 16_000), (256, 40)])
+def test_one_passage_in_every_document(spark, monkeypatch, hot, places):
     monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_PLACES", places)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(suffix_dedup, "ARRAY_SNIPPETS", 60)
     r = random.Random(6)

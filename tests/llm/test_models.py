@@ -153,6 +153,16 @@ def test_hot_ids_do_not_fill_one_window(spark):
     assert len(got) <= 50 and len({r["text"] for r in got}) == len(got) and sorted(r["place"] for r in got) == list(range(1, len(got) + 1))
 
 
+def test_repeated_rows_take_no_places_of_others(spark):
+    once = spark.range(400).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    many = once.unionByName(spark.range(900).selectExpr("id as doc_id", "concat('mot ', id) as text", "'fr' as lang"))
+    rows = many.crossJoin(spark.range(300).where("id >= 0")).select("doc_id", "text", "lang")
+    got = lang_id.picked(rows, 500).collect()
+    assert len({r["text"] for r in got if r["lang"] == "en"}) == 400 and len([r for r in got if r["lang"] == "fr"]) == 500
+    alone = lang_id.picked(many, 500).collect()
+    assert sorted(got) == sorted(alone)
+
+
 def test_languages_of_held_out_rows(spark, corpus):
     model = lang_id.learn(corpus.where("doc_id % 4 <> 2"), train_rows=100, calibration_rows=25)
     got = lang_id.identify(corpus.where("doc_id % 4 = 2"), model, ("doc_id", "lang", "score_", "text")[:2]).collect()
@@ -233,6 +243,14 @@ def test_scores_follow_the_toxic_share_above_the_bound_on_rows(spark):
         assert abs(got[0] - share) < 0.2 and got[1] < 0.1, (most, got, share)
 
 
+def test_labels_of_other_documents_change_nothing(spark, corpus):
+    docs = corpus.select("doc_id", "text")
+    own = docs.selectExpr("doc_id", "cast(doc_id % 5 = 0 as int) as toxic")
+    other = spark.range(100_000, 130_000).selectExpr("id as doc_id", "cast(id % 2 = 0 as int) as toxic")
+    a, b = (sorted(map(tuple, toxicity.score(docs, toxicity.learn(docs, x)).collect())) for x in (own, own.unionByName(other)))
+    assert a == b
+
+
 def test_bound_on_labelled_rows_is_exact_whatever_repeats(spark):
     """A labelled id with half of all rows, equal ones and others: at most the bound, of least hash, in any order of rows."""
     rows = [(7, f"vermin {k % 400}" if k % 2 else "vermin same") for k in range(2000)] + [(k, f"text {k}") for k in range(100, 300)]
