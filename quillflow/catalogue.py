@@ -82,20 +82,27 @@ def candidate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOKENS_SQL = r"regexp_extract_all(regexp_replace(coalesce(text, ''), 'https?://\S+|www\.\S+', ' ', 'gi'), '[\p{L}\p{N}]+(?:[''’\-][\p{L}\p{N}]+)*')"
 _STOP_SQL = ", ".join(f"'{w}'" for w in X.STOPWORDS)
-_CANDIDATES_SQL = rf"""
-WITH toks AS (SELECT doc_id, {_TOKENS_SQL} AS t FROM documents),
-words AS (SELECT doc_id, t, unnest(generate_series(1, len(t) - 1)) AS i FROM toks),
+
+
+def candidates_sql(docs: str, group: str | None, limit: int, least: int) -> str:
+    """Ranked phrases of the relation docs (doc_id, text), of each group if one is named."""
+    g, by = (f"{group}, ", f"PARTITION BY {group} ") if group else ("", "")
+    shown = f"frequency, (SELECT count(*) FROM docs d WHERE d.{group} = r.{group}) AS documents, {group}" if group else "frequency, frequency AS document_count"
+    return rf"""
+WITH docs AS MATERIALIZED (SELECT * FROM {docs}),
+toks AS (SELECT {g}doc_id, {_TOKENS_SQL} AS t FROM docs),
+words AS (SELECT {g}doc_id, t, unnest(generate_series(1, len(t) - 1)) AS i FROM toks),
 flags AS (
-  SELECT doc_id, i, n, list_slice(t, i, i + n - 1) AS w FROM words, (SELECT unnest([2, 3, 4]) AS n) WHERE i + n - 1 <= len(t)),
+  SELECT {g}doc_id, i, n, list_slice(t, i, i + n - 1) AS w FROM words, (SELECT unnest([2, 3, 4]) AS n) WHERE i + n - 1 <= len(t)),
 fine AS (
-  SELECT doc_id, i, n, array_to_string(w, ' ') AS phrase FROM flags
+  SELECT {g}doc_id, i, n, array_to_string(w, ' ') AS phrase FROM flags
   WHERE len(list_filter(w, lambda x: (lower(x) IN ({_STOP_SQL}) AND length(x) > 1) OR regexp_matches(x, '^\p{{Nd}}+$') OR NOT regexp_matches(x, '^\p{{Lu}}'))) = 0),
-once AS (SELECT doc_id, replace(replace(lower(phrase), 'ß', 'ss'), 'ς', 'σ') AS key, arg_min(phrase, i * 10 + n) AS phrase FROM fine GROUP BY ALL),
+once AS (SELECT {g}doc_id, replace(replace(lower(phrase), 'ß', 'ss'), 'ς', 'σ') AS key, arg_min(phrase, i * 10 + n) AS phrase FROM fine GROUP BY ALL),
 ranked AS (
-  SELECT key, count(*) AS frequency, arg_min(phrase, doc_id) AS term, list_slice(list(phrase ORDER BY doc_id), 1, 3) AS contexts FROM once GROUP BY key)
-SELECT CAST(row_number() OVER (ORDER BY frequency DESC, len(string_split(term, ' ')) DESC, replace(replace(lower(term), 'ß', 'ss'), 'ς', 'σ')) AS INTEGER) AS place,
-       term, frequency, frequency AS document_count, contexts
-FROM ranked QUALIFY place <= 200"""
+  SELECT {g}key, count(*) AS frequency, arg_min(phrase, doc_id) AS term, list_slice(list(phrase ORDER BY doc_id), 1, 3) AS contexts FROM once GROUP BY {g}key HAVING count(*) >= {least})
+SELECT CAST(row_number() OVER ({by}ORDER BY frequency DESC, len(string_split(term, ' ')) DESC, replace(replace(lower(term), 'ß', 'ss'), 'ς', 'σ')) AS INTEGER) AS place,
+       term, {shown}, contexts
+FROM ranked r QUALIFY place <= {limit}"""
 
 
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +294,7 @@ SELECT run_id, count(*) AS total, count(*) FILTER (state = 'done') AS done, coun
 _ELAPSED_SQL = "CASE WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR) || 'h ' || CAST(s % 3600 // 60 AS VARCHAR) || 'm ' || CAST(s % 60 AS VARCHAR) || 's' WHEN s >= 60 THEN CAST(s // 60 AS VARCHAR) || 'm ' || CAST(s % 60 AS VARCHAR) || 's' ELSE CAST(s AS VARCHAR) || 's' END"
 
 ORACLES: dict[str, str] = {
-    "candidate_terms": _CANDIDATES_SQL,
+    "candidate_terms": candidates_sql("documents", None, 200, 1),
     "tokenize_counts": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct FROM (SELECT doc_id, {_TOKENS_SQL} AS t FROM documents)",
     "text_sample": r"SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 1000) AS sample FROM documents",
     "ordered_distinct": r"""

@@ -31,6 +31,11 @@ def selected(docs: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame
     return docs.join(paths.select(path), path, "left_semi")
 
 
+def excluded(docs: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame:
+    """Documents whose path is not among paths."""
+    return docs.join(paths.select(path), path, "left_anti")
+
+
 def unknown_paths(docs: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame:
     """Paths that no document has."""
     return paths.select(path).join(docs.select(path), path, "left_anti").distinct()

@@ -6,9 +6,6 @@ XHTML document for each row of documents, and run the operators on those.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import catalogue as C
 from . import schemas as S
+from . import scratch
 from .functions import text as X
 from .operators import fragments, inspect, queue, sampling, scope, summary
 from .sources import archive
@@ -187,18 +185,9 @@ def page_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- archives
 
 
-def _scratch(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="quillflow-")
-    return f"{at.rstrip('/')}/books-{uuid.uuid4().hex}"
-
-
 def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all books, written by the data source, listed, verified against their members, and read again."""
-    rows, folder = books(spark, sf_dir), _scratch(spark)
+    rows, folder = books(spark, sf_dir), scratch.folder(spark, "books")
     archive.write_archives(rows.withColumn("book", say(F.col("book"), ".epub")), folder)
     listed = archive.list_books(spark, folder).select("path", "name")
     expected = rows.select(say(F.col("book"), ".epub").alias("name"), "member")
