@@ -11,16 +11,16 @@ Each message has one outcome, a retry one more for each job that it opens again.
 that end unrenewed are reported by a timer as outcomes of kind expired, once each; as in the store
 such a lease may still complete until it is dealt anew. at is then in epoch seconds.
 
-State is one row for each job, finished jobs apart from open ones. A message reads and writes the
-jobs that it names; the open jobs are read once for a batch that has claims, into heaps of a batch's
-own, and once for each retry of all jobs.
+State is one row for each job, finished jobs apart from open ones, and ordered sets of ids: of jobs that
+are free to be dealt, of those leased until each second, of those that failed. A message reads and writes
+the jobs that it names; a claim reads the least free id, and moves there what leases have ended before it,
+each lease once. Nothing goes through all open jobs but a retry of all that failed, which goes through
+those.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,15 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import schemas as S
+from .ordered import BITS, NODES, OrderedSets
 
 MESSAGES = "run_id string, kind string, worker_id string, job_id bigint, lease_token string, payload string, at bigint"
-OUTCOMES = "run_id string, kind string, worker_id string, job_id bigint, lease_token string, accepted boolean, state string, attempts int, at bigint"
+OUTCOMES = "run_id string, kind string, worker_id string, job_id bigint, lease_token string, accepted boolean, state string, attempts int, at bigint, was string, was_attempts int, step int, run_state string, merge_state string, cancelled boolean"
 COLUMNS = [x.split()[0] for x in OUTCOMES.split(", ")]
 
 JOB = "state string, worker_id string, lease_token string, lease_until bigint, attempts int"
 RUN = "state string, cancelled boolean, merge_state string, merge_worker_id string, unfinished bigint"
 NEW_JOB = (S.PENDING, None, None, None, 0)
 NEW_RUN = (S.RUNNING, False, S.PENDING, None, 0)
+#: Ordered sets: jobs free to be dealt, seconds in which leases end, jobs leased until a second, jobs that failed, jobs to report at a second.
+FREE, SECONDS, LEASES, FAILURES, DUE = range(5)
 
 
 def token(run_id: str, job_id: int, attempt: int, now: int) -> str:
@@ -44,7 +47,7 @@ def token(run_id: str, job_id: int, attempt: int, now: int) -> str:
 
 
 class Leases(StatefulProcessor):
-    """State: open and finished jobs, the run, and with expiry the jobs whose leases end in a second."""
+    """State: open and finished jobs, the run, and ordered sets of ids. Outcomes say what was before, and what the run is after."""
 
     def __init__(self, max_attempts: int = S.DEFAULT_MAX_ATTEMPTS, expiry: bool = False):
         self.max_attempts = max_attempts
@@ -55,32 +58,34 @@ class Leases(StatefulProcessor):
         self.open = handle.getMapState("open", "job_id bigint", JOB)
         self.done = handle.getMapState("done", "job_id bigint", "attempts int")
         self.run = handle.getValueState("run", RUN)
-        self.due = handle.getMapState("due", "lease_until bigint", "job_ids string")
+        self.sets = handle.getMapState("sets", NODES, BITS)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         (run_id,) = key
         messages = pd.concat(list(rows)).sort_values("at", kind="stable")
-        self.free: list[int] | None = None
-        self.leased: list[tuple[int, int]] = []
-        self.ends: dict[int, list[int]] = defaultdict(list)
+        self.index = OrderedSets(self.sets)
         before = tuple(self.run.get()) if self.run.exists() else None
         self.now_run = before or NEW_RUN
-        out = [row for m in messages.itertuples() for row in self._one(run_id, m)]
+        out = []
+        for m in messages.itertuples():
+            rows = self._one(run_id, m)
+            out += [(*row, len(out) + k, self.now_run[0], self.now_run[2], self.now_run[1]) for k, row in enumerate(rows)]
         if self.now_run != before:
             self.run.update(self.now_run)
-        self._watch()
+        self.index.flush()
         yield pd.DataFrame(out, columns=COLUMNS)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         (run_id,) = key
         until = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
-        out = []
-        if self.due.containsKey((until,)):
-            for job in sorted(set(map(int, self.due.getValue((until,))[0].split(",")))):
-                known = self._job(job)
-                if known and known[0] == S.LEASED and known[3] == until:
-                    out.append((run_id, "expired", known[1], job, known[2], True, S.LEASED, known[4], until + 1))
-            self.due.removeKey((until,))
+        self.index, out = OrderedSets(self.sets), []
+        run = tuple(self.run.get()) if self.run.exists() else NEW_RUN
+        while (job := self.index.least(DUE, until)) is not None:
+            self.index.remove(DUE, until, job)
+            known = self._job(job)
+            if known and known[0] == S.LEASED and known[3] == until:
+                out.append((run_id, "expired", known[1], job, known[2], True, S.LEASED, known[4], until + 1, S.LEASED, known[4], len(out), run[0], run[2], run[1]))
+        self.index.flush()
         yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
@@ -115,17 +120,17 @@ class Leases(StatefulProcessor):
             accepted = False
         self.now_run = (state, cancelled, merge, holder, unfinished)
         told = merge if m.kind in ("claim_merge", "complete_merge") else state
-        rows = [(run_id, m.kind, m.worker_id, None, None, accepted, told, None, now)]
-        return rows + [(run_id, m.kind, None, job, None, True, S.PENDING, 0, now) for job in opened]
+        rows = [(run_id, m.kind, m.worker_id, None, None, accepted, told, None, now, None, None)]
+        return rows + [(run_id, m.kind, None, job, None, True, S.PENDING, 0, now, S.FAILED, attempts) for job, attempts in opened]
 
     def _claim(self, run_id: str, worker: str, now: int) -> tuple:
-        job = None if self.now_run[1] else self._next(now)
+        job, known = (None, None) if self.now_run[1] else self._next(now)
         if job is None:
-            return (run_id, "claim", worker, None, None, False, None, None, now)
-        attempt = self._job(job)[4] + 1
+            return (run_id, "claim", worker, None, None, False, None, None, now, None, None)
+        attempt = known[4] + 1
         given = token(run_id, job, attempt, now)
-        self._put(job, (S.LEASED, worker, given, now + S.LEASE_SECONDS, attempt))
-        return (run_id, "claim", worker, job, given, True, S.LEASED, attempt, now)
+        self._put(job, known, (S.LEASED, worker, given, now + S.LEASE_SECONDS, attempt))
+        return (run_id, "claim", worker, job, given, True, S.LEASED, attempt, now, known[0], known[4])
 
     def _of_job(self, run_id: str, m: object, now: int) -> tuple:
         job = None if pd.isna(m.job_id) else int(m.job_id)
@@ -143,30 +148,34 @@ class Leases(StatefulProcessor):
             else:
                 new = (S.DONE if m.kind == "complete" else S.FAILED, None, None, None, known[4]) if fits else None
         if new:
-            self._put(job, new)
+            self._put(job, known, new)
         state, attempts = (new or known or (None,) * 5)[0], (new or known or (None,) * 5)[4]
         worker, given = (None, None) if m.kind == "add" else (m.worker_id, m.lease_token)
-        return (run_id, m.kind, worker, job, given, bool(fits), state, attempts, now)
-
-    def _reopen(self, job: int | None) -> list[int]:
-        """Failed jobs, the one or all, are pending again without attempts; their ids."""
-        if job is None:
-            failed = sorted(j[0] for j, s in self.open.iterator() if s[0] == S.FAILED)
-        else:
-            known = self._job(job)
-            failed = [job] if known and known[0] == S.FAILED else []
-        for j in failed:
-            self._put(j, NEW_JOB)
-        return failed
+        return (run_id, m.kind, worker, job, given, bool(fits), state, attempts, now, *((known[0], known[4]) if known else (None, None)))
+
+    def _reopen(self, job: int | None) -> list[tuple[int, int]]:
+        """Failed jobs, the one or all, are pending again without attempts; their ids and the attempts they had."""
+        opened = []
+        while (j := self.index.least(FAILURES, 0) if job is None else job) is not None:
+            known = self._job(j)
+            if known and known[0] == S.FAILED:
+                self._put(j, known, NEW_JOB)
+                opened.append((j, known[4]))
+            if job is not None:
+                break
+        return opened
 
     # ---- jobs
 
     def _job(self, job: int) -> tuple | None:
-        if self.open.containsKey((job,)):
-            return tuple(self.open.getValue((job,)))
-        return (S.DONE, None, None, None, self.done.getValue((job,))[0]) if self.done.containsKey((job,)) else None
-
-    def _put(self, job: int, new: tuple) -> None:
+        if known := self.open.getValue((job,)):
+            return tuple(known)
+        known = self.done.getValue((job,))
+        return (S.DONE, None, None, None, known[0]) if known else None
+
+    def _put(self, job: int, old: tuple | None, new: tuple) -> None:
+        if old:
+            self._leave(job, old)
         if new[0] == S.DONE:
             self.open.removeKey((job,))
             self.done.updateValue((job,), (new[4],))
@@ -174,43 +183,44 @@ class Leases(StatefulProcessor):
             return
         self.open.updateValue((job,), new)
         if new[0] == S.LEASED:
-            self.ends[new[3]].append(job)
-        if self.free is not None:
-            self._offer(job, new)
-
-    def _offer(self, job: int, s: tuple) -> None:
-        if s[0] == S.LEASED:
-            heapq.heappush(self.leased, (s[3], job))
-        elif s[0] == S.PENDING or s[4] < self.max_attempts:
-            heapq.heappush(self.free, job)
-
-    def _next(self, now: int) -> int | None:
-        """The claimable job of the smallest id. The heaps may hold outdated entries; the state decides."""
-        if self.free is None:
-            self.free = []
-            for j, s in list(self.open.iterator()):
-                self._offer(j[0], tuple(s))
-        while self.leased and self.leased[0][0] < now:
-            heapq.heappush(self.free, heapq.heappop(self.leased)[1])
-        while self.free:
-            job = heapq.heappop(self.free)
-            known = self._job(job)
-            if known and self._free(known, now):
-                return job
-        return None
-
-    def _free(self, s: tuple, now: int) -> bool:
-        state, _, _, until, attempts = s
-        return state == S.PENDING or state == S.LEASED and until < now or state == S.FAILED and attempts < self.max_attempts
-
-    def _watch(self) -> None:
-        """One timer for each second in which leases end."""
-        if not self.expiry:
+            self._until(job, new[3])
+            if self.expiry:
+                self.index.add(DUE, new[3], job)
+                self.handle.registerTimer((new[3] + 1) * 1000)
+        elif new[0] == S.PENDING or new[4] < self.max_attempts:
+            self.index.add(FREE, 0, job)
+        if new[0] == S.FAILED:
+            self.index.add(FAILURES, 0, job)
+
+    def _until(self, job: int, second: int) -> None:
+        self.index.add(LEASES, second, job)
+        self.index.add(SECONDS, 0, second)
+
+    def _leave(self, job: int, old: tuple) -> None:
+        """Take a job out of the sets that it is in; a lease that has ended may be among the free ones already."""
+        if old[0] == S.LEASED and self.index.remove(LEASES, old[3], job):
+            if self.index.least(LEASES, old[3]) is None:
+                self.index.remove(SECONDS, 0, old[3])
             return
-        for until, ids in self.ends.items():
-            known = [self.due.getValue((until,))[0]] if self.due.containsKey((until,)) else []
-            self.due.updateValue((until,), (",".join(known + [str(i) for i in ids]),))
-            self.handle.registerTimer((until + 1) * 1000)
+        self.index.remove(FREE, 0, job)
+        if old[0] == S.FAILED:
+            self.index.remove(FAILURES, 0, job)
+
+    def _next(self, now: int) -> tuple[int | None, tuple | None]:
+        """The claimable job of the smallest id, and what it is."""
+        while (second := self.index.least(SECONDS, 0)) is not None and second < now:
+            while (job := self.index.least(LEASES, second)) is not None:
+                self.index.remove(LEASES, second, job)
+                self.index.add(FREE, 0, job)
+            self.index.remove(SECONDS, 0, second)
+        while (job := self.index.least(FREE, 0)) is not None:
+            known = self._job(job)
+            if known[0] != S.LEASED or known[3] < now:
+                return job, known
+            # a claim by a later clock found the lease ended; by this one's it runs on
+            self.index.remove(FREE, 0, job)
+            self._until(job, known[3])
+        return None, None
 
 
 def lease_stream(messages: DataFrame, max_attempts: int = S.DEFAULT_MAX_ATTEMPTS, expiry: bool = False) -> DataFrame:
