@@ -1,7 +1,8 @@
 """Registered queries over packaged books, runs and models, and their DuckDB SQL.
 
-The driver's tables hold no packages, so these queries make them: a book for each lang and source, with an
-XHTML document for each row of documents, and run the operators on those.
+The driver's tables hold no packages, so these queries make them: a book for each lang, source and range of
+ids, with an XHTML document for each row of documents, and run the operators on those. A document holds the
+row's whole text, a paragraph for each line.
 """
 
 from __future__ import annotations
@@ -26,19 +27,32 @@ def say(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+#: Ids that share a book: no book has more documents.
+BOOK_IDS = 2000
+
+
+def _escaped(c: Column) -> Column:
+    """Text as XML: what XML 1.0 can't hold is a space, and so is a return, which parsers would change."""
+    c = F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]", " ")
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(mark), F.lit(name))
+    return c
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, book, name and two stretches of plain text of every document."""
+    """doc_id, book, source and the escaped lines of every document."""
     d = C._table(spark, sf_dir, "documents")
-    book = say(F.coalesce("lang", F.lit("none")), "-", F.coalesce("source", F.lit("none")))
-    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 .,]+", " ")
-    return d.select("doc_id", book.alias("book"), F.coalesce("source", F.lit("none")).alias("source"), F.substring(clean, 1, 300).alias("a"), F.substring(clean, 301, 300).alias("b"))
+    source = F.coalesce("source", F.lit("none"))
+    book = say(F.coalesce("lang", F.lit("none")), "-", source, "-", F.floor(F.col("doc_id") / BOOK_IDS).cast("string"))
+    return d.select("doc_id", book.alias("book"), source.alias("source"), F.split(_escaped(F.coalesce("text", F.lit(""))), "\n").alias("lines"))
 
 
-_DOCS_SQL = r"""
+#: raw: the lines as a reader of the XML sees them; lines: as they stand in it.
+_DOCS_SQL = rf"""
 docs AS (
-  SELECT doc_id, book, source, substr(clean, 1, 300) AS a, substr(clean, 301, 300) AS b FROM (
-    SELECT doc_id, coalesce(lang, 'none') || '-' || coalesce(source, 'none') AS book, coalesce(source, 'none') AS source,
-           regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]+', ' ', 'g') AS clean FROM documents))"""
+  SELECT doc_id, book, source, raw, list_transform(raw, lambda x: replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS lines FROM (
+    SELECT doc_id, coalesce(lang, 'none') || '-' || coalesce(source, 'none') || '-' || CAST(floor(doc_id / {BOOK_IDS}) AS BIGINT) AS book, coalesce(source, 'none') AS source,
+           string_split(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F]', ' ', 'g'), chr(10)) AS raw FROM documents))"""
 
 
 def _path() -> Column:
@@ -46,15 +60,19 @@ def _path() -> Column:
 
 
 def _document() -> Column:
-    """Every second one has an empty title; the last list item is blank."""
+    """Every second one has an empty title; every third paragraph has text after it; the last list item is blank."""
     title = F.when(F.col("doc_id") % 2 == 0, "").otherwise(say("Title ", F.col("doc_id").cast("string")))
     head = say(f"<html xmlns='{_XHTML}' xmlns:epub='{_OPS}'><head><title>", title, "</title></head>")
-    body = say("<body><section epub:type='chapter ", F.col("source"), "'><h1>Part <b>", F.col("doc_id").cast("string"), "</b></h1><p>", F.col("a"), "</p><ul><li>", F.col("b"), "</li><li> </li></ul></section></body></html>")
+    paragraphs = F.transform("lines", lambda x, k: say("<p>", x, "</p>", F.when(k % 3 == 2, say("after ", k.cast("string"), " ")).otherwise("")))
+    body = say("<body><section epub:type='chapter ", F.col("source"), "'><h1>Part <b>", F.col("doc_id").cast("string"), "</b></h1>", F.array_join(paragraphs, ""), "<ul><li>first &amp; only</li><li> </li></ul></section></body></html>")
     return say(head, body)
 
 
+_PARAGRAPHS_SQL = "array_to_string(list_transform(lines, lambda x, k: '<p>' || x || '</p>' || CASE WHEN k % 3 = 0 THEN 'after ' || (k - 1) || ' ' ELSE '' END), '')"
+
+
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """book, member, content of one package for each lang and source.
+    """book, member, content of one package for each book of documents.
 
     The manifest lists documents by id, a style sheet and one document twice; two in three are in the spine,
     and every seventh is navigation.
@@ -81,7 +99,8 @@ def inspect_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INSPECT_SQL = rf"""WITH {_DOCS_SQL},
 shown AS (
   SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'Part ' || doc_id ELSE 'Title ' || doc_id END AS title,
-         CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Title ' || doc_id || ' ' END || 'Part ' || ' ' || doc_id || ' ' || a || ' ' || b AS words FROM docs)
+         CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Title ' || doc_id || ' ' END || 'Part ' || ' ' || doc_id || ' '
+         || array_to_string(list_transform(raw, lambda x, k: x || CASE WHEN k % 3 = 0 THEN ' after ' || (k - 1) ELSE '' END), ' ') || ' first & only' AS words FROM docs)
 SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY doc_id) - 1 AS INTEGER) AS pos, 'OEBPS/text/d' || doc_id || '.xhtml' AS path,
        doc_id % 3 <> 0 AS in_spine, doc_id % 7 = 0 AS is_nav, CASE WHEN doc_id % 7 = 0 THEN 'nav scripted' ELSE '' END AS properties,
        array_to_string(list_sort(list_distinct(['chapter', source])), ' ') AS epub_types, title, left(trim(regexp_replace(words, '\s+', ' ', 'g')), 1000) AS sample FROM shown"""
@@ -129,36 +148,40 @@ def extracted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, blocks = _blocks(spark, sf_dir)
     new = blocks.select(F.col("book").alias("run_id"), "xhtml_path", "locator", "source")
     kinds = {n: t for n, t in (x.split() for x in ("run_id string", "id bigint", "xhtml_path string", "locator array<int>", "source string", "result string", "state string", "worker_id string", "lease_token string", "lease_until bigint", "attempts int", "error string"))}
-    old = docs.select("book").distinct().where("book like '%1'").select(*[{"run_id": F.col("book"), "id": F.lit(5), "xhtml_path": F.lit("old"), "state": F.lit(S.DONE), "attempts": F.lit(1)}.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
+    old = docs.select("book").distinct().where("book like '%1-0'").select(*[{"run_id": F.col("book"), "id": F.lit(5), "xhtml_path": F.lit("old"), "state": F.lit(S.DONE), "attempts": F.lit(1)}.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
     made = queue.add_jobs(old, new)
     return made.select("run_id", "id", "xhtml_path", X.locator_text(F.col("locator")).alias("locator"), "source", "state", "attempts")
 
 
-_EXTRACTED_SQL = f"""WITH {_DOCS_SQL},
+_EXTRACTED_SQL = rf"""WITH {_DOCS_SQL},
+lines AS (SELECT book, doc_id, unnest(raw) AS x, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM docs),
 blocks AS (
-  SELECT book, 'OEBPS/text/d' || doc_id || '.xhtml' AS path, [1, 0, 0] AS place, '<h1 xmlns="{_XHTML}">Part <b>' || doc_id || '</b></h1>' AS source FROM docs
-  UNION ALL SELECT book, 'OEBPS/text/d' || doc_id || '.xhtml', [1, 0, 1], '<p xmlns="{_XHTML}">' || a || '</p>' FROM docs WHERE trim(a) <> ''
-  UNION ALL SELECT book, 'OEBPS/text/d' || doc_id || '.xhtml', [1, 0, 2, 0], '<li xmlns="{_XHTML}">' || b || '</li>' FROM docs WHERE trim(b) <> '')
-SELECT book AS run_id, row_number() OVER (PARTITION BY book ORDER BY path, place) + CASE WHEN book LIKE '%1' THEN 5 ELSE 0 END AS id, path AS xhtml_path,
+  SELECT book, doc_id, [1, 0, 0] AS place, '<h1 xmlns="{_XHTML}">Part <b>' || doc_id || '</b></h1>' AS source FROM docs
+  UNION ALL SELECT book, doc_id, [1, 0, CAST(k AS INTEGER)], '<p xmlns="{_XHTML}">' || line || '</p>' FROM lines WHERE regexp_matches(x, '\S')
+  UNION ALL SELECT book, doc_id, [1, 0, CAST(len(lines) + 1 AS INTEGER), 0], '<li xmlns="{_XHTML}">first &amp; only</li>' FROM docs)
+SELECT book AS run_id, row_number() OVER (PARTITION BY book ORDER BY 'OEBPS/text/d' || doc_id || '.xhtml', place) + CASE WHEN book LIKE '%1-0' THEN 5 ELSE 0 END AS id, 'OEBPS/text/d' || doc_id || '.xhtml' AS xhtml_path,
        array_to_string(place, '/') AS locator, source, 'pending' AS state, 0 AS attempts FROM blocks
-UNION ALL SELECT DISTINCT book, 5, 'old', NULL, NULL, 'done', 1 FROM docs WHERE book LIKE '%1'"""
+UNION ALL SELECT DISTINCT book, 5, 'old', NULL, NULL, 'done', 1 FROM docs WHERE book LIKE '%1-0'"""
 
 
 def reassembled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose paragraphs are upper case and whose first list item is replaced; read again as text."""
+    """Documents whose paragraphs begin with a plus sign and whose first list item is replaced; read again as text."""
     docs, blocks = _blocks(spark, sf_dir)
     name = F.regexp_extract("source", r"^<(\w+)", 1)
-    inner = F.regexp_extract("source", r"^<\w+[^>]*>(.*)</\w+>$", 1)
-    made = F.when(name == "p", say(f"<p xmlns='{_XHTML}'>", F.upper(inner), "</p>")).when(name == "li", say(f"<li xmlns='{_XHTML}'>item</li>"))
+    inner = F.regexp_extract("source", r"(?s)^<\w+[^>]*>(.*)</\w+>$", 1)
+    made = F.when(name == "p", say(f"<p xmlns='{_XHTML}'>+", inner, "</p>")).when(name == "li", say(f"<li xmlns='{_XHTML}'>item</li>"))
     results = blocks.withColumn("result", made).where("result is not null").select("book", "xhtml_path", "locator", "result")
     xml = inspect.as_xml(F.col("content"))
+    texts = lambda path: F.array_join(F.xpath(xml, F.lit(path)), "|")
     read = fragments.reassemble(docs, results, "vi")
-    return read.select("book", "path", F.xpath_string(xml, F.lit("/*/@lang")).alias("lang"), F.xpath_string(xml, F.lit("//*[local-name()='p']")).alias("p"), F.array_join(F.xpath(xml, F.lit("//*[local-name()='li']/text()")), "|").alias("items"), F.xpath_int(xml, F.lit("count(//*)")).alias("elements"))
+    return read.select("book", "path", F.xpath_string(xml, F.lit("/*/@lang")).alias("lang"), F.xpath_string(xml, F.lit("/*/@*[name()='xml:lang']")).alias("xml_lang"), texts("//*[local-name()='p']/text()").alias("p"), texts("//*[local-name()='section']/text()").alias("after"), texts("//*[local-name()='li']/text()").alias("items"), F.xpath_int(xml, F.lit("count(//*)")).alias("elements"))
 
 
-_REASSEMBLED_SQL = f"""WITH {_DOCS_SQL}
-SELECT book, 'OEBPS/text/d' || doc_id || '.xhtml' AS path, 'vi' AS lang, CASE WHEN trim(a) = '' THEN a ELSE upper(a) END AS p,
-       CASE WHEN trim(b) <> '' THEN 'item| ' WHEN b = '' THEN ' ' ELSE b || '| ' END AS items, 11 AS elements FROM docs"""
+_REASSEMBLED_SQL = rf"""WITH {_DOCS_SQL}
+SELECT book, 'OEBPS/text/d' || doc_id || '.xhtml' AS path, 'vi' AS lang, 'vi' AS xml_lang,
+       array_to_string(list_transform(list_filter(raw, lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '\S') THEN '+' ELSE '' END || x), '|') AS p,
+       array_to_string(list_transform(list_filter(generate_series(1, len(raw)), lambda k: k % 3 = 0), lambda k: 'after ' || (k - 1) || ' '), '|') AS after,
+       'item| ' AS items, CAST(10 + len(raw) AS INTEGER) AS elements FROM docs"""
 
 
 def structure_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,12 +219,12 @@ def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.join(sound, "name").join(read, "path").select("name", "members", "n_bytes", "first", F.col("error").isNull().alias("sound"))
 
 
-_FILES_SQL = f"""WITH {_DOCS_SQL},
+_FILES_SQL = rf"""WITH {_DOCS_SQL},
 sizes AS (
   SELECT book, length('<item id=''i' || doc_id || ''' href=''text/d' || doc_id || '.xhtml#top'' media-type=''application/xhtml+xml''' || CASE WHEN doc_id % 7 = 0 THEN ' properties=''nav  scripted''' ELSE '' END || '/>')
          + CASE WHEN doc_id % 3 <> 0 THEN length('<itemref idref=''i' || doc_id || '''/>') ELSE 0 END
-         + length('<html xmlns=''{_XHTML}'' xmlns:epub=''{_OPS}''><head><title>' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Title ' || doc_id END || '</title></head>')
-         + length('<body><section epub:type=''chapter ' || source || '''><h1>Part <b>' || doc_id || '</b></h1><p>' || a || '</p><ul><li>' || b || '</li><li> </li></ul></section></body></html>') AS n FROM docs)
+         + strlen('<html xmlns=''{_XHTML}'' xmlns:epub=''{_OPS}''><head><title>' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Title ' || doc_id END || '</title></head>')
+         + strlen('<body><section epub:type=''chapter ' || source || '''><h1>Part <b>' || doc_id || '</b></h1>' || {_PARAGRAPHS_SQL} || '<ul><li>first &amp; only</li><li> </li></ul></section></body></html>') AS n FROM docs)
 SELECT book || '.epub' AS name, count(*) + 3 AS members, CAST(sum(n) + 20 + {len(_CONTAINER)} + {len("<package xmlns='http://www.idpf.org/2007/opf'><manifest><item id='css' href='s.css' media-type='text/css'/></manifest><spine><itemref idref='gone'/></spine></package>")} AS BIGINT) AS n_bytes,
        'mimetype' AS first, true AS sound FROM sizes GROUP BY book"""
 
