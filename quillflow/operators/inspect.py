@@ -78,9 +78,9 @@ def types(xml: Column) -> Column:
     return F.sort_array(F.array_distinct(F.filter(words, lambda x: x != "")))
 
 
-def inspect(members: DataFrame) -> DataFrame:
-    """A row for each XHTML item of each book, in manifest order (pos)."""
-    opf = packages(members)
+def inspect(members: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """A row for each XHTML item of each book, in manifest order (pos). among: members that hold the packages, if they can be read apart."""
+    opf = packages(members if among is None else among)
     items = manifest(opf)
     read = spine(opf).join(items.select("book", F.col("id").alias("idref"), "path"), ["book", "idref"]).select("book", "path").distinct().withColumn("_read", F.lit(True))
     docs = items.join(members.select("book", F.col("member").alias("path"), "content"), ["book", "path"]).withColumn("xml", as_xml(F.col("content")))

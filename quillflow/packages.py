@@ -212,11 +212,11 @@ def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all books, written by the data source, listed, verified against their members, and read again."""
     rows, folder = books(spark, sf_dir), scratch.folder(spark, "books")
     archive.write_archives(rows.withColumn("book", say(F.col("book"), ".epub")), folder)
-    listed = archive.list_books(spark, folder).select("path", "name")
+    listed = archive.list_books(spark, folder).select("name")
     expected = rows.select(say(F.col("book"), ".epub").alias("name"), "member")
-    sound = archive.verified(archive.contents(spark, folder), expected).select(F.col("book").alias("name"), "error")
-    read = archive.members(spark, folder).groupBy(F.col("book").alias("path")).agg(F.count(F.lit(1)).alias("members"), F.sum(F.length("content").cast("long")).alias("n_bytes"), F.max(F.when(F.col("ordinal") == 0, F.col("member"))).alias("first"))
-    return listed.join(sound, "name").join(read, "path").select("name", "members", "n_bytes", "first", F.col("error").isNull().alias("sound"))
+    sound = archive.verified_files(spark, folder, expected).select(F.col("book").alias("name"), "error")
+    read = archive.scan(spark, folder).groupBy(F.element_at(F.split("book", "/"), -1).alias("name")).agg(F.count(F.lit(1)).alias("members"), F.sum(F.length("content").cast("long")).alias("n_bytes"), F.max(F.when(F.col("ordinal") == 0, F.col("member"))).alias("first"))
+    return listed.join(sound, "name").join(read, "name").select("name", "members", "n_bytes", "first", F.col("error").isNull().alias("sound"))
 
 
 _FILES_SQL = rf"""WITH {_DOCS_SQL},

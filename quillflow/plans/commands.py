@@ -19,7 +19,7 @@ from .store import RunStore
 
 
 def inspect_epub(spark: SparkSession, path: str) -> DataFrame:
-    return inspect(archive.members(spark, path))
+    return inspect(archive.scan(spark, path), archive.package_members(spark, path))
 
 
 def sample_epub(spark: SparkSession, path: str, paths: list[str], k: int = sampling.SAMPLE) -> DataFrame:
@@ -120,7 +120,7 @@ def _merge(store: RunStore, run_id: str, now: int | None) -> str:
     folder, _, file = output.rpartition("/")
     whole = members.select("book", "member", "content").join(changed, ["book", "member"], "left_anti").unionByName(merged)
     archive.write_archives(whole.withColumn("book", F.lit(file)), folder or ".")
-    checked = archive.verified(archive.contents(spark, output), members.select(F.lit(file).alias("name"), "member")).first()
+    checked = archive.verified_files(spark, output, members.select(F.lit(file).alias("name"), "member")).first()
     if checked is None or checked["error"] is not None:
         raise ValueError(checked["error"] if checked else "invalid EPUB archive")
     store.update_run(run_id, now, state="completed", merge_state="completed", output_path=output, error=None)

@@ -1,17 +1,21 @@
 """Packaged documents: ZIP archives as rows of members, and rows of members as archives.
 
-members() reads through Spark's binaryFile source, so any file system that Spark knows will do. The
-``quillarchive`` data source offers the same as a format, and writes one archive for each book:
-``mimetype`` first and stored, the other members by path and deflated, each file under its name only
-when the whole write commits.
+The ``quillarchive`` data source reads by range: a task takes the central directory and seeks the members
+of its run, so a large book is several tasks, and members that are filtered out are never read. It
+writes one archive for each book, member by member: ``mimetype`` first and stored, the others by path
+and deflated, each file under its name only when the whole write commits. members() reads through
+Spark's binaryFile source instead, for file systems that only Spark knows.
 """
 
 from __future__ import annotations
 
+import contextlib
 import io
+import json
 import posixpath
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,11 +23,13 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
 from .. import schemas as S
 
 MIMETYPE = "mimetype"
+#: Bytes of archives that one task reads, as its members lie; and of a piece when members are checked.
+RUN_BYTES, CHECK_BYTES = 64 << 20, 1 << 20
 
 
 def safe_member(name: str) -> str:
@@ -39,32 +45,93 @@ def unpack(book: str, content: bytes) -> list[dict]:
         return [{"book": book, "member": safe_member(i.filename), "ordinal": k, "stored": i.compress_type == zipfile.ZIP_STORED, "content": z.read(i)} for k, i in enumerate(z.infolist()) if not i.is_dir()]
 
 
+class _Ahead(io.RawIOBase):
+    """Holds back what ZipFile writes until send(), so that it can go back within one member; out only ever grows."""
+
+    def __init__(self, out: object):
+        self.out, self.sent, self.held = out, 0, io.BytesIO()
+
+    def writable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.sent + self.held.tell()
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.held.seek(to - self.sent if whence == 0 else to, whence)
+        return self.tell()
+
+    def write(self, data: bytes) -> int:
+        return self.held.write(data)
+
+    def send(self) -> None:
+        self.out.write(self.held.getvalue())
+        self.sent += len(self.held.getvalue())
+        self.held = io.BytesIO()
+
+
+class ArchiveStream:
+    """An archive written member by member, mimetype first, each checked as it comes; memory is one member's."""
+
+    def __init__(self, out: object):
+        self.ahead = _Ahead(out)
+        self.zip = zipfile.ZipFile(self.ahead, "w", allowZip64=True)
+        self.names: set[str] = set()
+
+    def add(self, name: str, content: bytes) -> None:
+        if not self.names and name != MIMETYPE:
+            raise ValueError("missing EPUB mimetype")
+        if name in self.names:
+            raise ValueError(f"EPUB member twice: {name}")
+        if safe_member(name) != name:
+            raise ValueError(f"unsafe EPUB member: {name}")
+        info = zipfile.ZipInfo(name)  # a fixed date: the same members give the same bytes
+        info.compress_type = zipfile.ZIP_STORED if name == MIMETYPE else zipfile.ZIP_DEFLATED
+        self.zip.writestr(info, content)
+        self.names.add(name)
+        self.ahead.send()
+
+    def close(self) -> None:
+        if not self.names:
+            raise ValueError("missing EPUB mimetype")
+        self.zip.close()
+        self.ahead.send()
+
+
 def pack(members: Iterable[tuple[str, bytes]]) -> bytes:
     """One archive. Without a mimetype member there is none."""
-    members = dict(members)
-    if MIMETYPE not in members:
-        raise ValueError("missing EPUB mimetype")
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name in [MIMETYPE, *sorted(set(members) - {MIMETYPE})]:
-            info = zipfile.ZipInfo(name)  # a fixed date: the same members give the same bytes
-            info.compress_type = zipfile.ZIP_STORED if name == MIMETYPE else zipfile.ZIP_DEFLATED
-            z.writestr(info, members[name])
+    members, out = dict(members), io.BytesIO()
+    stream = ArchiveStream(out)
+    for name in sorted(members, key=lambda n: (n != MIMETYPE, n)):
+        stream.add(name, members[name])
+    stream.close()
     return out.getvalue()
 
 
-def verify(content: bytes, expected: set[str]) -> None:
-    """An error unless the archive is sound, starts with a stored mimetype and has just the expected members."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        if z.testzip() is not None:
-            raise ValueError("invalid EPUB archive")
+def verify_file(file: object, expected: set[str]) -> None:
+    """An error unless the archive is sound, starts with a stored mimetype and has just the expected members. Reads in pieces."""
+    with zipfile.ZipFile(file) as z:
         infos = z.infolist()
+        for info in infos:
+            try:
+                with z.open(info) as member:
+                    while member.read(CHECK_BYTES):
+                        pass
+            except (zipfile.BadZipFile, zlib.error) as e:
+                raise ValueError("invalid EPUB archive") from e
         if not infos or infos[0].filename != MIMETYPE or infos[0].compress_type != zipfile.ZIP_STORED:
             raise ValueError("invalid EPUB mimetype entry")
-        if {i.filename for i in infos} != expected:
+        if {i.filename for i in infos} != expected or len(infos) != len(expected):
             raise ValueError("EPUB members changed unexpectedly")
 
 
+def verify(content: bytes, expected: set[str]) -> None:
+    verify_file(io.BytesIO(content), expected)
+
+
 def list_books(spark: SparkSession, folder: str) -> DataFrame:
     """path, name of the archives in a folder, in the order of a dictionary."""
     found = spark.read.format("binaryFile").load(folder).select("path").withColumn("name", F.element_at(F.split("path", "/"), -1))
@@ -106,22 +173,39 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("book"), "content")
 
 
-def verified(archives_: DataFrame, expected: DataFrame, name: str = "name") -> DataFrame:
-    """book, error (null if sound) of archives (book, content) against their expected members (name, member)."""
-    wanted = expected.groupBy(F.col(name).alias("book")).agg(F.collect_set("member").alias("wanted"))
+def _verdicts(books: DataFrame, expected: DataFrame, given: str, opened: object) -> DataFrame:
+    """book, error of books (book, given), each opened from what is given."""
+    wanted = expected.groupBy("book").agg(F.collect_set("member").alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             errors = []
-            for content, names in zip(batch.column("content").to_pylist(), batch.column("wanted").to_pylist()):
+            for value, names in zip(batch.column(given).to_pylist(), batch.column("wanted").to_pylist()):
                 try:
-                    verify(content, set(names or ()))
+                    with opened(value) as file:
+                        verify_file(file, set(names or ()))
                     errors.append(None)
                 except (ValueError, zipfile.BadZipFile) as e:
                     errors.append(str(e))
             yield pa.record_batch({"book": batch.column("book"), "error": pa.array(errors, pa.string())})
 
-    return archives_.select("book", "content").join(wanted, "book", "left").mapInArrow(run, "book string, error string")
+    return books.select("book", given).join(wanted, "book", "left").mapInArrow(run, "book string, error string")
+
+
+def verified(archives_: DataFrame, expected: DataFrame, name: str = "name") -> DataFrame:
+    """book, error (null if sound) of archives (book, content) against their expected members (name, member)."""
+    return _verdicts(archives_, expected.withColumnRenamed(name, "book"), "content", io.BytesIO)
+
+
+def verified_files(spark: SparkSession, folder: str, expected: DataFrame, name: str = "name") -> DataFrame:
+    """book (the file's name), error of the archives in a folder, read in pieces, whatever their size."""
+
+    def opened(path: str) -> contextlib.AbstractContextManager:
+        files, at = _resolve(path)
+        return files.open_input_file(at)
+
+    found = list_books(spark, folder).select(F.col("name").alias("book"), "path").repartition("book")
+    return _verdicts(found, expected.withColumnRenamed(name, "book"), "path", opened)
 
 
 def member_differences(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -135,8 +219,12 @@ def member_differences(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 @dataclass
-class _Book(InputPartition):
-    path: str
+class _Run(InputPartition):
+    """Whole archives, or of one the members that begin in a range of its bytes."""
+
+    paths: tuple[str, ...]
+    start: int = 0
+    stop: int = 1 << 63
 
 
 @dataclass
@@ -150,25 +238,68 @@ def _resolve(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+#: How a pushed filter looks at its column.
+_TESTS = {EqualTo: lambda v, x: v == x, In: lambda v, x: v in x, StringStartsWith: lambda v, x: v.startswith(x), StringEndsWith: lambda v, x: v.endswith(x), StringContains: lambda v, x: x in v}
+
+
 class ArchiveReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    """options: path; members, a JSON list of the only ones to read ("*" before a common end); content, false for names alone."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+        self.only = json.loads(options["members"]) if "members" in options else None
+        self.content = str(options.get("content", "true")).lower() != "false"
+        self.filters: list[tuple[str, type, object]] = []
+
+    def _wanted(self, column: str, value: str) -> bool:
+        if column == "member" and self.only is not None and not any(value.endswith(x[1:]) if x.startswith("*") else value == x for x in self.only):
+            return False
+        return all(_TESTS[kind](value, x) for c, kind, x in self.filters if c == column)
 
     def partitions(self) -> list[InputPartition]:
+        """Small archives share a task; a large one is as many as it has runs."""
         files, path = _resolve(self.path)
         info = files.get_file_info(path)
         found = [info] if info.is_file else files.get_file_info(fs.FileSelector(path))
-        return [_Book(i.path) for i in sorted(found, key=lambda i: i.path) if i.is_file and i.path.lower().endswith(".epub")]
-
-    def read(self, partition: _Book) -> Iterator[tuple]:
+        runs, small, size = [], [], 0
+        for i in sorted(found, key=lambda i: i.path):
+            if not (i.is_file and i.path.lower().endswith(".epub") and self._wanted("book", i.path)):
+                continue
+            if self.content and i.size > RUN_BYTES:
+                runs += [_Run((i.path,), a, a + RUN_BYTES) for a in range(0, i.size, RUN_BYTES)]
+                continue
+            if small and size + i.size > RUN_BYTES:
+                runs.append(_Run(tuple(small)))
+                small, size = [], 0
+            small.append(i.path)
+            size += i.size
+        return runs + [_Run(tuple(small))] if small else runs or [_Run(())]
+
+    def read(self, partition: _Run) -> Iterator[tuple]:
         files, _ = _resolve(self.path)
-        with files.open_input_stream(partition.path) as f:
-            for row in unpack(partition.path, f.read()):
-                yield tuple(row.values())
+        for path in partition.paths:
+            with files.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+                for k, i in enumerate(z.infolist()):
+                    if i.is_dir() or not partition.start <= i.header_offset < partition.stop:
+                        continue
+                    name = safe_member(i.filename)
+                    if self._wanted("member", name):
+                        yield path, name, k, i.compress_type == zipfile.ZIP_STORED, z.read(i) if self.content else None
+
+
+class FilteringReader(ArchiveReader):
+    """Takes over filters on book and member. Spark asks for spark.sql.python.filterPushdown.enabled with it."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if type(f) in _TESTS and f.attribute in (("book",), ("member",)):
+                self.filters.append((f.attribute[0], type(f), f.value))
+            else:
+                yield f
 
 
 class ArchiveWriter(DataSourceWriter):
-    """Rows of one book must come together, in one task."""
+    """Rows of one book must come together, in one task, mimetype first."""
 
     def __init__(self, path: str):
         self.path = path
@@ -176,21 +307,27 @@ class ArchiveWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> WriterCommitMessage:
         files, root = _resolve(self.path)
         files.create_dir(root, recursive=True)
-        books: dict[str, dict[str, bytes]] = {}
-        moves = []
-
-        def close(book: str) -> None:
-            part = f"{root}/.{uuid.uuid4().hex}.part"
-            with files.open_output_stream(part) as out:
-                out.write(pack(books.pop(book).items()))
-            moves.append((part, f"{root}/{posixpath.basename(book)}"))
-
-        for row in rows:
-            for done in [b for b in books if b != row["book"]]:
-                close(done)
-            books.setdefault(row["book"], {})[row["member"]] = bytes(row["content"])
-        for book in list(books):
-            close(book)
+        book, stream, out, moves = None, None, None, []
+
+        def close() -> None:
+            if stream is not None:
+                stream.close()
+                out.close()
+
+        try:
+            for row in rows:
+                if stream is None or row["book"] != book:
+                    close()
+                    book, part = row["book"], f"{root}/.{uuid.uuid4().hex}.part"
+                    out = files.open_output_stream(part)
+                    moves.append((part, f"{root}/{posixpath.basename(book)}"))
+                    stream = ArchiveStream(out)
+                stream.add(row["member"], bytes(row["content"]))
+            close()
+        except BaseException:
+            for part, _ in moves:
+                files.delete_file(part)
+            raise
         return _Written(moves)
 
     def commit(self, messages: list) -> None:
@@ -216,14 +353,26 @@ class ArchiveSource(DataSource):
         return "book string, member string, ordinal int, stored boolean, content binary"
 
     def reader(self, schema: object) -> DataSourceReader:
-        return ArchiveReader(self.options["path"])
+        return (FilteringReader if str(self.options.get("pushdown", "false")).lower() == "true" else ArchiveReader)(self.options)
 
     def writer(self, schema: object, overwrite: bool) -> DataSourceWriter:
         return ArchiveWriter(self.options["path"])
 
 
 def write_archives(rows: DataFrame, folder: str) -> None:
-    """An archive for each book of rows (book, member, content), named as the book's last path part."""
+    """An archive for each book of rows (book, member, content), named as the book's last path part. One task holds one member."""
     rows.sparkSession.dataSource.register(ArchiveSource)
     ready = rows.select("book", "member", F.lit(0).alias("ordinal"), F.lit(False).alias("stored"), "content")
-    ready.repartition("book").sortWithinPartitions("book", "member").write.format("quillarchive").mode("append").save(folder)
+    ready.repartition("book").sortWithinPartitions("book", F.col("member") != MIMETYPE, "member").write.format("quillarchive").mode("append").save(folder)
+
+
+def scan(spark: SparkSession, path: str, only: Iterable[str] | None = None, content: bool = True) -> DataFrame:
+    """Members of the archives at path, by range; of those in only, or without their content, nothing else is read."""
+    spark.dataSource.register(ArchiveSource)
+    rows = spark.read.format("quillarchive").option("content", str(content).lower())
+    return (rows if only is None else rows.option("members", json.dumps(list(only)))).load(path)
+
+
+def package_members(spark: SparkSession, path: str) -> DataFrame:
+    """The members that name and are the archives' package documents; besides them only directories are read."""
+    return scan(spark, path, ["META-INF/container.xml", "*.opf", "*.OPF"])
