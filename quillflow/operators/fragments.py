@@ -1,91 +1,34 @@
 """Text blocks of XHTML documents: cut out, protected, checked and put back.
 
-Trees have no built-in type, so these run in Arrow batches on the standard library's parser. Two
-things are mended on purpose: a block is cut without the text that follows it, and what replaces it
-keeps that text.
+Documents are read as events (see markup), in Arrow batches: a block is cut as it stands, what replaces
+it goes into the same bytes, and the rest of a document stays as it was. Two things are mended on purpose: a
+block is cut without the text that follows it, and what replaces it keeps that text. A document that
+isn't well-formed gives a row with its error and ends nothing.
 """
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Elements that are translated as one piece.
-BLOCKS = frozenset({"p", "li", "td", "th", "caption", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"})
-# Namespaces.
-XHTML_NS, EPUB_NS, XML_NS = "http://www.w3.org/1999/xhtml", "http://www.idpf.org/2007/ops", "http://www.w3.org/XML/1998/namespace"
-
-ET.register_namespace("", XHTML_NS)
-ET.register_namespace("epub", EPUB_NS)
-
-
-def name(element: ET.Element) -> str:
-    return element.tag[element.tag.find("}") + 1 :]
-
-
-def block_places(root: ET.Element) -> list[tuple[int, ...]]:
-    """Child numbers on the way to each outermost block, in document order."""
-    found, todo = [], [((), root)]
-    while todo:
-        place, element = todo.pop()
-        if name(element) in BLOCKS:
-            found.append(place)
-        else:
-            todo += [((*place, k), child) for k, child in reversed(list(enumerate(element)))]
-    return found
-
-
-def at(root: ET.Element, place: tuple[int, ...]) -> ET.Element:
-    for k in place:
-        root = root[k]
-    return root
-
-
-def markup(element: ET.Element) -> str:
-    """The element itself, without what follows it."""
-    tail, element.tail = element.tail, None
-    try:
-        return ET.tostring(element, encoding="unicode")
-    finally:
-        element.tail = tail
-
-
-def put(root: ET.Element, place: tuple[int, ...], new: ET.Element) -> ET.Element:
-    """root with another element in a place; an empty place replaces the root."""
-    if not place:
-        return new
-    parent = at(root, place[:-1])
-    new.tail = parent[place[-1]].tail
-    parent[place[-1]] = new
-    return root
-
-
-def is_page_break(element: ET.Element) -> bool:
-    return name(element) == "span" and element.get(f"{{{EPUB_NS}}}type") == "pagebreak" and len(element) == 0 and not (element.text or "").strip()
+from .markup import Reading
 
 
 def protect(source: str, job_id: int) -> tuple[str, dict[str, str]]:
     """The block with a marker for each empty page break, and what the markers stand for."""
-    root, markers = ET.fromstring(source), {}
-    for parent in list(root.iter()):
-        before = None
-        for child in list(parent):
-            if not is_page_break(child):
-                before = child
-                continue
-            marker = f"[[KEEP_PAGEBREAK_{job_id}_{len(markers)}]]"
-            markers[marker] = markup(child)
-            text = marker + (child.tail or "")
-            if before is None:
-                parent.text = (parent.text or "") + text
-            else:
-                before.tail = (before.tail or "") + text
-            parent.remove(child)
-    return ET.tostring(root, encoding="unicode"), markers
+    reading, markers, edits = Reading(source), {}, []
+    for span in reading.breaks:
+        marker = f"[[KEEP_PAGEBREAK_{job_id}_{len(markers)}]]"
+        markers[marker] = reading.piece(span)
+        edits.append((span.start, span.stop, marker))
+    out, at = [], 0
+    for start, stop, marker in sorted(edits):
+        out += [reading.data[at:start].decode(), marker]
+        at = stop
+    return "".join([*out, reading.data[at:].decode()]), markers
 
 
 def restore(translated: str, markers: dict[str, str]) -> str:
@@ -98,33 +41,51 @@ def restore(translated: str, markers: dict[str, str]) -> str:
     return translated
 
 
-def signature(element: ET.Element) -> tuple:
-    """Tags, attributes and nesting, without text."""
-    return element.tag, sorted(element.attrib.items()), [signature(c) for c in element]
+def structure(markup: str) -> str:
+    """Equal for equal tags, attributes and nesting, whatever the text."""
+    return Reading(markup).structure.hex()
 
 
-def check(source: str, translated: str) -> None:
+def check(source: str | bytes, translated: str) -> None:
+    """source: a block's markup, or its structure's digest."""
     if not translated.strip():
         raise ValueError("empty result")
-    if signature(ET.fromstring(source)) != signature(ET.fromstring(translated)):
+    if (source if isinstance(source, bytes) else Reading(source).structure) != Reading(translated).structure:
         raise ValueError("structure changed")
 
 
 # ---- over DataFrames
 
 
-def extract(docs: DataFrame) -> DataFrame:
-    """book, xhtml_path, locator, source of every block that isn't blank. docs: book, path, content."""
+def parsed(docs: DataFrame) -> DataFrame:
+    """book, xhtml_path, locator, source, error: a row for every block that isn't blank, or one error for a malformed document.
+
+    docs: book, path, content.
+    """
+    kinds = pa.schema([("book", pa.string()), ("xhtml_path", pa.string()), ("locator", pa.list_(pa.int32())), ("source", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                root = ET.fromstring(row["content"])
-                rows = [(list(place), markup(e)) for place in block_places(root) if "".join((e := at(root, place)).itertext()).strip()]
-                n = len(rows)
-                yield pa.record_batch({"book": pa.array([row["book"]] * n, pa.string()), "xhtml_path": pa.array([row["path"]] * n, pa.string()), "locator": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "source": pa.array([r[1] for r in rows], pa.string())})
+                head = {"book": row["book"], "xhtml_path": row["path"]}
+                try:
+                    reading = Reading(row["content"] or b"")
+                    rows = [{**head, "locator": b.place, "source": reading.piece(b)} for b in reading.blocks if not b.blank]
+                except (ValueError, LookupError) as e:
+                    rows = [{**head, "error": str(e)}]
+                yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return docs.select("book", "path", "content").mapInArrow(run, "book string, xhtml_path string, locator array<int>, source string")
+    return docs.select("book", "path", "content").mapInArrow(run, "book string, xhtml_path string, locator array<int>, source string, error string")
+
+
+def extract(docs: DataFrame) -> DataFrame:
+    """book, xhtml_path, locator, source of the blocks of all well-formed documents."""
+    return parsed(docs).where("error is null").drop("error")
+
+
+def malformed(docs: DataFrame) -> DataFrame:
+    """book, xhtml_path, error of the others."""
+    return parsed(docs).where("error is not null").select("book", "xhtml_path", "error")
 
 
 def _mapped(rows: DataFrame, made: str, f: Callable[[dict], dict]) -> DataFrame:
@@ -138,7 +99,7 @@ def _mapped(rows: DataFrame, made: str, f: Callable[[dict], dict]) -> DataFrame:
             for row in batch.to_pylist():
                 try:
                     found.append({"error": None, **f(row)})
-                except (ValueError, ET.ParseError) as e:
+                except ValueError as e:
                     found.append({"error": str(e)})
             cols = {n: batch.column(n) for n in given}
             for n in (*names, "error"):
@@ -172,30 +133,39 @@ def checked(rows: DataFrame) -> DataFrame:
 
 def signatures(rows: DataFrame, column: str) -> DataFrame:
     """rows with signature, a text that is equal for equal structures."""
-    return _mapped(rows, "signature string", lambda row: {"signature": repr(signature(ET.fromstring(row[column])))})
+    return _mapped(rows, "signature string", lambda row: {"signature": structure(row[column])})
 
 
 def reassemble(docs: DataFrame, results: DataFrame, language: str | None = None) -> DataFrame:
-    """book, path, content of documents with their results in place. results: book, xhtml_path, locator, result.
+    """book, path, content, error of documents with their results in place. results: book, xhtml_path, locator, result.
 
-    Results go in from the last place to the first. A document without results stays as it is.
+    A document without results stays as it is, and so does one with an error: malformed, or a result that
+    doesn't fit its place.
     """
-    each = results.groupBy("book", F.col("xhtml_path").alias("path")).agg(F.sort_array(F.collect_list(F.struct("locator", "result")), asc=False).alias("results"))
+    each = results.groupBy("book", F.col("xhtml_path").alias("path")).agg(F.collect_list(F.struct("locator", "result")).alias("results"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.record_batch({"book": batch.column("book"), "path": batch.column("path"), "content": pa.array([row["content"] if row["results"] is None else rewritten(row["content"], [(tuple(r["locator"]), r["result"]) for r in row["results"]], language) for row in rows], pa.binary())})
+            contents, errors = [], []
+            for row in batch.to_pylist():
+                content, error = row["content"], None
+                if row["results"] is not None:
+                    try:
+                        content = rewritten(content, [(tuple(r["locator"]), r["result"]) for r in row["results"]], language)
+                    except (ValueError, LookupError) as e:
+                        error = str(e)
+                contents.append(content)
+                errors.append(error)
+            yield pa.record_batch({"book": batch.column("book"), "path": batch.column("path"), "content": pa.array(contents, pa.binary()), "error": pa.array(errors, pa.string())})
 
-    return docs.select("book", "path", "content").join(each, ["book", "path"], "left").mapInArrow(run, "book string, path string, content binary")
+    return docs.select("book", "path", "content").join(each, ["book", "path"], "left").mapInArrow(run, "book string, path string, content binary, error string")
 
 
 def rewritten(content: bytes, results: list[tuple[tuple[int, ...], str]], language: str | None) -> bytes:
-    root = ET.fromstring(content)
+    reading = Reading(content)
+    blocks = {b.place: b for b in reading.blocks}
     for place, result in results:
-        check(markup(at(root, place)), result)
-        root = put(root, place, ET.fromstring(result))
-    if language:
-        root.set("lang", language)
-        root.set(f"{{{XML_NS}}}lang", language)
-    return ET.tostring(root, encoding="utf-8", xml_declaration=True)
+        if place not in blocks:
+            raise ValueError(f"no block at {'/'.join(map(str, place))}")
+        check(blocks[place].structure, result)
+    return reading.spliced([(blocks[place], result) for place, result in results], language)

@@ -106,6 +106,24 @@ SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY doc_id) - 1 AS I
        array_to_string(list_sort(list_distinct(['chapter', source])), ' ') AS epub_types, title, left(trim(regexp_replace(words, '\s+', ' ', 'g')), 1000) AS sample FROM shown"""
 
 
+def quarantined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inspected and cut into blocks, where every fifth names an entity that XML doesn't know."""
+    broken = F.regexp_extract("member", r"/d(\d+)\.xhtml$", 1)
+    text = F.col("content").cast("string")
+    members = books(spark, sf_dir).withColumn("content", F.when(broken.endswith("0") | broken.endswith("5"), F.replace(text, F.lit("</ul>"), F.lit("</ul>&nbsp;"))).otherwise(text).cast("binary"))
+    found = inspect.inspect_all(members).select("book", "path", F.col("error").isNull().alias("sound"), F.col("error").contains("undefined entity").alias("unknown_entity"), "title")
+    docs = members.where(broken != "").select("book", F.col("member").alias("path"), "content")
+    cut = fragments.parsed(docs).groupBy("book", F.col("xhtml_path").alias("path")).agg(F.count("source").alias("blocks"), F.count("error").alias("errors"))
+    return found.join(cut, ["book", "path"]).select("book", "path", "sound", "unknown_entity", "title", "blocks", "errors")
+
+
+_QUARANTINED_SQL = rf"""WITH {_DOCS_SQL},
+sized AS (SELECT *, doc_id % 5 <> 0 AS sound, 2 + len(list_filter(raw, lambda x: regexp_matches(x, '\S'))) AS n FROM docs)
+SELECT book, 'OEBPS/text/d' || doc_id || '.xhtml' AS path, sound, CASE WHEN NOT sound THEN true END AS unknown_entity,
+       CASE WHEN NOT sound THEN '' WHEN doc_id % 2 = 0 THEN 'Part ' || doc_id ELSE 'Title ' || doc_id END AS title,
+       CASE WHEN sound THEN n ELSE 0 END AS blocks, CASE WHEN sound THEN 0 ELSE 1 END AS errors FROM sized"""
+
+
 def sampled_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four evenly spaced documents of the spine of each book."""
     found = inspect.inspect(books(spark, sf_dir)).select("book", "pos", "path", "in_spine")
@@ -384,12 +402,13 @@ def locators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (inspect_books, sampled_books, page_titles, resolved_paths, extracted_jobs, reassembled_documents, structure_checks, page_breaks, archive_files, claimable_jobs, cancelled_runs, failed_runs, retried_runs, merge_claims, created_runs, run_settings, job_lookup, summary_lines, progress_states, model_names, chosen_models, resolved_runs, folded_names, path_parts, glossaries, scope_reviews, worker_counts, locators)
+    for f in (inspect_books, quarantined_documents, sampled_books, page_titles, resolved_paths, extracted_jobs, reassembled_documents, structure_checks, page_breaks, archive_files, claimable_jobs, cancelled_runs, failed_runs, retried_runs, merge_claims, created_runs, run_settings, job_lookup, summary_lines, progress_states, model_names, chosen_models, resolved_runs, folded_names, path_parts, glossaries, scope_reviews, worker_counts, locators)
 }
 
 _CANCEL_SQL = "run_id = 'r3'"
 ORACLES: dict[str, str] = {
     "inspect_books": _INSPECT_SQL,
+    "quarantined_documents": _QUARANTINED_SQL,
     "sampled_books": _SAMPLED_SQL,
     "page_titles": _PAGE_TITLES_SQL,
     "resolved_paths": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'x/d' || c_custkey WHEN 1 THEN 'OEBPS/x/y/d' || c_custkey WHEN 3 THEN 'OEBPS/x/d' || c_custkey END AS path FROM customer",

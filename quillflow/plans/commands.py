@@ -14,6 +14,7 @@ from ..operators import fragments, sampling
 from ..operators.inspect import inspect
 from ..operators.queue import job as find_job
 from ..operators.summary import summary, summary_json
+from ..scratch import staged
 from ..sources import archive
 from .store import RunStore
 
@@ -45,6 +46,9 @@ def prepare(spark: SparkSession, store_path: str, run_id: str, epub: str, config
     if missing is not None:
         raise ValueError(f"selected document not found: {missing}")
     docs = members.join(F.broadcast(wanted), members["member"] == wanted["path"]).select("book", "path", "content", "doc_order")
+    bad = fragments.malformed(docs).agg(F.min(F.concat_ws(": ", "xhtml_path", "error"))).first()[0]
+    if bad is not None:
+        raise ValueError(bad)
     blocks = fragments.extract(docs).join(wanted.withColumnRenamed("path", "xhtml_path"), "xhtml_path")
     new = blocks.select(F.lit(run_id).alias("run_id"), "xhtml_path", "locator", "source", "doc_order")
     if new.isEmpty():
@@ -115,10 +119,13 @@ def _merge(store: RunStore, run_id: str, now: int | None) -> str:
     results = jobs.where((F.col("run_id") == run_id) & (F.col("state") == "done")).select(F.lit(name).alias("book"), "xhtml_path", "locator", "result")
     changed = results.select("book", F.col("xhtml_path").alias("member")).distinct()
     docs = members.join(changed, ["book", "member"]).withColumnRenamed("member", "path")
-    merged = fragments.reassemble(docs, results, config["target_language_code"]).withColumnRenamed("path", "member")
+    merged = staged(fragments.reassemble(docs, results, config["target_language_code"]).withColumnRenamed("path", "member"), "merged")
+    bad = merged.where("error is not null").agg(F.min(F.concat_ws(": ", "member", "error"))).first()[0]
+    if bad is not None:
+        raise ValueError(bad)
     output = config["output_path"] or f"{store.path}/output-{run_id}/output.epub"
     folder, _, file = output.rpartition("/")
-    whole = members.select("book", "member", "content").join(changed, ["book", "member"], "left_anti").unionByName(merged)
+    whole = members.select("book", "member", "content").join(changed, ["book", "member"], "left_anti").unionByName(merged.drop("error"))
     archive.write_archives(whole.withColumn("book", F.lit(file)), folder or ".")
     checked = archive.verified_files(spark, output, members.select(F.lit(file).alias("name"), "member")).first()
     if checked is None or checked["error"] is not None:
