@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from . import schemas as S
 from .functions import text as X
-from .operators import candidates, fragments, queue, sampling, scope, summary
+from .operators import candidates, fragments, numbering, queue, sampling, scope, summary
 from .sources import archive
 
 #: A moment inside the events' month, in epoch seconds.
@@ -248,7 +248,7 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.numbered(_table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], "id").select("user_id", "event_id", "id")
+    return numbering.numbered(_table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "id")
 
 
 def elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 
 from .. import schemas as S
 from ..functions import text as X
+from .numbering import numbered
 
 
 def none(kind: str) -> Column:
@@ -123,7 +124,7 @@ def add_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
         raise ValueError("a job's place must be unique in its run")
     last = jobs.groupBy("run_id").agg(F.max("id").alias("_last"))
     order = (["doc_order"] if "doc_order" in new.columns else []) + ["xhtml_path", "locator"]
-    made = new.withColumn("_n", F.row_number().over(W.partitionBy("run_id").orderBy(*order))).join(last, "run_id", "left")
+    made = numbered(new, ["run_id"], order, "_n").join(last, "run_id", "left")
     made = made.select("run_id", (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("bigint").alias("id"), "xhtml_path", "locator", "source", none("string").alias("result"), F.lit(S.PENDING).alias("state"), none("string").alias("worker_id"), none("string").alias("lease_token"), none("bigint").alias("lease_until"), F.lit(0).alias("attempts"), none("string").alias("error"))
     return jobs.unionByName(made)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .numbering import numbered
 
 SAMPLE = 6
 
@@ -22,8 +23,12 @@ def even_sample(docs: DataFrame, k: int = SAMPLE, order: str = "pos", group: str
     if k < 2:
         raise ValueError("a sample takes two documents or more")
     by = [group] if group else []
-    numbered = docs.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by))).withColumn("_at", F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1)
-    return numbered.where((F.col("_n") <= k) | F.array_contains(even_positions(F.col("_n"), k), F.col("_at"))).drop("_n", "_at")
+    placed = numbered(docs, by, [order], "_at")
+    sizes = placed.groupBy(*by).agg(F.max("_at").alias("_n"))
+    same = F.col(f"d.{group}").eqNullSafe(F.col(f"s.{group}")) if group else F.col("d._one") == F.col("s._one")
+    joined = placed.withColumn("_one", F.lit(1)).alias("d").join(sizes.withColumn("_one", F.lit(1)).alias("s"), same)
+    kept = joined.where((F.col("s._n") <= k) | F.array_contains(even_positions(F.col("s._n"), k).cast("array<bigint>"), F.col("d._at") - 1))
+    return kept.select(*[F.col(f"d.{c}") for c in docs.columns])
 
 
 def selected(docs: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame:

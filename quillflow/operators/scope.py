@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as X
 
@@ -52,11 +51,6 @@ def latest(rows: DataFrame, group: list[str], at: str) -> DataFrame:
     return best.select(*group, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def numbered(rows: DataFrame, group: str, order: list[str], name: str = "id") -> DataFrame:
-    """Ascending numbers from 1 within each group."""
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("long"))
-
-
 def resolve_runs(asked: DataFrame, stored: DataFrame) -> DataFrame:
     """asked (explicit, current, ...) with run: the explicit one, else the current one, else the stored one modified last.
 

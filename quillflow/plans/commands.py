@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from ..operators import fragments, sampling
 from ..operators.inspect import inspect
 from ..operators.queue import job as find_job
 from ..operators.summary import summary, summary_json
+from ..operators.translate import translated as translate
 from ..scratch import staged
 from ..sources import archive
 from .store import RunStore
@@ -84,19 +84,6 @@ def complete(store: RunStore, run_id: str, job_id: int, worker: str, token: str,
     return {"accepted": store.complete(run_id, job_id, worker, token, result, now), "job_id": job_id}
 
 
-def translate(claims: DataFrame, translator: Callable[[str], str] | None = None) -> DataFrame:
-    """claims (id, source, ...) with result or error; the translator maps protected markup to markup.
-
-    Without one every block stays as it is.
-    """
-    ready = fragments.protected(claims).drop("error", "markers")
-    if translator is None:
-        made = ready.withColumn("translated", F.col("protected"))
-    else:
-        made = ready.withColumn("translated", F.udf(translator, "string", useArrow=True)("protected"))
-    return fragments.checked(made.drop("protected"))
-
-
 def merge(store: RunStore, run_id: str, now: int | None = None) -> str:
     """Put all results in place, build and verify the archive, and complete the run. An error fails the run."""
     try:
