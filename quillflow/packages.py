@@ -444,9 +444,66 @@ def locators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C._table(spark, sf_dir, "conversations").select("conv_id", "turn", X.locator_text(place).alias("locator"), F.size(place).alias("n"), (place < F.array(F.lit(10), F.lit(2))).alias("before"))
 
 
+# ---- the same functions over the tables' own values
+
+
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts case-folded, and how many of their tokens are numbers."""
+    text = F.coalesce("text", F.lit(""))
+    return C._table(spark, sf_dir, "documents").select("doc_id", F.md5(X.casefold(text).cast("binary")).alias("folded"), F.size(F.filter(X.tokens(text), X.all_digits)).alias("numbers"))
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stem, extension and run path of each page's address: its host, its path, or both as one relative path."""
+    bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    k = F.col("page_id") % 3
+    path = F.when(k == 0, F.regexp_extract(bare, "^[^/]+", 0)).when(k == 1, F.regexp_extract(bare, "/.*$", 0)).otherwise(bare)
+    return C._table(spark, sf_dir, "pages").withColumn("p", F.rtrim(path, F.lit("/"))).select("page_id", X.stem(F.col("p")).alias("stem"), X.extension(F.col("p")).alias("extension"), X.run_path(F.lit("/runs/7"), F.col("p")).alias("path"))
+
+
+def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's path as a reference from a folder, with up to three steps up; null where it leaves the root."""
+    path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]+([^?#]*)", 1), "/$", "")
+    lang = F.regexp_extract(path, "^/([^/]*)", 1)
+    href = say(F.repeat(F.lit("../"), (F.col("page_id") % 4).cast("int")), "./text", path, "/")
+    return C._table(spark, sf_dir, "pages").select("page_id", inspect.resolve(say("OEBPS/", lang), href).alias("path"))
+
+
+def event_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in an event's properties as a count of workers, with a leading zero or its type before it in some."""
+    k = F.get_json_object("props", "$.k")
+    given = F.when(F.col("event_type") == "error", say(F.col("event_type"), k)).when(F.col("event_type") == "click", say("0", k)).otherwise(k)
+    return C._table(spark, sf_dir, "events").select("event_id", X.worker_count(given).alias("workers"))
+
+
+def part_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model that each part's label names among the twenty of its shelf; several may share a label."""
+    p = C._table(spark, sf_dir, "part").withColumn("shelf", F.floor(F.col("p_partkey") / 20)).withColumn("shown", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")))
+    model = F.struct(F.col("p_brand").alias("provider"), F.col("p_type").alias("id"), F.col("shown").alias("name"), "p_partkey")
+    shelves = p.groupBy("shelf").agg(F.array_sort(F.collect_list(F.struct("p_partkey", model.alias("m")))).alias("x")).select("shelf", F.transform("x", lambda v: v["m"]).alias("models"))
+    label = X.model_label(F.col("p_brand"), F.col("p_type"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")))
+    return p.join(shelves, "shelf").withColumn("m", X.model_at(label, F.col("models"))).select("p_partkey", label.alias("label"), F.col("m.p_partkey").alias("chosen"), "m.name")
+
+
+_URL_PARTS_SQL = r"""
+WITH p AS (SELECT page_id, rtrim(CASE page_id % 3 WHEN 0 THEN split_part(bare, '/', 1) WHEN 1 THEN substr(bare, instr(bare || '/', '/')) ELSE bare END, '/') AS p
+           FROM (SELECT page_id, split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) AS bare FROM pages)),
+l AS (SELECT page_id, p, split_part(p, '/', -1) AS x, string_split(split_part(p, '/', -1), '.') AS d FROM p)
+SELECT page_id, CASE WHEN len(d) > 1 THEN array_to_string(d[:-2], '.') ELSE x END AS stem, CASE WHEN len(d) > 1 THEN '.' || d[-1] ELSE '' END AS extension,
+       CASE WHEN p LIKE '/%' THEN p ELSE '/runs/7/' || p END AS path FROM l"""
+_PAGE_PATHS_SQL = r"""
+WITH p AS (SELECT page_id, rtrim(substr(bare, instr(bare || '/', '/')), '/') AS path FROM (SELECT page_id, split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) AS bare FROM pages))
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'OEBPS/' || split_part(path, '/', 2) || '/text' WHEN 1 THEN 'OEBPS/text' WHEN 2 THEN 'text' END || path AS path FROM p"""
+_PART_MODELS_SQL = r"""
+WITH p AS (SELECT *, p_partkey // 20 AS shelf, p_brand || '/' || p_type AS base, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS shown FROM part),
+l AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' (' || base || ')' ELSE base END AS label, coalesce(shown || ' (' || base || ')', base) AS own FROM p)
+SELECT a.p_partkey, a.label, min(b.p_partkey) AS chosen, arg_min(b.shown, b.p_partkey) FILTER (b.p_partkey IS NOT NULL) AS name
+FROM l a LEFT JOIN l b ON a.shelf = b.shelf AND a.label = b.own GROUP BY a.p_partkey, a.label"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (inspect_books, quarantined_documents, sampled_books, page_titles, resolved_paths, extracted_jobs, reassembled_documents, translation_round, merged_books, structure_checks, page_breaks, archive_files, claimable_jobs, cancelled_runs, failed_runs, retried_runs, merge_claims, created_runs, run_settings, job_lookup, summary_lines, progress_states, model_names, chosen_models, resolved_runs, folded_names, path_parts, glossaries, scope_reviews, worker_counts, locators)
+    for f in (inspect_books, quarantined_documents, sampled_books, page_titles, resolved_paths, extracted_jobs, reassembled_documents, translation_round, merged_books, structure_checks, page_breaks, archive_files, claimable_jobs, cancelled_runs, failed_runs, retried_runs, merge_claims, created_runs, run_settings, job_lookup, summary_lines, progress_states, model_names, chosen_models, resolved_runs, folded_names, path_parts, glossaries, scope_reviews, worker_counts, locators, folded_texts, url_parts, page_paths, event_workers, part_models)
 }
 
 _CANCEL_SQL = "run_id = 'r3'"
@@ -502,5 +559,10 @@ FROM (SELECT page_id, CAST(page_id % 4 + 1 AS INTEGER) AS k FROM pages)""",
 SELECT conv_id, coalesce(string_agg(role || turn || ' = T' || turn || CASE WHEN turn % 2 = 0 THEN ' # n' ELSE '' END, chr(10) ORDER BY turn, role) FILTER (turn % 3 <> 2 AND conv_id % 4 <> 0) || chr(10), '# No fixed glossary entries were found.' || chr(10)) AS text FROM conversations GROUP BY conv_id""",
     "scope_reviews": _SCOPE_SQL,
     "worker_counts": "SELECT event_id, CASE event_id % 6 WHEN 2 THEN 12 WHEN 5 THEN 7 END AS workers FROM events",
+    "folded_texts": r"SELECT doc_id, md5(replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), 'ς', 'σ')) AS folded, CAST(len(list_filter(t, lambda x: regexp_matches(x, '^\p{Nd}+$'))) AS INTEGER) AS numbers FROM (SELECT doc_id, text, " + C._TOKENS_SQL + " AS t FROM documents)",
+    "url_parts": _URL_PARTS_SQL,
+    "page_paths": _PAGE_PATHS_SQL,
+    "event_workers": "SELECT event_id, CASE WHEN event_type IN ('error', 'click') OR k = 0 THEN NULL ELSE k END AS workers FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)",
+    "part_models": _PART_MODELS_SQL,
     "locators": "SELECT conv_id, turn, CASE WHEN turn = 0 THEN '' ELSE (conv_id % 13) || '/' || turn END AS locator, CASE WHEN turn = 0 THEN 0 ELSE 2 END AS n, turn = 0 OR conv_id % 13 < 10 OR (conv_id % 13 = 10 AND turn < 2) AS before FROM conversations",
 }
