@@ -7,7 +7,8 @@ configuration of most value, and from the same table all others near it, each us
 step as its scarcest length allows. Lengths of which something stays are priced higher, and the next
 pass covers more, until all is covered. Any prices bound the program from below: all pieces at their
 prices over the best configuration's value. Covers start from several first prices, until one lies
-within GAP of the best bound; the best is kept. Its steps are whole, so rounding only sets loose
+within GAP of the best bound. Where none does, prices and configurations are weighed against each other
+step by step, each pricing gives a bound, and the mix of all answers a cover; the best cover is kept. Its steps are whole, so rounding only sets loose
 configurations aside, whose pieces are placed best-fit. Plan says what the program was worth, its
 bound, and how many tokens its configurations hold. Pieces then find
 their place by their rank among pieces of their length; the ranks come from counts by partition,
@@ -41,6 +42,8 @@ GAP, FIRST_PRICES = 0.002, (0.0, 0.1, 0.3, 0.6, 1.0)
 SLACKS, LEAST_COVERED = (0.004, 0.016, 0.064, 0.25, 1.0), 0.05
 #: How fast prices grow.
 GROWTH = 0.1
+#: Steps of the mix, and rows of knapsack tables over all of them, at most.
+MIX_STEPS, MIX_WORK = 3000, 40_000
 #: Tokens that a rounded configuration may leave empty, the pieces of looser ones going best-fit: whichever needs the fewest sequences.
 LOOSE = (1 << 30, 64, 16, 4)
 
@@ -143,6 +146,47 @@ def _cover(lengths: np.ndarray, stock: np.ndarray, capacity: int, price: np.ndar
     return found, bound
 
 
+def _mixed(lengths: np.ndarray, stock: np.ndarray, capacity: int, value: int, bound: float) -> tuple[list[tuple[int, dict[int, int]]], float]:
+    """The program solved by multiplicative weights on both sides: a cover, and the best dual bound of all pricings.
+
+    Each step prices the lengths, and the knapsack answers with one configuration. Prices of lengths that
+    it has too little of, by their share of the stock, rise, the others fall, by steps that get shorter.
+    Of the answers, weighted by their steps, comes the mix of configurations that the cover consists of.
+    """
+    most, top, price = np.minimum(stock, capacity // lengths), bound, None
+    for first in (np.ones(len(lengths)), lengths / capacity, 1 / np.maximum(1, capacity // lengths)):  # by piece, by token, by how many fit
+        low = float((stock * first).sum()) / _Prices(lengths, first, most, capacity).best
+        if price is None or low > top:
+            top, price = max(low, top), first
+    items, used = len(_Prices(lengths, price, most, capacity).items), {}
+    steps = min(MIX_STEPS, MIX_WORK // max(1, items))
+    for step in range(steps):
+        table = _Prices(lengths, price, most, capacity)
+        top = max(top, float((stock * price).sum()) / table.best)
+        if value <= max(np.ceil(top - 1e-6), (1 + GAP) * top):
+            return [], top
+        config, count = table.trace(len(table.items) - 1, most.tolist())[0], np.zeros(len(lengths))
+        count[list(config)] = list(config.values())
+        lack = (stock - top * count) * price
+        size = 0.5 / np.sqrt(step + 1) * np.sqrt(len(lengths)) / max(float(np.abs(lack).sum()), 1e-30)
+        if step >= steps // 3:  # the first ones know little
+            key = tuple(sorted(config.items()))
+            used[key] = used.get(key, 0.0) + size
+        price = price * np.exp(np.clip(size * lack, -1, 1))
+        price = np.maximum(price / price.max(), 1e-12)
+    total, left, found = sum(used.values()), stock.copy(), []
+    for config, weight in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+        if times := min(int(top * weight / total), *(int(left[k]) // m for k, m in config)):
+            found.append((times, dict(config)))
+            for k, m in config:
+                left[k] -= times * m
+    open_ = np.flatnonzero(left)
+    if len(open_):
+        rest, _ = _cover(lengths[open_], left[open_], capacity, np.ones(len(open_)))
+        found += [(times, {int(open_[k]): m for k, m in config.items()}) for times, config in rest]
+    return found, top
+
+
 def _solve(lengths: np.ndarray, stock: np.ndarray, capacity: int) -> tuple[list[tuple[int, dict[int, int]]], int, float]:
     """The best cover, its value and the best dual bound."""
     best, value, bound = [], 0, 0.0
@@ -152,7 +196,10 @@ def _solve(lengths: np.ndarray, stock: np.ndarray, capacity: int) -> tuple[list[
         if not best or sum(times for times, _ in found) < value:
             best, value = found, sum(times for times, _ in found)
         if value <= max(np.ceil(bound), (1 + GAP) * bound):
-            break
+            return best, value, bound
+    found, bound = _mixed(lengths, stock, capacity, value, bound)
+    if found and sum(times for times, _ in found) < value:
+        best, value = found, sum(times for times, _ in found)
     return best, value, bound
 
 

@@ -207,3 +207,21 @@ def test_bound_and_cover_against_every_way(lengths):
     made = packing.plan({x: lengths.count(x) for x in lengths}, 20)
     fewest, full = brute_sequences(sorted(lengths, reverse=True), 20), lengths.count(20)
     assert made.bound + full <= fewest + 1e-6 and fewest <= made.sequences <= fewest + 1
+
+
+@pytest.mark.parametrize(
+    ("name", "lengths", "most_gap"),
+    [
+        ("exponential", lambda r: np.clip(r.exponential(700, 250_000).astype(int) + 1, 1, 4096), 0.002),
+        ("wide", lambda r: r.integers(1000, 3001, 100_000), 0.006),
+        ("two fit", lambda r: r.integers(1366, 2048, 50_000), 0.0),
+        ("one fits", lambda r: r.integers(2049, 4096, 20_000), 0.0),
+        ("five near a third", lambda r: r.choice([1300, 1340, 1366, 1380, 1420], 50_000), 0.005),
+        ("ten", lambda r: r.choice(r.integers(300, 2500, 10), 50_000), 0.005),
+    ],
+)
+def test_the_program_is_solved_to_its_bound(name, lengths, most_gap):
+    values, counts = np.unique(lengths(np.random.default_rng(1)), return_counts=True)
+    made = packing.plan(dict(zip(values.tolist(), counts.tolist())), 4096)
+    full = int(counts[values == 4096].sum())
+    assert made.bound + full <= made.sequences + 1e-3 and made.sequences - full <= (1 + most_gap) * made.bound + 1
