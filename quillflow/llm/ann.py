@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a robust-pruned directed graph in each shard.
 
 Equal vectors count as one with a short list of ids. Distinct vectors are dealt to shards by the
-nearest of some centroids, which a bounded sample fixes (SAMPLE vectors of least hash); a centroid
+nearest of some centroids, which a bounded sample fixes (SAMPLE vectors of least hash, SAMPLE_BYTES at most); a centroid
 with more vectors than a shard holds has several shards, by hash. Every vector is indexed. In a shard,
 greedy searches from a few entry points propose neighbours of each vector, and relaxed distance
 pruning keeps a diverse set of them: the nearest stays, and drops whatever is nearer to it, by a
@@ -38,6 +38,8 @@ ENTRIES, AT_ONCE, WIDTH = 16, 256, 4
 QUERY_BLOCK = 4096
 #: Vectors that fix the centroids, at most in expectation; centroids of one length of vectors; centroids that a query visits.
 SAMPLE, MOST_CENTROIDS, PROBES = 65_536, 2048, 4
+#: Bytes of the sample that fixes centroids, which the driver holds.
+SAMPLE_BYTES = 128 << 20
 
 
 def usable(vector: str, key: str) -> Column:
@@ -184,7 +186,8 @@ def _places(distinct: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """distinct with its centroid; and the centroids by length of vectors, where there are several."""
     sizes = {r["dim"]: r["count"] for r in distinct.groupBy("dim").count().collect()}  # one row a length
     total = sum(sizes.values())
-    sample = distinct.where((F.xxhash64("vector") / F.lit(2.0**64) + 0.5) * total <= SAMPLE).select("dim", "vector").toArrow() if max(sizes.values(), default=0) > SHARD_VECTORS else None
+    share = max(total / SAMPLE, 8 * sum(dim * n for dim, n in sizes.items()) / SAMPLE_BYTES)
+    sample = distinct.where((F.xxhash64("vector") / F.lit(2.0**64) + 0.5) * share <= 1).select("dim", "vector").toArrow() if max(sizes.values(), default=0) > SHARD_VECTORS else None
     centroids = {}
     for dim, n in sizes.items():
         if n > SHARD_VECTORS:
