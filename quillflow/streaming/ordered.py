@@ -2,16 +2,17 @@
 
 A set is a tree of 64-bit maps of which numbers, or subtrees, there are: finding the least number, adding
 and removing read at most LEVELS entries, whatever the set's size. Entries that a batch has read are kept
-until flush, which writes those that changed.
+until flush, which writes those that changed; of more than KEPT none stay.
 """
 
 from __future__ import annotations
 
 NODES = "kind int, of bigint, level int, prefix bigint"
-BITS = "bits bigint"
 _WIDTH, _ALL = 6, (1 << 64) - 1
 #: Levels of six bits that hold 64.
 LEVELS = 11
+#: Entries kept before they are flushed.
+KEPT = 4096
 #: Signed numbers in order are unsigned ones from here.
 _ZERO = 1 << 63
 
@@ -27,6 +28,9 @@ class OrderedSets:
 
     def _bits(self, node: tuple[int, int, int, int]) -> int:
         if node not in self.nodes:
+            if len(self.nodes) >= KEPT:
+                self.flush()
+                self.nodes.clear()
             found = self.state.getValue(node)
             self.nodes[node] = found[0] & _ALL if found else 0
             self.reads += 1

@@ -1,7 +1,9 @@
 """The lease machine on a plain state, against a plain queue; its counts and progress behind a stream."""
 
 import collections
+import gc
 import types
+import weakref
 
 import pandas as pd
 from hypothesis import given, settings
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 
 from quillflow import schemas as S
 from quillflow.operators import queue, summary
-from quillflow.streaming import leases, ordered, progress
+from quillflow.streaming import leases, ordered, paged, progress
 
 
 class FakeMap(dict):
@@ -189,6 +191,65 @@ def test_expired_leases_are_reported_once_from_the_sets():
     assert due(131_000).empty and due(171_000).job_id.tolist() == [2]
 
 
+def _watched(frames, alive):
+    """Frames as they are asked for; alive gets how many of those before are still held."""
+    refs = []
+    for frame in frames:
+        gc.collect()
+        alive.append(sum(r() is not None for r in refs))
+        refs.append(weakref.ref(frame))
+        yield frame
+        del frame
+
+
+def _mixed(n):
+    """Messages of n jobs in no order, and the same ones by at: all added, half dealt, some done or failed."""
+    given = lambda k: leases.token("r", k, 1, 2)
+    rows = [("add", None, k, None, None, 1) for k in range(1, n + 1)] + [("claim", "w", None, None, None, 2) for _ in range(n // 2)]
+    rows += [("complete" if k % 2 else "fail", "w", k, given(k), None, 3 + k % 5) for k in range(1, n + 1, 3)]
+    mixed = pd.DataFrame([("r", *r) for r in rows], columns=MESSAGE_NAMES).sample(frac=1, random_state=3).astype({"job_id": "Int64"})
+    return mixed
+
+
+def test_a_batch_of_any_size_is_taken_in_order_without_holding_it(monkeypatch):
+    whole = _mixed(3000)
+    expected = pd.concat(list(machine().handleInputRows(("r",), iter([whole]), None)))
+    for name, n in (("HELD", 500), ("PART", 60), ("OUT", 200)):
+        monkeypatch.setattr(leases, name, n)
+    alive, made = [], machine()
+    got = list(made.handleInputRows(("r",), _watched((whole.iloc[k : k + 100].copy() for k in range(0, len(whole), 100)), alive), None))
+    assert len(alive) > 50 and max(alive) <= 15 and max(map(len, got)) <= 200
+    assert not made.handle.maps["inbox"]
+    keys = ["kind", "job_id", "lease_token", "accepted", "state", "attempts", "at"]
+    rows = lambda frame: collections.Counter(tuple(None if pd.isna(v) else v for v in r) for r in frame[keys].itertuples(index=False))
+    assert rows(pd.concat(got)) == rows(expected) and pd.concat(got)["step"].tolist() == list(range(len(expected)))
+    assert [made._job(k)[0] for k in (1, 2, 4)] == [S.DONE, S.LEASED, S.FAILED]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["put", "remove", "flush"]), st.sampled_from([-(2**63), -1, 0, 1, 1023, 1024, 2**40, 2**63 - 1]), st.integers(0, 3))))
+def test_pages_as_a_map(steps):
+    state, plain = FakeMap(), {}
+    pages = paged.Pages(state)
+    for what, number, value in steps:
+        if what == "put":
+            pages.updateValue((7, number), ("x", None, value))
+            plain[number] = ("x", None, value)
+        elif what == "remove":
+            pages.removeKey((7, number))
+            plain.pop(number, None)
+        else:
+            pages.flush()
+            assert not pages.kept and bool(state) == bool(plain)
+        assert pages.getValue((7, number)) == plain.get(number)
+
+
+def test_jobs_of_a_batch_take_few_looks_at_the_state():
+    made = machine()
+    list(made.handleInputRows(("r",), iter([_mixed(3000)]), None))
+    assert sum(m.reads for m in made.handle.maps.values()) < 300
+
+
 # ---- counts behind a stream
 
 
