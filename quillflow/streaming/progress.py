@@ -35,12 +35,17 @@ class Summaries(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         told = dict(zip(NAMES, self.counts.get())) if self.counts.exists() else dict.fromkeys(NAMES, 0)
-        outcomes = pd.concat(list(rows)).sort_values("step", kind="stable")
-        for o in outcomes.itertuples():
-            told |= {"state": o.run_state, "merge_state": o.merge_state, "cancel_requested": bool(o.cancelled), "at": max(told["at"], int(o.at))}
-            if o.accepted and not pd.isna(o.job_id):
-                self._moved(told, o.was, o.was_attempts, -1)
-                self._moved(told, o.state, o.attempts, 1)
+        latest = -1  # frames come in any order: the run is as after the last step of all
+        for frame in rows:
+            last = frame.iloc[int(frame["step"].to_numpy().argmax())]
+            if last["step"] > latest:
+                latest = last["step"]
+                told |= {"state": last["run_state"], "merge_state": last["merge_state"], "cancel_requested": bool(last["cancelled"])}
+            told["at"] = max(told["at"], int(frame["at"].max()))
+            moved = frame[frame["accepted"].astype(bool) & frame["job_id"].notna()]
+            for names, by in ((["was", "was_attempts"], -1), (["state", "attempts"], 1)):
+                for (state, attempts), n in moved.groupby(names).size().items():
+                    self._moved(told, state, attempts, by * int(n))
         self.counts.update(tuple(told[n] for n in NAMES))
         yield pd.DataFrame([{"run_id": key[0], **told}])
 

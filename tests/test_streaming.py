@@ -253,6 +253,17 @@ def test_jobs_of_a_batch_take_few_looks_at_the_state():
 # ---- counts behind a stream
 
 
+def test_summaries_take_outcomes_frame_by_frame():
+    """Frames in any order, none of which is held when the next one comes."""
+    out = pd.concat(list(machine().handleInputRows(("r",), iter([_mixed(3000)]), None)))
+    made, plain, alive = progress.Summaries(2), progress.Summaries(2), []
+    made.init(FakeHandle())
+    plain.init(FakeHandle())
+    one = next(iter(plain.handleInputRows(("r",), iter([out]), None))).iloc[0]
+    two = next(iter(made.handleInputRows(("r",), _watched((out.iloc[k : k + 100].copy() for k in reversed(range(0, len(out), 100))), alive), None))).iloc[0]
+    assert len(alive) > 30 and max(alive) <= 1 and one.equals(two) and one.total == 3000
+
+
 RUN = ("state", "merge_state", "cancel_requested", "total", "done", "leased", "failed", "pending", "retryable")
 
 
