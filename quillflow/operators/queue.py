@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 
 from .. import schemas as S
 from ..functions import text as X
+from ..scratch import staged
 from .numbering import numbered
 
 
@@ -120,6 +121,7 @@ def add_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
     A place (xhtml_path, locator) that comes twice in a run is an error.
     """
     key = ["run_id", "xhtml_path", "locator"]
+    new = staged(new, "new-jobs")  # it is gone through for the check, for the ranges of numbers and for the rows
     if not jobs.select(*key).unionByName(new.select(*key)).groupBy(*key).count().where("count > 1").isEmpty():
         raise ValueError("a job's place must be unique in its run")
     last = jobs.groupBy("run_id").agg(F.max("id").alias("_last"))
