@@ -236,6 +236,7 @@ def merged_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = blocks.where("source like '<p%'").select("book", "xhtml_path", "locator", say(f"<p xmlns='{_XHTML}'>+", inner, "</p>").alias("result"))
     merged = fragments.reassemble(docs, results, "vi").select("book", F.col("path").alias("member"), "content", "error")
     whole = books(spark, sf_dir).where("member not like 'OEBPS/text/%'").withColumn("error", F.lit(None).cast("string")).unionByName(merged)
+    whole = scratch.staged(whole, "members")  # written, and its names looked at twice
     folder, names = scratch.folder(spark, "merged"), whole.select(say(F.col("book"), ".epub").alias("name"), "member", "error")
     archive.write_archives(whole.withColumn("book", say(F.col("book"), ".epub")), folder)
     sound = archive.verified_files(spark, folder, names).select(F.col("book").alias("name"), F.col("error").isNull().alias("sound"))
