@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import schemas as S
+from . import scratch
 from .functions import text as X
 from .operators import candidates, fragments, numbering, queue, sampling, scope, summary
 from .sources import archive
@@ -268,17 +269,11 @@ def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = F.concat_ws("-", F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")))
     members = docs.select(book.alias("book"), F.concat(F.lit("text/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt")).alias("member"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     marks = members.select("book").distinct().select("book", F.lit("mimetype").alias("member"), F.lit("application/epub+zip").cast("binary").alias("content"))
-    built = archive.archives(members.unionByName(marks))
-
-    def read(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for name, content in zip(b.column("book").to_pylist(), b.column("content").to_pylist()):
-                rows = archive.unpack(name, content)
-                yield pa.record_batch({"book": [name] * len(rows), "member": [r["member"] for r in rows], "ordinal": pa.array([r["ordinal"] for r in rows], pa.int32()), "stored": [r["stored"] for r in rows], "n_bytes": [len(r["content"]) for r in rows]})
-
-    return built.mapInArrow(read, "book string, member string, ordinal int, stored boolean, n_bytes long")
+    folder = scratch.folder(spark, "members")
+    # as files are named: any characters that a book's name has
+    archive.write_archives(members.unionByName(marks).withColumn("book", F.concat(F.url_encode("book"), F.lit(".epub"))), folder)
+    name = F.url_decode(F.regexp_extract("book", r"([^/]*)\.epub$", 1))
+    return archive.scan(spark, folder).select(name.alias("book"), "member", "ordinal", "stored", F.length("content").cast("long").alias("n_bytes"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
