@@ -251,9 +251,8 @@ def structure_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = say(" class='", F.col("role"), "' id='q'"), say(" id='q' class='", F.col("role"), "'")
     tag = F.when(F.col("turn") % 2 == 0, "p").otherwise("h1")
     c = turns.select("conv_id", "turn", block(F.lit("p"), one).alias("source"), F.replace(block(F.lit("p"), one), F.lit(">x<"), F.lit(">changed<")).alias("same"), block(tag, two).alias("other"))
-    a = fragments.signatures(c, "source").withColumnRenamed("signature", "s").drop("error")
-    b = fragments.signatures(a, "same").withColumnRenamed("signature", "t").drop("error")
-    return fragments.signatures(b, "other").select("conv_id", "turn", (F.col("s") == F.col("t")).alias("kept"), (F.col("s") == F.col("signature")).alias("kept_other"))
+    made = fragments.signed(c, {"s": "source", "t": "same", "u": "other"})
+    return made.select("conv_id", "turn", (F.col("s") == F.col("t")).alias("kept"), (F.col("s") == F.col("u")).alias("kept_other"))
 
 
 def page_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
