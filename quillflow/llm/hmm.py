@@ -38,6 +38,8 @@ STATES, CLASSES = 8, 4096
 PASSES = 15
 #: Tokens of a text that is gone through at one stretch, and of the segments of a longer one; tokens handled at once.
 LONG, SEGMENT, TOKENS_AT_ONCE = 4096, 256, 300_000
+#: A text of more tokens takes no more room of a group than one of so many: each step then has enough texts to outweigh its call.
+COUNTED = 1000
 #: Tokens whose emissions are summed at once: few enough to stay in a core's cache.
 SUMMED = 1 << 16
 #: Segments of one text that its score takes at once.
@@ -226,9 +228,9 @@ def _by_time(lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of sequences, those of like lengths together, in groups of a bounded number of tokens."""
+    """Places of sequences, those of like lengths together, in groups of a bounded number of tokens: LONG / COUNTED times TOKENS_AT_ONCE at most."""
     order = np.argsort(lengths, kind="stable")
-    cut = np.cumsum(lengths[order]) // TOKENS_AT_ONCE
+    cut = np.cumsum(np.where(lengths > LONG, lengths, np.minimum(lengths, COUNTED))[order]) // TOKENS_AT_ONCE
     if len(order):
         yield from np.split(order, np.flatnonzero(cut[1:] != cut[:-1]) + 1)
 
@@ -250,23 +252,32 @@ def _cut_long(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sizes, opens
 
 
-def _transfers(model: Model, lengths: np.ndarray, by_time: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each sequence and each state before its first token: the scaled forward row at its end, and the row's log."""
+def _transfers(model: Model, lengths: np.ndarray, by_time: np.ndarray, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """For each sequence and each state before its first token: the scaled forward row at its end, and the row's log.
+
+    A class's share in the likeliest state is taken as 1, so each sequence's logs lack the same sum of logs.
+    """
     order, starts, active = _ranks(lengths)
-    emit, move, n = np.ascontiguousarray(model.emit.T), model.move, len(lengths)
-    rows = np.repeat(np.eye(STATES)[None], n, axis=0)  # sequence, state before, state
-    logs, ones = np.zeros((n, STATES)), np.ones(STATES)
-    for t, k in enumerate(active):
-        now = emit[by_time[starts[t] : starts[t] + k]][:, None, :]
+    n, move = len(lengths), model.move.astype(kind)
+    emit = np.take((model.emit / model.emit.max(axis=0)).T.astype(kind, order="C"), by_time.astype(np.int64), axis=0)
+    rows = np.tile(np.eye(STATES, dtype=kind), (n, 1))  # for each sequence a row for each state before
+    spare, logs, total = np.empty_like(rows), np.zeros(n * STATES), np.ones_like(move)
+    ends = np.empty((n, STATES, STATES))
+    for t, (k, a) in enumerate(zip(active.tolist(), starts.tolist())):
+        now = rows[: k * STATES]
         if t:
-            rows[:k] = (rows[:k].reshape(-1, STATES) @ move).reshape(-1, STATES, STATES)
-        rows[:k] *= now
-        scale = np.maximum(rows[:k] @ ones, 1e-300)
-        rows[:k] /= scale[:, :, None]
-        logs[:k] += np.log(scale)
-    back_rows, back_logs = np.empty_like(rows), np.empty_like(logs)
-    back_rows[order], back_logs[order] = rows, logs
-    return back_rows, back_logs
+            now = np.matmul(now, move, out=spare[: k * STATES])
+            rows, spare = spare, rows
+        now *= np.repeat(emit[a : a + k], STATES, axis=0)
+        later = active[t + 1] if t + 1 < len(active) else 0
+        if t % RESCALED == 0 or later < k:
+            scale = now @ total  # each row's sum, for every state
+            now /= scale
+            logs[: k * STATES] += np.log(scale[:, 0])
+            ends[order[later:k]] = now[later * STATES :].reshape(-1, STATES, STATES)
+    found = np.empty((n, STATES))
+    found[order] = logs.reshape(n, STATES)
+    return ends, found
 
 
 def log_likelihoods(model: Model, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -304,7 +315,7 @@ def log_likelihoods(model: Model, lengths: np.ndarray, codes: np.ndarray) -> np.
                 total += log.max() + np.log(after.sum())
                 before = (after / after.sum()) @ model.move
             at += some.sum()
-        found[k] = total
+        found[k] = total + logs[codes[bounds[k] : at]].sum()
     return found / np.log(10)
 
 
@@ -347,19 +358,31 @@ def arranged(texts: list[bytes]) -> Iterator[Group]:
 def _entries(model: Model, rows: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each segment of one text: the states before its first token, and what follows its last one (to scale)."""
     n = len(rows)
-    before, after = np.empty((STATES, n)), np.ones((STATES, n))
-    weight = np.exp(logs - logs.max(axis=1, keepdims=True))
-    b = model.start
-    for k in range(n):
-        before[:, k] = b
-        b = ((b * weight[k]) @ rows[k]) @ model.move
-        b /= b.sum()
+    before, after = np.empty((n, STATES)), np.ones((n, STATES))
+    through = np.exp(logs - logs.max(axis=1, keepdims=True))[:, :, None] * rows
+    forth, back = through @ model.move, model.move @ through
+    before[0] = model.start
+    for k in range(n - 1):
+        b = before[k] @ forth[k]
+        before[k + 1] = b / b.sum()
     for k in range(n - 1, 0, -1):
-        v = model.move @ (weight[k] * (rows[k] @ after[:, k]))
-        after[:, k - 1] = v / v.sum()
+        v = back[k] @ after[k]
+        after[k - 1] = v / v.sum()
+    before, after = before.T, after.T
     return before, after
 
 
+def _steps_alike(steps: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of steps that are followed by one of as many sequences, SUMMED tokens at most; a step that fewer follow by itself."""
+    t = 0
+    while t + 1 < len(steps):
+        stop = t + 1
+        while steps[stop] == steps[t] and stop + 1 < len(steps) and steps[stop + 1] == steps[t] and (stop + 1 - t) * steps[t] <= SUMMED:
+            stop += 1
+        yield t, stop
+        t = stop
+
+
 def _forward_backward(model: Model, active: np.ndarray, by_time: np.ndarray, before: np.ndarray, after: np.ndarray, weights: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Add to sums (moves within sequences, emissions); states at the first tokens, and what joins sequences of one text.
 
@@ -369,38 +392,43 @@ def _forward_backward(model: Model, active: np.ndarray, by_time: np.ndarray, bef
     n_all, steps, by_time = int(active[0]), active.tolist(), by_time.astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(active)]).tolist()
     # a class's share in the likeliest state is taken as 1: what states a token may have depends on the ratios alone
-    emit, move = np.take((model.emit / model.emit.max(axis=0)).astype(np.float32), by_time, axis=1), model.move.astype(np.float32)
-    alpha, beta, forth = np.empty_like(emit), np.empty_like(emit), move.T.copy()
-    now, last = before.astype(np.float32), np.empty((STATES, n_all), np.float32)
+    shares, move = (model.emit / model.emit.max(axis=0)).T.astype(np.float32, order="C"), model.move.astype(np.float32)
+    emit = np.take(shares, by_time, axis=0)  # a row for each token, so a step's tokens lie together
+    alpha, beta, back, total = np.empty_like(emit), np.empty_like(emit), move.T.copy(), np.ones_like(move)
+    now, last = before.T.astype(np.float32, order="C"), np.empty((n_all, STATES), np.float32)
     for t, (n, a) in enumerate(zip(steps, starts)):
-        if t and n < now.shape[1]:
-            last[:, n : now.shape[1]] = now[:, n:]
-            now = now[:, :n]
-        e = emit[:, a : a + n]
-        now = np.multiply(forth @ now if t else now, e, out=alpha[:, a : a + n])
+        if t and n < len(now):
+            last[n : len(now)] = now[n:]
+            now = now[:n]
+        e, to = emit[a : a + n], alpha[a : a + n]
+        now = np.multiply(np.matmul(now, move, out=to) if t else now, e, out=to)
         if t % RESCALED == 0:
-            scale = now.sum(axis=0)
+            scale = now @ total  # each row's sum, for every state
             now /= scale
             e /= scale
-    last[:, : now.shape[1]] = now
-    follow = after.astype(np.float32)
-    follow *= weights / (last * follow).sum(axis=0)
-    moves, later, x = np.zeros((STATES, STATES)), 0, None
+    last[: len(now)] = now
+    follow = after.T.astype(np.float32, order="C")
+    follow *= (weights / (last * follow).sum(axis=1))[:, None]
+    later, x = 0, None
     for n, a in zip(steps[::-1], starts[-2::-1]):
-        b = beta[:, a : a + n]
+        b = beta[a : a + n]
         if n > later:
-            b[:, later:] = follow[:, later:n]
+            b[later:] = follow[later:n]
         if later:
-            b[:, :later] = move @ x
-            moves += alpha[:, a : a + later] @ x.T
-        x, later = emit[:, a : a + n], n
+            np.matmul(x, back, out=b[:later])
+        x, later = emit[a : a + n], n
         x *= b
+    moves = np.zeros((STATES, STATES))
+    for t, stop in _steps_alike(steps):  # tokens of steps t to stop, and those after them
+        n, next_n, a = steps[t], steps[stop], starts[t]
+        size = (stop - t) * n if next_n == n else next_n
+        moves += alpha[a : a + size].T @ emit[a + n : a + n + size]
     sums[0][:] += model.move * moves
     for a in range(0, len(by_time), SUMMED):
-        some, share = by_time[a : a + SUMMED], alpha[:, a : a + SUMMED] * beta[:, a : a + SUMMED]
+        some, share = by_time[a : a + SUMMED], alpha[a : a + SUMMED] * beta[a : a + SUMMED]
         for k in range(STATES):
-            sums[1][k] += np.bincount(some, share[k], CLASSES)
-    return alpha[:, :n_all] * beta[:, :n_all], emit[:, :n_all], last / last.sum(axis=0)
+            sums[1][k] += np.bincount(some, share[:, k], CLASSES)
+    return (alpha[:n_all] * beta[:n_all]).T, emit[:n_all].T, (last / last.sum(axis=1, keepdims=True)).T
 
 
 def group_counts(model: Model, group: Group, sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
@@ -410,7 +438,7 @@ def group_counts(model: Model, group: Group, sums: tuple[np.ndarray, np.ndarray,
     before, after = np.repeat(model.start[:, None], len(order), axis=1), np.ones((STATES, len(order)))
     several = not group.opens.all()
     if several:
-        rows, logs = _transfers(model, group.sizes, group.codes)
+        rows, logs = _transfers(model, group.sizes, group.codes, np.float32)
         firsts = np.append(np.flatnonzero(group.opens), len(order))
         for a, b in zip(firsts[:-1], firsts[1:]):
             before[:, a:b], after[:, a:b] = _entries(model, rows[a:b], logs[a:b])

@@ -375,6 +375,27 @@ def test_whole_texts_whatever_the_segments(monkeypatch, long_, segment, at_once)
         assert got == pytest.approx(sum(w[k] for w in want), rel=2e-4, abs=2e-4)
 
 
+def test_each_step_of_a_group_has_texts_enough():
+    lengths = np.repeat([500, 1500, 4000], 1500)
+    found = list(hmm._groups(lengths))
+    assert sorted(np.concatenate(found)) == list(range(len(lengths)))
+    full = [g for g in found if lengths[g].min() == lengths[g].max()]
+    assert len(full) > 10 and min(map(len, full[:-1])) >= 290  # 75 texts of 4,000 tokens shared a step once, and its calls took most of the time
+    assert max(lengths[g].sum() for g in found) <= hmm.TOKENS_AT_ONCE * hmm.LONG / hmm.COUNTED + hmm.LONG
+    assert max(map(len, hmm._groups(np.full(200, 20_000)))) <= hmm.TOKENS_AT_ONCE // 20_000  # longer ones go by segments
+
+
+def test_moves_over_ranges_of_steps(monkeypatch):
+    for at_once in (4, 12, 10_000):
+        monkeypatch.setattr(hmm, "SUMMED", at_once)
+        for steps in ([1], [3], [3, 3], [5, 5, 5, 5, 2, 2, 1], [4, 3, 2, 1], [6] * 9):
+            pairs = []
+            for t, stop in hmm._steps_alike(steps):
+                assert steps[stop] == steps[t] or stop == t + 1
+                pairs += [(k, steps[k + 1]) for k in range(t, stop)]
+            assert pairs == [(k, steps[k + 1]) for k in range(len(steps) - 1)]
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(5)
     seqs = [rng.integers(1, 40, 30) + 100 * (k % 3) for k in range(90)]
