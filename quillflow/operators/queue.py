@@ -61,7 +61,8 @@ def claim(jobs: DataFrame, runs: DataFrame, waiting: DataFrame, now: int, most:
     turns = W.partitionBy("run_id").orderBy("id")
     free = jobs.join(open_runs, "run_id").where(claimable(now, F.col("_limit"))).select("run_id", "id", "config").withColumn("_n", F.row_number().over(turns)).where(F.col("_n") <= most)
     asking = waiting.select("run_id", F.col("worker_id").alias("_worker"), F.row_number().over(W.partitionBy("run_id").orderBy("turn", "worker_id")).alias("_n"))
-    dealt = free.join(asking, ["run_id", "_n"]).select("run_id", "id", "_worker", F.col("config").alias("_config"))
+    # staged, so that jobs meet a table of known size, and aren't shuffled for a few claims
+    dealt = staged(free.join(asking, ["run_id", "_n"]).select("run_id", "id", "_worker", F.col("config").alias("_config")), "dealt")
     joined = jobs.join(dealt, ["run_id", "id"], "left")
     got = F.col("_worker").isNotNull()
     token = X.lease_token(F.col("run_id"), F.col("id"), F.col("attempts") + 1, F.lit(now))
@@ -75,11 +76,12 @@ def claim(jobs: DataFrame, runs: DataFrame, waiting: DataFrame, now: int, most:
 def _answered(jobs: DataFrame, requests: DataFrame, guard: Column, more: Iterable[str] = (), **values: Column | str | int | None) -> tuple[DataFrame, DataFrame]:
     """Apply values where a request (run_id, id, worker_id, lease_token) meets its guard."""
     asked = requests.select("run_id", "id", F.col("worker_id").alias("_worker"), F.col("lease_token").alias("_token"), *[F.col(c).alias(f"_{c}") for c in more])
-    joined = jobs.join(asked.withColumn("_asked", F.lit(True)), ["run_id", "id"], "left").withColumn("_ok", guard & F.col("_asked").isNotNull())
-    # of several requests for one job the one that meets the guard counts
-    once = joined.withColumn("_first", F.row_number().over(W.partitionBy("run_id", "id").orderBy(F.col("_ok").desc(), "_worker", "_token")))
-    after = _update(once.where(F.col("_first") == 1), F.col("_ok"), **values).select(*jobs.columns)
-    outcome = asked.join(joined.where("_ok").select("run_id", "id", "_worker", "_token").distinct().withColumn("accepted", F.lit(True)), ["run_id", "id", "_worker", "_token"], "left")
+    # requests are settled first, of several for one job that meet the guard the least; jobs then meet a table of known size
+    first = F.min(F.struct("_worker", "_token", *[f"_{c}" for c in more])).alias("_met")
+    met = staged(jobs.join(asked, ["run_id", "id"]).where(guard).groupBy("run_id", "id").agg(first).select("run_id", "id", "_met.*"), "met")
+    after = _update(jobs.join(met.withColumn("_ok", F.lit(True)), ["run_id", "id"], "left"), F.col("_ok").isNotNull(), **values).select(*jobs.columns)
+    accepted = met.select("run_id", "id", "_worker", "_token", F.lit(True).alias("accepted"))
+    outcome = asked.join(accepted, ["run_id", "id", "_worker", "_token"], "left")
     return after, outcome.select("run_id", "id", F.col("_worker").alias("worker_id"), F.col("_token").alias("lease_token"), F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 

@@ -215,7 +215,7 @@ def translation_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], S.JOBS)
     jobs = scratch.staged(queue.add_jobs(none, blocks.withColumnRenamed("book", "run_id")), "jobs")
     config = F.struct(*[F.lit(None).cast(k).alias(n) for n, k in S.CONFIG_FIELDS.items()])
-    runs = queue.create_run(spark.createDataFrame([], S.RUNS), jobs.select("run_id").distinct().select("run_id", config.alias("config")), C.NOW)
+    runs = queue.create_run(spark.createDataFrame([], S.RUNS), scratch.staged(jobs.select("run_id").distinct(), "run-ids").select("run_id", config.alias("config")), C.NOW)
     waiting = runs.select("run_id", F.explode(F.array(*map(F.lit, range(3)))).alias("turn")).select("run_id", say("worker", F.col("turn").cast("string")).alias("worker_id"), "turn")
     jobs, claims = queue.claim(jobs, runs, waiting, C.NOW, 3)
     answers = scratch.staged(translate.translated(claims, _teil, tries=2, pause=0.0), "answers")

@@ -68,3 +68,34 @@ def test_even_samples_of_all_rows_and_of_null_groups(many_ranges):
     docs = many_ranges.range(100).select(F.col("id").alias("pos"), F.when(F.col("id") < 20, "a").alias("book"))
     assert sorted(r["pos"] for r in sampling.even_sample(docs, 3).collect()) == [0, 50, 99]
     assert sorted((r["book"] or "", r["pos"]) for r in sampling.even_sample(docs, 2, group="book").collect()) == [("", 20), ("", 99), ("a", 0), ("a", 19)]
+
+
+def exchanges(rows):
+    """The shuffles of a plan, as text."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange" in x and "BroadcastExchange" not in x]
+
+
+def test_rows_of_few_groups_move_once(many_ranges, monkeypatch):
+    rows = skewed(many_ranges)
+    assert exchanges(numbering.numbered(rows, ["g"], ["k", "id"], "place")) == []  # past the staged ranges
+    monkeypatch.setattr(numbering, "FEW", 3)
+    got = numbering.numbered(rows, ["g"], ["k", "id"], "place")
+    assert exchanges(got) and {(r["g"], r["id"]): r["place"] for r in got.collect()} == plain(rows.collect())
+
+
+def test_jobs_do_not_move_for_a_few_claims_and_answers(many_ranges, tmp_path):
+    new = many_ranges.range(400).select(F.concat(F.lit("r"), F.col("id") % 3).alias("run_id"), F.lit("d").alias("xhtml_path"), F.array(F.col("id").cast("int")).alias("locator"), F.lit("s").alias("source"))
+    queue.add_jobs(many_ranges.createDataFrame([], S.JOBS), new).write.parquet(f"{tmp_path}/jobs")
+    jobs = many_ranges.read.schema(S.JOBS).parquet(f"{tmp_path}/jobs")
+    runs = many_ranges.createDataFrame([(f"r{k}", False) for k in range(3)], "run_id string, cancel_requested boolean").withColumn("config", F.lit(None).cast(S.CONFIG))
+    waiting = many_ranges.createDataFrame([(f"r{k}", f"w{n}", n) for k in range(3) for n in range(2)], "run_id string, worker_id string, turn int")
+    after, claims = queue.claim(jobs, runs, waiting, 100, 2)
+    assert exchanges(after) == exchanges(claims) == []
+    answers = claims.select("run_id", "id", "worker_id", "lease_token", F.lit("x").alias("result"))
+    twice = answers.unionByName(answers.withColumn("result", F.lit("b"))).unionByName(answers.withColumn("lease_token", F.lit("other")))
+    done, outcome = queue.complete(after, twice)
+    assert exchanges(done) == []
+    rows = done.collect()
+    assert len(rows) == 400 and sorted((r["run_id"], r["id"], r["result"]) for r in rows if r["state"] == S.DONE) == [(f"r{k}", n, "b") for k in range(3) for n in (1, 2)]
+    assert sorted((r["lease_token"] != "other", r["accepted"]) for r in outcome.collect()) == [(False, False)] * 6 + [(True, True)] * 12
