@@ -48,7 +48,9 @@ def normal_text(c: Column, limit: int) -> Column:
 
 
 def without_urls(c: Column) -> Column:
-    return F.regexp_replace(c, URL, " ")
+    """Texts that hold neither beginning of a URL are not gone through."""
+    some = c.contains("://") | F.lower(c).contains("www.")
+    return F.when(some, F.regexp_replace(c, URL, " ")).otherwise(c)
 
 
 def tokens(c: Column) -> Column:
@@ -56,6 +58,16 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(without_urls(c), F.lit(TOKEN), 0)
 
 
+#: A token that begins in upper case, whole; and two or more of them that follow each other, the first not inside a token.
+_UPPER_TOKEN = r"(?=\p{IsUppercase})[\p{L}\p{N}]++(?:['’\-][\p{L}\p{N}]++)*+"
+UPPER_RUN = rf"(?=\p{{IsUppercase}})(?<![\p{{L}}\p{{N}}])(?<![\p{{L}}\p{{N}}]['’\-]){_UPPER_TOKEN}(?:[^\p{{L}}\p{{N}}]++{_UPPER_TOKEN})++"
+
+
+def upper_runs(c: Column) -> Column:
+    """The longest runs of two or more tokens that begin in upper case, as they stand in the text without its URLs."""
+    return F.regexp_extract_all(without_urls(c), F.lit(UPPER_RUN), 0)
+
+
 def _folds() -> dict[str, str]:
     """By the rule of full case folding: what each lower-case character folds to, where that differs."""
     lows = {c.lower() for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000)))}

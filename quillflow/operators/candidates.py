@@ -17,18 +17,22 @@ LONGEST, CONTEXTS, LIMIT = 4, 3, 200
 def phrases(samples: DataFrame, document: str = "doc_index", text: str = "text", group: Sequence[str] = ()) -> DataFrame:
     """group, document, key, phrase: each phrase of a document once, as it first stands there.
 
-    Only places where two fitting words meet are exploded, and without the words of their document.
+    A phrase's words all begin in upper case, so only runs of such words are cut into words and judged, and only
+    places where two fitting words meet are exploded, without the words of their run.
     """
-    rows = samples.select(*group, F.col(document).alias("document"), X.tokens(F.col(text)).alias("t"))
+    runs = samples.select(*group, F.col(document).alias("document"), F.posexplode(X.upper_runs(F.col(text))).alias("run", "words"))
+    rows = runs.select(*group, "document", "run", F.regexp_extract_all("words", F.lit(X.TOKEN), 0).alias("t"))
     rows = rows.withColumn("ok", F.transform("t", lambda t: ~X.blocks_term(t)))
     fits = lambda i: F.coalesce(F.get("ok", i), F.lit(False))
     starts = F.filter(F.transform("ok", lambda ok, i: F.when(ok & fits(i + 1), i)), lambda i: i.isNotNull())
     longest = lambda i: F.lit(2) + fits(i + 2).cast("int") * (F.lit(1) + fits(i + 3).cast("int"))
-    span = lambda i, n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice("t", i + 1, n), " ").alias("phrase"))
+    at = lambda i, n: F.col("run").cast("bigint") * (1 << 34) + i.cast("bigint") * 8 + n  # noqa: E731  in the order of run, start and length
+    span = lambda i, n: F.struct(at(i, n).alias("at"), F.array_join(F.slice("t", i + 1, n), " ").alias("phrase"))
     spans = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), longest(i)), lambda n: span(i, n)))
     rows = rows.select(*group, "document", F.explode(F.flatten(spans)).alias("span")).select(*group, "document", "span.*")
-    rows = rows.withColumn("key", X.casefold(F.col("phrase")))
-    return rows.groupBy(*group, "document", "key").agg(F.min_by("phrase", F.struct("start", "n")).alias("phrase"))
+    # what a document repeats as it stands is one, by a sum that hashing does, before it is folded
+    rows = rows.groupBy(*group, "document", "phrase").agg(F.min("at").alias("at")).withColumn("key", X.casefold(F.col("phrase")))
+    return rows.groupBy(*group, "document", "key").agg(F.min_by("phrase", "at").alias("phrase"))
 
 
 def glossary_candidates(samples: DataFrame, limit: int = LIMIT, document: str = "doc_index", text: str = "text", group: Sequence[str] = (), least_documents: int = 1) -> DataFrame:

@@ -142,3 +142,26 @@ def test_command_lines(spark, tmp_path, job):
     assert done.returncode == 0, done.stderr[-2000:]
     assert re.search(r"read \d+ documents.* wrote [1-9]\d* ", done.stderr)
     assert {p.name for p in (tmp_path / "out").rglob("lang=*")} == {"lang=en"}
+
+
+def test_phrases_by_runs_are_those_of_all_words(spark):
+    """What is cut into words are runs in upper case only; what a document repeats is one before it is folded."""
+    from pyspark.sql import functions as F
+
+    from quillflow.functions import text as X
+    from quillflow.operators.candidates import phrases
+
+    texts = ["Alpha Beta--Gamma d'Eau L'Eau-Vive X", "a-Bee Cee. Dee 7Up Up-7\nÉtat Ünder \U00010400\U00010401 \U00010400b", "see https://A.com/B Cee WWW.Dee Eff Gee", "The Old The Man OF War", "Ⅳ Ⅴ Roman Ⓐ Circled -Dash 'Quote ’Tick", "Red Fox RED FOX Red Fox", "x’Y Zed ’Y Zed--", None, "", "One", "ǅur Ǆur Ab9c Ⅷ9 9A Bb"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_index int, text string")
+    words = rows.select("doc_index", X.tokens(F.col("text")).alias("t")).select("doc_index", "t", F.transform("t", lambda t: ~X.blocks_term(t)).alias("ok")).where("t is not null").collect()
+    first = {}
+    for r in words:
+        for i in range(len(r["t"])):
+            for n in (2, 3, 4):
+                if i + n <= len(r["t"]) and all(r["ok"][i : i + n]):
+                    phrase = " ".join(r["t"][i : i + n])
+                    first.setdefault((r["doc_index"], phrase.casefold()), phrase)
+    made = phrases(rows)
+    assert {(r["document"], r["key"]): r["phrase"] for r in made.collect()} == first and len(first) > 15
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan  # sorts of all places, before
