@@ -1,28 +1,30 @@
 """Remove passages of 50 bytes and more that an earlier document has, by suffix arrays.
 
-1. Texts are laid out in blocks of some megabytes, staged as one row each.
-2. Winnowing picks anchors: of every 27 consecutive 24-byte grams, the one of least hash. Any shared
-   50-byte string picks the same anchors, so strings shared by two documents share an anchor. Each
-   block sends its distinct anchors to buckets by hash; a bucket finds which occur in two documents
-   and tells the blocks.
+1. Texts are laid out in blocks of some megabytes, staged as one row each with their anchors. Winnowing
+   picks anchors: of every 27 consecutive 24-byte grams, the one of least hash. Any shared 50-byte
+   string picks the same anchors, so strings shared by two documents share an anchor.
+2. A whole text that an earlier document has too goes whole, and takes no part in what follows: blocks
+   send digests to buckets, and are told each text's least document. Then each block sends its distinct
+   anchors to buckets by hash; a bucket finds which occur in two documents and tells the blocks.
 3. Around each shared anchor, a block cuts out the snippet that holds every 50-byte string with that
    anchor. Equal snippets of a block count once, under its least document; the others are removed
    on the spot. Snippets go to shards by anchor.
-4. A shard builds suffix arrays over its distinct snippets by Larsson-Sadakane refinement, gets the
-   common prefixes by Kasai's method, and so the least document of every 50-byte string. Shards too
+4. A shard builds suffix arrays over its distinct snippets by Larsson-Sadakane refinement, as deep as 50
+   bytes, and so gets the least document of every 50-byte string: equal ones have one rank. Shards too
    large for one array are several, cut between anchors; where the snippets of one anchor alone are too
    many, its arrays are merged by binary search of each one's strings in the others.
 5. The strings' extents go back to the blocks, which cut them out of the texts.
 
-Anchors only say where to look; what is removed is decided on the bytes themselves. A passage or
-copy that a third of all documents share is one anchor entry and one snippet in each block. At its
+Anchors only say where to look; what is removed is decided on the bytes themselves, but for copies of
+whole texts, which go by digests of 128 bits. A passage that a third of all documents share is one anchor
+entry and one snippet in each block, and a copy one digest. At a passage's
 edges each document has a snippet of its own: an anchor of more than HOT_BLOCKS blocks or HOT_PLACES
 places is not gathered in one shard; each block sorts the strings around it with its own suffix array, and the
 sorted runs are merged by binary search in buckets by string.
 
 A text's bytes lie in one task, with about five times as many for the snippets of its anchors, which
 are at most one in seven bytes, in periodic text too. Messages between blocks and buckets grow with
-their product up to one for each anchor.
+their product up to one for each anchor; there are as many shards as the snippets to be sent need.
 
 Nulls and edges: a null text counts as empty. Texts under 50 bytes lose nothing. A null doc_id is
 later than any other. Rows that share a doc_id don't cut each other. An empty table gives an empty
@@ -38,11 +40,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, plan_bytes, slices, small_batches, staged_by, text_buffer, trimmed
+from .common import documents, mix64, plan_bytes, slices, small_batches, staged, staged_by, text_buffer, trimmed
 
 #: Bytes of a repeated string; of an anchor's gram; and grams among which an anchor is least.
 LENGTH, GRAM = 50, 24
@@ -54,17 +57,21 @@ BLOCK_BYTES = 4 << 20
 #: Bits of an anchor's hash; a chance match only makes more snippets to compare.
 HASH_BITS = 48
 #: Bytes that anchors are sought in at once.
-STRETCH = 1 << 18
-#: Bytes of text for each bucket of anchors, and for each shard of snippets.
-ANCHOR_BYTES, SHARD_BYTES = 12 << 20, 6 << 20
+STRETCH = 1 << 16
+#: Bytes of text for each bucket of anchors, and for each bucket of whole texts' digests.
+ANCHOR_BYTES, COPY_BYTES = 24 << 20, 64 << 20
+#: Snippets of each shard, if all that are cut out were sent and a hot one counts as its strings; and least bytes of text for each shard.
+SHARD_SNIPPETS, SHARD_BYTES = 200_000, 6 << 20
+#: Bytes of a whole text's digest.
+DIGEST = 16
 #: Input bytes for each part of the blocks' table, which is read block by block.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Tasks that buckets are dealt to at most.
 MOST_TASKS = 20_000
 #: Blocks, or places, above which an anchor's snippets are compared string by string.
 HOT_BLOCKS, HOT_PLACES = 256, 16_000
-#: Distinct snippets of one suffix array.
-ARRAY_SNIPPETS = 8_000
+#: Distinct snippets of one suffix array, and of one for several anchors, which is quicker while it is small.
+ARRAY_SNIPPETS, SEVERAL_SNIPPETS = 8_000, 2_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -72,7 +79,7 @@ _NO_ID = np.iinfo(np.int64).max
 
 
 def lay_out(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """block, size (of its texts), ids (as places in order), shown (as they are), bounds, data (compressed), and kept: a list for each kept string column. docs: doc_id, text, keep."""
+    """block, size (of its texts), ids (as places in order), shown (as they are), bounds, data (compressed), its anchors (number, and places compressed), digests of its texts, and kept: a list for each kept string column. docs: doc_id, text, keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -83,11 +90,12 @@ def lay_out(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 none = ids.is_null().to_numpy(zero_copy_only=False)
                 # a null comes last of all, one place after the largest id; the two least ids there are share a place
                 ids = np.where(none, _NO_ID, np.maximum(ids.fill_null(0).to_numpy(), np.iinfo(np.int64).min + 1) - 1)
-                yield pa.record_batch({"block": [block], "size": [len(data)], "ids": [ids.astype("<i8").tobytes()], "shown": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), "bounds": [bounds.astype("<i8").tobytes()], "data": pa.array([_squeezed(data.tobytes())], pa.binary()), "kept": pa.array([[rows.column(c).to_pylist() for c in keep]], pa.list_(pa.list_(pa.string())))})
+                at, raw = anchor_places(data, bounds), data.tobytes()
+                yield pa.record_batch({"block": [block], "size": [len(data)], "ids": [ids.astype("<i8").tobytes()], "shown": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), "bounds": [bounds.astype("<i8").tobytes()], "data": pa.array([_squeezed(raw)], pa.binary()), "anchors": [len(at)], "places": pa.array([_squeezed(_planes(np.diff(at, prepend=0)))], pa.binary()), "digests": pa.array([_digests(raw, bounds)], pa.binary()), "kept": pa.array([[rows.column(c).to_pylist() for c in keep]], pa.list_(pa.list_(pa.string())))})
                 block += 1
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).cast("string") for c in keep])
-    return rows.mapInArrow(trimmed(run), "block long, size long, ids binary, shown array<long>, bounds binary, data binary, kept array<array<string>>")
+    return rows.mapInArrow(trimmed(run), "block long, size long, ids binary, shown array<long>, bounds binary, data binary, anchors long, places binary, digests binary, kept array<array<string>>")
 
 
 def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -113,26 +121,36 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors of all texts, in order."""
-    found = [_anchors(data, bounds, a, min(len(data), a + STRETCH)) for a in range(0, len(data), STRETCH)]
-    return np.concatenate([np.empty(0, np.int64), *(x[0] for x in found)]), np.concatenate([np.empty(0, np.uint64), *(x[1] for x in found)])
+    at = anchor_places(data, bounds)
+    return at, anchor_hashes(data, at)
 
 
-def _anchors(data: np.ndarray, bounds: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+def anchor_places(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(_anchors(data, bounds, a, min(len(data), a + STRETCH)) for a in range(0, len(data), STRETCH))])
+
+
+def anchor_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes at each place."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    return _row_hash(np.lib.stride_tricks.sliding_window_view(data, GRAM)[at]) >> np.uint64(64 - HASH_BITS)
+
+
+def _anchors(data: np.ndarray, bounds: np.ndarray, start: int, stop: int) -> np.ndarray:
     """Those from start to stop, seen with as much on either side as their windows need."""
     lo, hi = max(0, start - WINDOW), min(len(data), stop + LENGTH)
     if hi - lo < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64)
     h = gram_hashes(data[lo:hi])
     least = _slide(h, WINDOW, np.minimum)
     # windows that start where LENGTH bytes of one text follow
-    place = np.arange(lo, lo + len(least))
-    least[bounds[np.searchsorted(bounds, place, side="right")] < place + LENGTH] = 0
+    ends = np.unique(bounds[slice(*np.searchsorted(bounds, [lo + 1, hi]))])
+    late = (ends[:, None] - np.arange(1, LENGTH)).ravel() - lo
+    least[late[(late >= 0) & (late < len(least))]] = 0
     padded = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
     at = np.flatnonzero(_slide(padded, WINDOW, np.maximum) == h)
     at = at[(at >= start - lo) & (at < stop - lo)]
-    at = _spaced(at, h, np.searchsorted(bounds, at + lo, side="right"))
-    # being least of many, they crowd at the low end: spread them anew
-    return at + lo, mix64(h[at] + np.uint64(1)) >> np.uint64(64 - HASH_BITS)
+    return _spaced(at, h, np.searchsorted(bounds, at + lo, side="right")) + lo
 
 
 def _spaced(at: np.ndarray, h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -177,66 +195,145 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], "<i8"), bounds, np.frombuffer(_expanded(row["data"], int(bounds[-1])), np.uint8)
 
 
+def _read_anchors(row: dict, data: np.ndarray, bounds: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes and texts of a block's anchors, without those of later copies."""
+    at = np.cumsum(_from_planes(_expanded(row["places"], 8 * row["anchors"])).view(np.int64))
+    text = np.searchsorted(bounds, at, side="right") - 1
+    own = ~later[text]
+    return at[own], anchor_hashes(data, at[own]), text[own]
+
+
+# ---- copies of whole texts
+
+
+def _digests(raw: bytes, bounds: np.ndarray) -> bytes:
+    cuts = bounds.tolist()
+    return b"".join(hashlib.blake2b(raw[a:b], digest_size=DIGEST).digest() for a, b in zip(cuts[:-1], cuts[1:]))
+
+
+def _by_digest(digests: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in order of digest and id, where another digest begins, and each one's number in that order. digests: two columns."""
+    order = np.lexsort((ids, digests[:, 1], digests[:, 0]))
+    ranked = digests[order]
+    head = np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(axis=1)]) if len(order) else np.empty(0, bool)
+    return order, np.flatnonzero(head), np.cumsum(head) - 1
+
+
+def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct texts of LENGTH bytes and more: digests in order, least ids; then the rows of such texts, and each one's place among the distinct."""
+    ids, bounds = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["bounds"], "<i8")
+    rows = np.flatnonzero(np.diff(bounds) >= LENGTH)
+    digests = np.frombuffer(row["digests"], ">u8").reshape(-1, 2)[rows].astype(np.uint64)
+    order, starts, number = _by_digest(digests, ids[rows])
+    return digests[order[starts]], ids[rows[order[starts]]], rows[order], number
+
+
+def copies(blocks: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket (-1 and below), flags: the least document of each of the block's distinct texts in the bucket, in order of digest; hot: none."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                digests, least, _, _ = _texts(row)
+                cuts = np.searchsorted((digests[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                yield pa.record_batch({"bucket": full.astype(np.int32), "block": np.full(len(full), row["block"]), "digests": pa.array([digests[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), "least": pa.array([least[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())})
+
+    def find(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, "<i8") for x in table.column("least").to_pylist()]
+        ids = np.concatenate(parts)
+        order, starts, number = _by_digest(np.frombuffer(b"".join(table.column("digests").to_pylist()), "<u8").reshape(-1, 2), ids)
+        least = np.empty_like(ids)
+        least[order] = ids[order[starts]][number]
+        told = np.split(least, np.cumsum([len(x) for x in parts])[:-1])
+        bucket = pa.array(-1 - table.column("bucket").to_numpy(), pa.int32())
+        return pa.table({"block": table.column("block"), "bucket": bucket, "flags": pa.array([x.tobytes() for x in told], pa.binary()), "hot": pa.nulls(len(told), pa.binary()), "places": pa.array(np.zeros(len(told), np.int64))})
+
+    sent = blocks.select("block", "ids", "bounds", "digests").mapInArrow(trimmed(send), "bucket int, block long, digests binary, least binary")
+    return sent.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(find, TOLD)
+
+
+#: What buckets tell blocks.
+TOLD = "block long, bucket int, flags binary, hot binary, places long"
+
+
+def _later(row: dict, told: pa.Table) -> np.ndarray:
+    """Which of a block's texts are copies of an earlier document's: such a text goes whole, and nothing in it is the first of its kind."""
+    later = np.zeros(len(row["ids"]) // 8, bool)
+    told = told.filter(pc.less(told.column("bucket"), 0)).sort_by([("bucket", "descending")])
+    if told.num_rows:
+        least = np.frombuffer(b"".join(told.column("flags").to_pylist()), "<i8")
+        _, _, rows, number = _texts(row)
+        later[rows] = np.frombuffer(row["ids"], "<i8")[rows] > least[number]
+    return later
+
+
+# ---- anchors of several documents
+
+
 def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes in order, whether each occurs in two documents, and in how many places (as many as two bytes hold)."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, doc = h[order], doc[order]
     cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
     places = np.minimum(np.diff(np.append(cut, len(h))), np.iinfo(np.uint16).max).astype("<u2")
     return h[cut], np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut) if len(cut) else np.empty(0, bool), places
 
 
-def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, and packed bits, in order of hash, for the block's distinct anchors in the bucket.
+#: What a block needs to go through its anchors.
+_PARTS = ["block", "ids", "bounds", "data", "anchors", "places", "digests"]
+
+
+def shared_anchors(blocks: DataFrame, same: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, and packed bits, in order of hash, for the block's distinct anchors in the bucket. same: copies, which send none.
 
-    flags: those that two documents have; hot: those in more than HOT_BLOCKS blocks or HOT_PLACES places.
+    flags: those that two documents have; places: the entries that these make at most, a snippet or a hot one's strings; hot: those in more than HOT_BLOCKS blocks or HOT_PLACES places.
     """
 
     most_blocks, most_places = HOT_BLOCKS, HOT_PLACES
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, bounds, data = _read(row)
-                at, h = anchors(data, bounds)
-                h, twice, places = _distinct(h, ids[np.searchsorted(bounds, at, side="right") - 1])
-                cuts = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                yield pa.record_batch({"bucket": full.astype(np.int32), "block": np.full(len(full), row["block"]), "hashes": pa.array([_planes(np.diff(h[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))) for b in full], pa.binary()), "twice": pa.array([np.packbits(twice[cuts[b] : cuts[b + 1]]).tobytes() for b in full], pa.binary()), "places": pa.array([places[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())})
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in left.to_pylist():
+            ids, bounds, data = _read(row)
+            _, h, text = _read_anchors(row, data, bounds, _later(row, right))
+            h, twice, places = _distinct(h, ids[text])
+            cuts = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
+            rows += [(b, row["block"], _planes(np.diff(h[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))), np.packbits(twice[cuts[b] : cuts[b + 1]]).tobytes(), places[cuts[b] : cuts[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+        cols = list(zip(*rows)) if rows else [[], [], [], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "block", "hashes", "twice", "places"])
 
     def find(table: pa.Table) -> pa.Table:
         parts = [np.cumsum(_from_planes(x), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
         sizes = np.array([len(x) for x in parts])
         twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("twice").to_pylist(), sizes)]).astype(bool)
+        places = np.concatenate([np.frombuffer(x, "<u2") for x in table.column("places").to_pylist()])
         every = np.concatenate(parts)
-        ranked = np.sort(every)
-        repeated = ranked[:-1][ranked[1:] == ranked[:-1]]
-        repeated = np.sort(np.concatenate([repeated, every[twice]]))
-        at = np.minimum(np.searchsorted(repeated, every), max(0, len(repeated) - 1))
-        flags = repeated[at] == every if len(repeated) else np.zeros(len(every), bool)
-        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
-        many = np.diff(np.append(starts, len(ranked))) > most_blocks
-        if len(many):
-            places = np.concatenate([np.frombuffer(x, "<u2") for x in table.column("places").to_pylist()])
-            many |= np.add.reduceat(places[np.argsort(every, kind="stable")].astype(np.int64), starts) > most_places
-        often = ranked[starts[many]]
-        at = np.minimum(np.searchsorted(often, every), max(0, len(often) - 1))
-        hot = often[at] == every if len(often) else np.zeros(len(every), bool)
-        split = lambda x: pa.array([np.packbits(y).tobytes() for y in np.split(x, np.cumsum(sizes)[:-1])], pa.binary())
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": split(flags), "hot": split(hot)})
-
-    sent = blocks.select("block", "ids", "bounds", "data").mapInArrow(trimmed(send), "bucket int, block long, hashes binary, twice binary, places binary")
+        order = np.argsort(every)
+        ranked = every[order]
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        blocks_ = np.diff(np.append(starts, len(ranked)))
+        shared = (blocks_ > 1) | np.logical_or.reduceat(twice[order], starts)
+        many = (blocks_ > most_blocks) | (np.add.reduceat(places[order].astype(np.int64), starts) > most_places)
+        flags, hot = np.empty(len(every), bool), np.empty(len(every), bool)
+        flags[order], hot[order] = np.repeat(shared, blocks_), np.repeat(many, blocks_)
+        cuts = np.cumsum(sizes)[:-1]
+        split = lambda x: pa.array([np.packbits(y).tobytes() for y in np.split(x, cuts)], pa.binary())
+        told = np.add.reduceat(places.astype(np.int64) * flags * np.where(hot, SNIPPET - LENGTH + 1, 1), np.concatenate([[0], cuts]))
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": split(flags), "hot": split(hot), "places": told})
+
+    sent = blocks.select(*_PARTS).groupBy("block").cogroup(same.groupBy("block")).applyInArrow(send, "bucket int, block long, hashes binary, twice binary, places binary")
     sent = sent.repartition(min(buckets, MOST_TASKS), "bucket")
-    return sent.groupBy("bucket").applyInArrow(find, "block long, bucket int, flags binary, hot binary")
+    return sent.groupBy("bucket").applyInArrow(find, TOLD)
 
 
 # ---- snippets
 
 
-def snippets(blocks: DataFrame, flags: DataFrame, buckets: int, shards: int) -> DataFrame:
+def snippets(blocks: DataFrame, told: DataFrame, buckets: int, shards: int) -> DataFrame:
     """bucket (a shard), block, and per distinct snippet: hash, document, place, extent, bytes; and what the block itself removes.
 
-    buckets: those of the flags. Rows of buckets below 0 hold the removals (start, stop) that a block decides alone.
+    told: flags of anchors in so many buckets, and copies. Rows of buckets below 0 hold the removals (start, stop) that a block decides alone.
     """
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -244,19 +341,26 @@ def snippets(blocks: DataFrame, flags: DataFrame, buckets: int, shards: int) ->
             return _packed([])
         row = left.to_pylist()[0]
         ids, bounds, data = _read(row)
-        at, h = anchors(data, bounds)
-        order = np.argsort(h, kind="stable")
+        later = _later(row, right)
+        rows = []
+        if later.any():
+            spans = np.stack([bounds[:-1][later], bounds[1:][later]], axis=1).astype("<i8")
+            rows.append((-1 - row["block"] % shards, row["block"], len(spans), spans.tobytes(), b""))
+        at, h, text = _read_anchors(row, data, bounds, later)
+        if not len(at):
+            return _packed(rows)
+        order = np.argsort(h)
         ranked = h[order]
         first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
         sizes = np.bincount(_bucket(ranked[first], buckets), minlength=buckets)
-        told = right.sort_by("bucket")
+        told = right.filter(pc.greater_equal(right.column("bucket"), 0)).sort_by("bucket")
         flag, often = (np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=int(n)) for x, n in zip(told.column(c).to_pylist(), sizes[sizes > 0])]).astype(bool)[np.cumsum(first) - 1] for c in ("flags", "hot"))
         chosen = np.sort(order[flag & ~often])
-        rows = _hot_strings(row["block"], ids, bounds, data, np.sort(at[order[flag & often]]), shards) if (flag & often).any() else []
+        if (flag & often).any():
+            rows += _hot_strings(row["block"], ids, bounds, data, np.sort(at[order[flag & often]]), shards)
         if not len(chosen):
             return _packed(rows)
-        at, h = at[chosen], h[chosen]
-        doc = np.searchsorted(bounds, at, side="right") - 1
+        at, h, doc = at[chosen], h[chosen], text[chosen]
         start, stop = np.maximum(at - REACH, bounds[doc]), np.minimum(at + GRAM + REACH, bounds[doc + 1])
         padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(REACH, np.uint8)])
         text = np.lib.stride_tricks.sliding_window_view(padded, SNIPPET)[at]
@@ -273,17 +377,19 @@ def snippets(blocks: DataFrame, flags: DataFrame, buckets: int, shards: int) ->
         # equal snippets of the leader's own document stand or fall with it, each in its place
         kept = np.sort(order[~later])
         b = _bucket(h[kept], shards)
+        kept = kept[np.argsort(b, kind="stable")]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(b, minlength=shards))])
         if len(gone):
             whole = (stop - start)[gone] >= LENGTH
             spans = np.stack([start[gone], stop[gone]], axis=1)[whole].astype("<i8")
             rows.append((-1 - row["block"] % shards, row["block"], len(spans), spans.tobytes(), b""))
-        for k in np.unique(b):
-            own = kept[b == k]
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own = kept[cuts[k] : cuts[k + 1]]
             head = np.concatenate([h[own].view(np.int64), ids[doc[own]], at[own], start[own], stop[own]])
-            rows.append((int(k), row["block"], len(own), _squeezed(_planes(head)), _squeezed(text[own].tobytes())))
+            rows.append((k, row["block"], len(own), _squeezed(_planes(head)), _squeezed(text[own].tobytes())))
         return _packed(rows)
 
-    return blocks.select("block", "ids", "bounds", "data").groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(cut, "bucket int, block long, n long, head binary, body binary")
+    return blocks.select(*_PARTS).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, "bucket int, block long, n long, head binary, body binary")
 
 
 def _hot_strings(block: int, ids: np.ndarray, bounds: np.ndarray, data: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple[int, int, int, bytes, bytes]]:
@@ -313,11 +419,12 @@ def _hot_strings(block: int, ids: np.ndarray, bounds: np.ndarray, data: np.ndarr
         bytes_ = np.frombuffer(found.strings.tobytes(), np.uint8).reshape(-1, LENGTH)
         bucket = (_row_hash(bytes_) % np.uint64(buckets)).astype(np.int64)
         n = np.bincount(run, minlength=len(found.strings))
-        for k in np.unique(bucket):
-            which = np.flatnonzero(bucket == k)
-            mine = place[bucket[run] == k]
+        by, by_place = np.argsort(bucket, kind="stable"), np.argsort(bucket[run], kind="stable")
+        cuts, cuts_place = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=buckets))]) for x in (bucket, bucket[run]))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            which, mine = by[cuts[k] : cuts[k + 1]], place[by_place[cuts_place[k] : cuts_place[k + 1]]]
             head = np.concatenate([found.least[which], n[which], mine]).astype("<i8")
-            rows.append((buckets + int(k), block, len(which), head.tobytes(), _squeezed(bytes_[which].tobytes())))
+            rows.append((buckets + k, block, len(which), head.tobytes(), _squeezed(bytes_[which].tobytes())))
     return rows
 
 
@@ -338,43 +445,62 @@ def _row_hash(text: np.ndarray) -> np.ndarray:
 # ---- suffix arrays
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first depth symbols at least: Larsson-Sadakane refinement of unsettled groups by doubling."""
+def _ranks(symbols: np.ndarray, depth: int, room: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes' ranks by their first depth symbols, equal ones alike: Larsson-Sadakane refinement of unsettled groups by doubling.
+
+    room: the symbols that each suffix may use; those with fewer than depth get no rank that counts.
+    """
     n = len(symbols)
     width, key = 1, symbols.astype(np.uint64)
     bits = max(1, int(symbols.max(initial=1)).bit_length())
-    while width * 2 * bits <= 64:  # the first order takes as many symbols as a word holds
+    while width * 2 * bits <= 64 and width * 2 <= depth:  # the first order takes as many symbols as a word holds
         later = np.zeros(n, np.uint64)
         later[: n - width] = key[width:] if n > width else 0
         key = key << np.uint64(width * bits) | later
         width *= 2
+    place = np.full(n + 1, -1, np.int64)  # each suffix's group: the group's last position
+    open_ = np.arange(n) if room is None else np.flatnonzero(room >= width)
+    order = np.argsort(key[open_])
+    open_ = open_[order]
+    starts, count = _runs(key[open_])
+    place[open_] = np.repeat(starts + count - 1, count)
+    open_ = open_[np.repeat(count > 1, count)]
+    while width < depth and len(open_):
+        step = min(width, depth - width)
+        width += step
+        if room is not None:
+            open_ = open_[room[open_] >= width]
+        group = place[open_]
+        key = group * np.int64(n + 1) + place[open_ + step if room is not None else np.minimum(open_ + step, n)] + 1
+        order, key = _sorted(key, (n + 1) ** 2)
+        open_ = open_[order]
+        starts, count = _runs(group)
+        last = np.repeat(starts + count - 1, count)
+        starts, count = _runs(key)
+        place[open_] = group - (last - np.repeat(starts + count - 1, count))
+        open_ = open_[np.repeat(count > 1, count)]
+    return place[:n]
+
+
+def _sorted(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order and sorted keys, which are from 0 to below most."""
+    bits = max(1, len(key).bit_length())
+    if (most << bits) < 1 << 63:  # places ride along in the low bits: values sort faster than places
+        both = np.sort(key << np.int64(bits) | np.arange(len(key)))
+        return both & np.int64((1 << bits) - 1), both >> np.int64(bits)
     order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    place = np.empty(n, np.int64)  # each suffix's group: the group's last position
-    _regroup(order, head, place, np.arange(n))
-    while width < depth:
-        group = place[order]
-        open_ = np.flatnonzero(np.concatenate([[False], group[1:] == group[:-1]]) | np.concatenate([group[:-1] == group[1:], [False]]))
-        if not len(open_):
-            break
-        suffix = order[open_]
-        after = np.minimum(suffix + width, n)
-        second = np.append(place, -1)[after]
-        resorted = np.argsort(group[open_] * np.int64(n + 1) + second + 1, kind="stable")
-        order[open_] = suffix[resorted]
-        first, then = group[open_][resorted], second[resorted]
-        head = np.ones(n, bool)
-        head[open_] = np.concatenate([[True], (first[1:] != first[:-1]) | (then[1:] != then[:-1])])
-        _regroup(order, head, place, open_)
-        width *= 2
-    return order
+    return order, key[order]
+
 
+def _runs(ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(ranked)))
 
-def _regroup(order: np.ndarray, head: np.ndarray, place: np.ndarray, changed: np.ndarray) -> None:
-    starts = np.flatnonzero(head)
-    last = np.append(starts[1:], len(order)) - 1
-    place[order[changed]] = last[np.searchsorted(starts, changed, side="right") - 1]
+
+def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in order of their first depth symbols."""
+    return _sorted(_ranks(symbols, depth), len(symbols))[0]
 
 
 def common_prefixes(text: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -410,24 +536,19 @@ def common_prefixes(text: np.ndarray, size: np.ndarray, order: np.ndarray) -> np
 
 
 class Strings:
-    """All distinct LENGTH-byte strings of some snippets in order, with the least document of each."""
+    """All distinct LENGTH-byte strings of some snippets in order, with the least document of each, by a suffix array as deep as these."""
 
     def __init__(self, text: np.ndarray, size: np.ndarray, doc: np.ndarray):
-        width = text.shape[1] + 1
-        # each snippet ends in a symbol of its own: no string runs on into the next, and no two suffixes are equal
-        symbols = np.repeat(np.arange(len(text), dtype=np.int32), width).reshape(-1, width)
-        symbols[:, :-1] = np.where(np.arange(width - 1) < size[:, None], text.astype(np.int32) + len(text), symbols[:, :-1])
-        order = suffix_array(symbols.ravel(), width)  # as deep as a common prefix within snippets can be
-        shared = common_prefixes(symbols, size, order)
-        row, offset = order // width, order % width
-        full = offset + LENGTH <= size[row]
-        # among whole strings, equal ones stand together: shorter suffixes between them would break a run
-        at = np.flatnonzero(full)
-        low = np.minimum.reduceat(np.append(shared, 0), at + 1)[:-1] if len(at) > 1 else np.empty(0, np.int64)
-        head = np.concatenate([[True], low < LENGTH]) if len(at) else np.empty(0, bool)
-        starts = np.flatnonzero(head)
-        self.run = np.cumsum(head) - 1
-        self.row, self.offset = row[at], offset[at]
+        width = text.shape[1]
+        # strings end within their snippets, so that what follows a snippet is never looked at
+        room = (size[:, None] - np.arange(width)).ravel()
+        rank = _ranks(text.ravel(), LENGTH, room)
+        at = np.flatnonzero(room >= LENGTH)
+        order, rank = _sorted(rank[at], len(rank))
+        at = at[order]
+        starts, count = _runs(rank)
+        self.run = np.repeat(np.arange(len(starts)), count)
+        self.row, self.offset = at // width, at % width
         self.least = np.minimum.reduceat(doc[self.row], starts) if len(at) else np.empty(0, np.int64)
         view = np.lib.stride_tricks.sliding_window_view(text, LENGTH, axis=1)
         self.strings = np.ascontiguousarray(view[self.row[starts], self.offset[starts]]).view(f"S{LENGTH}").ravel() if len(at) else np.empty(0, f"S{LENGTH}")
@@ -447,7 +568,7 @@ def _cuts(h: np.ndarray) -> list[tuple[int, int, int]]:
     stops = np.append(starts[1:], len(h))
     found, a, family = [], 0, 0
     for start, stop in zip(starts.tolist(), stops.tolist()):
-        if stop - a <= ARRAY_SNIPPETS:
+        if stop - a <= min(SEVERAL_SNIPPETS, ARRAY_SNIPPETS):
             continue
         if start > a:
             found.append((a, start, family := family + 1))
@@ -578,8 +699,11 @@ def repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False
     rows = docs.select("doc_id", "text", *keep)
     blocks = staged_by(lay_out(rows, keep), "block", max(4, -(-plan_bytes(rows) // PART_BYTES)), "dedup-blocks")
     size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    buckets, shards = (max(4, -(-size // x)) for x in (ANCHOR_BYTES, SHARD_BYTES))
-    spans = removals(snippets(blocks, shared_anchors(blocks, buckets), buckets, shards), shards)
+    buckets = max(4, -(-size // ANCHOR_BYTES))
+    same = staged(copies(blocks, max(4, -(-size // COPY_BYTES))), "dedup-copies")
+    flags = staged(shared_anchors(blocks, same, buckets), "dedup-flags")
+    shards = max(4, min(-(-flags.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0] // SHARD_SNIPPETS), -(-size // SHARD_BYTES)))
+    spans = removals(snippets(blocks, same.union(flags), buckets, shards), shards)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -609,7 +733,7 @@ def repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False
         return _cut_rows(out, keep, with_text)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string, spans array<long>" * with_text + "".join(f", `{c}` string" for c in keep)
-    return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cut, schema)
+    return blocks.select("block", "ids", "shown", "bounds", "data", "kept").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cut, schema)
 
 
 def _cut_rows(rows: list[tuple], keep: tuple[str, ...], with_text: bool) -> pa.Table:

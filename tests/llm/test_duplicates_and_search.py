@@ -213,6 +213,38 @@ def test_largest_and_least_ids_and_nulls(spark):
     assert sum(x["doc_id"] == top for x in got) == 3 and sum(x["doc_id"] is None for x in got) == 3
 
 
+def test_copies_of_whole_texts_send_no_snippets(spark, monkeypatch):
+    """However many blocks a text stands in, it is one digest in each; rows of one id, and those of none, don't cut each other."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1500)
+    sent, removals = [], suffix_dedup.removals
+    monkeypatch.setattr(suffix_dedup, "removals", lambda rows, buckets: (sent.append(rows), removals(rows, buckets))[1])
+    r = random.Random(9)
+    texts = ["".join(r.choices("abcdefgh ", k=n)) for n in (49, 50, 51, 90, 400, 900)]
+    for ids in (range(90), [r.choice((None, 7, 7, r.randrange(1000))) for _ in range(90)]):
+        rows = [(k, texts[i % 6], "en", "a") for i, k in enumerate(ids)]
+        got = suffix_dedup.repeats(spark.createDataFrame(rows_of(rows), SCHEMA).repartition(4)).collect()
+        assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == plain_removal(rows)
+    assert sent[0].select("block").distinct().count() > 5 and sent[0].where("bucket >= 0").count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 20, 200_000])
+def test_shards_follow_the_snippets(spark, monkeypatch, most):
+    """Texts that share nothing need no shards, however long they are; the result is the same with any number."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "SHARD_SNIPPETS", most, raising=False)
+    shards, removals = [], suffix_dedup.removals
+    monkeypatch.setattr(suffix_dedup, "removals", lambda rows, buckets: (shards.append(buckets), removals(rows, buckets))[1])
+    r = random.Random(10)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    alone = [(k, text(300), "en", "a") for k in range(80)]
+    common = text(200)
+    for rows in (alone, alone + [(100 + k, text(r.randint(0, 40)) + common + text(30), "en", "a") for k in range(20)]):
+        got = suffix_dedup.repeats(spark.createDataFrame(rows_of(rows), SCHEMA).repartition(4)).collect()
+        assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == plain_removal(rows)
+    assert shards[0] == 4 and (shards[1] > 4) == (most <= 20)
+
+
 @pytest.mark.parametrize(("hot", "places"), [(2, 16_000), (256, 16_000), (256, 40)])
 def test_one_passage_in_every_document(spark, monkeypatch, hot, places):
     monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
